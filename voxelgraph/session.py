@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,17 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once a session, for the operators that run Python there."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_voxelgraph_shipped", False):
+        root = Path(__file__).resolve().parent
+        path = Path(tempfile.mkdtemp(prefix="spark-voxelgraph-")) / "voxelgraph.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(path))
+        sc._voxelgraph_shipped = True
+    return spark
