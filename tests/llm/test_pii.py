@@ -1,0 +1,81 @@
+import hashlib
+import re
+from datetime import date, timedelta
+
+from pyspark.sql import functions as F
+
+from voxelgraph.llm import pii
+
+KEY = "k"
+
+
+def feistel(v, q, kind):
+    """The network by hand."""
+    h = len(v) // 2
+    a, b, ra, rb = v[:h], v[h:], q[:h], q[h:]
+    for i in range(1, 9):
+        new = []
+        for j, x in enumerate(a):
+            d = hashlib.sha256("|".join([KEY, kind, str(i), str(j // 15), ",".join(map(str, b))]).encode()).hexdigest()
+            new.append((x + int(d[4 * (j % 15) : 4 * (j % 15) + 4], 16)) % ra[j])
+        a, b, ra, rb = b, new, rb, ra
+    return a + b
+
+
+def luhn(digits):
+    return sum(d if p % 2 == 0 else 2 * d - 9 * (d > 4) for p, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def changed(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return [r.text for r in pii.pseudonymised(df, KEY).orderBy("doc_id").collect()]
+
+
+def test_cards_keep_their_spacing_network_and_check_digit(spark):
+    one, spaced, wrong = "4111111111111111", "4111 1111-1111 1111", "4111111111111112"
+    a, b, c = changed(spark, [f"x {one}.", f"{spaced}###", f"x {wrong}."])
+    inner = feistel([int(x) for x in one[1:-1]], [10] * 14, "card")
+    digits = [int(x) for x in re.sub(r"\D", "", a)]
+    assert digits[:-1] == [4, *inner] and luhn(digits) and a != f"x {one}."
+    assert re.sub(r"\D", "", b) == re.sub(r"\D", "", a) and re.fullmatch(r"\d{4} \d{4}-\d{4} \d{4}###", b)
+    assert c == f"x {wrong}."
+
+
+def test_other_kinds_keep_their_format(spark):
+    texts = ["mail ab.92@mail2.example.com###", "+1 (279) 555-0216%%%", "at 224.145.138.68 or 300.1.1.1.", 'token = "11acdfb36bb72224148e6160f674b4be45601bff"', "123-45-6789 000-45-6789", "DE89370400440532013000 and GB82 WEST 1234 5698 7654 32", "born 1987-02-28, 29.02.1988, 2023-02-30"]
+    got = changed(spark, texts)
+    assert all(a != b for a, b in zip(texts, got))
+    assert re.fullmatch(r"mail [a-z]{2}\.\d\d@mail2\.example\.com###", got[0])
+    v = feistel([0, 1, 0, 9, 2], [26, 26, 1, 10, 10], "email")
+    assert got[0].startswith(f"mail {chr(97 + v[0])}{chr(97 + v[1])}.{v[3]}{v[4]}@")
+    assert re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}%%%", got[1])
+    ip = re.fullmatch(r"at (\d+\.\d+\.\d+\.\d+) or 300\.1\.1\.1\.", got[2])[1]
+    assert list(map(int, ip.split("."))) == feistel([224, 145, 138, 68], [256] * 4, "ip")
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"', got[3])
+    assert re.fullmatch(r"\d{3}-\d{2}-\d{4} 000-45-6789", got[4])
+    for iban in (re.match(r"DE\d{20}", got[5])[0], re.search(r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d$", got[5])[0].replace(" ", "")):
+        assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    a, b = re.fullmatch(r"born (\d{4}-\d\d-\d\d), (\d\d\.\d\d\.\d{4}), 2023-02-30", got[6]).groups()
+    n = (date(1987, 2, 28) - date(1900, 1, 1)).days
+    while True:
+        x, y = feistel([n // 270, n % 270], [271, 270], "date")
+        n = 270 * x + y
+        if n < 73049:
+            break
+    assert date.fromisoformat(a) == date(1900, 1, 1) + timedelta(n) and date(int(b[6:]), int(b[3:5]), int(b[:2]))
+
+
+def test_different_values_stay_different(spark):
+    days = [(date(1900, 1, 1) + timedelta(d)).isoformat() for d in range(0, 73049, 37)]
+    assert len(set(changed(spark, days))) == len(days)
+    phones = [f"(2{i % 10}5) 555-{i:04d}" for i in range(500)]
+    assert len(set(changed(spark, phones))) == len(phones)
+
+
+def test_clean_texts_nulls_long_texts_and_clashing_columns(spark):
+    clean = ["", "no data", "version 2.0.", "12 of 345", "a" * 200_000 + " @ 1" * 2000]
+    assert changed(spark, clean) == clean
+    df = spark.createDataFrame([(1, None, "x"), (1, "4111111111111111", "y")], "doc_id long, text string, pii_kinds string")
+    rows = pii.pseudonymised(df).orderBy(F.col("text").isNotNull()).collect()
+    assert rows[0].text is None and rows[0].pii_kinds == [] and rows[1].pii_kinds == ["card"]
+    assert pii.pseudonymised(df.limit(0)).count() == 0
