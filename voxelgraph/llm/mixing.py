@@ -75,6 +75,20 @@ def chance(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(seed)).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def probabilities(rows: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, keep: float = KEEP, temper: float = TEMPER, sweeps: int = SWEEPS, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Each cell with tokens, as ``c_<dimension>``, and its ``probability``."""
+    cells = staged(cells_of(rows, dimensions).where("held > 0"))
+    targets = targets or {d: staged(marginal_targets(cells, d, keep, temper)) for d in dimensions}
+    return staged(rake(cells, targets, sweeps).select(*(F.col(d).alias(f"c_{d}") for d in dimensions), F.round(F.col("weight") / F.col("held"), DIGITS).alias("probability")))
+
+
+def sampled(rows: DataFrame, weights: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, seed: str = SEED) -> DataFrame:
+    """Add ``probability`` and ``kept`` to rows with ``doc_id`` and the dimensions."""
+    same = [rows[d].eqNullSafe(weights[f"c_{d}"]) for d in dimensions]
+    known = rows.join(weights, same, "left").drop(*(f"c_{d}" for d in dimensions)).withColumn("probability", F.coalesce("probability", F.lit(1.0)))
+    return known.withColumn("kept", chance(F.col("doc_id"), seed) < F.col("probability"))
+
+
 def calibrated(rows: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, keep: float = KEEP, temper: float = TEMPER, sweeps: int = SWEEPS, seed: str = SEED, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """Add ``probability`` and ``kept`` to ``rows`` (``doc_id``, the dimensions and ``tokens``).
 
@@ -83,15 +97,7 @@ def calibrated(rows: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, keep:
     has probability 1; an empty table stays empty. Repeated rows share their fate.
     """
     rows = staged(rows)
-    cells = staged(cells_of(rows, dimensions))
-    full = cells.where("held > 0")
-    targets = targets or {d: staged(marginal_targets(full, d, keep, temper)) for d in dimensions}
-    weights = rake(full, targets, sweeps).select(*(F.col(d).alias(f"c_{d}") for d in dimensions), F.round(F.col("weight") / F.col("held"), DIGITS).alias("probability"))
-    weights = staged(weights)
-    same = [rows[d].eqNullSafe(weights[f"c_{d}"]) for d in dimensions]
-    joined = rows.join(weights, same, "left").drop(*(f"c_{d}" for d in dimensions))
-    known = joined.withColumn("probability", F.coalesce("probability", F.lit(1.0)))
-    return known.withColumn("kept", chance(F.col("doc_id"), seed) < F.col("probability"))
+    return sampled(rows, probabilities(rows, dimensions, keep, temper, sweeps, targets), dimensions, seed)
 
 
 def measured(docs: DataFrame) -> DataFrame:

@@ -100,3 +100,92 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents``: three-word shingles, linked at two differing bits or fewer."""
     found = components(fingerprints(table(spark, sf_dir, "documents"), 3), 2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Parts of a word signature and their bits. At a shingle likeness of 0.8 two texts differ in about two
+#: bits of a part, so a radius of 2 meets them in most parts, and in one of six nearly always.
+PARTS, PART_BITS, RADIUS = 6, 32, 2
+#: Ids that a join may broadcast, counted first; beyond it the join shuffles.
+BROADCAST = 1_000_000
+
+
+def _signature(words: list[bytes]) -> list[int]:
+    """Parts of the SimHash over the different words."""
+    different = set(words)
+    if not different:
+        return [0] * PARTS
+    h = xxhash.xxh64_intdigest
+    one = np.fromiter((h(w) for w in different), "<u8", len(different))
+    bits = np.concatenate([majority(one ^ (one >> np.uint64(7 + k)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)) for k in range(-(-PARTS * PART_BITS // 64))])
+    return np.packbits(bits, bitorder="little").view("<u4")[:PARTS].astype("i8").tolist()
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """``(doc_id, seq, parts)``: a hash of the sequence of words, and the parts of the word signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t.as_py()) for t in batch.column(1)]
+            seq = np.fromiter((xxhash.xxh64_intdigest(b" ".join(w)) for w in words), "<u8", len(words)).view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seq), pa.array([_signature(w) for w in words], pa.list_(pa.int64()))], names=["doc_id", "seq", "parts"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text")).mapInArrow(run, "doc_id bigint, seq bigint, parts array<bigint>")
+
+
+def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """``(doc_id, shingles)``: 32-bit hashes of the different shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = xxhash.xxh32_intdigest
+        for batch in batches:
+            sets = [np.fromiter({h(s) for s in shingles_of(words_of(t.as_py()), size)}, "<u4").view("<i4") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "shingles"])
+
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id bigint, shingles array<int>")
+
+
+def _checked(ids: DataFrame) -> DataFrame:
+    """Broadcast ids where they are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST else ids
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``(doc_id, class_id)``: classes of texts linked by a Jaccard likeness of word shingles of ``threshold`` or more.
+
+    Texts of equal words are one. Each other text emits, for each part of its signature, all variants within
+    half the radius; in each variant it is paired with the first and the three previous texts (all pairs of
+    up to five), in an order that differs from part to part, so that a crowd is linked through chains and
+    not through all its pairs. Each pair's likeness is then computed exactly from whole texts. ``class_id`` is the least doc_id.
+    Rows without an id take no part; an empty table gives no rows.
+    """
+    sig = staged(signatures(docs.where("doc_id is not null")))
+    heads = staged(sig.groupBy("seq").agg(F.min("doc_id").alias("head"), F.first("parts").alias("parts")))
+    met = heads.select("head", F.posexplode("parts").alias("part", "p")).select("head", "part", F.explode(ball(F.col("p"), PART_BITS, RADIUS // 2)).alias("p"))
+    met = met.select("head", (F.col("part").cast("bigint") * (1 << PART_BITS) + F.col("p")).alias("variant")).repartition("variant")
+    order = Window.partitionBy("variant").orderBy("turn")
+    turned = met.withColumn("turn", F.xxhash64("head", F.expr(f"variant div {1 << PART_BITS}")))
+    beside = turned.select("head", F.array(F.first("head").over(order), *(F.lag("head", k).over(order) for k in (1, 2, 3))).alias("others"))
+    pairs = beside.select("head", F.explode("others").alias("other")).where("other is not null and other <> head")
+    pairs = staged(pairs.select(F.least("head", "other").alias("src"), F.greatest("head", "other").alias("dst")).distinct())
+    ids = staged(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct())
+    sets = staged(_shingle_sets(docs.join(_checked(ids), "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
+    a, b = sets.toDF("src", "a"), sets.toDF("dst", "b")
+    shared = F.size(F.array_intersect("a", "b"))
+    alike = pairs.join(a, "src").join(b, "dst").where(shared >= F.lit(threshold) * (F.size("a") + F.size("b") - shared)).select("src", "dst")
+    group = connected_components(alike).select(F.col("node").alias("head"), "component")
+    named = staged(heads.select("seq", "head").join(group, "head", "left").select("seq", F.coalesce("component", "head").alias("class_id")))
+    return sig.select("doc_id", "seq").join(named, "seq").select("doc_id", "class_id")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``docs`` without near-duplicates: of each class the row with the least doc_id stays.
+
+    Rows without an id stay. Of rows that repeat an id, one stays.
+    """
+    classes = staged(near_duplicates(docs, size, threshold))
+    rows, different = classes.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    drop = staged(classes.where("doc_id <> class_id").select("doc_id").distinct())
+    kept = docs.join(_checked(drop), "doc_id", "left_anti").select(*docs.columns)
+    if rows == different:
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
