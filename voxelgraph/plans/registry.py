@@ -1,6 +1,461 @@
-"""Queries over the driver tables and their SQL twins, by name."""
+"""Queries over volumes derived from the driver tables, and the same results in DuckDB SQL.
+
+Most run on intensity bins as regions (``binned``), which SQL can label too; the contraction queries run on
+whole tables without an SQL twin where SQL is too slow, and the tests hold them against NumPy.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxelgraph.functions import scalars
+from voxelgraph.operators import contract, evaluate, features, learn, phenotype, report, search, stencil
+from voxelgraph.operators import edges as E
+from voxelgraph.plans import fixture, pipelines
+from voxelgraph.session import staged
+from voxelgraph.sources import volumes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+BINS = 8
+
+
+def binned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels with ``v`` in [0, 1] and one region for each of eight intensity bins."""
+    v = fixture.voxels(spark, sf_dir).withColumn("v", scalars.hu_window(F.col("hu"), 0, 200))
+    return v.withColumn("label", (scalars.quantize(F.col("v"), BINS) + 1).cast("bigint"))
+
+
+_BINNED = ",\nbinned AS (SELECT *, CAST(least(greatest(floor(v * 8), 0), 7) + 1 AS BIGINT) AS label FROM (SELECT *, (greatest(least(hu, 200.0), 0.0) - 0.0) / 200.0 AS v FROM voxels) q)"
+_COUNTS = ",\ncounts AS (SELECT case_id, label, count(*) AS n, CAST(sum(CASE WHEN seg >= 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_organ, CAST(sum(CASE WHEN seg = 2 THEN 1 ELSE 0 END) AS BIGINT) AS n_tumour FROM binned GROUP BY case_id, label)"
+_NEXT = {a: f"lead({{c}}) OVER (PARTITION BY case_id, {', '.join(b for b in 'xyz' if b != a)} ORDER BY {a})" for a in "xyz"}
+_LAST = {a: _NEXT[a].replace("lead(", "lag(") for a in "xyz"}
+_FACES = ",\npairs AS (" + " UNION ALL ".join(f"SELECT case_id, label AS a, {_NEXT[a].format(c='label')} AS b FROM binned" for a in "xyz") + "),\nfaces AS (SELECT case_id, least(a, b) AS lo, greatest(a, b) AS hi, count(*) AS shared_faces FROM pairs WHERE b IS NOT NULL AND a <> b GROUP BY ALL)"
+_ADJ = ",\nmeans AS (SELECT case_id, label, avg(v) AS mean FROM binned GROUP BY case_id, label),\nadj AS (SELECT f.*, abs(p.mean - q.mean) AS mean_diff FROM faces f JOIN means p ON f.case_id = p.case_id AND f.lo = p.label JOIN means q ON f.case_id = q.case_id AND f.hi = q.label)"
+
+
+def _inner(mask: str) -> str:
+    """All six neighbours satisfy a boolean column."""
+    return " AND ".join(f"coalesce({w[a].format(c=mask)}, false)" for a in "xyz" for w in (_NEXT, _LAST))
+
+
+# in the binned fixture every voxel is foreground, so its surface is the border of the cube
+_NODES = (
+    ",\nheld AS (SELECT *, NOT (" + _inner("fg") + ") AS surface FROM (SELECT *, label > 0 AS fg FROM binned) q),\n"
+    "nodes AS (SELECT case_id, label, count(*) AS volume, CAST(sum(CASE WHEN surface THEN 1 ELSE 0 END) AS BIGINT) AS boundary_length, avg(v) AS mean_intensity, stddev_pop(v) AS intensity_std, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, "
+    "min(x) AS min_x, max(x) AS max_x FROM held GROUP BY case_id, label)"
+)
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL twin (the fixture's tables stand before it)."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = "WITH RECURSIVE " + fixture.SQL + sql
+        return f
+
+    return add
+
+
+def _r(c: str | Column, digits: int = 6) -> Column:
+    """Rounded, so that the order of a sum doesn't show."""
+    return F.round(c, digits).alias(c) if isinstance(c, str) else F.round(c, digits)
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(_r(c, digits) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+# sources and stencils
+
+
+@query("\nSELECT case_id, count(*) AS voxels, CAST(sum(CASE WHEN seg=1 THEN 1 ELSE 0 END) AS BIGINT) AS organ, CAST(sum(CASE WHEN seg=2 THEN 1 ELSE 0 END) AS BIGINT) AS tumour, round(100.0 * sum(CASE WHEN seg=2 THEN 1 ELSE 0 END) / greatest(sum(CASE WHEN seg=1 THEN 1 ELSE 0 END), 1), 6) AS coverage_pct FROM voxels GROUP BY case_id")
+def case_summary(spark, sf_dir):
+    return _rounded(volumes.case_summary(fixture.voxels(spark, sf_dir)))
+
+
+@query(_BINNED + "\nSELECT case_id, label, count(*) AS n, round(sum(v), 6) AS total FROM binned GROUP BY case_id, label")
+def windowed_bins(spark, sf_dir):
+    return binned(spark, sf_dir).groupBy("case_id", "label").agg(F.count("*").alias("n"), _r(F.sum("v")).alias("total"))
+
+
+@query(",\nm AS (SELECT *, seg >= 1 AS o FROM voxels), s AS (SELECT *, o AND NOT (" + _inner("o") + ") AS surface FROM m)\nSELECT case_id, CAST(sum(CASE WHEN surface THEN 1 ELSE 0 END) AS BIGINT) AS n, CAST(sum(CASE WHEN surface THEN lin ELSE 0 END) AS BIGINT) AS places FROM s GROUP BY case_id")
+def organ_surface(spark, sf_dir):
+    held = stencil.with_surface(fixture.voxels(spark, sf_dir), scalars.class_mask(F.col("seg"), "any"))
+    return held.groupBy("case_id").agg(F.sum(F.col("surface").cast("bigint")).alias("n"), F.sum(F.when(F.col("surface"), F.col("lin")).otherwise(0)).alias("places"))
+
+
+@query(_BINNED + f",\ne AS (SELECT case_id, z, coalesce({_LAST['x'].format(c='label')} <> label, false) OR coalesce({_LAST['y'].format(c='label')} <> label, false) AS edge FROM binned)\nSELECT case_id, z, CAST(sum(CASE WHEN edge THEN 1 ELSE 0 END) AS BIGINT) AS n FROM e GROUP BY case_id, z")
+def slice_boundaries(spark, sf_dir):
+    return stencil.label_boundary_2d(binned(spark, sf_dir)).groupBy("case_id", "z").agg(F.sum(F.col("edge").cast("bigint")).alias("n"))
+
+
+@query(",\nb AS (SELECT case_id, z, sum(CASE WHEN seg=2 THEN 1 ELSE 0 END) AS n FROM voxels GROUP BY case_id, z), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY n DESC, z) AS k FROM b)\nSELECT case_id, z, CAST(n AS BIGINT) AS n, CAST(greatest(z - 5, 0) AS INT) AS before, CAST(least(z + 5, 15) AS INT) AS after FROM r WHERE k = 1")
+def best_slice(spark, sf_dir):
+    return stencil.best_slice(fixture.voxels(spark, sf_dir))
+
+
+@query("\nSELECT case_id, lin, row_number() OVER (PARTITION BY case_id ORDER BY lin) AS marker FROM voxels WHERE x % 5 = 0 AND y % 5 = 0 AND z % 5 = 0 AND seg >= 1")
+def lattice_markers(spark, sf_dir):
+    return stencil.lattice_markers(fixture.voxels(spark, sf_dir), 5, F.col("seg") >= 1)
+
+
+_SOBEL_P = {
+    a: f"(coalesce({_LAST[a].format(c='{c}')}, {{c}}) + 2.0 * {{c}} + coalesce({_NEXT[a].format(c='{c}')}, {{c}})) / 4.0" for a in "xyz"
+}
+_SOBEL_D = {a: f"(coalesce({_NEXT[a].format(c='{c}')}, {{c}}) - coalesce({_LAST[a].format(c='{c}')}, {{c}})) / 2.0" for a in "xyz"}
+_SOBEL = (
+    _BINNED
+    + f",\ng1 AS (SELECT *, {_SOBEL_P['x'].format(c='v')} AS p, {_SOBEL_D['x'].format(c='v')} AS d FROM binned)"
+    + f",\ng2 AS (SELECT *, {_SOBEL_P['y'].format(c='p')} AS pp, {_SOBEL_D['y'].format(c='p')} AS pd, {_SOBEL_P['y'].format(c='d')} AS dp FROM g1)"
+    + f",\ng3 AS (SELECT *, {_SOBEL_D['z'].format(c='pp')} AS a, {_SOBEL_P['z'].format(c='pd')} AS b, {_SOBEL_P['z'].format(c='dp')} AS c FROM g2)"
+)
+
+
+@query(_SOBEL + "\nSELECT case_id, label, round(sum(sqrt((a*a + b*b + c*c) / 3.0)), 6) AS total, round(max(sqrt((a*a + b*b + c*c) / 3.0)), 6) AS steepest FROM g3 GROUP BY case_id, label")
+def gradient_by_region(spark, sf_dir):
+    g = stencil.gradient_magnitude(binned(spark, sf_dir), "v")
+    return g.groupBy("case_id", "label").agg(_r(F.sum("gradient")).alias("total"), _r(F.max("gradient")).alias("steepest"))
+
+
+# edges
+
+
+@query(_BINNED + _FACES + "\nSELECT case_id, lo, hi, shared_faces FROM faces")
+def shared_faces(spark, sf_dir):
+    return E.shared_faces(binned(spark, sf_dir))
+
+
+@query(_BINNED + _FACES + _ADJ + "\nSELECT case_id, lo, hi, shared_faces, round(mean_diff, 6) AS mean_diff FROM adj")
+def full_adjacency(spark, sf_dir):
+    return _rounded(E.full_adjacency(binned(spark, sf_dir), "v"))
+
+
+@query(_BINNED + _FACES + _ADJ + "\nSELECT case_id, lo, hi, shared_faces, round(mean_diff, 6) AS mean_diff FROM adj WHERE mean_diff <= 0.2")
+def adjacency(spark, sf_dir):
+    return _rounded(E.adjacency(binned(spark, sf_dir), "v", 0.2))
+
+
+@query(_BINNED + _FACES + ",\ni AS (SELECT case_id, label, row_number() OVER (PARTITION BY case_id ORDER BY label) - 1 AS idx FROM (SELECT DISTINCT case_id, label FROM binned) q), e AS (SELECT case_id, lo AS s, hi AS d, shared_faces FROM faces UNION ALL SELECT case_id, hi, lo, shared_faces FROM faces)\nSELECT e.case_id, p.idx AS src, q.idx AS dst, shared_faces FROM e JOIN i p ON e.case_id = p.case_id AND e.s = p.label JOIN i q ON e.case_id = q.case_id AND e.d = q.label")
+def indexed_edges(spark, sf_dir):
+    labelled = binned(spark, sf_dir)
+    i = E.dense_index(labelled.select("case_id", "label").distinct())
+    e = E.bidirectional(E.shared_faces(labelled))
+    s, d = i.toDF("case_id", "src", "s"), i.toDF("case_id", "dst", "d")
+    return e.join(s, ["case_id", "src"]).join(d, ["case_id", "dst"]).select("case_id", F.col("s").alias("src"), F.col("d").alias("dst"), "shared_faces")
+
+
+@query(_BINNED + _COUNTS + _FACES + ",\nk AS (SELECT case_id, label FROM counts WHERE n_organ > 0.3 * n), e AS (SELECT f.case_id, count(*) AS edges FROM faces f JOIN k p ON f.case_id = p.case_id AND f.lo = p.label JOIN k q ON f.case_id = q.case_id AND f.hi = q.label GROUP BY f.case_id), v AS (SELECT case_id, count(*) AS nodes FROM k GROUP BY case_id)\nSELECT c.case_id, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges, round(coalesce(edges, 0) / greatest(coalesce(nodes, 0), 1), 6) AS ratio, coalesce(edges, 0) = 0 AS no_edges FROM cases c LEFT JOIN v USING (case_id) LEFT JOIN e USING (case_id)")
+def organ_edge_sparsity(spark, sf_dir):
+    labelled = binned(spark, sf_dir)
+    nodes = features.label_counts(labelled).where("n_organ > 0.3 * n").select("case_id", "label")
+    return _rounded(E.edge_sparsity(fixture.cases(spark, sf_dir), nodes, E.subgraph(E.shared_faces(labelled), nodes)))
+
+
+# features
+
+
+@query(_BINNED + _NODES + "\nSELECT case_id, label, volume, boundary_length, round(36 * pi() * volume * volume / (pow(boundary_length, 3) + 1e-8), 4) AS compactness, round(mean_intensity, 6) AS mean_intensity, round(intensity_std, 6) AS intensity_std, round(cx, 6) AS cx, round(cy, 6) AS cy, round(cz, 6) AS cz, min_x, max_x FROM nodes WHERE boundary_length > 0")
+def node_features(spark, sf_dir):
+    n = features.node_features(binned(spark, sf_dir), "v", fixture.cases(spark, sf_dir)).where("boundary_length > 0")
+    c = [F.round(F.col("centroid")[k], 6).alias(f"c{'xyz'[k]}") for k in range(3)]
+    return n.select("case_id", "label", "volume", "boundary_length", F.round("compactness", 4).alias("compactness"), _r("mean_intensity"), _r("intensity_std"), *c, "min_x", "max_x")
+
+
+@query(None)
+def node_shapes(spark, sf_dir):
+    n = features.node_features(binned(spark, sf_dir), "v", fixture.cases(spark, sf_dir))
+    return n.select("case_id", "label", _r("elongation", 4), _r("dominant_axis", 4), "dominant_axis_vec")
+
+
+def _ratio(name: str) -> str:
+    return f"round(ln(a.{name} / (b.{name} + 1e-8) + 1e-8), 6)"
+
+
+_DIST = "sqrt((a.cx-b.cx)*(a.cx-b.cx) + (a.cy-b.cy)*(a.cy-b.cy) + (a.cz-b.cz)*(a.cz-b.cz))"
+
+
+@query(_BINNED + _NODES + _FACES + f"\nSELECT f.case_id, f.lo, f.hi, {_ratio('volume')} AS log_volume_ratio, round(abs(a.mean_intensity - b.mean_intensity) / greatest(abs(a.mean_intensity) + abs(b.mean_intensity), 1e-8), 6) AS intensity_diff_norm, round({_DIST} / 16, 6) AS distance_norm, {_ratio('boundary_length')} AS log_boundary_ratio, {_ratio('intensity_std')} AS log_std_ratio, CAST(f.shared_faces AS DOUBLE) AS shared_boundary, round(f.shared_faces / (a.boundary_length + 1e-8), 6) AS frac_a, round(abs(a.mean_intensity - b.mean_intensity) / ({_DIST} + 1e-8), 6) AS intensity_gradient FROM faces f JOIN nodes a ON f.case_id = a.case_id AND f.lo = a.label JOIN nodes b ON f.case_id = b.case_id AND f.hi = b.label WHERE a.boundary_length > 0 AND b.boundary_length > 0")
+def edge_features(spark, sf_dir):
+    labelled, cases = binned(spark, sf_dir), fixture.cases(spark, sf_dir)
+    nodes = staged(features.node_features(labelled, "v", cases).where("boundary_length > 0"))
+    faces = staged(E.shared_faces(labelled))
+    out = features.edge_features(faces, nodes, faces, cases)
+    return _rounded(out.select("case_id", "lo", "hi", "log_volume_ratio", "intensity_diff_norm", "distance_norm", "log_boundary_ratio", "log_std_ratio", "shared_boundary", "frac_a", "intensity_gradient"))
+
+
+@query(_BINNED + ",\nm AS (SELECT *, seg >= 1 AS o FROM binned), s AS (SELECT *, o AND NOT (" + _inner("o") + ") AS os FROM m), p AS (SELECT case_id, label, avg(CASE WHEN o THEN 1.0 ELSE 0.0 END) AS fr, avg(CASE WHEN os THEN 1.0 ELSE 0.0 END) AS ct, avg(v) AS mv, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM s GROUP BY case_id, label), w AS (SELECT case_id, avg(x) AS ox, avg(y) AS oy, avg(z) AS oz, avg(v) AS ov FROM m WHERE o GROUP BY case_id)\nSELECT p.case_id, label, round(fr, 6) AS organ_fraction, round(sqrt((cx-ox)*(cx-ox) + (cy-oy)*(cy-oy) + (cz-oz)*(cz-oz)) / 16, 6) AS dist_to_organ_center, round(mv - ov, 6) AS relative_intensity, round(ct, 6) AS organ_boundary_contact FROM p JOIN w USING (case_id)")
+def context_features(spark, sf_dir):
+    labelled, cases = binned(spark, sf_dir), fixture.cases(spark, sf_dir)
+    nodes = features.node_features(labelled, "v", cases)
+    return _rounded(features.context_features(labelled, nodes, "v", cases).select("case_id", "label", *features.CONTEXT_FEATURES))
+
+
+@query(_BINNED + _NODES + ",\nb AS (SELECT case_id, min(mean_intensity) AS l, max(mean_intensity) AS h, min(volume) AS lv, max(volume) AS hv FROM nodes GROUP BY case_id)\nSELECT n.case_id, label, round(CASE WHEN h - l > 1e-8 THEN (mean_intensity - l) / (h - l) ELSE mean_intensity END, 6) AS mean_intensity, round(CASE WHEN hv - lv > 1e-8 THEN (volume - lv) / (hv - lv) ELSE CAST(volume AS DOUBLE) END, 6) AS volume FROM nodes n JOIN b USING (case_id)")
+def scaled_features(spark, sf_dir):
+    n = features.node_features(binned(spark, sf_dir), "v", fixture.cases(spark, sf_dir))
+    return _rounded(features.minmax_scale(n.select("case_id", "label", "mean_intensity", "volume"), ("mean_intensity", "volume")))
+
+
+@query(_BINNED + _COUNTS + "\nSELECT case_id, label, n, n_organ, n_tumour, CASE WHEN n_tumour / n > 0.1 THEN 1 ELSE 0 END AS y FROM counts")
+def label_counts(spark, sf_dir):
+    c = features.label_counts(binned(spark, sf_dir))
+    return c.join(features.node_target(c), ["case_id", "label"]).select("case_id", "label", "n", "n_organ", "n_tumour", "y")
+
+
+@query(_BINNED + _COUNTS + "\nSELECT case_id, count(*) AS regions, min(n) AS least, quantile_cont(n, 0.5) AS median, round(avg(n), 6) AS mean, max(n) AS greatest FROM counts WHERE n_tumour / n > 0.1 GROUP BY case_id")
+def tumour_sizes(spark, sf_dir):
+    return _rounded(features.tumour_size_distribution(features.label_counts(binned(spark, sf_dir))))
+
+
+# deletion, lifting, scores
+
+_KEPT = _BINNED + ",\nst AS (SELECT case_id, label, count(*) AS n, avg(v) AS m FROM binned GROUP BY case_id, label), kp AS (SELECT case_id, label, row_number() OVER (PARTITION BY case_id ORDER BY label) AS new FROM st WHERE n BETWEEN 100 AND 2000 AND m BETWEEN 0.05 AND 0.95), kept AS (SELECT b.* REPLACE (coalesce(new, 0) AS label) FROM binned b LEFT JOIN kp USING (case_id, label))"
+_KCOUNTS = _COUNTS.replace("FROM binned", "FROM kept").replace("counts AS", "kcounts AS")
+
+
+def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contract.delete_nodes(binned(spark, sf_dir), "v", 100, 2000, 0.05, 0.95)
+
+
+@query(_KEPT + "\nSELECT case_id, label, count(*) AS n, CAST(sum(lin) AS BIGINT) AS places FROM kept GROUP BY case_id, label")
+def delete_nodes(spark, sf_dir):
+    return kept(spark, sf_dir).groupBy("case_id", "label").agg(F.count("*").alias("n"), F.sum("lin").alias("places"))
+
+
+def _score_sql(cond: str, empty: str) -> str:
+    b, g, p = f"sum(CASE WHEN label > 0 AND {cond} THEN n_tumour ELSE 0 END)", "sum(n_tumour)", f"sum(CASE WHEN label > 0 AND {cond} THEN n ELSE 0 END)"
+    none = "1.0" if empty == "one" else f"CASE WHEN {p} = 0 THEN 1.0 ELSE 0.0 END"
+    return f"round(CASE WHEN {g} = 0 THEN {none} ELSE 2.0 * {b} / ({g} + {p} + 1e-8) END, 6) AS dice, round(CASE WHEN {g} > 0 THEN {b} / {g} ELSE 0.0 END, 6) AS recall, round(CASE WHEN {p} > 0 THEN {b} / {p} ELSE 0.0 END, 6) AS precision"
+
+
+@query(_KEPT + _KCOUNTS + f"\nSELECT case_id, {_score_sql('n_tumour / n > 0.1', 'agree')}, CAST(sum(CASE WHEN label > 0 AND n_tumour / n > 0.1 THEN 1 ELSE 0 END) AS BIGINT) AS tumour_supernodes, CAST(sum(CASE WHEN label = 0 THEN n_tumour ELSE 0 END) AS BIGINT) AS lost FROM kcounts GROUP BY case_id")
+def oracle_scores(spark, sf_dir):
+    c = staged(features.label_counts(kept(spark, sf_dir)))
+    o = evaluate.oracle(c).select("case_id", "dice", "recall", "precision", "tumour_supernodes")
+    return _rounded(o.join(evaluate.deletion_loss(c).select("case_id", "lost"), "case_id"))
+
+
+@query(_KEPT + _KCOUNTS + f",\nv AS (SELECT case_id, {_score_sql('n_tumour / n > 0.1', 'one')} FROM kcounts GROUP BY case_id)\nSELECT case_id, dice, round(100.0 * sum(CASE WHEN n_tumour / n > 0.1 AND n >= 150 THEN n_tumour ELSE 0 END) / greatest(sum(n_tumour), 1), 6) AS capture_pct FROM kcounts JOIN v USING (case_id) GROUP BY case_id, dice")
+def volume_dice_and_capture(spark, sf_dir):
+    c = staged(features.label_counts(kept(spark, sf_dir)))
+    return _rounded(evaluate.volume_dice(c).join(evaluate.tumour_capture(c, 150), "case_id"))
+
+
+_LIFTED = _KEPT + _KCOUNTS + ",\nl AS (SELECT k.*, CASE WHEN k.label > 0 AND c.n_tumour / c.n > 0.1 THEN true ELSE false END AS p, seg = 2 AS t FROM kept k JOIN kcounts c USING (case_id, label))"
+
+
+@query(_LIFTED + ",\ns AS (SELECT case_id, p AND NOT (" + _inner("p") + ") AS a, t AND NOT (" + _inner("t") + ") AS b FROM l), q AS (SELECT case_id, sum(CASE WHEN a AND b THEN 1 ELSE 0 END) AS n, sum(CASE WHEN b THEN 1 ELSE 0 END) AS g, sum(CASE WHEN a THEN 1 ELSE 0 END) AS p FROM s GROUP BY case_id)\nSELECT case_id, round(CASE WHEN g = 0 THEN 1.0 ELSE 2.0 * n / (g + p + 1e-8) END, 6) AS dice FROM q")
+def boundary_dice(spark, sf_dir):
+    labelled = staged(kept(spark, sf_dir))
+    return _rounded(evaluate.boundary_dice(labelled, features.label_counts(labelled)))
+
+
+@query(_KEPT + _KCOUNTS + ",\nm AS (SELECT k.case_id, k.seg, CASE WHEN c.n_tumour / c.n > 0.1 THEN 2 WHEN (c.n_organ - c.n_tumour) / c.n > 0.1 THEN 1 ELSE 0 END AS pred FROM kept k JOIN kcounts c USING (case_id, label)), q AS (SELECT case_id, k, sum(CASE WHEN pred = k AND seg = k THEN 1 ELSE 0 END) AS n, sum(CASE WHEN seg = k THEN 1 ELSE 0 END) AS g, sum(CASE WHEN pred = k THEN 1 ELSE 0 END) AS p FROM m, (VALUES (1), (2)) c(k) GROUP BY case_id, k), d AS (SELECT case_id, k, round(CASE WHEN g = 0 THEN CASE WHEN p = 0 THEN 1.0 ELSE 0.0 END ELSE 2.0 * n / (g + p + 1e-8) END, 6) AS dice FROM q)\nSELECT a.case_id, a.dice AS tumour_dice, b.dice AS organ_dice FROM d a JOIN d b ON a.case_id = b.case_id AND a.k = 2 AND b.k = 1")
+def class_dice(spark, sf_dir):
+    labelled = staged(kept(spark, sf_dir))
+    return _rounded(evaluate.class_dice(evaluate.three_class_mask(labelled, features.label_counts(labelled))))
+
+
+@query(_KEPT + _KCOUNTS + f",\nv AS (SELECT case_id, {_score_sql('n_tumour / n > 0.1', 'agree')} FROM kcounts GROUP BY case_id)\nSELECT CASE case_id % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'train' ELSE 'val' END AS split, count(*) AS cases, round(avg(dice), 5) AS mean_dice, round(quantile_cont(dice, 0.5), 5) AS median_dice, round(stddev_pop(dice), 5) AS std_dice, round(avg(recall), 5) AS mean_recall, round(avg(precision), 5) AS mean_precision FROM v GROUP BY ROLLUP (CASE case_id % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'train' ELSE 'val' END)")
+def split_summary(spark, sf_dir):
+    c = features.label_counts(kept(spark, sf_dir))
+    s = _rounded(evaluate.oracle(c).select("case_id", "dice", "recall", "precision"))
+    m = F.col("case_id") % 3
+    splits = fixture.cases(spark, sf_dir).select("case_id", F.when(m == 0, "test").when(m == 1, "train").otherwise("val").alias("split"))
+    return _rounded(evaluate.split_summary(s, splits), 5)
+
+
+# components, distances, phenotypes
+
+_TUMOURS = ",\nt AS MATERIALIZED (SELECT case_id, x, y, z, lin, hu FROM voxels WHERE seg = 2), e AS MATERIALIZED (SELECT a.case_id, a.lin AS l, b.lin AS m FROM t a JOIN t b ON a.case_id = b.case_id AND abs(a.x-b.x) + abs(a.y-b.y) + abs(a.z-b.z) = 1), r AS (SELECT case_id, lin AS root, lin FROM t UNION SELECT r.case_id, r.root, e.m FROM r JOIN e ON r.case_id = e.case_id AND r.lin = e.l), comp AS (SELECT case_id, lin, min(root) + 1 AS label FROM r GROUP BY case_id, lin)"
+_DISTANCE = ",\no AS (SELECT case_id, x, y, z FROM voxels WHERE seg = 1), far AS (SELECT v.case_id, v.lin, min(sqrt((v.x-o.x)*(v.x-o.x)*sx*sx + (v.y-o.y)*(v.y-o.y)*sy*sy + (v.z-o.z)*(v.z-o.z)*sz*sz)) AS d FROM voxels v JOIN cases USING (case_id) JOIN o ON v.case_id = o.case_id WHERE v.seg = 2 GROUP BY v.case_id, v.lin)"
+
+
+
+
+@query(_TUMOURS + "\nSELECT case_id, label, count(*) AS n, CAST(sum(lin) AS BIGINT) AS places FROM comp GROUP BY case_id, label")
+def tumour_components(spark, sf_dir):
+    cc = contract.connected(fixture.voxels(spark, sf_dir), F.when(F.col("seg") == 2, F.lit(2)))
+    return cc.where("label > 0").groupBy("case_id", "label").agg(F.count("*").alias("n"), F.sum("lin").alias("places"))
+
+
+@query(_DISTANCE + "\nSELECT case_id, count(*) AS n, round(min(d), 6) AS nearest, round(avg(d), 6) AS mean, round(max(d), 6) AS farthest FROM far GROUP BY case_id")
+def tumour_distances(spark, sf_dir):
+    v = fixture.voxels(spark, sf_dir)
+    d = phenotype.distance_to_mask(v, F.col("seg") == 2, F.col("seg") == 1, fixture.cases(spark, sf_dir))
+    return _rounded(d.groupBy("case_id").agg(F.count("*").alias("n"), F.min("distance").alias("nearest"), F.avg("distance").alias("mean"), F.max("distance").alias("farthest")))
+
+
+_GT = _DISTANCE + ",\ns AS (SELECT case_id, sum(CASE WHEN seg=2 THEN 1 ELSE 0 END) AS t, sum(CASE WHEN seg=1 THEN 1 ELSE 0 END) AS o FROM voxels GROUP BY case_id), gt AS (SELECT s.case_id, CAST(t AS BIGINT) AS tumour_voxels, CAST(o AS BIGINT) AS organ_voxels, t*sx*sy*sz/1000.0 AS tumour_cm3, o*sx*sy*sz/1000.0 AS organ_cm3, 100.0*t/greatest(o, 1) AS coverage_pct, 2.0*pow(3.0*t*sx*sy*sz/(4.0*pi()), 1.0/3.0) AS diameter_mm, f.d AS distance_to_organ_mm FROM s JOIN cases USING (case_id) JOIN (SELECT case_id, min(d) AS d FROM far GROUP BY case_id) f ON s.case_id = f.case_id WHERE t > 0)"
+
+
+@query(_GT + "\nSELECT case_id, tumour_voxels, organ_voxels, round(tumour_cm3, 6) AS tumour_cm3, round(organ_cm3, 6) AS organ_cm3, round(coverage_pct, 6) AS coverage_pct, round(diameter_mm, 6) AS diameter_mm, round(distance_to_organ_mm, 6) AS distance_to_organ_mm FROM gt")
+def gt_phenotypes(spark, sf_dir):
+    return _rounded(phenotype.gt_phenotypes(fixture.voxels(spark, sf_dir), fixture.cases(spark, sf_dir)).drop("tumour_centroid_mm", "organ_centroid_mm"))
+
+
+@query(_GT + ",\nb AS (SELECT case_id, max(x)-min(x)+1 AS bx, max(y)-min(y)+1 AS by_, max(z)-min(z)+1 AS bz, avg(hu) AS hm, stddev_pop(hu) AS hs, min(hu) AS h0, max(hu) AS h1, avg(z) AS tz FROM voxels WHERE seg = 2 GROUP BY case_id), oz AS (SELECT case_id, avg(z) AS oz FROM voxels WHERE seg = 1 GROUP BY case_id)\nSELECT gt.case_id, tumour_voxels, round(diameter_mm, 6) AS diameter_mm, round(bx*sx, 6) AS box_x, round(by_*sy, 6) AS box_y, round(bz*sz, 6) AS box_z, round(hm, 6) AS hu_mean, round(hs, 6) AS hu_std, h0 AS hu_min, h1 AS hu_max, CASE WHEN (tz-oz)/greatest(1.0, abs(oz)) < -0.3 THEN 'tail' WHEN (tz-oz)/greatest(1.0, abs(oz)) > 0.3 THEN 'head' ELSE 'body' END AS subregion, CASE WHEN diameter_mm <= 20 THEN 'T1' WHEN diameter_mm <= 40 THEN 'T2' WHEN tumour_cm3 <= 50 THEN 'T3' ELSE 'T4' END AS t_stage FROM gt JOIN b USING (case_id) JOIN oz USING (case_id) JOIN cases USING (case_id)")
+def case_metadata(spark, sf_dir):
+    m = phenotype.case_metadata(fixture.voxels(spark, sf_dir), fixture.cases(spark, sf_dir))
+    return _rounded(m.select("case_id", "tumour_voxels", "diameter_mm", "box_x", "box_y", "box_z", "hu_mean", "hu_std", "hu_min", "hu_max", "subregion", "t_stage"))
+
+
+@query(_TUMOURS + _DISTANCE + ",\ns AS (SELECT case_id, sum(CASE WHEN seg=1 THEN 1 ELSE 0 END) AS o, avg(CASE WHEN seg=1 THEN z END) AS oz FROM voxels GROUP BY case_id)\nSELECT case_id, label, count(*) AS voxels, round(avg(hu), 6) AS hu_mean, round(min(d), 6) AS distance, round(avg(d), 6) AS mean_distance, round(count(*)*any_value(sx*sy*sz)/1000.0, 6) AS volume_cm3, round(100.0*count(*)/greatest(any_value(o), 1), 6) AS coverage_pct, CASE WHEN avg(z) < any_value(oz) THEN 'right_lobe' ELSE 'left_lobe' END AS subregion FROM comp JOIN t USING (case_id, lin) JOIN far USING (case_id, lin) JOIN s USING (case_id) JOIN cases USING (case_id) GROUP BY case_id, label")
+def tumour_metadata(spark, sf_dir):
+    m = phenotype.tumour_metadata(fixture.voxels(spark, sf_dir), fixture.cases(spark, sf_dir))
+    return _rounded(m.select("case_id", "label", "voxels", "hu_mean", "distance", "mean_distance", "volume_cm3", "coverage_pct", "subregion"))
+
+
+def _phenotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled, cases = staged(binned(spark, sf_dir)), fixture.cases(spark, sf_dir)
+    counts = staged(features.label_counts(labelled))
+    chosen = phenotype.select_tumour_nodes(counts, 0.02)
+    far = phenotype.min_distance_per_label(labelled, cases, chosen)
+    return staged(phenotype.phenotypes(features.node_features(labelled, "v", cases), chosen, far, cases))
+
+
+_PHENO = _BINNED + _COUNTS + ",\nchosen AS (SELECT case_id, label, n, row_number() OVER (PARTITION BY case_id ORDER BY label) - 1 AS tumor_idx FROM counts WHERE n_tumour / n > 0.02), oth AS (SELECT c.case_id, CAST(sum(CASE WHEN k.label IS NULL THEN c.n ELSE 0 END) AS BIGINT) AS others FROM counts c LEFT JOIN chosen k USING (case_id, label) GROUP BY c.case_id), cz AS (SELECT case_id, label, avg(z) AS cz FROM binned GROUP BY case_id, label), ph AS (SELECT k.case_id, dataset, tumor_idx, k.label AS supernode_id, k.n*sx*sy*sz/1000.0 AS volume_cm3, 2.0*pow(3.0*k.n*sx*sy*sz/(4.0*pi()), 1.0/3.0) AS diameter_mm, 100.0*k.n/greatest(others + k.n, 1) AS coverage_pct, CASE WHEN dataset = 'LiTS' THEN CASE WHEN cz < 8 THEN 'right_lobe' ELSE 'left_lobe' END WHEN cz/16 < 0.33 THEN 'pancreatic_tail' WHEN cz/16 < 0.66 THEN 'pancreatic_body' ELSE 'pancreatic_head' END AS subregion FROM chosen k JOIN oth USING (case_id) JOIN cz USING (case_id, label) JOIN cases USING (case_id))"
+_STAGE = "CASE WHEN diameter_mm <= 20 THEN 'T1' WHEN diameter_mm <= 40 THEN 'T2' WHEN volume_cm3 <= 50 THEN 'T3' ELSE 'T4' END"
+
+
+@query(_PHENO + f"\nSELECT case_id, dataset, CAST(tumor_idx AS INT) AS tumor_idx, supernode_id, round(volume_cm3, 6) AS volume_cm3, round(diameter_mm, 6) AS diameter_mm, round(coverage_pct, 6) AS coverage_pct, subregion, {_STAGE} AS t_stage FROM ph")
+def phenotypes(spark, sf_dir):
+    return _rounded(_phenotypes(spark, sf_dir).select("case_id", "dataset", "tumor_idx", "supernode_id", "volume_cm3", "diameter_mm", "coverage_pct", "subregion", "t_stage"))
+
+
+@query(_PHENO + f",\nx AS (SELECT 'case_' || case_id || '_tumor_' || tumor_idx AS source, *, {_STAGE} AS stage FROM ph)\nSELECT case_id, source, CASE WHEN dataset = 'LiTS' THEN 'organ_liver' ELSE 'organ_pancreas' END AS target, 'part_of' AS relation FROM x UNION ALL SELECT case_id, source, CASE WHEN dataset = 'LiTS' THEN 'disease_hepatocellular_carcinoma' ELSE 'disease_pancreatic_adenocarcinoma' END, 'suggestive_of' FROM x UNION ALL SELECT case_id, source, 'anatomy_' || subregion, 'located_in' FROM x UNION ALL SELECT case_id, source, 'stage_' || lower(stage), 'has_stage' FROM x UNION ALL SELECT case_id, source, source || '_feat_' || f, 'has_feature' FROM x, (VALUES {', '.join(f"('{c}')" for c in phenotype.KG_FEATURES)}) v(f)")
+def kg_edges(spark, sf_dir):
+    return phenotype.kg_edges(_phenotypes(spark, sf_dir)).where("relation <> 'has_morphology'")
+
+
+@query(None)
+def kg_nodes(spark, sf_dir):
+    return phenotype.dedupe_nodes(phenotype.kg_nodes(_phenotypes(spark, sf_dir), fixture.cases(spark, sf_dir)))
+
+
+@query(_PHENO + f",\nx AS (SELECT *, {_STAGE} AS stage FROM ph), a AS (SELECT 'Organ' AS name, count(DISTINCT dataset) AS n FROM cases UNION ALL SELECT 'Disease', count(DISTINCT dataset) FROM cases UNION ALL SELECT 'Tumor', count(*) FROM x UNION ALL SELECT 'Anatomy', count(DISTINCT subregion) FROM x UNION ALL SELECT 'Stage', count(DISTINCT stage) FROM x UNION ALL SELECT 'Feature', 8 * count(*) FROM x)\nSELECT 'node' AS what, name, n FROM a WHERE n > 0 UNION ALL SELECT 'edge', r, count(*) * any_value(k) FROM x, (VALUES ('part_of', 1), ('suggestive_of', 1), ('located_in', 1), ('has_stage', 1), ('has_feature', 8), ('has_morphology', 1)) v(r, k) GROUP BY r")
+def kg_stats(spark, sf_dir):
+    p = _phenotypes(spark, sf_dir)
+    nodes = phenotype.dedupe_nodes(phenotype.kg_nodes(p, fixture.cases(spark, sf_dir)))
+    return phenotype.kg_stats(nodes, phenotype.kg_edges(p)).where("name <> 'Observation'")
+
+
+@query(_PHENO + f"\nSELECT 't_stage' AS category, {_STAGE} AS value, count(*) AS n FROM ph GROUP BY ALL UNION ALL SELECT 'subregion', subregion, count(*) FROM ph GROUP BY ALL")
+def categories(spark, sf_dir):
+    return report.category_distribution(_phenotypes(spark, sf_dir), ("t_stage", "subregion"))
+
+
+@query(None)
+def compare_case(spark, sf_dir):
+    gt = phenotype.gt_phenotypes(fixture.voxels(spark, sf_dir), fixture.cases(spark, sf_dir))
+    return _rounded(report.compare_case(gt, _phenotypes(spark, sf_dir)))
+
+
+def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference rows as a reader of the CSV files gives them, from the true masks."""
+    s = volumes.case_summary(fixture.voxels(spark, sf_dir)).where("tumour > 0")
+    return s.select("case_id", F.col("tumour").alias("tumour_voxels"), F.col("organ").alias("organ_voxels"), "coverage_pct", F.lit(1.0).alias("distance_voxels"))
+
+
+@query(None)
+def compare_case_csv(spark, sf_dir):
+    return _rounded(report.compare_case_csv(reference(spark, sf_dir), _phenotypes(spark, sf_dir), fixture.cases(spark, sf_dir)))
+
+
+@query(None)
+def compare_means(spark, sf_dir):
+    return _rounded(report.compare_means(reference(spark, sf_dir), _phenotypes(spark, sf_dir)), 4)
+
+
+@query("\nSELECT case_id, CAST(sum(CASE WHEN seg=2 THEN 1 ELSE 0 END) AS BIGINT) AS tumour, CAST(sum(CASE WHEN seg=1 THEN 1 ELSE 0 END) AS BIGINT) AS organ, round(100.0*sum(CASE WHEN seg=2 THEN 1 ELSE 0 END)/greatest(sum(CASE WHEN seg=1 THEN 1 ELSE 0 END), 1), 6) AS coverage FROM voxels GROUP BY case_id HAVING sum(CASE WHEN seg=2 THEN 1 ELSE 0 END) > 0")
+def derived_vs_csv_volumes(spark, sf_dir):
+    r = reference(spark, sf_dir).select("case_id")
+    return _rounded(report.derived_vs_csv_volumes(fixture.voxels(spark, sf_dir), r))
+
+
+@query(None)
+def patient_graph(spark, sf_dir):
+    labelled, cases = staged(binned(spark, sf_dir)), fixture.cases(spark, sf_dir)
+    _, edges = phenotype.patient_graph(features.label_counts(labelled), features.node_features(labelled, "v", cases), cases, tumour_share=0.02)
+    return _rounded(edges)
+
+
+# classification and search
+
+
+@query(_BINNED + _COUNTS + ",\nth(t) AS (VALUES (0.01), (0.05), (0.1), (0.2), (0.4)), s AS (SELECT t, sum(n_tumour) AS g, sum(CASE WHEN n_tumour / n >= t THEN n_tumour ELSE 0 END) AS b, sum(CASE WHEN n_tumour / n >= t THEN n ELSE 0 END) AS p FROM counts, th GROUP BY t), d AS (SELECT CAST(t AS DOUBLE) AS threshold, 2.0*b/(g+p+1e-8) AS dice, b/g AS recall, CASE WHEN p > 0 THEN b/p ELSE 0.0 END AS precision FROM s)\nSELECT threshold, round(dice, 6) AS dice, round(recall, 6) AS recall, round(precision, 6) AS precision, row_number() OVER (ORDER BY dice DESC, threshold) = 1 AS best FROM d")
+def threshold_sweep(spark, sf_dir):
+    c = staged(features.label_counts(binned(spark, sf_dir)))
+    scored = c.select("case_id", "label", (F.col("n_tumour") / F.col("n")).alias("p"))
+    return _rounded(learn.threshold_sweep(scored, c, [0.01, 0.05, 0.1, 0.2, 0.4]))
+
+
+@query(_BINNED + _COUNTS + "\nSELECT CAST(sum(CASE WHEN n_tumour / n > 0.1 THEN 1 ELSE 0 END) AS BIGINT) AS positive, CAST(sum(CASE WHEN n_tumour / n > 0.1 THEN 0 ELSE 1 END) AS BIGINT) AS negative, round(sum(CASE WHEN n_tumour / n > 0.1 THEN 0 ELSE 1 END) / greatest(sum(CASE WHEN n_tumour / n > 0.1 THEN 1 ELSE 0 END), 1), 6) AS ratio FROM counts")
+def class_balance(spark, sf_dir):
+    return _rounded(learn.class_balance(features.node_target(features.label_counts(binned(spark, sf_dir)))))
+
+
+@query(_BINNED + _FACES + ",\nnv AS (SELECT case_id, label, count(*) / 4096.0 AS a, avg(v) AS b FROM binned GROUP BY case_id, label), e AS (SELECT case_id, lo AS s, hi AS d FROM faces UNION ALL SELECT case_id, hi, lo FROM faces)\nSELECT e.case_id, e.d AS label, round(sum(greatest(a, 0.0)), 6) AS m0, round(sum(greatest(b, 0.0)), 6) AS m1 FROM e JOIN nv ON e.case_id = nv.case_id AND e.s = nv.label GROUP BY e.case_id, e.d")
+def message_sums(spark, sf_dir):
+    labelled = binned(spark, sf_dir)
+    nodes = labelled.groupBy("case_id", "label").agg(F.array(F.count("*") / 4096.0, F.avg("v")).alias("features"))
+    indexed = staged(E.dense_index(nodes))
+    e = E.bidirectional(E.shared_faces(labelled))
+    s, d = (indexed.select("case_id", F.col("label").alias(c), F.col("idx").alias(f"{c}_idx")) for c in ("src", "dst"))
+    links = e.join(s, ["case_id", "src"]).join(d, ["case_id", "dst"]).select("case_id", F.col("src_idx").alias("src"), F.col("dst_idx").alias("dst"))
+    m = learn.message_aggregate(indexed, links).join(indexed.select("case_id", "idx", "label"), ["case_id", "idx"])
+    return _rounded(m.select("case_id", "label", F.col("message")[0].alias("m0"), F.col("message")[1].alias("m1")))
+
+
+@query(_BINNED + "\nSELECT round(quantile_cont(v, 0.01), 6) AS low, round(quantile_cont(v, 0.99), 6) AS high FROM binned")
+def intensity_range(spark, sf_dir):
+    return _rounded(search.intensity_range(binned(spark, sf_dir), "v"))
+
+
+@query(_BINNED + _COUNTS + ",\nb(beta_min) AS (VALUES (1), (50), (200), (1000)), p AS (SELECT beta_min, case_id, sum(CASE WHEN n >= beta_min THEN 1 ELSE 0 END) AS k, sum(CASE WHEN n >= beta_min AND n_tumour / n > 0.1 THEN n_tumour ELSE 0 END) AS both_, sum(CASE WHEN n >= beta_min AND n_tumour / n > 0.1 THEN n ELSE 0 END) AS pr, sum(n_tumour) AS g, sum(CASE WHEN n < beta_min THEN n ELSE 0 END) AS gone, sum(n) AS nv FROM counts, b GROUP BY beta_min, case_id)\nSELECT CAST(beta_min AS INT) AS beta_min, CAST(sum(k) AS BIGINT) AS supernodes, round(avg(CASE WHEN g = 0 THEN CASE WHEN pr = 0 THEN 1.0 ELSE 0.0 END ELSE 2.0*both_/(g+pr+1e-8) END), 6) AS oracle_dice, round(100.0*sum(both_)/greatest(sum(g), 1), 6) AS capture_pct, round(100.0*sum(gone)/sum(nv), 6) AS deleted_pct FROM p GROUP BY beta_min")
+def beta_sweep(spark, sf_dir):
+    return _rounded(search.beta_sweep(features.label_counts(binned(spark, sf_dir)), [1, 50, 200, 1000]).drop("tumour_supernodes"))
+
+
+@query(None)
+def grid_search(spark, sf_dir):
+    labelled = staged(binned(spark, sf_dir).drop("label"))
+    r = search.intensity_range(labelled, "v").first()
+    configs = staged(search.param_grid(spark, r.low, r.high, 2, 2, 3))
+    return _rounded(search.search_log(search.grid_search(labelled, "v", configs), configs).drop("per_case"))
+
+
+# contraction and composed jobs, over all voxels
+
+
+@query(None)
+def quantized_components(spark, sf_dir):
+    cc = contract.quantized_components(binned(spark, sf_dir).drop("label"), "v", BINS)
+    return cc.groupBy("case_id", "label").agg(F.count("*").alias("n"), F.sum("lin").alias("places"))
+
+
+@query(None)
+def flagship(spark, sf_dir):
+    """Which regions are tumour, how many there are, and how good a mask could be."""
+    m = contract.build_minor(binned(spark, sf_dir).drop("label"), "v", "quantized", beta_min=10, bins=BINS)
+    counts = staged(features.label_counts(m["labels"]))
+    return _rounded(evaluate.oracle(counts).join(evaluate.deletion_loss(counts).select("case_id", "lost", "lost_pct"), "case_id").join(m["stats"], "case_id"))
+
+
+@query(None)
+def group_tumours(spark, sf_dir):
+    cases = fixture.cases(spark, sf_dir)
+    m = pipelines.minors(fixture.voxels(spark, sf_dir), cases, pipelines.Settings((0, 200), "quantized", beta_min=5))
+    return _rounded(phenotype.group_tumours(m["labels"], m["nodes"], m["counts"], cases), 4)
+
+
+@query(None)
+def quantized_pipeline(spark, sf_dir):
+    """Region classifier over all cases: scores per split and over all."""
+    return _rounded(pipelines.quantized_pipeline(fixture.voxels(spark, sf_dir), fixture.cases(spark, sf_dir))["summary"])
