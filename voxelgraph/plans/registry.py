@@ -431,6 +431,36 @@ def grid_search(spark, sf_dir):
     return _rounded(search.search_log(search.grid_search(labelled, "v", configs), configs).drop("per_case"))
 
 
+@query(None)
+def feature_distribution(spark, sf_dir):
+    labelled = binned(spark, sf_dir)
+    nodes = features.node_features(labelled, "v", fixture.cases(spark, sf_dir))
+    marked = nodes.join(features.node_target(features.label_counts(labelled), 0.02), ["case_id", "label"])
+    return _rounded(features.feature_distribution(marked, ("volume", "mean_intensity", "intensity_std", "boundary_length"), 30))
+
+
+@query(None)
+def split_cases(spark, sf_dir):
+    """A split of all cases, and which of them a few-shot search would take."""
+    few = volumes.pick_few_shot(fixture.voxels(spark, sf_dir), 5, 20).withColumn("few_shot", F.lit(True))
+    return volumes.split_cases(fixture.cases(spark, sf_dir)).join(few, "case_id", "left").withColumn("few_shot", F.coalesce("few_shot", F.lit(False)))
+
+
+@query(None)
+def khop_features(spark, sf_dir):
+    labelled, cases = staged(binned(spark, sf_dir)), fixture.cases(spark, sf_dir)
+    nodes, faces = staged(features.node_features(labelled, "v", cases)), staged(E.shared_faces(labelled))
+    graph, links = features.assemble_graph(nodes, features.edge_features(faces, nodes, faces, cases), features.node_target(features.label_counts(labelled)))
+    hops = learn.khop_features(staged(graph), staged(links), 2)
+    return hops.select("case_id", "idx", "label", "y", F.transform("features", lambda x: F.round(x, 4)).alias("features"))
+
+
+@query(None)
+def window_sweep(spark, sf_dir):
+    """Mean oracle Dice of quantised components in two intensity windows."""
+    return _rounded(search.window_sweep(fixture.voxels(spark, sf_dir), {k: scalars.WINDOWS[k] for k in ("liver", "resumable")}))
+
+
 # contraction and composed jobs, over all voxels
 
 
