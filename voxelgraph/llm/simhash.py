@@ -105,6 +105,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Parts of a word signature and their bits. At a shingle likeness of 0.8 two texts differ in about two
 #: bits of a part, so a radius of 2 meets them in most parts, and in one of six nearly always.
 PARTS, PART_BITS, RADIUS = 6, 32, 2
+#: Bits of a parity bitmap (a power of two).
+PARITY = 2048
 #: Ids that a join may broadcast, counted first; beyond it the join shuffles.
 BROADCAST = 1_000_000
 
@@ -132,16 +134,23 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text")).mapInArrow(run, "doc_id bigint, seq bigint, parts array<bigint>")
 
 
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """Bitmap that says of each residue of the hashes whether an odd number has it, as 64-bit numbers."""
+    odd = np.bincount(hashes & np.uint32(PARITY - 1), minlength=PARITY) & 1
+    return np.packbits(odd.astype("u1"), bitorder="little").view("<i8")
+
+
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, shingles)``: 32-bit hashes of the different shingles."""
+    """``(doc_id, shingles, parity)``: 32-bit hashes of the different shingles, and their parity bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh32_intdigest
         for batch in batches:
-            sets = [np.fromiter({h(s) for s in shingles_of(words_of(t.as_py()), size)}, "<u4").view("<i4") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "shingles"])
+            sets = [np.fromiter({h(s) for s in shingles_of(words_of(t.as_py()), size)}, "<u4") for t in batch.column(1)]
+            columns = [batch.column(0), pa.array([s.view("<i4") for s in sets], pa.list_(pa.int32())), pa.array([_parity(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shingles", "parity"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id bigint, shingles array<int>")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id bigint, shingles array<int>, parity array<bigint>")
 
 
 def _checked(ids: DataFrame) -> DataFrame:
@@ -153,8 +162,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> D
     """``(doc_id, class_id)``: classes of texts linked by a Jaccard likeness of word shingles of ``threshold`` or more.
 
     Texts of equal words are one. Each other text emits, for each part of its signature, all variants within
-    half the radius; in each variant it is paired with the first and the three previous texts (all pairs of
-    up to five), in an order that differs from part to part, so that a crowd is linked through chains and
+    half the radius; in each variant it is paired with the first and the previous text (up to five texts: with
+    all others), in an order that differs from part to part, so that a crowd is linked through chains and
     not through all its pairs. Each pair's likeness is then computed exactly from whole texts. ``class_id`` is the least doc_id.
     Rows without an id take no part; an empty table gives no rows.
     """
@@ -163,15 +172,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> D
     met = heads.select("head", F.posexplode("parts").alias("part", "p")).select("head", "part", F.explode(ball(F.col("p"), PART_BITS, RADIUS // 2)).alias("p"))
     met = met.select("head", (F.col("part").cast("bigint") * (1 << PART_BITS) + F.col("p")).alias("variant")).repartition("variant")
     order = Window.partitionBy("variant").orderBy("turn")
-    turned = met.withColumn("turn", F.xxhash64("head", F.expr(f"variant div {1 << PART_BITS}")))
-    beside = turned.select("head", F.array(F.first("head").over(order), *(F.lag("head", k).over(order) for k in (1, 2, 3))).alias("others"))
+    turned = met.withColumn("turn", F.xxhash64("head", F.expr(f"variant div {1 << PART_BITS}"))).withColumn("n", F.count("*").over(Window.partitionBy("variant")))
+    few = lambda k: F.when(F.col("n") <= 5, F.lag("head", k).over(order))
+    beside = turned.select("head", F.array(F.first("head").over(order), F.lag("head").over(order), few(2), few(3)).alias("others"))
     pairs = beside.select("head", F.explode("others").alias("other")).where("other is not null and other <> head")
     pairs = staged(pairs.select(F.least("head", "other").alias("src"), F.greatest("head", "other").alias("dst")).distinct())
     ids = staged(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct())
     sets = staged(_shingle_sets(docs.join(_checked(ids), "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
-    a, b = sets.toDF("src", "a"), sets.toDF("dst", "b")
+    # at least as many shingles differ as parity bits do: only what can still reach the threshold is compared whole
+    small = sets.select("doc_id", F.size("shingles").alias("n"), "parity")
+    a, b = small.toDF("src", "na", "a"), small.toDF("dst", "nb", "b")
+    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    close = staged(pairs.join(a, "src").join(b, "dst").where(apart * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col("na") + F.col("nb")) + 1e-6).select("src", "dst"))
+    whole = sets.select("doc_id", "shingles")
+    a, b = whole.toDF("src", "a"), whole.toDF("dst", "b")
     shared = F.size(F.array_intersect("a", "b"))
-    alike = pairs.join(a, "src").join(b, "dst").where(shared >= F.lit(threshold) * (F.size("a") + F.size("b") - shared)).select("src", "dst")
+    alike = close.join(a, "src").join(b, "dst").where(shared >= F.lit(threshold) * (F.size("a") + F.size("b") - shared)).select("src", "dst")
     group = connected_components(alike).select(F.col("node").alias("head"), "component")
     named = staged(heads.select("seq", "head").join(group, "head", "left").select("seq", F.coalesce("component", "head").alias("class_id")))
     return sig.select("doc_id", "seq").join(named, "seq").select("doc_id", "class_id")
