@@ -11,7 +11,7 @@ source that holds a third of all rows costs no more than another. All of it is D
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelgraph.llm.tokens import text_of
@@ -24,6 +24,8 @@ TEMPER = 0.7
 KEEP, SWEEPS, SEED = 0.8, 8, "mix"
 #: Weights are rounded to this many decimals after each step, so that every engine computes the same ones.
 DIGITS = 6
+#: Cells that a window may sum in a task.
+CELLS = 1_000_000
 
 
 def topic(text: Column) -> Column:
@@ -53,21 +55,37 @@ def marginal_targets(cells: DataFrame, dimension: str, budget: Column, temper: f
     )
 
 
+def _factor_by_join(out: DataFrame, dimension: str) -> DataFrame:
+    """Add ``f``, target / sum of weights of the cell's value, by an aggregate joined back."""
+    total = out.groupBy(F.col(dimension).alias("d")).agg(F.sum(F.col("weight").cast("decimal(38,6)")).cast("double").alias("total"))
+    return out.join(total, out[dimension].eqNullSafe(total["d"])).withColumn("f", F.col(f"t_{dimension}") / F.col("total")).drop("d", "total")
+
+
+def _factor_by_window(out: DataFrame, dimension: str) -> DataFrame:
+    """The same by a window, for a table of checked size."""
+    total = F.sum(F.col("weight").cast("decimal(38,6)")).over(Window.partitionBy(dimension)).cast("double")
+    return out.withColumn("f", F.col(f"t_{dimension}") / total)
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
     """Add ``weight``: the cells' tokens raked to the marginal targets, at most ``held``.
 
     cells: a key of ``targets``' dimensions, and ``held``. Sums are taken over decimals, so their order
-    doesn't matter. Each step joins a marginal sum (one row for each value of a dimension) to the cells.
+    doesn't matter. Up to ``CELLS`` cells (counted) the sums of a step are one window, which is the least
+    work; beyond, they are aggregated on the map side and joined back.
     """
-    out = staged(cells.withColumn("weight", F.col("held").cast("double")))
+    names = cells.columns
+    out = cells.withColumn("weight", F.col("held").cast("double"))
+    for dimension, target in targets.items():
+        t = target.select(F.col(dimension).alias("d"), F.col("target").alias(f"t_{dimension}"))
+        out = out.join(t, out[dimension].eqNullSafe(t["d"])).drop("d")
+    out = staged(out)
+    step = _factor_by_window if out.count() <= CELLS else _factor_by_join
     for _ in range(sweeps):
-        for dimension, target in targets.items():
-            total = out.groupBy(dimension).agg(F.sum(F.col("weight").cast("decimal(38,6)")).cast("double").alias("total"))
-            factor = total.join(target, total[dimension].eqNullSafe(target[dimension])).select(total[dimension].alias("d"), (F.col("target") / F.col("total")).alias("f"))
-            scaled = F.least(F.round(F.col("weight") * F.col("f"), DIGITS), F.col("held").cast("double"))
-            out = out.join(factor, out[dimension].eqNullSafe(factor["d"])).drop("d").withColumn("weight", scaled).drop("f")
+        for dimension in targets:
+            out = step(out, dimension).withColumn("weight", F.least(F.round(F.col("weight") * F.col("f"), DIGITS), F.col("held").cast("double"))).drop("f")
         out = staged(out)
-    return out
+    return out.select(*names, "weight")
 
 
 def chance(key: Column, seed: str) -> Column:
