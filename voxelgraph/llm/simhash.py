@@ -184,7 +184,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> D
     a, b = small.toDF("src", "na", "a"), small.toDF("dst", "nb", "b")
     apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     close = staged(pairs.join(a, "src").join(b, "dst").where(apart * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col("na") + F.col("nb")) + 1e-6).select("src", "dst"))
-    whole = sets.select("doc_id", "shingles")
+    ends = staged(close.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct())
+    whole = sets.select("doc_id", "shingles").join(_checked(ends), "doc_id", "left_semi")
     a, b = whole.toDF("src", "a"), whole.toDF("dst", "b")
     shared = F.size(F.array_intersect("a", "b"))
     alike = close.join(a, "src").join(b, "dst").where(shared >= F.lit(threshold) * (F.size("a") + F.size("b") - shared)).select("src", "dst")
