@@ -105,6 +105,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Parts of a word signature and their bits. At a shingle likeness of 0.8 two texts differ in about two
 #: bits of a part, so a radius of 2 meets them in most parts, and in one of six nearly always.
 PARTS, PART_BITS, RADIUS = 6, 32, 2
+#: Texts that meet in a variant beyond this many are a crowd, paired by chains.
+CROWD = 5
 #: Bits of a parity bitmap (a power of two).
 PARITY = 2048
 #: Ids that a join may broadcast, counted first; beyond it the join shuffles.
@@ -158,13 +160,53 @@ def _checked(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST else ids
 
 
+def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of ``pairs`` (``src, dst``) whose shingle sets have a Jaccard likeness of ``threshold`` or more."""
+    # at least as many shingles differ as parity bits do: only what can still reach the threshold is compared whole
+    small = sets.select("doc_id", F.size("shingles").alias("n"), "parity")
+    a, b = small.toDF("src", "na", "a"), small.toDF("dst", "nb", "b")
+    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    close = staged(pairs.join(a, "src").join(b, "dst").where(apart * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col("na") + F.col("nb")) + 1e-6).select("src", "dst"))
+    ends = staged(close.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct())
+    whole = sets.select("doc_id", "shingles").join(_checked(ends), "doc_id", "left_semi")
+    a, b = whole.toDF("src", "a"), whole.toDF("dst", "b")
+    shared = F.size(F.array_intersect("a", "b"))
+    return close.join(a, "src").join(b, "dst").where(shared >= F.lit(threshold) * (F.size("a") + F.size("b") - shared)).select("src", "dst")
+
+
+def _prefix_pairs(held: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components that can reach the threshold: an exact prefix filter.
+
+    held: ``(doc_id, component, shingles)``. Shingles are ordered by how many texts hold them. Of two texts as
+    alike as the threshold, the shorter one's first 1 - 2t / (1 + t) and the longer one's first 1 - t of the
+    shingles have one in common, early enough for the rest to suffice.
+    """
+    token = held.select("doc_id", F.explode("shingles").alias("token"))
+    common = token.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    n, t = F.size("shingles"), F.lit(threshold)
+    listed = token.join(common, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("order"))  # one text's shingles
+    # shingles of one text alone come first and meet nobody
+    placed = listed.join(held, "doc_id").select("doc_id", "component", n.alias("n"), (n - F.size("order")).alias("alone"), "order")
+    reach = lambda part: (F.col("n") - F.ceil(part * F.col("n") - 1e-6) + 1).cast("int")
+    long = placed.withColumn("order", F.slice("order", F.lit(1), F.greatest(reach(t) - F.col("alone"), F.lit(0))))
+    long = staged(long.select("doc_id", "component", "n", "alone", F.posexplode("order")).select("doc_id", "component", "n", (F.col("alone") + F.col("pos")).alias("at"), F.col("col.token").alias("token")))
+    short = long.where(F.col("at") < reach(2 * t / (1 + t)))
+    a, b = (side.toDF(*(f"{c}_{k}" if c != "token" else c for c in side.columns)) for k, side in (("a", short), ("b", long)))
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fits = (F.col("component_a") != F.col("component_b")) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") < F.col("doc_id_b")))) & (F.col("n_a") >= t * F.col("n_b") - 1e-6) & (rest >= t / (1 + t) * (F.col("n_a") + F.col("n_b")) - 1e-6)
+    met = a.join(b, (a["token"] == b["token"]) & fits)
+    return met.select(F.least("doc_id_a", "doc_id_b").alias("src"), F.greatest("doc_id_a", "doc_id_b").alias("dst")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """``(doc_id, class_id)``: classes of texts linked by a Jaccard likeness of word shingles of ``threshold`` or more.
 
     Texts of equal words are one. Each other text emits, for each part of its signature, all variants within
     half the radius; in each variant it is paired with the first and the previous text (up to five texts: with
     all others), in an order that differs from part to part, so that a crowd is linked through chains and
-    not through all its pairs. Each pair's likeness is then computed exactly from whole texts. ``class_id`` is the least doc_id.
+    not through all its pairs. Each pair's likeness is then computed exactly from whole texts. A crowd that
+    its chains leave in several components is finished by an exact prefix filter over its members, between
+    components only. ``class_id`` is the least doc_id.
     Rows without an id take no part; an empty table gives no rows.
     """
     sig = staged(signatures(docs.where("doc_id is not null")))
@@ -173,23 +215,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> D
     met = met.select("head", (F.col("part").cast("bigint") * (1 << PART_BITS) + F.col("p")).alias("variant")).repartition("variant")
     order = Window.partitionBy("variant").orderBy("turn")
     turned = met.withColumn("turn", F.xxhash64("head", F.expr(f"variant div {1 << PART_BITS}"))).withColumn("n", F.count("*").over(Window.partitionBy("variant")))
-    few = lambda k: F.when(F.col("n") <= 5, F.lag("head", k).over(order))
-    beside = turned.select("head", F.array(F.first("head").over(order), F.lag("head").over(order), few(2), few(3)).alias("others"))
-    pairs = beside.select("head", F.explode("others").alias("other")).where("other is not null and other <> head")
-    pairs = staged(pairs.select(F.least("head", "other").alias("src"), F.greatest("head", "other").alias("dst")).distinct())
-    ids = staged(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct())
-    sets = staged(_shingle_sets(docs.join(_checked(ids), "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
-    # at least as many shingles differ as parity bits do: only what can still reach the threshold is compared whole
-    small = sets.select("doc_id", F.size("shingles").alias("n"), "parity")
-    a, b = small.toDF("src", "na", "a"), small.toDF("dst", "nb", "b")
-    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    close = staged(pairs.join(a, "src").join(b, "dst").where(apart * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col("na") + F.col("nb")) + 1e-6).select("src", "dst"))
-    ends = staged(close.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct())
-    whole = sets.select("doc_id", "shingles").join(_checked(ends), "doc_id", "left_semi")
-    a, b = whole.toDF("src", "a"), whole.toDF("dst", "b")
-    shared = F.size(F.array_intersect("a", "b"))
-    alike = close.join(a, "src").join(b, "dst").where(shared >= F.lit(threshold) * (F.size("a") + F.size("b") - shared)).select("src", "dst")
-    group = connected_components(alike).select(F.col("node").alias("head"), "component")
+    few = lambda k: F.when(F.col("n") <= CROWD, F.lag("head", k).over(order))
+    beside = turned.select("head", (F.col("n") > CROWD).alias("crowd"), F.array(F.first("head").over(order), F.lag("head").over(order), few(2), few(3)).alias("others"))
+    pairs = beside.select("head", "crowd", F.explode("others").alias("other")).where("other is not null and other <> head")
+    pairs = staged(pairs.groupBy(F.least("head", "other").alias("src"), F.greatest("head", "other").alias("dst")).agg(F.max("crowd").alias("crowd")))
+    ids = staged(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id"), "crowd").groupBy("doc_id").agg(F.max("crowd").alias("crowd")))
+    sets = staged(_shingle_sets(docs.join(_checked(ids.select("doc_id")), "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
+    alike = staged(_alike(pairs.select("src", "dst"), sets, threshold))
+    group = staged(connected_components(alike).select(F.col("node").alias("head"), "component"))
+    crowded = ids.where("crowd").join(group.withColumnRenamed("head", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    held = staged(sets.select("doc_id", "shingles").join(crowded, "doc_id"))
+    late = staged(_alike(staged(_prefix_pairs(held, threshold)), sets, threshold))
+    if not late.isEmpty():
+        group = connected_components(alike.unionByName(late)).select(F.col("node").alias("head"), "component")
     named = staged(heads.select("seq", "head").join(group, "head", "left").select("seq", F.coalesce("component", "head").alias("class_id")))
     return sig.select("doc_id", "seq").join(named, "seq").select("doc_id", "class_id")
 
