@@ -489,3 +489,24 @@ def group_tumours(spark, sf_dir):
 def quantized_pipeline(spark, sf_dir):
     """Region classifier over all cases: scores per split and over all."""
     return _rounded(pipelines.quantized_pipeline(fixture.voxels(spark, sf_dir), fixture.cases(spark, sf_dir))["summary"])
+
+
+@query(None)
+def marker_watershed(spark, sf_dir):
+    """Sizes of the basins that grow from a lattice of markers."""
+    flat = staged(stencil.gradient_magnitude(binned(spark, sf_dir).drop("label"), "v"))
+    grown = contract.marker_watershed(flat, "gradient", stencil.lattice_markers(flat, 5))
+    return grown.groupBy("case_id", "label").agg(F.count("*").alias("n"), F.sum("lin").alias("places"))
+
+
+@query(None)
+def heterogeneous_regions(spark, sf_dir):
+    return contract.heterogeneous_regions(binned(spark, sf_dir), "v", 0.05)
+
+
+@query(None)
+def random_search(spark, sf_dir):
+    """Scores of configurations drawn at random, over all cases; the best three."""
+    configs = staged(search.random_search(spark, 4))
+    scores = search.grid_search(staged(binned(spark, sf_dir).drop("label")), "v", configs, measure="volume")
+    return _rounded(search.top_configs(search.search_log(scores, configs, penalty=True).drop("per_case"), 3))
