@@ -116,3 +116,21 @@ def test_prefix_pairs_against_all_pairs(spark):
     alike = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
     want = {(a, b) for a in sets for b in sets if a < b and a % 7 != b % 7 and alike(a, b)}
     assert want and want <= got and all(a % 7 != b % 7 for a, b in got)
+
+
+def test_copies_that_differ_in_a_block(spark):
+    # extended, truncated and shifted copies: their words differ about as much as their shingles
+    rng = random.Random(13)
+    texts, n = {}, 0
+    for k in range(90):
+        j, size = (0.8, 0.82, 0.85, 0.9)[k % 4], rng.choice([60, 150, 400])
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        new = lambda m: [f"v{rng.randrange(10**6)}" for _ in range(m)]
+        extended = base + new(int((size - 4) / j) + 4 - size)
+        cut = base[: -int((size - 4) * (1 - j))]
+        m = int((size - 4) * (1 - j) / (1 + j))
+        for w in (base, (extended, cut, base[m:] + new(m))[k % 3]):
+            texts[n := n + 1] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = classes(texts)
+    assert {r.doc_id: r.class_id for r in simhash.near_duplicates(df).collect()} == want and len(set(want.values())) == 90

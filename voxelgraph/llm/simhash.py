@@ -8,6 +8,7 @@ many fingerprints as its own ball holds, so no key is hot.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -102,11 +103,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Parts of a word signature and their bits. At a shingle likeness of 0.8 two texts differ in about two
-#: bits of a part, so a radius of 2 meets them in most parts, and in one of six nearly always.
+#: Parts of a word signature and their bits. At a shingle likeness of 0.8 two texts that differ in scattered
+#: words differ in about two bits of a part; texts that differ in a block differ in about five, and often meet
+#: in no part. The signature only links most texts cheaply: the prefix filter finds all others.
 PARTS, PART_BITS, RADIUS = 6, 32, 2
 #: Texts that meet in a variant beyond this many are a crowd, paired by chains.
 CROWD = 5
+#: Texts that tell how common shingles are, about; a shingle that fewer of them have is rare; how many may be common.
+SAMPLE, COMMON, MOST_COMMON = 20_000, 8, 100_000
 #: Bits of a parity bitmap (a power of two).
 PARITY = 2048
 #: Ids that a join may broadcast, counted first; beyond it the join shuffles.
@@ -174,6 +178,62 @@ def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return close.join(a, "src").join(b, "dst").where(shared >= F.lit(threshold) * (F.size("a") + F.size("b") - shared)).select("src", "dst")
 
 
+def _different(text: str, size: int) -> np.ndarray:
+    """64-bit hashes of the different shingles, ascending."""
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((h(x) for x in shingles_of(words_of(text), size)), "<u8")).view("<i8")
+
+
+def _common(docs: DataFrame, size: int, every: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles of one in ``every`` texts, ascending, and the power of two of how many texts have each.
+
+    Any order of the shingles keeps the prefix filter exact; this one puts those that would meet many texts last.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_different(t.as_py(), size))], names=["token"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(text_of().alias("text"))
+    counts = some.mapInArrow(run, "token bigint").groupBy("token").count().where(F.col("count") >= COMMON)
+    rows = counts.orderBy(F.desc("count"), "token").limit(MOST_COMMON).collect()  # a bounded table
+    rows.sort()
+    return np.array([r[0] for r in rows], "<i8"), np.array([r[1].bit_length() for r in rows], "i8")
+
+
+def _prefixes(docs: DataFrame, size: int, threshold: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``(doc_id, component, tokens)``: the first 1 - t of each text's different shingles, rare ones first.
+
+    Two texts as alike as the threshold have one of them in common.
+    """
+    known, power = common
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t in batch.column(2):
+                tokens = _different(t.as_py(), size)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                    tokens = tokens[np.argsort(np.where(known[at] == tokens, power[at], 0), kind="stable")]
+                out.append(tokens[: len(tokens) - math.ceil(threshold * len(tokens) - 1e-6) + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "component", "tokens"])
+
+    return docs.select("doc_id", "component", text_of().alias("text")).mapInArrow(run, "doc_id bigint, component bigint, tokens array<bigint>")
+
+
+def _unlinked(docs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """``(doc_id, component)`` of all texts that may be as alike as the threshold to one of another component.
+
+    docs: ``(doc_id, component, text)``. A shingle of the prefixes that one component alone has links nothing more.
+    """
+    held = staged(_prefixes(docs, size, threshold, _common(docs, size, max(1, docs.count() // SAMPLE))))
+    token = held.select("doc_id", "component", F.explode("tokens").alias("token"))
+    shared = token.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
+    return token.join(_checked(staged(shared)), "token", "left_semi").select("doc_id", "component").distinct()
+
+
 def _prefix_pairs(held: DataFrame, threshold: float) -> DataFrame:
     """Pairs of different components that can reach the threshold: an exact prefix filter.
 
@@ -204,9 +264,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> D
     Texts of equal words are one. Each other text emits, for each part of its signature, all variants within
     half the radius; in each variant it is paired with the first and the previous text (up to five texts: with
     all others), in an order that differs from part to part, so that a crowd is linked through chains and
-    not through all its pairs. Each pair's likeness is then computed exactly from whole texts. A crowd that
-    its chains leave in several components is finished by an exact prefix filter over its members, between
-    components only. ``class_id`` is the least doc_id.
+    not through all its pairs. Each pair's likeness is then computed exactly from whole texts. All pairs that
+    this leaves in different components, whether they met or not, are found by an exact prefix filter over
+    all texts. ``class_id`` is the least doc_id.
     Rows without an id take no part; an empty table gives no rows.
     """
     sig = staged(signatures(docs.where("doc_id is not null")))
@@ -216,15 +276,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> D
     order = Window.partitionBy("variant").orderBy("turn")
     turned = met.withColumn("turn", F.xxhash64("head", F.expr(f"variant div {1 << PART_BITS}"))).withColumn("n", F.count("*").over(Window.partitionBy("variant")))
     few = lambda k: F.when(F.col("n") <= CROWD, F.lag("head", k).over(order))
-    beside = turned.select("head", (F.col("n") > CROWD).alias("crowd"), F.array(F.first("head").over(order), F.lag("head").over(order), few(2), few(3)).alias("others"))
-    pairs = beside.select("head", "crowd", F.explode("others").alias("other")).where("other is not null and other <> head")
-    pairs = staged(pairs.groupBy(F.least("head", "other").alias("src"), F.greatest("head", "other").alias("dst")).agg(F.max("crowd").alias("crowd")))
-    ids = staged(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id"), "crowd").groupBy("doc_id").agg(F.max("crowd").alias("crowd")))
-    sets = staged(_shingle_sets(docs.join(_checked(ids.select("doc_id")), "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
-    alike = staged(_alike(pairs.select("src", "dst"), sets, threshold))
+    beside = turned.select("head", F.array(F.first("head").over(order), F.lag("head").over(order), few(2), few(3)).alias("others"))
+    pairs = beside.select("head", F.explode("others").alias("other")).where("other is not null and other <> head")
+    pairs = staged(pairs.select(F.least("head", "other").alias("src"), F.greatest("head", "other").alias("dst")).distinct())
+    ids = staged(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct())
+    sets = staged(_shingle_sets(docs.join(_checked(ids), "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
+    alike = staged(_alike(pairs, sets, threshold))
     group = staged(connected_components(alike).select(F.col("node").alias("head"), "component"))
-    crowded = ids.where("crowd").join(group.withColumnRenamed("head", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    held = staged(sets.select("doc_id", "shingles").join(crowded, "doc_id"))
+    linked = staged(heads.join(group, "head", "left").select(F.col("head").alias("doc_id"), F.coalesce("component", "head").alias("component")))
+    apart = staged(_unlinked(docs.join(_checked(linked), "doc_id").select("doc_id", "component", "text"), size, threshold))
+    more = apart.join(ids, "doc_id", "left_anti")
+    sets = sets.unionByName(staged(_shingle_sets(docs.join(_checked(staged(more)), "doc_id", "left_semi"), size).dropDuplicates(["doc_id"])))
+    held = staged(sets.select("doc_id", "shingles").join(apart, "doc_id"))
     late = staged(_alike(staged(_prefix_pairs(held, threshold)), sets, threshold))
     if not late.isEmpty():
         group = connected_components(alike.unionByName(late)).select(F.col("node").alias("head"), "component")
