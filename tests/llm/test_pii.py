@@ -79,3 +79,18 @@ def test_clean_texts_nulls_long_texts_and_clashing_columns(spark):
     rows = pii.pseudonymised(df).orderBy(F.col("text").isNotNull()).collect()
     assert rows[0].text is None and rows[0].pii_kinds == [] and rows[1].pii_kinds == ["card"]
     assert pii.pseudonymised(df.limit(0)).count() == 0
+
+
+def test_cards_and_ibans_before_short_tokens(spark):
+    cards = ["4111 1111 1111 1111", "4111-1111-1111-1111"]
+    ibans = ["ES9121000418450200051332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "SE4550000000058398257466", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"]
+    tails = ["", " 1", " 12", " 123", " 1234", " 12/25", " I", " BI", " BIC", " BANK", "-123"]
+    values = [(v, t) for v in cards + ibans for t in tails]
+    alone = dict(zip(cards + ibans, changed(spark, cards + ibans)))
+    assert all(a != b for a, b in alone.items())
+    assert changed(spark, [f"pay {v}{t}" for v, t in values]) == [f"pay {alone[v]}{t}" for v, t in values]
+    # what stands behind is searched too, and a mark in the text stays
+    both = ["4111 1111 1111 1111 123-45-6789", "4111 1111 1111 1111 212 555 1234", "ES91 2100 0418 4502 0005 1332 BE68 5390 0754 7034", "\ufdd0 4111 1111 1111 1111 12"]
+    got = changed(spark, both)
+    assert [g[:19] for g in got[:2]] == [alone["4111 1111 1111 1111"]] * 2 and "6789" not in got[0] and "212 555 1234" not in got[1]
+    assert got[2].endswith(alone["BE68 5390 0754 7034"]) and not got[2].startswith("ES91 2100") and got[3] == f"\ufdd0 {alone['4111 1111 1111 1111']} 12"

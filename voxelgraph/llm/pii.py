@@ -23,10 +23,23 @@ FIRST_DAY, DAYS, HALF = "date'1900-01-01'", 73_049, 270
 
 #: Where each kind stands. Quantifiers are bounded, so that no text makes a search slow.
 FREE, STOP = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+#: Lengths of IBANs by country; a short token behind one is no part of it.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _ibans() -> str:
+    """IBANs of their country's length; where none stands, of any length."""
+    known = (f"(?:{c.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + STOP for n, c in LENGTHS.items())
+    return FREE + f"(?:{'|'.join(known)}|[A-Z]{{2}}\\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{STOP})"
+
+
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "secret": FREE + r"[0-9a-fA-F]{32,64}" + STOP,
-    "iban": FREE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + STOP,
+    "iban": _ibans(),
     "card": FREE + r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})" + STOP,
     "ip": r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?[\p{L}\p{N}])",
     "date": FREE + r"(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})" + STOP,
@@ -34,6 +47,10 @@ PATTERNS = {
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + STOP,
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: A grouped card of 16 digits and a short number behind it, which may belong to it or not.
+TAILED = FREE + r"\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}" + STOP
+#: Stands between the two while a text is searched: one of these that the text doesn't have.
+MARKS = ("\ufdd0", "\ufdd1", "\ufdd2")
 #: What a text must have for any of them.
 HINT = r"[0-9]{3}|@|[0-9a-fA-F]{32}|[0-9]\.[0-9]"
 
@@ -166,6 +183,21 @@ def pseudonym(value: str, key: str) -> str:
     return out
 
 
+def _marked(text: str) -> str:
+    """SQL for the text with its mark between each card and a number behind it that isn't the card's.
+
+    The longest card counts; where its check fails, the 16 digits before the last group do if theirs holds.
+    """
+    valid = lambda m: f"{_luhn(_digits(m))} % 10 = 0"
+    cut = f"if(not {valid('m')} and {valid('substr(m, 1, 19)')}, concat(substr(m, 1, 19), {_mark(text)}, substr(m, 20)), m)"
+    found = f"transform(regexp_extract_all({text}, {_lit(TAILED)}, 0), m -> {cut})"
+    return f"if({text} rlike {_lit(TAILED)}, array_join(flatten(zip_with(split({text}, {_lit(TAILED)}, -1), {found}, (a, b) -> array(a, coalesce(b, '')))), ''), {text})"
+
+
+def _mark(text: str) -> str:
+    return "case " + " ".join(f"when instr({text}, '{m}') = 0 then '{m}'" for m in MARKS) + " else '' end"
+
+
 def pseudonymised(docs: DataFrame, key: str = "voxelgraph", text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and ``pii_kinds``: the kinds found, in order of the text.
 
@@ -175,7 +207,8 @@ def pseudonymised(docs: DataFrame, key: str = "voxelgraph", text: str = "text")
     """
     found = F.when(F.col(text).rlike(HINT), F.expr(f"regexp_extract_all({text}, {_lit(PATTERN)}, 0)"))
     names = [c for c in docs.columns if c != "pii_kinds"]
-    at = docs.select(*names, found.alias("__found"))
+    marked = docs.withColumn("__mark", F.expr(f"if({text} rlike {_lit(TAILED)}, {_mark(text)}, '')")).withColumn(text, F.expr(_marked(text)))
+    at = marked.select(*names, "__mark", found.alias("__found"))
     new = F.when(F.size("__found") > 0, F.expr(f"transform(__found, m -> {pseudonym('m', key)})"))
     parts = at.withColumn("__new", new)
     joined = (
@@ -184,7 +217,7 @@ def pseudonymised(docs: DataFrame, key: str = "voxelgraph", text: str = "text")
     parts = parts.withColumn("__parts", F.when(F.size("__new") > 0, F.expr(f"split({text}, {_lit(PATTERN)}, -1)")))
     kinds: Column = F.expr("array_compact(transform(__new, x -> x.kind))")
     return parts.select(
-        *(F.coalesce(F.expr(joined), F.col(text)).alias(c) if c == text else F.col(c) for c in names),
+        *(F.expr(f"replace(coalesce({joined}, {text}), __mark, '')").alias(c) if c == text else F.col(c) for c in names),
         F.coalesce(kinds, F.array().cast("array<string>")).alias("pii_kinds"),
     )
 
