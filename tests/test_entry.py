@@ -1,9 +1,13 @@
 """Queries against their SQL twins on the smallest tables."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from voxelgraph.operators import phenotype
+from voxelgraph.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -35,3 +39,19 @@ def test_every_sql_twin_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
+
+
+def test_knowledge_graph_queries_with_all_relations_and_types(spark):
+    found = registry._phenotypes(spark, SF).collect()
+    slug = lambda prefix, name: f"{prefix}_{name.lower().replace(' ', '_')}"
+    want = Counter()
+    for r in found:
+        t = f"case_{r.case_id}_tumor_{r.tumor_idx}"
+        organ, disease = ("liver", "hepatocellular_carcinoma") if r.dataset == "LiTS" else ("pancreas", "pancreatic_adenocarcinoma")
+        to = [("part_of", f"organ_{organ}"), ("suggestive_of", f"disease_{disease}"), ("located_in", f"anatomy_{r.subregion}"), ("has_stage", slug("stage", r.t_stage)), ("has_morphology", slug("obs", r.morphology))]
+        to += [("has_feature", f"{t}_feat_{c}") for c in phenotype.KG_FEATURES]
+        want.update((r.case_id, t, target, relation) for relation, target in to)
+    assert Counter(map(tuple, registry.QUERIES["kg_all_edges"](spark, SF).collect())) == want
+    stats = {(r.what, r.name): r.n for r in registry.QUERIES["kg_all_stats"](spark, SF).collect()}
+    assert {n: k for (what, n), k in stats.items() if what == "edge"} == Counter(relation for *_, relation in want.elements())
+    assert stats["node", "Observation"] == len({r.morphology for r in found}) and stats["node", "Tumor"] == len(found)

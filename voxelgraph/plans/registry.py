@@ -346,6 +346,21 @@ def kg_stats(spark, sf_dir):
     return phenotype.kg_stats(nodes, phenotype.kg_edges(p)).where("name <> 'Observation'")
 
 
+# the SQL twins of kg_edges and kg_stats have no morphology: these two return all relations and node types
+
+
+@query(None)
+def kg_all_edges(spark, sf_dir):
+    return phenotype.kg_edges(_phenotypes(spark, sf_dir))
+
+
+@query(None)
+def kg_all_stats(spark, sf_dir):
+    p = _phenotypes(spark, sf_dir)
+    nodes = phenotype.dedupe_nodes(phenotype.kg_nodes(p, fixture.cases(spark, sf_dir)))
+    return phenotype.kg_stats(nodes, phenotype.kg_edges(p))
+
+
 @query(_PHENO + f"\nSELECT 't_stage' AS category, {_STAGE} AS value, count(*) AS n FROM ph GROUP BY ALL UNION ALL SELECT 'subregion', subregion, count(*) FROM ph GROUP BY ALL")
 def categories(spark, sf_dir):
     return report.category_distribution(_phenotypes(spark, sf_dir), ("t_stage", "subregion"))
