@@ -1,10 +1,11 @@
+import math
 import random
 
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from voxelgraph.llm import pii, simhash
+from voxelgraph.llm import near_dedup, pii, simhash
 from voxelgraph.session import staged
 
 SF = "/root/testdata/sf0.01"
@@ -82,11 +83,11 @@ def test_near_duplicates_of_crowds_and_chains(spark):
             texts[n := n + 1] = " ".join(w)
     texts |= {1000: "", 1001: None, 1002: "Two words", 1003: "two  WORDS", 1004: "x " * 30_000}
     df = spark.createDataFrame(list(texts.items()) + [(None, "w1")], "doc_id long, text string")
-    got, want = {r.doc_id: r.class_id for r in simhash.near_duplicates(df).collect()}, classes(texts)
+    got, want = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}, classes(texts)
     assert {i: c for i, c in got.items() if i in want} == want and got[1003] == got[1002] == 1002 and got[1001] == got[1000] == 1000
     twice = df.unionByName(df).where("doc_id in (1002, 1003) or doc_id is null")
-    assert [r.doc_id for r in simhash.one_of_each(twice).orderBy("doc_id").collect()] == [None, None, 1002]
-    assert simhash.one_of_each(df.limit(0)).count() == 0
+    assert [r.doc_id for r in near_dedup.one_of_each(twice).orderBy("doc_id").collect()] == [None, None, 1002]
+    assert near_dedup.one_of_each(df.limit(0)).count() == 0
 
 
 def test_crowd_of_texts_that_are_alike_in_few_pairs(spark):
@@ -100,7 +101,12 @@ def test_crowd_of_texts_that_are_alike_in_few_pairs(spark):
             w[rng.randrange(len(w))] = f"e{rng.randrange(400)}"
         texts[i] = " ".join(w)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id: r.class_id for r in simhash.near_duplicates(df).collect()} == classes(texts)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == classes(texts)
+
+
+def prefixes(sets, threshold=0.8):
+    """The first shingles of each set in ascending order, as many as the filter needs."""
+    return [(x, i, len(s), at, i % 7) for i, s in sets.items() for at, x in enumerate(sorted(s)[: len(s) - math.ceil(threshold * len(s) - 1e-6) + 1])]
 
 
 def test_prefix_pairs_against_all_pairs(spark):
@@ -111,13 +117,47 @@ def test_prefix_pairs_against_all_pairs(spark):
         for _ in range(rng.choice([0, 1, 2])):
             s[rng.randrange(len(s))] = rng.randrange(60, 90)
         sets[i] = list(set(s))
-    held = spark.createDataFrame([(i, i % 7, s) for i, s in sets.items()], "doc_id long, component long, shingles array<int>")
-    got = {(r.src, r.dst) for r in simhash._prefix_pairs(held, 0.8).collect()}
+    held = spark.createDataFrame(prefixes(sets), "token long, k long, n int, at int, c long")
+    got = {(r.src, r.dst) for r in near_dedup.prefix_pairs(held, 0.8).collect()}
     alike = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
     want = {(a, b) for a in sets for b in sets if a < b and a % 7 != b % 7 and alike(a, b)}
     assert want and want <= got and all(a % 7 != b % 7 for a, b in got)
 
 
+def test_joined_rows_of_a_crowd_grow_with_it_and_not_with_its_square(spark):
+    # copies of one text with up to four words changed: many pairs are alike, many nearly so
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(3000):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        texts.append((i, " ".join(w)))
+    made = {}
+    for n in (1000, 3000):
+        docs = spark.createDataFrame(texts[:n], "doc_id long, text string")
+        rows = staged(near_dedup.profiles(docs, 5, 0.8))
+        pairs = near_dedup.ball_pairs(rows)
+        groups = near_dedup._classes(staged(near_dedup.alike(pairs, rows, 0.8)))
+        held = staged(near_dedup._with_class(near_dedup.shared_prefixes(rows, groups), groups))
+        made[n] = pairs.count(), held.count(), near_dedup.class_pairs(held, 0.8, 0).count()
+    some = spark.createDataFrame(texts[:600], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(some).collect()} == classes(dict(texts[:600]))
+    assert made[3000][0] < 2 * near_dedup.PARTS * 3000 and all(b < 4 * a + 1000 for a, b in zip(*made.values(), strict=True))
+
+
+def test_one_id_on_two_texts_repeated_rows_and_clashing_names(spark):
+    names = "doc_id long, text string, k long, c string, r string, t1 long, s1 long, head long, `b` long"
+    extra = (1, "x", "y", 2, 3, 4, 5)
+    rows = [(3, "one two three four five six", *extra), (5, "One two three four five  six", *extra), (5, "quite another text of eight words or so", *extra)]
+    docs = spark.createDataFrame(rows + rows[2:], names)
+    kept = near_dedup.one_of_each(docs)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, rows[0][1]), (5, rows[2][1])] and kept.columns == docs.columns
+    text = spark.createDataFrame([("b", "x y"), ("a", "X Y"), ("c", None)], "doc_id string, text string")
+    assert sorted(r.doc_id for r in near_dedup.one_of_each(text).collect()) == ["a", "c"]
+
+
 def test_copies_that_differ_in_a_block(spark):
     # extended, truncated and shifted copies: their words differ about as much as their shingles
     rng = random.Random(13)
@@ -133,4 +173,4 @@ def test_copies_that_differ_in_a_block(spark):
             texts[n := n + 1] = " ".join(w)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = classes(texts)
-    assert {r.doc_id: r.class_id for r in simhash.near_duplicates(df).collect()} == want and len(set(want.values())) == 90
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == want and len(set(want.values())) == 90

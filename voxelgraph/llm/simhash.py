@@ -8,7 +8,6 @@ many fingerprints as its own ball holds, so no key is hot.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -101,209 +100,3 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents``: three-word shingles, linked at two differing bits or fewer."""
     found = components(fingerprints(table(spark, sf_dir, "documents"), 3), 2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: Parts of a word signature and their bits. At a shingle likeness of 0.8 two texts that differ in scattered
-#: words differ in about two bits of a part; texts that differ in a block differ in about five, and often meet
-#: in no part. The signature only links most texts cheaply: the prefix filter finds all others.
-PARTS, PART_BITS, RADIUS = 6, 32, 2
-#: Texts that meet in a variant beyond this many are a crowd, paired by chains.
-CROWD = 5
-#: Texts that tell how common shingles are, about; a shingle that fewer of them have is rare; how many may be common.
-SAMPLE, COMMON, MOST_COMMON = 20_000, 8, 100_000
-#: Bits of a parity bitmap (a power of two).
-PARITY = 2048
-#: Ids that a join may broadcast, counted first; beyond it the join shuffles.
-BROADCAST = 1_000_000
-
-
-def _signature(words: list[bytes]) -> list[int]:
-    """Parts of the SimHash over the different words."""
-    different = set(words)
-    if not different:
-        return [0] * PARTS
-    h = xxhash.xxh64_intdigest
-    one = np.fromiter((h(w) for w in different), "<u8", len(different))
-    bits = np.concatenate([majority(one ^ (one >> np.uint64(7 + k)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)) for k in range(-(-PARTS * PART_BITS // 64))])
-    return np.packbits(bits, bitorder="little").view("<u4")[:PARTS].astype("i8").tolist()
-
-
-def signatures(docs: DataFrame) -> DataFrame:
-    """``(doc_id, seq, parts)``: a hash of the sequence of words, and the parts of the word signature."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [words_of(t.as_py()) for t in batch.column(1)]
-            seq = np.fromiter((xxhash.xxh64_intdigest(b" ".join(w)) for w in words), "<u8", len(words)).view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seq), pa.array([_signature(w) for w in words], pa.list_(pa.int64()))], names=["doc_id", "seq", "parts"])
-
-    return docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text")).mapInArrow(run, "doc_id bigint, seq bigint, parts array<bigint>")
-
-
-def _parity(hashes: np.ndarray) -> np.ndarray:
-    """Bitmap that says of each residue of the hashes whether an odd number has it, as 64-bit numbers."""
-    odd = np.bincount(hashes & np.uint32(PARITY - 1), minlength=PARITY) & 1
-    return np.packbits(odd.astype("u1"), bitorder="little").view("<i8")
-
-
-def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, shingles, parity)``: 32-bit hashes of the different shingles, and their parity bitmap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = xxhash.xxh32_intdigest
-        for batch in batches:
-            sets = [np.fromiter({h(s) for s in shingles_of(words_of(t.as_py()), size)}, "<u4") for t in batch.column(1)]
-            columns = [batch.column(0), pa.array([s.view("<i4") for s in sets], pa.list_(pa.int32())), pa.array([_parity(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shingles", "parity"])
-
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id bigint, shingles array<int>, parity array<bigint>")
-
-
-def _checked(ids: DataFrame) -> DataFrame:
-    """Broadcast ids where they are few."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST else ids
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (``src, dst``) whose shingle sets have a Jaccard likeness of ``threshold`` or more."""
-    # at least as many shingles differ as parity bits do: only what can still reach the threshold is compared whole
-    small = sets.select("doc_id", F.size("shingles").alias("n"), "parity")
-    a, b = small.toDF("src", "na", "a"), small.toDF("dst", "nb", "b")
-    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    close = staged(pairs.join(a, "src").join(b, "dst").where(apart * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col("na") + F.col("nb")) + 1e-6).select("src", "dst"))
-    ends = staged(close.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct())
-    whole = sets.select("doc_id", "shingles").join(_checked(ends), "doc_id", "left_semi")
-    a, b = whole.toDF("src", "a"), whole.toDF("dst", "b")
-    shared = F.size(F.array_intersect("a", "b"))
-    return close.join(a, "src").join(b, "dst").where(shared >= F.lit(threshold) * (F.size("a") + F.size("b") - shared)).select("src", "dst")
-
-
-def _different(text: str, size: int) -> np.ndarray:
-    """64-bit hashes of the different shingles, ascending."""
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((h(x) for x in shingles_of(words_of(text), size)), "<u8")).view("<i8")
-
-
-def _common(docs: DataFrame, size: int, every: int) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles of one in ``every`` texts, ascending, and the power of two of how many texts have each.
-
-    Any order of the shingles keeps the prefix filter exact; this one puts those that would meet many texts last.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(_different(t.as_py(), size))], names=["token"])
-
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(text_of().alias("text"))
-    counts = some.mapInArrow(run, "token bigint").groupBy("token").count().where(F.col("count") >= COMMON)
-    rows = counts.orderBy(F.desc("count"), "token").limit(MOST_COMMON).collect()  # a bounded table
-    rows.sort()
-    return np.array([r[0] for r in rows], "<i8"), np.array([r[1].bit_length() for r in rows], "i8")
-
-
-def _prefixes(docs: DataFrame, size: int, threshold: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``(doc_id, component, tokens)``: the first 1 - t of each text's different shingles, rare ones first.
-
-    Two texts as alike as the threshold have one of them in common.
-    """
-    known, power = common
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for t in batch.column(2):
-                tokens = _different(t.as_py(), size)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                    tokens = tokens[np.argsort(np.where(known[at] == tokens, power[at], 0), kind="stable")]
-                out.append(tokens[: len(tokens) - math.ceil(threshold * len(tokens) - 1e-6) + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "component", "tokens"])
-
-    return docs.select("doc_id", "component", text_of().alias("text")).mapInArrow(run, "doc_id bigint, component bigint, tokens array<bigint>")
-
-
-def _unlinked(docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """``(doc_id, component)`` of all texts that may be as alike as the threshold to one of another component.
-
-    docs: ``(doc_id, component, text)``. A shingle of the prefixes that one component alone has links nothing more.
-    """
-    held = staged(_prefixes(docs, size, threshold, _common(docs, size, max(1, docs.count() // SAMPLE))))
-    token = held.select("doc_id", "component", F.explode("tokens").alias("token"))
-    shared = token.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
-    return token.join(_checked(staged(shared)), "token", "left_semi").select("doc_id", "component").distinct()
-
-
-def _prefix_pairs(held: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components that can reach the threshold: an exact prefix filter.
-
-    held: ``(doc_id, component, shingles)``. Shingles are ordered by how many texts hold them. Of two texts as
-    alike as the threshold, the shorter one's first 1 - 2t / (1 + t) and the longer one's first 1 - t of the
-    shingles have one in common, early enough for the rest to suffice.
-    """
-    token = held.select("doc_id", F.explode("shingles").alias("token"))
-    common = token.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
-    n, t = F.size("shingles"), F.lit(threshold)
-    listed = token.join(common, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("order"))  # one text's shingles
-    # shingles of one text alone come first and meet nobody
-    placed = listed.join(held, "doc_id").select("doc_id", "component", n.alias("n"), (n - F.size("order")).alias("alone"), "order")
-    reach = lambda part: (F.col("n") - F.ceil(part * F.col("n") - 1e-6) + 1).cast("int")
-    long = placed.withColumn("order", F.slice("order", F.lit(1), F.greatest(reach(t) - F.col("alone"), F.lit(0))))
-    long = staged(long.select("doc_id", "component", "n", "alone", F.posexplode("order")).select("doc_id", "component", "n", (F.col("alone") + F.col("pos")).alias("at"), F.col("col.token").alias("token")))
-    short = long.where(F.col("at") < reach(2 * t / (1 + t)))
-    a, b = (side.toDF(*(f"{c}_{k}" if c != "token" else c for c in side.columns)) for k, side in (("a", short), ("b", long)))
-    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    fits = (F.col("component_a") != F.col("component_b")) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") < F.col("doc_id_b")))) & (F.col("n_a") >= t * F.col("n_b") - 1e-6) & (rest >= t / (1 + t) * (F.col("n_a") + F.col("n_b")) - 1e-6)
-    met = a.join(b, (a["token"] == b["token"]) & fits)
-    return met.select(F.least("doc_id_a", "doc_id_b").alias("src"), F.greatest("doc_id_a", "doc_id_b").alias("dst")).distinct()
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``(doc_id, class_id)``: classes of texts linked by a Jaccard likeness of word shingles of ``threshold`` or more.
-
-    Texts of equal words are one. Each other text emits, for each part of its signature, all variants within
-    half the radius; in each variant it is paired with the first and the previous text (up to five texts: with
-    all others), in an order that differs from part to part, so that a crowd is linked through chains and
-    not through all its pairs. Each pair's likeness is then computed exactly from whole texts. All pairs that
-    this leaves in different components, whether they met or not, are found by an exact prefix filter over
-    all texts. ``class_id`` is the least doc_id.
-    Rows without an id take no part; an empty table gives no rows.
-    """
-    sig = staged(signatures(docs.where("doc_id is not null")))
-    heads = staged(sig.groupBy("seq").agg(F.min("doc_id").alias("head"), F.first("parts").alias("parts")))
-    met = heads.select("head", F.posexplode("parts").alias("part", "p")).select("head", "part", F.explode(ball(F.col("p"), PART_BITS, RADIUS // 2)).alias("p"))
-    met = met.select("head", (F.col("part").cast("bigint") * (1 << PART_BITS) + F.col("p")).alias("variant")).repartition("variant")
-    order = Window.partitionBy("variant").orderBy("turn")
-    turned = met.withColumn("turn", F.xxhash64("head", F.expr(f"variant div {1 << PART_BITS}"))).withColumn("n", F.count("*").over(Window.partitionBy("variant")))
-    few = lambda k: F.when(F.col("n") <= CROWD, F.lag("head", k).over(order))
-    beside = turned.select("head", F.array(F.first("head").over(order), F.lag("head").over(order), few(2), few(3)).alias("others"))
-    pairs = beside.select("head", F.explode("others").alias("other")).where("other is not null and other <> head")
-    pairs = staged(pairs.select(F.least("head", "other").alias("src"), F.greatest("head", "other").alias("dst")).distinct())
-    ids = staged(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct())
-    sets = staged(_shingle_sets(docs.join(_checked(ids), "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
-    alike = staged(_alike(pairs, sets, threshold))
-    group = staged(connected_components(alike).select(F.col("node").alias("head"), "component"))
-    linked = staged(heads.join(group, "head", "left").select(F.col("head").alias("doc_id"), F.coalesce("component", "head").alias("component")))
-    apart = staged(_unlinked(docs.join(_checked(linked), "doc_id").select("doc_id", "component", "text"), size, threshold))
-    more = apart.join(ids, "doc_id", "left_anti")
-    sets = sets.unionByName(staged(_shingle_sets(docs.join(_checked(staged(more)), "doc_id", "left_semi"), size).dropDuplicates(["doc_id"])))
-    held = staged(sets.select("doc_id", "shingles").join(apart, "doc_id"))
-    late = staged(_alike(staged(_prefix_pairs(held, threshold)), sets, threshold))
-    if not late.isEmpty():
-        group = connected_components(alike.unionByName(late)).select(F.col("node").alias("head"), "component")
-    named = staged(heads.select("seq", "head").join(group, "head", "left").select("seq", F.coalesce("component", "head").alias("class_id")))
-    return sig.select("doc_id", "seq").join(named, "seq").select("doc_id", "class_id")
-
-
-def one_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without near-duplicates: of each class the row with the least doc_id stays.
-
-    Rows without an id stay. Of rows that repeat an id, one stays.
-    """
-    classes = staged(near_duplicates(docs, size, threshold))
-    rows, different = classes.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    drop = staged(classes.where("doc_id <> class_id").select("doc_id").distinct())
-    kept = docs.join(_checked(drop), "doc_id", "left_anti").select(*docs.columns)
-    if rows == different:
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
