@@ -23,23 +23,55 @@ def test_held_out_accuracy(spark):
     assert out.count() == 1000 and out.where("score < 0 or score > 1 or score is null").count() == 0
 
 
-def test_the_negative_part_stays_above_zero(spark):
-    rng = np.random.default_rng(1)
-    d = len(quality.NAMES)
-    x = np.vstack([rng.normal(1, 1, (60, d)), rng.normal(-1, 1, (40, d))])
-    df = spark.createDataFrame([(r.tolist(), i < 30) for i, r in enumerate(x)], "x array<double>, positive boolean")
-    model = quality.train(df, 0.5)
-    f = quality._design(x, model.mean, model.scale) @ model.weights
-    loss = np.log1p(np.exp(f))
-    assert loss.mean() - 0.5 * loss[:30].mean() >= 0
-    assert model.score(x)[:60].mean() > model.score(x)[60:].mean()
+def mixture(rng, n, share, d=20):
+    """Features of n documents of which a share is good, and which of them are."""
+    good = rng.random(n) < share
+    x = np.zeros((n, quality.SIZE))
+    x[:, :d] = rng.normal(0, 1, (n, d)) + np.where(good, 0.6, -0.6)[:, None]
+    return x, good
+
+
+def test_prior_is_found_from_positives_and_unlabelled_alone():
+    rng = np.random.default_rng(3)
+    for share in (0.2, 0.5, 0.8):
+        u, truth = mixture(rng, 4000, share)
+        p = mixture(rng, 1500, 1.0)[0]
+        model = quality.train(p, u)
+        assert abs(model.prior - share) < 0.06
+        assert ((model.score(u) >= 0.5) == truth).mean() > 0.95
+
+
+def test_risk_is_non_negative_and_least(spark):
+    # few positives and many features: the plain unbiased risk goes below zero, the corrected one stays above
+    rng = np.random.default_rng(5)
+    p, u = (np.hstack([np.ones((n, 1)), rng.normal(m, 1, (n, 60))]) for n, m in ((40, 0.5), (90, 0.0)))
+    w = quality.fit(p, u, 0.4, ridge=0.001)
+    for_good, for_bad = quality.risk(p @ w, u @ w, 0.4)
+    total = lambda v: sum((a := quality.risk(p @ v, u @ v, 0.4))[:1]) + max(0, a[1]) + 0.0005 * (v[1:] @ v[1:])
+    assert for_bad >= 0 and for_good > 0
+    start = np.zeros(len(w))
+    assert total(w) < 0.1 * total(start)
+    assert all(total(w) <= total(w + rng.normal(0, s, len(w))) + 0.01 for s in (0.01, 0.1, 0.5) for _ in range(50))
+
+
+def test_labels_of_bad_documents_are_never_read(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    a, b = quality.fitted(docs, labels), quality.fitted(docs, labels.where("quality = 1"))
+    assert np.array_equal(a.weights, b.weights) and a.prior == b.prior
+
+
+def test_contradicting_and_repeated_labels(spark):
+    ids = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"text {i}", 0) for i in ids + ids[:3]], "doc_id long, text string, least int")
+    labels = spark.createDataFrame([(ids[0], 1), (ids[0], 0), (ids[1], 1), (ids[1], 1), (ids[2], None), (None, 1)], "doc_id long, quality int")
+    p, u = quality.trusted(docs, labels)
+    assert len(p) == 2 and len(u) == len(ids) + 3  # the second id's document is there twice
 
 
 def test_nulls_nothing_to_learn_and_no_rows(spark):
     docs = spark.createDataFrame([(None, None, 1.0), (1, "", 2.0), (2, "word " * 50_000, 3.0), (2, "word", 4.0)], "doc_id long, text string, x double")
-    rows = quality.measured(docs)
     none = spark.createDataFrame([], "doc_id long, quality int")
-    model = quality.fitted(rows, none)
-    assert [r[0] for r in rows.select(model.scored(rows)).collect()] == [0.5] * 4
+    model = quality.fitted(docs, none)
     assert [r[0] for r in docs.select(model.text_score(F.coalesce("text", F.lit("")))).collect()] == [0.5] * 4
-    assert rows.limit(0).select(model.scored(rows)).count() == 0
+    assert quality.fitted(docs.limit(0), none).prior == 0.5
+    assert docs.limit(0).select(model.text_score(F.col("text"))).count() == 0

@@ -1,17 +1,24 @@
 """Quality classifier by positive-unlabelled learning with the non-negative unbiased risk.
 
-Trusted positives are the documents labelled as good; all training documents are the unlabelled mixture. With
-the class prior pi, the risk of a linear score f is pi * E_P[l(f)] + max(0, E_U[l(-f)] - pi * E_P[l(-f)]), l the
-logistic loss. Without the maximum it equals E_U[log(1 + e^f)] - pi * E_P[f], which is convex and which
-Newton steps minimise under a ridge. A minimum whose negative part is below 0 has overfitted the positives;
-the ridge is then raised until the negative part is not below 0, where the maximum changes nothing.
-
-Every step is one pass over the staged features of all training documents; a few hundred sums reach the
-driver, whatever the size of the corpus. Scores use whole texts only: no labels, ids, languages or sources.
+Trusted positives are the documents labelled as good; all training documents are the unlabelled mixture, and no
+label of a bad document is ever read. With the class prior pi, the share of good documents in the mixture, the
+risk of a linear score f is pi * E_P[l(f)] + max(0, E_U[l(-f)] - pi * E_P[l(-f)]), l the logistic loss. Where
+the second part, an estimate of a risk that can't be negative, falls below 0, a step goes back up its
+gradient instead of down the whole (the non-negative correction); the weights of the least risk seen whose
+second part isn't below 0 are kept.
+
+The prior is estimated from positives and unlabelled documents alone: a score is fitted that tells the one half
+of them apart; on the other half, wherever a threshold is, the mixture's share above it is at least pi times the
+positives' share above it. The least such ratio, with an allowance for small counts, is the estimate.
+
+The fit takes a bounded sample, ``POSITIVES`` trusted and ``UNLABELLED`` other training documents, of which only
+features reach the driver; texts are scored in one pass over all documents. Scores use whole texts only: no
+labels, ids, languages or sources.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,17 +29,23 @@ from pyspark.sql import functions as F
 from voxelgraph.llm.tokens import text_of
 from voxelgraph.session import staged, table
 
-#: Features of a text, in order.
+#: Surface features of a text, in order; behind them come hashed words and hashed runs of three bytes.
 NAMES = ("length", "capitals", "digits", "marks", "bars", "bangs", "breaks", "spaces", "stops", "commas", "other", "word_length", "long_words", "fresh_words", "repeats", "fresh_lines", "loud_words", "first_capitals")
-STEPS, RIDGES, SMOOTH = 12, (0.01, 0.03, 0.1, 0.3, 1.0), 200.0
+WORDS, RUNS = 128, 128
+SIZE = len(NAMES) + WORDS + RUNS
+SMOOTH = 200.0
 MARKS = b"#$%&*=~^_{}<>\\@"
+#: Documents that the fit may take, at most about: trusted ones, and training ones as unlabelled.
+POSITIVES, UNLABELLED = 10_000, 20_000
+#: Steps of the fit, their size, and the ridge.
+STEPS, RATE, RIDGE = 400, 0.03, 0.003
 
 
-def features(text: str) -> list[float]:
+def features(text: str) -> np.ndarray:
     """What a text is made of, as log-scaled shares; an empty text has zeros."""
     raw = text.encode()
     if not raw:
-        return [0.0] * len(NAMES)
+        return np.zeros(SIZE, "f4")
     seen = np.bincount(np.frombuffer(raw, "u1"), minlength=256)
     letters = int(seen[65:91].sum() + seen[97:123].sum() + seen[192:].sum())
     n = len(raw)
@@ -63,18 +76,11 @@ def features(text: str) -> list[float]:
         sum(map(bytes.isupper, words)) / m,
         sum(w[:1].isupper() for w in words) / m,
     )
-    return [float(np.log1p(n)) / 10, *(float(np.log1p(SMOOTH * x)) for x in share), *more]
-
-
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(doc_id, x)``: the features of each row's whole text; a null text is an empty one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [features(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
-
-    return docs.select("doc_id", text_of(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    each = np.fromiter(map(zlib.crc32, map(bytes.lower, words)), "u4", len(words)) % WORDS
+    b = np.frombuffer(raw, "u1").astype("u4")
+    runs = ((b[:-2] * 31 + b[1:-1]) * 31 + b[2:]) * np.uint32(2654435761) >> np.uint32(25)
+    hashed = np.concatenate([np.bincount(each, minlength=WORDS) / m, np.bincount(runs, minlength=RUNS) / n])
+    return np.concatenate([[np.log1p(n) / 10], np.log1p(SMOOTH * np.array(share)), more, np.log1p(SMOOTH * hashed)]).astype("f4")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -82,24 +88,37 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()].reshape(-1, len(NAMES))
-
-
-def _summed(rows: DataFrame, part) -> dict[int, float]:
-    """Sums of ``part(x, positive)`` (a vector for each batch) over all rows; only the sums reach the driver."""
+def measured(texts: DataFrame) -> np.ndarray:
+    """The features of each text of a bounded table (``text``), a row for each; they are what reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
         for batch in batches:
-            if batch.num_rows:
-                got = part(_matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False))
-                total = got if total is None else total + got
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py()).tobytes() for t in batch.column(0)], pa.binary())], names=["x"])
+
+    rows = texts.select(text_of().alias("text")).mapInArrow(run, "x binary").collect()
+    return np.frombuffer(b"".join(sorted(bytes(r.x) for r in rows)), "f4").reshape(-1, SIZE).astype("f8")
+
 
-    sums = rows.select("x", "positive").mapInArrow(run, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v"))
-    return {r["k"]: r["v"] for r in sums.collect()}
+def _some(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` of the rows by a hash of the whole text, the same on every run; all where there are fewer."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    part = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) < int((1 << 20) * most / n)
+    return rows.where(part).limit(2 * most)  # a bound even if one row repeats without end
+
+
+def trusted(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, np.ndarray]:
+    """Features of trusted positives and of unlabelled training documents.
+
+    Only labels of rows that aren't held out count, and only those that say good; an id that is also labelled
+    as bad is not trusted. Documents that repeat an id are all trusted.
+    """
+    training = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")))
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("least")).where("least = 1 and doc_id is not null").select("doc_id")
+    good = _some(good.where(~held_out(F.col("doc_id"))).withColumn("text", F.lit("")), positives).select("doc_id")
+    chosen = training.join(F.broadcast(staged(good)), "doc_id", "left_semi").limit(2 * positives)  # at most 2 * positives ids
+    return measured(chosen), measured(_some(training, unlabelled))
 
 
 def _design(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -107,6 +126,51 @@ def _design(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.hstack([np.ones((len(z), 1)), z])
 
 
+def _loss(f: np.ndarray) -> np.ndarray:
+    """Logistic loss of scores that should be positive."""
+    return np.logaddexp(0, -f)
+
+
+def risk(positive: np.ndarray, mixture: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the unbiased risk, from scores of positives and of the mixture."""
+    return prior * _loss(positive).mean(), _loss(-mixture).mean() - prior * _loss(-positive).mean()
+
+
+def _sigmoid(f: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+
+
+def fit(p: np.ndarray, u: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE, ridge: float = RIDGE) -> np.ndarray:
+    """Weights of the least risk seen whose second part isn't below 0, from designs (a first column of ones) of positives and mixture."""
+    w = np.zeros(p.shape[1])
+    w[0] = np.log(prior / (1 - prior))
+    best, least = w, (True, np.inf)
+    first, second = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        fp, fu = p @ w, u @ w
+        for_good, for_bad = risk(fp, fu, prior)
+        total = for_bad < 0, for_good + max(0.0, for_bad) + ridge / 2 * (w[1:] @ w[1:])
+        if total < least:
+            best, least = w.copy(), total
+        bad = u.T @ _sigmoid(fu) / len(u) - prior * (p.T @ _sigmoid(fp) / len(p))
+        gradient = -bad if for_bad < 0 else bad - prior * (p.T @ _sigmoid(-fp) / len(p))
+        gradient[1:] += ridge * w[1:]
+        first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
+        w = w - rate * (1 - step / (steps + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    return best
+
+
+def class_prior(p: np.ndarray, u: np.ndarray) -> float:
+    """Share of positives in the mixture, from designs of both; every second row is held back from the score."""
+    score = fit(p[::2], u[::2], 0.5, STEPS // 4)
+    good, mixed = np.sort(p[1::2] @ score), np.sort(u[1::2] @ score)
+    if not len(good) or not len(mixed):
+        return 0.5
+    above = lambda x: 1 - np.searchsorted(x, good) / len(x)
+    ratio, slack = above(mixed) / above(good), (np.sqrt(np.log(40) / 2 / len(mixed)) + np.sqrt(np.log(40) / 2 / len(good))) / above(good)
+    return float(np.clip(ratio[np.argmin(ratio + slack)], 0.02, 0.98))
+
+
 class Model:
     """Standardisation and weights; ``score`` maps features to 0..1."""
 
@@ -114,19 +178,7 @@ class Model:
         self.mean, self.scale, self.weights, self.prior = mean, scale, weights, prior
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_design(x, self.mean, self.scale) @ self.weights, -30, 30)))
-
-    def scored(self, rows: DataFrame) -> Column:
-        """A column of scores for a column ``x`` of features."""
-        model = self
-
-        @F.pandas_udf("double")
-        def score(x):
-            import pandas as pd
-
-            return pd.Series(model.score(np.stack(x.to_numpy())) if len(x) else [], dtype="float64")
-
-        return score(rows["x"])
+        return _sigmoid(_design(x, self.mean, self.scale) @ self.weights)
 
     def text_score(self, text: Column) -> Column:
         """A column of scores for whole texts."""
@@ -141,73 +193,34 @@ class Model:
         return score(text)
 
 
-def train(rows: DataFrame, prior: float, steps: int = STEPS, ridges: tuple[float, ...] = RIDGES) -> Model:
-    """Fit on ``rows`` of ``x`` and ``positive`` (boolean); all rows count as unlabelled.
+def train(positive: np.ndarray, mixture: np.ndarray) -> Model:
+    """Fit on features of trusted positives and of the mixture.
 
-    Without a row or without a positive there is nothing to learn: weights 0, every score 0.5.
+    Without a row of either there is nothing to learn: weights 0, every score 0.5.
     """
-    d = len(NAMES)
-    base = _summed(rows, lambda x, p: np.concatenate([[len(x), p.sum()], x.sum(0), (x * x).sum(0)]))
-    n, n_positive = base.get(0, 0.0), base.get(1, 0.0)
-    if not n or not n_positive:
-        return Model(np.zeros(d), np.ones(d), np.zeros(d + 1), prior)
-    mean = np.round(np.array([base[2 + k] for k in range(d)]) / n, 9)
-    scale = np.round(np.sqrt(np.maximum(np.array([base[2 + d + k] for k in range(d)]) / n - mean**2, 0)), 9)
+    if not len(positive) or not len(mixture):
+        return Model(np.zeros(SIZE), np.ones(SIZE), np.zeros(SIZE + 1), 0.5)
+    mean, scale = mixture.mean(0), mixture.std(0)
     scale[scale < 1e-6] = 1.0
-    at = _summed(rows, lambda x, p: _design(x, mean, scale)[p.astype(bool)].sum(0))
-    pull = prior * np.array([at[k] for k in range(d + 1)]) / n_positive
-
-    def passed(w: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray, float]:
-        """Gradient, Hessian and negative part of the risk."""
-
-        def part(x: np.ndarray, p: np.ndarray) -> np.ndarray:
-            z = _design(x, mean, scale)
-            f = np.clip(z @ w, -30, 30)
-            s = 1 / (1 + np.exp(-f))
-            loss = np.log1p(np.exp(f))
-            return np.concatenate([z.T @ s, (z.T @ (z * (s * (1 - s))[:, None])).ravel(), [loss.sum(), loss[p.astype(bool)].sum()]])
+    # rows come sorted by their features; mixed, so that every second one is a fair half
+    mixed = np.random.default_rng(0)
+    p, u = (_design(x[mixed.permutation(len(x))], mean, scale) for x in (positive, mixture))
+    prior = class_prior(p, u)
+    return Model(mean, scale, fit(p, u, prior), prior)
 
-        got = _summed(rows, part)
-        v = np.array([got[k] for k in range(len(got))])
-        k = d + 1
-        return v[:k] / n - pull + ridge * w, v[k : k + k * k].reshape(k, k) / n + ridge * np.eye(k), v[-2] / n - prior * v[-1] / n_positive
 
-    w = np.zeros(d + 1)
-    w[0] = np.log(prior / (1 - prior))
-    for ridge in ridges:
-        for _ in range(steps):
-            gradient, hessian, negative = passed(w, ridge)
-            move = np.linalg.solve(hessian, gradient)
-            if np.abs(move).max() < 1e-3:
-                break
-            w = np.round(w - move, 9)
-        if negative >= 0:
-            break
-    return Model(mean, scale, w, prior)
-
-
-def trusted(docs_features: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """The training rows with ``positive``, and the class prior.
-
-    Only labels of rows that aren't held out count; of contradicting labels the lower does. The prior is the
-    share of good ones among the labelled rows, which are a sample of the mixture; it stays within
-    0.05 to 0.95, and is 0.5 without labels.
-    """
-    known = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = known.agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    rows = docs_features.where(~held_out(F.col("doc_id"))).join(known, "doc_id", "left")
-    prior = 0.5 if share is None else round(min(0.95, max(0.05, share)), 6)
-    return rows.select("x", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("positive")), prior
-
-
-def fitted(docs_features: DataFrame, labels: DataFrame) -> Model:
-    rows, prior = trusted(docs_features, labels)
-    return train(staged(rows), prior)
+def fitted(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, quality``)."""
+    return train(*trusted(docs, labels))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents``, scored on whole texts; 1 where the score is at least 0.3."""
-    rows = staged(measured(table(spark, sf_dir, "documents")))
-    model = fitted(rows, table(spark, sf_dir, "labels"))
-    scored = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.scored(rows).alias("score"))
+    """All ``documents``, scored on whole texts; 1 where the score is at least 0.3.
+
+    One row for each row, repeated ids included; a null text scores as an empty one, very long ones are read
+    whole, an empty table gives no rows.
+    """
+    docs = table(spark, sf_dir, "documents")
+    model = fitted(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.text_score(text_of()).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
