@@ -3,7 +3,8 @@
 Validated values (payment cards by their check digit, IBANs by theirs, addresses and dates by range, phone
 and social security numbers by shape) are permuted within their own format, so a pseudonym is as valid as
 the value it stands for and equal values get equal pseudonyms in every document, however they are spaced.
-E-mail names and secrets in hexadecimal are permuted character by character within their alphabets.
+E-mail names and secrets (hexadecimal ones, keys of known providers, signed tokens) are permuted character by
+character within their alphabets; what tells a key's kind stays.
 
 A value is a list of numbers, each below a radix of its own. The network splits the list in two halves and
 adds, for eight rounds, a keyed digest of one half to the other, modulo the radices: a permutation of all
@@ -36,15 +37,25 @@ def _ibans() -> str:
     return FREE + f"(?:{'|'.join(known)}|[A-Z]{{2}}\\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{STOP})"
 
 
+#: What must not stand before four numbers, and what must stand before ten plain digits.
+BEFORE_IP = r"(?<![\p{L}\p{N}.])(?<!(?i:version|release|build|firmware|ver|v)[ .:]{1,2})"
+BEFORE_PLAIN = r"(?<=(?i:phone|tel|call|mobile|fax)[:. ]{1,3})"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "apikey": FREE
+    + r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|gh[pousr]_[0-9A-Za-z]{36,64}|xox[baprs]-[0-9A-Za-z-]{10,72}|sk-[0-9A-Za-z_-]{20,128}|eyJ[0-9A-Za-z_-]{8,512}\.eyJ[0-9A-Za-z_-]{8,2048}\.[0-9A-Za-z_-]{16,512})"
+    + STOP,
     "secret": FREE + r"[0-9a-fA-F]{32,64}" + STOP,
     "iban": _ibans(),
     "card": FREE + r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})" + STOP,
-    "ip": r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?[\p{L}\p{N}])",
+    # four numbers behind a word for a version are none
+    "ip": BEFORE_IP + r"\d{1,3}(?:\.\d{1,3}){3}(?!\.?[\p{L}\p{N}])",
     "date": FREE + r"(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})" + STOP,
     "ssn": FREE + r"\d{3}-\d{2}-\d{4}" + STOP,
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + STOP,
+    "abroad": r"(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?(?:\(0?\d{1,4}\)|\d{2,4})){2,5}" + STOP,
+    # ten plain digits only behind a word for a telephone
+    "plain": BEFORE_PLAIN + r"[2-9]\d{2}[2-9]\d{6}" + STOP,
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A grouped card of 16 digits and a short number behind it, which may belong to it or not.
@@ -52,7 +63,7 @@ TAILED = FREE + r"\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}" + STOP
 #: Stands between the two while a text is searched: one of these that the text doesn't have.
 MARKS = ("\ufdd0", "\ufdd1", "\ufdd2")
 #: What a text must have for any of them.
-HINT = r"[0-9]{3}|@|[0-9a-fA-F]{32}|[0-9]\.[0-9]"
+HINT = r"[0-9]{3}|@|[0-9a-fA-F]{32}|[0-9]\.[0-9]|AKIA|ASIA|AIza|gh[pousr]_|xox[baprs]-|sk-|eyJ"
 
 
 def _lit(text: str) -> str:
@@ -72,7 +83,7 @@ def _refill(value: str, digits: str) -> str:
 
 
 def feistel(numbers: str, radices: str, key: str, kind: str) -> str:
-    """SQL for the list ``numbers`` permuted among all lists below ``radices``; of one number, itself."""
+    """SQL for the list ``numbers`` permuted among all lists below ``radices``; a single number is shifted by the key."""
     half = f"(size({numbers}) div 2)"
     digest = f"sha2(concat_ws('|', {_lit(key)}, {_lit(kind)}, i, j div 15, array_join(transform(s.b, y -> cast(y as string)), ',')), 256)"
     start = (
@@ -130,12 +141,15 @@ def _ip(m: str, key: str) -> str:
 
 def _date(m: str, key: str) -> str:
     first = f"substr({m}, 5, 1) in ('-', '/', '.')"
-    day = f"if({first}, try_to_date(regexp_replace({m}, '[./]', '-'), 'yyyy-MM-dd'), try_to_date(regexp_replace({m}, '[./]', '-'), 'dd-MM-yyyy'))"
+    bare = f"regexp_replace({m}, '[./]', '-')"
+    # a day first, else a month first where that alone is a date
+    monthly = f"(not {first} and try_to_date({bare}, 'dd-MM-yyyy') is null)"
+    day = f"if({first}, try_to_date({bare}, 'yyyy-MM-dd'), coalesce(try_to_date({bare}, 'dd-MM-yyyy'), try_to_date({bare}, 'MM-dd-yyyy')))"
     once = _with(feistel(f"array(n div {HALF}, n % {HALF})", f"array({HALF + 1}L, {HALF}L)", key, "date"), "p", f"p[0] * {HALF} + p[1]")
     # a number past the last day is permuted again until it is one: still a permutation of the days
     walked = f"aggregate(sequence(1, 16), cast(datediff(t, {FIRST_DAY}) as bigint), (n, w) -> if(w = 1 or n >= {DAYS}, {once}, n))"
     new = f"date_add({FIRST_DAY}, cast({walked} as int))"
-    shown = f"if({first}, replace(date_format(z, 'yyyy-MM-dd'), '-', substr({m}, 5, 1)), replace(date_format(z, 'dd-MM-yyyy'), '-', substr({m}, 3, 1)))"
+    shown = f"if({first}, replace(date_format(z, 'yyyy-MM-dd'), '-', substr({m}, 5, 1)), replace(if({monthly}, date_format(z, 'MM-dd-yyyy'), date_format(z, 'dd-MM-yyyy')), '-', substr({m}, 3, 1)))"
     inside = f"t >= {FIRST_DAY} and t < date_add({FIRST_DAY}, {DAYS})"
     return _with(day, "t", f"if({inside}, {_with(new, 'z', shown)}, null)")
 
@@ -159,6 +173,19 @@ def _phone(m: str, key: str) -> str:
     return _with(tail, "d", _with(whole, "f", _refill(m, "f")))
 
 
+def _abroad(m: str, key: str) -> str:
+    # the country code stays: the digits up to the first mark, two where there is none
+    code = f"coalesce(nullif(length(regexp_extract({m}, '^[+]([0-9]{{1,3}})[^0-9]', 1)), 0), 2)"
+    moved = feistel("t", "array_repeat(10L, size(t))", key, "phone")
+    body = _with(f"slice(d, {code} + 1, size(d) - {code})", "t", _with(f"concat(slice(d, 1, {code}), {moved})", "f", _refill(m, "f")))
+    return _with(_digits(m), "d", f"if(size(d) between 8 and 15, {body}, null)")
+
+
+def _apikey(m: str, key: str) -> str:
+    kind = f"regexp_extract({m}, '^(AKIA|ASIA|AIza|gh[pousr]_|xox[baprs]-|sk-|eyJ)', 1)"
+    return _with(kind, "h", f"concat(h, {_letters(f'substr({m}, length(h) + 1)', key, 'apikey')})")
+
+
 def _secret(m: str, key: str) -> str:
     values = f"transform(split(lower({m}), ''), c -> cast(conv(c, 16, 10) as bigint))"
     moved = feistel(values, f"array_repeat(16L, length({m}))", key, "secret")
@@ -171,16 +198,22 @@ def _email(m: str, key: str) -> str:
     return f"concat({_letters(f'substring_index({m}, chr(64), 1)', key, 'email')}, chr(64), substring_index({m}, chr(64), -1))"
 
 
-RULES = {"email": _email, "secret": _secret, "iban": _iban, "card": _card, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone}
+RULES = {"email": _email, "apikey": _apikey, "secret": _secret, "iban": _iban, "card": _card, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "abroad": _abroad, "plain": _phone}
+#: What some kinds are called in the results.
+CALLED = {"abroad": "phone", "plain": "phone", "apikey": "secret"}
 
 
 def pseudonym(value: str, key: str) -> str:
     """SQL for ``struct<kind, value>``: what a match becomes; a null kind for one that isn't valid."""
-    out = "named_struct('kind', cast(null as string), 'value', cast(null as string))"
-    for kind, rule in reversed(RULES.items()):
-        full = _lit(f"^(?:{PATTERNS[kind]})$")
-        out = f"if({value} rlike {full} and {rule(value, key)} is not null, named_struct('kind', '{kind}', 'value', {rule(value, key)}), {out})"
-    return out
+    none = "named_struct('kind', cast(null as string), 'value', cast(null as string))"
+
+    def tried(kind: str, rule) -> str:
+        # the rule is computed once, and only for what has its shape; what stands around a match is not in it
+        shape = _lit(f"^(?:{PATTERNS[kind].removeprefix(BEFORE_PLAIN).removeprefix(BEFORE_IP)})$")
+        named = f"if(z is null, null, named_struct('kind', '{CALLED.get(kind, kind)}', 'value', z))"
+        return f"if({value} rlike {shape}, {_with(rule(value, key), 'z', named)}, null)"
+
+    return f"coalesce({', '.join(tried(kind, rule) for kind, rule in RULES.items())}, {none})"
 
 
 def _marked(text: str) -> str:
@@ -198,30 +231,35 @@ def _mark(text: str) -> str:
     return "case " + " ".join(f"when instr({text}, '{m}') = 0 then '{m}'" for m in MARKS) + " else '' end"
 
 
-def pseudonymised(docs: DataFrame, key: str = "voxelgraph", text: str = "text") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and ``pii_kinds``: the kinds found, in order of the text.
 
-    Equal values have equal pseudonyms under one ``key``, in all documents. Values that fail their check
-    (a card number's last digit, an octet over 255, a day that doesn't exist) are no personal data and stay,
-    as does all other text. A null text stays null, with no kinds. A column ``pii_kinds`` is replaced.
+    Equal values have equal pseudonyms under one ``key``, in all documents; whoever has the key can undo them,
+    so it has no default. Values that fail their check (a card number's last digit, an octet over 255, a day
+    that doesn't exist) are no personal data and stay, as does all other text, and letters beyond ASCII in the
+    name of an e-mail address. A null text stays null, with no kinds; repeated rows change alike; texts are
+    searched whole; an empty table gives no rows. A column ``pii_kinds`` is replaced, all others are kept
+    under any names.
     """
-    found = F.when(F.col(text).rlike(HINT), F.expr(f"regexp_extract_all({text}, {_lit(PATTERN)}, 0)"))
     names = [c for c in docs.columns if c != "pii_kinds"]
-    marked = docs.withColumn("__mark", F.expr(f"if({text} rlike {_lit(TAILED)}, {_mark(text)}, '')")).withColumn(text, F.expr(_marked(text)))
-    at = marked.select(*names, "__mark", found.alias("__found"))
-    new = F.when(F.size("__found") > 0, F.expr(f"transform(__found, m -> {pseudonym('m', key)})"))
-    parts = at.withColumn("__new", new)
-    joined = (
-        f"array_join(concat(transform(__new, (x, k) -> concat(__parts[k], coalesce(x.value, __found[k]))), array(__parts[size(__new)])), '')"
-    )
-    parts = parts.withColumn("__parts", F.when(F.size("__new") > 0, F.expr(f"split({text}, {_lit(PATTERN)}, -1)")))
-    kinds: Column = F.expr("array_compact(transform(__new, x -> x.kind))")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(text).alias("text"))
+    found = F.when(F.col("text").rlike(HINT), F.expr(f"regexp_extract_all(text, {_lit(PATTERN)}, 0)"))
+    marked = rows.select("row", F.expr(f"if(text rlike {_lit(TAILED)}, {_mark('text')}, '')").alias("mark"), F.expr(_marked("text")).alias("text"))
+    at = marked.select("row", "mark", "text", found.alias("found"))
+    new = F.when(F.size("found") > 0, F.expr(f"transform(found, m -> {pseudonym('m', key)})"))
+    parts = at.withColumn("new", new).withColumn("parts", F.when(F.size("new") > 0, F.expr(f"split(text, {_lit(PATTERN)}, -1)")))
+    joined = "array_join(concat(transform(new, (x, k) -> concat(parts[k], coalesce(x.value, found[k]))), array(parts[size(new)])), '')"
+    kinds: Column = F.expr("array_compact(transform(new, x -> x.kind))")
     return parts.select(
-        *(F.expr(f"replace(coalesce({joined}, {text}), __mark, '')").alias(c) if c == text else F.col(c) for c in names),
+        *(F.expr(f"replace(coalesce({joined}, text), mark, '')").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names),
         F.coalesce(kinds, F.array().cast("array<string>")).alias("pii_kinds"),
     )
 
 
+#: The key of the registered query; a user passes one of their own.
+QUERY_KEY = "key of the registered query"
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` with pseudonyms for the personal data in their whole texts."""
-    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.size("pii_kinds").alias("n_found"), F.array_join("pii_kinds", ",").alias("kinds"))
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY).select("doc_id", "text", F.size("pii_kinds").alias("n_found"), F.array_join("pii_kinds", ",").alias("kinds"))
