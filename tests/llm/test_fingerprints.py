@@ -56,4 +56,21 @@ def test_peeling_reads_out_every_difference():
     right = [np.concatenate([common, rng.integers(0, 2**63, k).astype("<u8")]) for k in (0, 0, 3, 900)]
     want = [5000 / len(set(a.tolist()) | set(b.tolist())) for a, b in zip(left, right)]
     assert np.allclose(fp.likeness(left, right), want, atol=0, rtol=1e-12)
-    assert len(base64.b64decode(fp.sketches([common[:50]]).written()[0])) == fp.CELLS * 14
+    assert len(base64.b64decode(fp.sketches([common[:50]]).written()[0])) == fp.CELLS * 16  # 4 bytes of count, 8 of key, 4 of check
+
+
+def test_ids_far_from_all_others_and_over_the_whole_range(spark, monkeypatch):
+    monkeypatch.setattr(fp, "BUCKET", 8)
+    ids = [-(2**63), *range(500), 2**62, 2**63 - 1, None, None]
+    docs = spark.createDataFrame([(i, f"text {k}. more", "x", 1) for k, i in enumerate(ids)], "doc_id long, text string, bucket string, place int")
+    rows = fp.fingerprinted(docs).collect()
+    order = sorted((k for k, i in enumerate(ids) if i is not None), key=lambda k: -ids[k]) + [k for k, i in enumerate(ids) if i is None]
+    follows = {order[k]: order[(k + 1) % len(order)] for k in range(len(order))}
+    want = sorted((str(ids[k]), hashlib.sha256(fp.edited(f"text {k}. more", f"text {n}. more").encode()).hexdigest()) for k, n in follows.items())
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in rows) == want
+
+
+def test_repeated_ids_follow_each_other_by_their_texts(spark):
+    docs = spark.createDataFrame([(1, "b one"), (1, "a two"), (1, "a two"), (0, "c")], "doc_id long, text string")
+    want = sorted(hashlib.sha256(fp.edited(a, b).encode()).hexdigest() for a, b in (("a two", "a two"), ("a two", "b one"), ("b one", "c"), ("c", "a two")))
+    assert sorted(r.edited_sha256 for r in fp.fingerprinted(docs).collect()) == want

@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +30,9 @@ from voxelgraph.session import staged, table
 #: Cells of the smallest table (three parts), and by how much the next one is larger.
 CELLS, GROWTH = 24, 4
 PARAGRAPH = re.compile(r"[^\n.!?]{1,200}[.!?]*|[.!?]{1,200}")
-#: Rows of a batch whose tables are peeled together, and documents meant for one bucket of neighbours.
-ROWS, BUCKET = 256, 4096
+#: Rows of a batch whose tables are peeled together, documents meant for one bucket of neighbours, and ranges of
+#: ids of about equally many documents (quantiles) that buckets are parts of.
+ROWS, BUCKET, RANGES = 256, 4096, 1024
 #: Buckets whose list is broadcast, at most (24 bytes each).
 BROADCAST = 1_000_000
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -100,7 +103,7 @@ class Tables:
     def written(self) -> list[str]:
         """Each table as text: counts, keys, checks."""
         n = len(self.count) // self.cells
-        parts = [np.minimum(self.count, 65535).astype("<u2"), self.key, self.check]
+        parts = [self.count.astype("<u4"), self.key, self.check]  # a text has fewer than 2^32 paragraphs
         rows = [np.ascontiguousarray(x.reshape(n, self.cells)) for x in parts]
         return [base64.b64encode(b"".join(x[i].tobytes() for x in rows)).decode() for i in range(n)]
 
@@ -185,25 +188,34 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     no rows.
 
     Documents meet their next one in a bucket of neighbouring ids; the first row of each bucket is copied to
-    the end of the bucket before. So texts are shuffled once, and a bucket is streamed, never held.
+    the end of the bucket before. So texts are shuffled once, and a bucket is streamed, never held. Buckets are
+    parts of ranges between quantiles of the ids, so ids far from all others don't make them uneven; rows of
+    one id, or of none, are one bucket. Ids are whole numbers of up to 64 bits.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = max(1, (high - low + 2) * BUCKET // max(n, 1))
-    # ids as places: the largest is 0, a null one comes last
-    place = F.lit(high) - F.coalesce("doc_id", F.lit(low - 1))
-    placed = rows.withColumn("place", place).withColumn("bucket", F.expr(f"place div {width}"))
-    firsts = placed.groupBy("bucket").agg(F.min("place").alias("place"))
+    place = (-F.col("doc_id").cast("double")).alias("place")  # never falls along the order; only buckets depend on it
+    low, high, n = rows.select(place).agg(F.min("place"), F.max("place"), F.count("*")).first()
+    low, high = (0.0, 0.0) if low is None else (low, high)
+    ranges = max(1, min(RANGES, n // BUCKET))
+    cuts = rows.select(place).approxQuantile("place", [k / ranges for k in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
+    cuts = sorted({float(c) for c in cuts if low < c <= high})
+    edges, parts = [low, *cuts, high], max(1, -(-n // (BUCKET * ranges)))
+    starts, widths = (F.array(*map(F.lit, x)) for x in (edges[:-1], [max(b - a, 1.0) for a, b in zip(edges, edges[1:])]))
+    which = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="place", outputCol="range", handleInvalid="keep").transform(rows.select("*", place)) if cuts else rows.select("*", place, F.lit(0.0).alias("range"))
+    at = F.col("range").cast("int")
+    part = F.least(F.floor((F.col("place") - F.get(starts, at)) / F.get(widths, at) * parts), F.lit(parts - 1)).cast("bigint")
+    bucket = F.when(F.col("doc_id").isNotNull(), at * parts + part).otherwise(len(edges) * parts).cast("bigint")
+    placed = which.select("doc_id", "text", bucket.alias("bucket"))
+    firsts = placed.groupBy("bucket").agg(F.max("doc_id").alias("first_id"))
     # one number for each bucket of thousands of documents; a corpus of too many buckets takes the other join
     buckets = staged(
-        firsts.select("bucket", "place", F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("goes"))
+        firsts.select(F.col("bucket").alias("b"), "first_id", F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("goes"))
     )
     small = F.broadcast(buckets) if n <= BUCKET * BROADCAST else buckets
-    heads = placed.join(small, ["bucket", "place"]).groupBy("goes").agg(F.min("text").alias("text"))
-    copies = heads.select(F.col("goes").alias("bucket"), F.lit(True).alias("ends"), F.lit(None).cast("bigint").alias("place"), F.lit(None).cast("bigint").alias("doc_id"), "text")
-    both = placed.select("bucket", F.lit(False).alias("ends"), "place", "doc_id", "text").unionByName(copies)
-    dealt = both.repartition("bucket").sortWithinPartitions("bucket", "ends", "place", "text")
+    heads = placed.join(small, (placed["bucket"] == small["b"]) & placed["doc_id"].eqNullSafe(small["first_id"])).groupBy("goes").agg(F.min("text").alias("text"))
+    copies = heads.select(F.col("goes").alias("bucket"), F.lit(True).alias("ends"), F.lit(None).cast("bigint").alias("doc_id"), "text")
+    both = placed.select("bucket", F.lit(False).alias("ends"), "doc_id", "text").unionByName(copies)
+    dealt = both.repartition("bucket").sortWithinPartitions("bucket", "ends", F.desc_nulls_last("doc_id"), "text")
     return dealt.mapInArrow(_neighbours, SCHEMA)
 
 
