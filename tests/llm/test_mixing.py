@@ -32,3 +32,37 @@ def test_nulls_empty_texts_and_no_rows(spark):
     out = mixing.calibrated(mixing.measured(docs)).collect()
     assert len(out) == 4 and all(0 < r.probability <= 1 for r in out) and sum(r.probability == 1.0 for r in out) >= 2
     assert mixing.calibrated(mixing.measured(docs.limit(0))).count() == 0
+
+
+def test_marginals_are_met_and_clashing_names_stay(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice("aab"), rng.choice(["en", "de", None]), rng.choice("pq"), rng.randrange(1, 400), "x", 7, "y") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, tokens long, probability string, c_source int, d string")
+    cells = mixing.cells_of(df)
+    targets = {d: mixing.marginal_targets(cells, d, 0.5, 0.7) for d in mixing.DIMENSIONS}
+    off = mixing.achieved(mixing.rake(cells, targets), targets).collect()
+    assert len(off) == 7 and max(r.off for r in off) < 1e-3
+    one = mixing.achieved(mixing.rake(cells, targets, 1), targets).collect()
+    assert max(r.off for r in off) <= max(r.off for r in one)
+    out = mixing.calibrated(df, keep=0.5)
+    assert set(out.columns) == {*df.columns, "kept"} and out.where("c_source <> 7 or d <> 'y'").count() == 0
+    assert abs(out.where("kept").agg({"tokens": "sum"}).first()[0] / df.agg({"tokens": "sum"}).first()[0] - 0.5) < 0.05
+
+
+def test_joined_sums_are_those_of_windows(spark, monkeypatch):
+    rows = [(i, "abc"[i % 3], "de"[i % 2], "pq"[i % 5 % 2], i % 50) for i in range(400)]
+    cells = mixing.cells_of(spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, tokens long"))
+    targets = {d: mixing.marginal_targets(cells, d, 0.8, 0.7) for d in mixing.DIMENSIONS}
+    key = lambda r: (r.source, r.lang, r.topic)
+    window = {key(r): r.weight for r in mixing.rake(cells, targets).collect()}
+    monkeypatch.setattr(mixing, "CELLS", 0)
+    assert {key(r): r.weight for r in mixing.rake(cells, targets).collect()} == window
+
+
+def test_very_long_and_empty_texts(spark):
+    docs = spark.createDataFrame([(1, "| " * 200_000, "s", "en"), (2, "", "s", "en"), (3, None, None, None)], "doc_id long, text string, source string, lang string")
+    rows = {r.doc_id: (r.topic, r.tokens) for r in mixing.measured(docs).collect()}
+    assert rows == {1: ("table", 100_000), 2: ("prose", 0), 3: ("prose", 0)}
+    assert mixing.calibrated(mixing.measured(docs)).count() == 3 and mixing.calibrated(mixing.measured(docs.limit(0))).count() == 0

@@ -101,10 +101,15 @@ def probabilities(rows: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, kee
 
 
 def sampled(rows: DataFrame, weights: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, seed: str = SEED) -> DataFrame:
-    """Add ``probability`` and ``kept`` to rows with ``doc_id`` and the dimensions."""
-    same = [rows[d].eqNullSafe(weights[f"c_{d}"]) for d in dimensions]
-    known = rows.join(weights, same, "left").drop(*(f"c_{d}" for d in dimensions)).withColumn("probability", F.coalesce("probability", F.lit(1.0)))
-    return known.withColumn("kept", chance(F.col("doc_id"), seed) < F.col("probability"))
+    """Add ``probability`` and ``kept`` to rows with ``doc_id`` and the dimensions.
+
+    Columns of these two names are replaced, all others are kept under any names.
+    """
+    names = [c for c in rows.columns if c not in ("probability", "kept")]
+    held = rows.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    same = [F.col(f"row.{d}").eqNullSafe(F.col(f"c_{d}")) for d in dimensions]
+    known = held.join(weights, same, "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
+    return known.select("row.*", "probability", (chance(F.col("row.doc_id"), seed) < F.col("probability")).alias("kept"))
 
 
 def calibrated(rows: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, keep: float = KEEP, temper: float = TEMPER, sweeps: int = SWEEPS, seed: str = SEED, targets: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -118,9 +123,27 @@ def calibrated(rows: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, keep:
     return sampled(rows, probabilities(rows, dimensions, keep, temper, sweeps, targets), dimensions, seed)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, lang, topic, tokens)`` of documents; a null text is an empty one."""
-    return docs.select("doc_id", "source", "lang", topic(text_of()).alias("topic"), tokens(text_of()).alias("tokens"))
+def achieved(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """``(dimension, value, target, weight, off)``: how far each marginal of raked ``cells`` is from its target.
+
+    ``off`` is the distance as a share of the target. It stays above 0 where a value holds fewer tokens than it
+    should have, since weights are never above what a cell holds; otherwise more sweeps bring it down.
+    """
+    out = None
+    for d, target in targets.items():
+        t = target.select(F.col(d).alias("t"), "target")
+        sums = cells.groupBy(F.col(d).alias("s")).agg(F.sum("weight").alias("weight"))
+        part = t.join(sums, F.col("t").eqNullSafe(F.col("s"))).select(F.lit(d).alias("dimension"), F.col("t").cast("string").alias("value"), "target", "weight", (F.abs(F.col("weight") - F.col("target")) / F.col("target")).alias("off"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def measured(docs: DataFrame, count: Column | None = None) -> DataFrame:
+    """``(doc_id, source, lang, topic, tokens)`` of documents; a null text is an empty one.
+
+    count: each document's tokens, where a column has exact ones; default: an estimate from its bytes.
+    """
+    return docs.select("doc_id", "source", "lang", topic(text_of()).alias("topic"), (tokens(text_of()) if count is None else count.cast("bigint")).alias("tokens"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
