@@ -37,6 +37,39 @@ def test_overflow_goes_clockwise_as_in_a_walk_by_hand(spark):
     assert all(at_home[k] >= v for k, v in got.items())
 
 
+def test_every_row_and_slot_is_where_the_walk_puts_it(spark):
+    # overflow rows queue in ring order; each shard takes from the queue's head while it has room, in two laps
+    shards, vnodes, cells, n = 5, 4, 256, 600
+    owner = {r.cell: (r.arc, r.shard) for r in sharding.ring(spark, shards, vnodes, cells).collect()}
+    rows = [(owner[r.c], r.c, r.h, r.id) for r in spark.range(n).select("id", F.pmod(F.xxhash64("id"), F.lit(cells)).alias("c"), F.xxhash64("id", F.lit(1)).alias("h")).collect()]
+    room = [n // shards + (i < n % shards) for i in range(shards)]
+    queue, home, taken = [], {}, {}
+    for lap in range(2):
+        for arc, s in sorted(set(owner.values())):
+            mine = sorted(r for r in rows if r[0] == (arc, s)) if lap == 0 else []
+            own = min(len(mine), room[s])
+            home |= {r[3]: (s, arc, k) for k, r in enumerate(mine[:own])}
+            queue += [(r[3], arc, own + k) for k, r in enumerate(mine[own:])]
+            room[s] -= own
+            while queue and room[s]:
+                i, source, k = queue.pop(0)
+                taken[i] = (s, source, k)
+                room[s] -= 1
+    assert not queue and len(home) + len(taken) == n and taken
+    want = {}
+    for s in range(shards):
+        order = sorted((0, a, k, i) for i, (t, a, k) in home.items() if t == s) + sorted((1, a, k, i) for i, (t, a, k) in taken.items() if t == s)
+        want |= {x[3]: (s, slot) for slot, x in enumerate(order)}
+    got = {r.id: (r.shard, r.slot) for r in sharding.shard(spark.range(n), F.col("id"), shards, vnodes, cells=cells).collect()}
+    assert got == want
+
+
+def test_very_long_and_empty_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "é" * 300_000), (2, ""), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in sharding.op1_sharding(spark, str(tmp_path)).collect()}
+    assert {i: r["size"] for i, r in rows.items()} == {1: 600_016, 2: 16, 3: 16} and rows[2].text_crc32 == rows[3].text_crc32 == 0
+
+
 def test_one_more_shard_moves_few_rows(spark):
     a = sharding.shard(spark.range(20_000), F.col("id"), 20, load_factor=0.1)
     b = sharding.shard(spark.range(20_000), F.col("id"), 21, load_factor=0.1).withColumnRenamed("shard", "grown")
