@@ -97,13 +97,13 @@ def test_watershed_against_kruskal(spark):
 def test_anchored_regions_stay_near_their_seed(spark):
     half = np.where(np.arange(6)[None, None, :] < 3, 0.2, 0.8) * np.ones((6, 6, 1))
     df, cases = table(spark, half)
-    m = contract.build_minor(df, "v", "anchored", psi=0.05, alpha=0.2, beta_min=1, cases=cases)
+    m = contract.build_minor(df, "v", "anchored", psi=0.05, alpha=0.2, beta_min=1)
     assert m["stats"].first().supernodes == 2 and m["edges"].count() == 0 and m["all_edges"].count() == 1
 
 
 def test_cap_and_merge(spark):
     df, cases = table(spark, np.full((3, 3, 3), 0.5))
-    capped = staged(contract.anchored_contract(df, cases, "v", 0.03, 0.2, beta_max=14, block=None))
+    capped = staged(contract.anchored_contract(df, "v", 0.03, 0.2, beta_max=14))
     sizes = [r["count"] for r in capped.groupBy("label").count().collect()]
     assert sum(sizes) == 27 and max(sizes) <= 14
     merged = contract.merge_similar_regions(capped, "v", 0.2, 27)
@@ -124,7 +124,7 @@ def test_adaptive_partition(spark):
 def test_unknown_method(spark):
     df, cases = table(spark, np.zeros((2, 2, 2)))
     with pytest.raises(ValueError):
-        contract.build_minor(df, "v", "kmeans", cases=cases)
+        contract.build_minor(df, "v", "kmeans")
 
 
 def test_shapes_against_numpy(spark):

@@ -1,48 +1,31 @@
 """Contraction of voxels into regions, and deletion of regions.
 
-Labels are positive numbers, unique within a case; 0 is a deleted voxel. ``case_id`` is a whole number below
-2^31 and ``lin`` below 2^32, so that a voxel of any case is one 64-bit node.
+Labels are positive numbers, unique within a case; 0 is a deleted voxel. ``lin`` is below 2^32.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelgraph.functions import scalars
+from voxelgraph.operators import arrays, stencil
 from voxelgraph.operators import edges as E
-from voxelgraph.operators import stencil
-from voxelgraph.operators.components import connected_components
 from voxelgraph.session import staged
 
-NODE = 1 << 32
-
-
-def _node(lin: str) -> Column:
-    return F.col("case_id") * NODE + F.col(lin)
+#: Markers of the second watershed are numbered from here on, above all labels of the first.
+FINE = 1 << 32
 
 
 def connected(voxels: DataFrame, key: Column, name: str = "label") -> DataFrame:
-    """Add the 6-connected component of equal, non-null keys: least ``lin`` in it plus 1; 0 where the key is null.
+    """Add the 6-connected component of equal, non-null keys: least ``lin`` in it plus 1; 0 where the key is null."""
 
-    Each z line is cut into runs of one key first, which shrinks the graph before any round; runs that
-    touch through a face are its edges.
-    """
-    held = voxels.withColumn("__k", key)
-    starts = F.col("__k").isNotNull() & ~F.coalesce(stencil.neighbour(F.col("__k"), "z", -1) == F.col("__k"), F.lit(False))
-    held = held.withColumn("__s", starts)
-    run = F.last(F.when(F.col("__s"), F.col("lin")), True).over(stencil.line("z").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    held = held.withColumn("__run", F.when(F.col("__k").isNotNull(), _node("lin") - F.col("lin") + run)).drop("__s")
-    held = staged(held)
-    touching = None
-    for axis in ("x", "y"):
-        other = F.when(stencil.neighbour(F.col("__k"), axis, 1) == F.col("__k"), stencil.neighbour(F.col("__run"), axis, 1))
-        part = held.select(F.col("__run").alias("src"), other.alias("dst")).where("dst is not null")
-        touching = part if touching is None else touching.unionByName(part)
-    found = connected_components(touching.distinct()).select(F.col("node").alias("__run"), "component")
-    joined = held.join(found, "__run", "left")
-    label = F.coalesce(F.coalesce("component", "__run") % NODE + 1, F.lit(0)).cast("bigint")
-    return joined.select(*voxels.columns, label.alias(name))
+    def work(shape, lin, keys, held):
+        first = arrays.components(shape, keys, held)
+        return np.where(first < 0, 0, lin[first] + 1)
+
+    return arrays.on_arrays(voxels, [F.col("lin").cast("bigint"), F.xxhash64(key), key.isNotNull()], work, f"{name} bigint")
 
 
 def quantized_components(voxels: DataFrame, value: str, bins: int) -> DataFrame:
@@ -50,46 +33,19 @@ def quantized_components(voxels: DataFrame, value: str, bins: int) -> DataFrame:
     return connected(voxels, scalars.quantize(F.col(value), bins))
 
 
-def _voxel_edges(voxels: DataFrame, weight) -> DataFrame:
-    """``(a, b, w)`` for each pair of face neighbours, as nodes."""
-    out = None
-    for axis in stencil.AXES:
-        far = stencil.neighbour(_node("lin"), axis, 1)
-        part = voxels.select(_node("lin").alias("a"), far.alias("b"), weight(axis).alias("w")).where("b is not null")
-        out = part if out is None else out.unionByName(part)
-    return out
+def _grown(voxels: DataFrame, gradient: str, name: str) -> DataFrame:
+    """Add the watershed of ``__marker``."""
+    return arrays.on_arrays(voxels, [F.col(gradient), F.coalesce("__marker", F.lit(0)).cast("bigint")], arrays.watershed, f"{name} bigint").drop("__marker")
 
 
-def marker_watershed(voxels: DataFrame, gradient: str, markers: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """``(case_id, lin, label)``: the volume grown from markers by ascending gradient.
+def marker_watershed(voxels: DataFrame, gradient: str, markers: DataFrame, name: str = "label") -> DataFrame:
+    """``voxels`` with ``label``: the volume grown from ``markers`` (``case_id, lin, marker``) by ascending gradient.
 
-    The rooted minimum spanning forest over face neighbours weighted by the larger gradient, in Boruvka
-    rounds: every region without a marker joins the region behind its least edge (ties by the edge's
-    ends, so the result is unique). Voxels with no path to a marker keep label 0.
+    The least spanning forest over face neighbours weighted by the larger gradient, rooted in the markers;
+    ties go by the edge's ends, so the result is unique. Voxels with no path to a marker keep label 0.
     """
-    edges = staged(_voxel_edges(voxels, lambda axis: F.greatest(F.col(gradient), stencil.neighbour(F.col(gradient), axis, 1))))
-    regions = staged(voxels.select(_node("lin").alias("node")).join(markers.select(_node("lin").alias("node"), "marker"), "node", "left").select("node", F.col("node").alias("region"), "marker"))
-    # edges between regions, with the voxel edge each one came from as its identity
-    links = edges.select("w", F.col("a").alias("ea"), F.col("b").alias("eb"), F.col("a").alias("ra"), F.col("b").alias("rb"))
-    roots = regions.select("region", "marker")
-    for _ in range(max_rounds):
-        rooted = roots.where("marker is not null").select("region", F.lit(True).alias("rooted"))
-        both = links.unionByName(links.select("w", "ea", "eb", F.col("rb").alias("ra"), F.col("ra").alias("rb")))
-        free = both.join(rooted.select(F.col("region").alias("ra")), "ra", "left_anti")
-        chosen = staged(free.groupBy("ra").agg(F.min(F.struct("w", "ea", "eb", "rb")).alias("m")).select(F.col("ra").alias("src"), F.col("m.rb").alias("dst")))
-        if chosen.isEmpty():
-            break
-        merged = connected_components(chosen).select(F.col("node").alias("region"), "component")
-        named = staged(roots.join(merged, "region", "left").select("region", F.coalesce("component", "region").alias("to"), "marker"))
-        roots = staged(named.groupBy("to").agg(F.max("marker").alias("marker")).withColumnRenamed("to", "region"))
-        names = named.select("region", "to")
-        regions = staged(regions.join(names, "region").select("node", F.col("to").alias("region")))
-        a, b = names.toDF("ra", "na"), names.toDF("rb", "nb")
-        moved = links.join(a, "ra").join(b, "rb").where("na <> nb").select("w", "ea", "eb", F.col("na").alias("ra"), F.col("nb").alias("rb"))
-        pair = [F.least("ra", "rb"), F.greatest("ra", "rb")]
-        links = staged(moved.groupBy(pair[0].alias("ra"), pair[1].alias("rb")).agg(F.min(F.struct("w", "ea", "eb")).alias("m")).select("m.w", "m.ea", "m.eb", "ra", "rb"))
-    out = regions.join(roots.select("region", F.col("marker").alias("m")), "region", "left")
-    return out.select(F.expr(f"node div {NODE}").alias("case_id"), (F.col("node") % NODE).alias("lin"), F.coalesce("m", F.lit(0)).cast("bigint").alias("label"))
+    marked = voxels.join(markers.select("case_id", "lin", F.col("marker").alias("__marker")), ["case_id", "lin"], "left")
+    return _grown(marked, gradient, name)
 
 
 def heterogeneous_regions(labelled: DataFrame, value: str, psi: float, least: int = 30) -> DataFrame:
@@ -98,94 +54,58 @@ def heterogeneous_regions(labelled: DataFrame, value: str, psi: float, least: in
     return stats.where((F.col("s") > 0.4 * psi) & (F.col("n") > least)).select("case_id", "label")
 
 
+def refine_regions(labelled: DataFrame, gradient: str, flagged: DataFrame, stride: int) -> DataFrame:
+    """``labelled`` with ``mixed`` (its region is among ``flagged``) and ``grown``: a finer watershed inside mixed regions.
+
+    Fine markers lie on the lattice of every ``max(3, stride // 3)``-th voxel inside mixed regions; all other
+    voxels are markers with the labels they have. A case without fine markers keeps its labels: ``mixed`` is
+    false there.
+    """
+    mixed = labelled.join(flagged.select("case_id", "label", F.lit(True).alias("__mixed")), ["case_id", "label"], "left").withColumn("__mixed", F.coalesce("__mixed", F.lit(False)))
+    step = max(3, stride // 3)
+    fine = F.col("__mixed") & (F.col("x") % step == 0) & (F.col("y") % step == 0) & (F.col("z") % step == 0)
+    finer = mixed.where(fine).select("case_id").distinct().withColumn("__finer", F.lit(True))
+    held = mixed.join(finer, "case_id", "left").withColumn("mixed", F.col("__mixed") & F.coalesce("__finer", F.lit(False)))
+    # a fine marker is named by its place, which keeps the order of the lattice
+    marker = F.when(~F.col("mixed"), F.col("label")).when(fine, F.col("lin") + FINE)
+    return _grown(held.withColumn("__marker", marker).drop("__mixed", "__finer"), gradient, "grown")
+
+
+def split_by_intensity(refined: DataFrame, value: str, psi: float) -> DataFrame:
+    """Add ``label``: components of equal (``grown``, intensity bin) where ``mixed``, of equal ``grown`` elsewhere."""
+    bin_ = F.when(F.col("mixed"), scalars.quantize(F.col(value), scalars.psi_bins(psi))).otherwise(F.lit(-1))
+    return connected(refined, F.struct("grown", bin_.alias("bin")))
+
+
 def adaptive_contract(voxels: DataFrame, value: str, psi: float, stride: int = 20) -> DataFrame:
     """``voxels`` with ``label``: coarse watershed, refined and split by intensity where a region is mixed.
 
     Cases in which no region is mixed, or no fine marker falls into one, keep their coarse labels.
     """
-    flat = staged(stencil.gradient_magnitude(voxels, value).withColumn("__v", F.col(value)))
-    coarse = staged(flat.join(marker_watershed(flat, "gradient", stencil.lattice_markers(flat, stride)), ["case_id", "lin"]))
-    flagged = staged(heterogeneous_regions(coarse, "__v", psi))
-    if flagged.isEmpty():
-        return coarse.select(*voxels.columns, "label")
-    mixed = coarse.join(flagged.withColumn("mixed", F.lit(True)), ["case_id", "label"], "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
-    mixed = staged(mixed)
-    fine = staged(stencil.lattice_markers(mixed, max(3, stride // 3), F.col("mixed"), NODE))
-    refined_cases = fine.select("case_id").distinct()
-    todo = mixed.join(refined_cases, "case_id", "left_semi")
-    # coarse labels stay as markers outside the mixed regions; inside only the fine ones grow
-    markers = todo.where("not mixed").select("case_id", "lin", F.col("label").alias("marker")).unionByName(fine)
-    grown = marker_watershed(todo, "gradient", markers).withColumnRenamed("label", "grown")
-    split = staged(todo.join(grown, ["case_id", "lin"]))
-    bin_ = F.when(F.col("mixed"), scalars.quantize(F.col("__v"), scalars.psi_bins(psi))).otherwise(F.lit(-1))
-    pieces = connected(split.withColumn("__key", F.struct("grown", bin_.alias("bin"))).drop("label"), F.col("__key"))
-    kept = mixed.join(refined_cases, "case_id", "left_anti")
-    return pieces.select(*voxels.columns, "label").unionByName(kept.select(*voxels.columns, "label"))
-
-
-def _priority(dims: dict[str, Column]) -> Column:
-    """Place of a voxel in the visit order: coprime strides from (nx/3, ny/5, nz/7)."""
-    lin_start = (F.floor(dims["nx"] / 3) * dims["ny"] + F.floor(dims["ny"] / 5)) * dims["nz"] + F.floor(dims["nz"] / 7)
-    n = dims["nx"] * dims["ny"] * dims["nz"]
-    # a multiplier that shares no factor with n visits every voxel once
-    step = F.expr("element_at(filter(array(7919L, 6700417L, 104729L, 1299709L, 15485863L, 1L), s -> (nx * ny * nz) % s <> 0 or s = 1), 1)")
-    return F.pmod((F.col("lin") - lin_start) * step, n)
-
-
-def anchored_contract(voxels: DataFrame, cases: DataFrame, value: str, psi: float, alpha: float, beta_max: int | None = None, block: int | None = 8, max_rounds: int = 2000) -> DataFrame:
+    flat = stencil.gradient_magnitude(voxels, value, "__gradient")
+    on = [F.col(a) % stride == 0 for a in stencil.AXES]
+    coarse = staged(_grown(flat.withColumn("__marker", F.when(on[0] & on[1] & on[2], F.col("lin") + 1)), "__gradient", "label"))
+    refined = staged(refine_regions(coarse, "__gradient", heterogeneous_regions(coarse, value, psi), stride))
+    finer = refined.where("mixed").select("case_id").distinct().withColumn("__finer", F.lit(True))
+    pieces = split_by_intensity(refined.withColumnRenamed("label", "__coarse"), value, psi)
+    out = pieces.join(finer, "case_id", "left")
+    return out.select(*voxels.columns, F.when(F.col("__finer"), F.col("label")).otherwise(F.col("__coarse")).alias("label"))
+
+
+def anchored_contract(voxels: DataFrame, value: str, psi: float, alpha: float, beta_max: int | None = None) -> DataFrame:
     """``voxels`` with ``label``: connected regions whose voxels all lie within max(psi, alpha) of their seed.
 
-    In each round every independent part of the unassigned voxels (a component of neighbours at most twice
-    the tolerance apart) commits the region of its first voxel in the visit order. ``block`` keeps regions
-    inside cubes of that side, which all work at once; None lets them grow freely (exact for small
-    volumes). ``beta_max``: a larger region keeps its voxels nearest to the seed; the rest stays for later
-    seeds. ``label`` is the seed's ``lin`` + 1.
+    Seeds are visited in a fixed order over the whole case; each takes what it reaches among the voxels that are
+    left, breadth first, ``beta_max`` voxels at most; the rest stays for later seeds. ``label`` is the seed's
+    ``lin`` + 1.
     """
     tolerance = max(psi, alpha)
-    ranked = voxels.select(*voxels.columns, F.col(value).alias("__v")).join(F.broadcast(cases.select("case_id", "nx", "ny", "nz")), "case_id")
-    ranked = ranked.withColumn("__p", _priority({k: F.col(k) for k in ("nx", "ny", "nz")}))
-    cube = F.lit(0) if block is None else F.struct(*(F.expr(f"{a} div {block}").alias(a) for a in stencil.AXES))
-    left = staged(ranked.withColumn("__cube", cube))
-    done = None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
-        # bins of the independent parts: neighbours more than twice the tolerance apart never share a region
-        parts = _graph_components(left, lambda axis: (stencil.neighbour(F.col("__cube"), axis, 1) == F.col("__cube")) & (F.abs(stencil.neighbour(F.col("__v"), axis, 1) - F.col("__v")) <= 2 * tolerance + 1e-12))
-        seeds = parts.groupBy("case_id", "__part").agg(F.min(F.struct("__p", "lin", "__v", *stencil.AXES)).alias("s"))
-        near = staged(parts.join(seeds, ["case_id", "__part"]).withColumn("__in", F.abs(F.col("__v") - F.col("s.__v")) <= tolerance + 1e-12))
-        grown = _seeded(near)
-        if beta_max is not None:
-            radius = F.greatest(*(F.abs(F.col(a) - F.col(f"s.{a}")) for a in stencil.AXES))
-            region = Window.partitionBy("case_id", "__part").orderBy("__r").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-            sized = grown.withColumn("__r", F.when(F.col("__got"), radius)).withColumn("__n", F.sum(F.col("__got").cast("bigint")).over(region))
-            grown = _seeded(staged(sized.withColumn("__in", F.col("__got") & (F.col("__n") <= beta_max)).drop("__r", "__n", "__got")))
-        grown = staged(grown)
-        part = grown.where("__got").select(*voxels.columns, (F.col("s.lin") + 1).alias("label"))
-        done = part if done is None else done.unionByName(part)
-        left = grown.where("not __got").select(*left.columns)
-    else:
-        raise RuntimeError(f"seeds are left after {max_rounds} rounds")
-    return done if done is not None else voxels.withColumn("label", F.lit(0).cast("bigint")).limit(0)
-
-
-def _graph_components(voxels: DataFrame, joined) -> DataFrame:
-    """Add ``__part``: components of face neighbours for which ``joined(axis)`` holds."""
-    pairs = None
-    for axis in stencil.AXES:
-        part = voxels.select(_node("lin").alias("src"), F.when(joined(axis), stencil.neighbour(_node("lin"), axis, 1)).alias("dst")).where("dst is not null")
-        pairs = part if pairs is None else pairs.unionByName(part)
-    found = connected_components(pairs).select(F.col("node").alias("__node"), "component")
-    held = voxels.withColumn("__node", _node("lin"))
-    return held.join(found, "__node", "left").withColumn("__part", F.coalesce("component", "__node")).drop("__node", "component")
-
-
-def _seeded(voxels: DataFrame) -> DataFrame:
-    """Add ``__got``: in the component of marked voxels of a part that holds the part's seed."""
-    same = lambda axis: F.col("__in") & stencil.neighbour(F.col("__in"), axis, 1) & (stencil.neighbour(F.col("__part"), axis, 1) == F.col("__part"))
-    inside = _graph_components(voxels.withColumn("__keep", F.col("__part")), same).withColumnsRenamed({"__part": "__c", "__keep": "__part"})
-    seed = inside.where(F.col("lin") == F.col("s.lin")).select("case_id", F.col("__part"), F.col("__c").alias("__sc"))
-    return inside.join(seed, ["case_id", "__part"]).withColumn("__got", F.col("__in") & (F.col("__c") == F.col("__sc"))).drop("__c", "__sc")
+
+    def work(shape, lin, values):
+        seed = arrays.anchored(shape, values, tolerance, beta_max)
+        return np.where(seed < 0, 0, lin[seed] + 1)
+
+    return arrays.on_arrays(voxels, [F.col("lin").cast("bigint"), F.col(value).cast("double")], work, "label bigint")
 
 
 def merge_similar_regions(labelled: DataFrame, value: str, alpha: float, beta_max: int, max_rounds: int = 101) -> DataFrame:
@@ -194,10 +114,10 @@ def merge_similar_regions(labelled: DataFrame, value: str, alpha: float, beta_ma
     In each round regions whose best neighbours are each other merge; the new mean is weighted. Stops when
     no admissible pair is left. A merged region has the least of its labels.
     """
-    faces = staged(E.region_faces(labelled).select("case_id", "lo", "hi").distinct())
+    faces = staged(E.shared_faces(labelled).select("case_id", "lo", "hi"))
     stats = staged(labelled.where("label > 0").groupBy("case_id", "label").agg(F.count("*").alias("n"), F.sum(value).alias("t")))
     names = staged(stats.select("case_id", "label", F.col("label").alias("to")))
-    for _ in range(max_rounds):
+    for _ in range(max_rounds):  # the bound is the operator's own: what is left after it stays apart
         a, b = stats.toDF("case_id", "lo", "na", "ta"), stats.toDF("case_id", "hi", "nb", "tb")
         near = faces.join(a, ["case_id", "lo"]).join(b, ["case_id", "hi"]).withColumn("d", F.abs(F.col("ta") / F.col("na") - F.col("tb") / F.col("nb")))
         near = near.where((F.col("d") <= alpha) & (F.col("na") + F.col("nb") <= beta_max)).select("case_id", "lo", "hi", "d")
@@ -234,25 +154,26 @@ def minor_stats(voxels: DataFrame, contracted: DataFrame, labels: DataFrame, edg
     return out.withColumn("compression", F.col("voxels") / F.greatest("supernodes", F.lit(1)))
 
 
-def build_minor(voxels: DataFrame, value: str, method: str = "adaptive", psi: float = 0.03, alpha: float = 0.2, beta_min: int = 10, beta_max: int = 500_000, m_min: float = -1e9, m_max: float = 1e9, cases: DataFrame | None = None, bins: int = 8, stride: int = 20) -> dict[str, DataFrame]:
+def contracted(voxels: DataFrame, value: str, method: str, psi: float, alpha: float, beta_max: int, bins: int = 8, stride: int = 20) -> DataFrame:
+    """``voxels`` with ``label`` by one of the methods of ``build_minor``."""
+    if method == "adaptive":
+        return adaptive_contract(voxels, value, psi, stride)
+    if method == "quantized":
+        return quantized_components(voxels, value, bins)
+    if method == "anchored":
+        return anchored_contract(voxels, value, psi, alpha)
+    if method == "anchored_capped":
+        return merge_similar_regions(staged(anchored_contract(voxels, value, psi, alpha, beta_max)), value, alpha, beta_max)
+    raise ValueError(f"unknown method: {method}")
+
+
+def build_minor(voxels: DataFrame, value: str, method: str = "adaptive", psi: float = 0.03, alpha: float = 0.2, beta_min: int = 10, beta_max: int = 500_000, m_min: float = -1e9, m_max: float = 1e9, bins: int = 8, stride: int = 20) -> dict[str, DataFrame]:
     """Contract, delete nodes, derive edges: ``labels``, ``edges`` (mean difference at most alpha), ``all_edges``, ``stats``.
 
     Methods: ``adaptive``, ``anchored``, ``anchored_capped`` (with merging, as the native path does), ``quantized``.
     """
-    if method == "adaptive":
-        contracted = adaptive_contract(voxels, value, psi, stride)
-    elif method == "quantized":
-        contracted = quantized_components(voxels, value, bins)
-    elif method in ("anchored", "anchored_capped"):
-        if cases is None:
-            raise ValueError("the anchored methods need the cases' dimensions")
-        contracted = anchored_contract(voxels, cases, value, psi, alpha, beta_max if method == "anchored_capped" else None)
-        if method == "anchored_capped":
-            contracted = merge_similar_regions(staged(contracted), value, alpha, beta_max)
-    else:
-        raise ValueError(f"unknown method: {method}")
-    contracted = staged(contracted)
-    labels = staged(delete_nodes(contracted, value, beta_min, beta_max, m_min, m_max))
+    found = staged(contracted(voxels, value, method, psi, alpha, beta_max, bins, stride))
+    labels = staged(delete_nodes(found, value, beta_min, beta_max, m_min, m_max))
     every = staged(E.full_adjacency(labels, value))
     kept = every.where(F.col("mean_diff") <= alpha)
-    return {"contracted": contracted, "labels": labels, "edges": kept, "all_edges": every, "stats": minor_stats(voxels, contracted, labels, kept)}
+    return {"contracted": found, "labels": labels, "edges": kept, "all_edges": every, "stats": minor_stats(voxels, found, labels, kept)}

@@ -5,22 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelgraph.operators import stencil
-
-
-def region_faces(labelled: DataFrame) -> DataFrame:
-    """``(case_id, lo, hi)`` once for each face between two different labels above 0."""
-    out = None
-    for axis in stencil.AXES:
-        part = labelled.select("case_id", F.col("label").alias("a"), stencil.neighbour(F.col("label"), axis, 1).alias("b"))
-        part = part.where("a > 0 and b > 0 and a <> b")
-        out = part if out is None else out.unionByName(part)
-    return out.select("case_id", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+from voxelgraph.operators import arrays
 
 
 def shared_faces(labelled: DataFrame) -> DataFrame:
-    """``(case_id, lo, hi, shared_faces)``."""
-    return region_faces(labelled).groupBy("case_id", "lo", "hi").agg(F.count("*").alias("shared_faces"))
+    """``(case_id, lo, hi, shared_faces)``: faces between two different labels above 0, counted where the case is."""
+    return arrays.face_counts(labelled)
 
 
 def shared_faces_between(faces: DataFrame, a: int, b: int) -> DataFrame:

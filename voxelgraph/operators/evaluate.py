@@ -68,8 +68,7 @@ def boundary_dice(labelled: DataFrame, counts: DataFrame, threshold: float = 0.1
     """Dice between the surface of the tumour regions and the surface of the truth; 1 without truth."""
     chosen = counts.where(share(threshold) & (F.col("label") > 0)).select("case_id", "label", F.lit(1).alias("pred"))
     held = lift(labelled, chosen)
-    held = stencil.with_surface(held, F.col("pred") == 1, "__a")
-    held = stencil.with_surface(held, F.col("seg") == 2, "__b")
+    held = stencil.with_surfaces(held, {"__a": F.col("pred") == 1, "__b": F.col("seg") == 2})
     return mask_scores(held, F.col("__a"), F.col("__b"), "one").select("case_id", "dice")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelgraph.functions import scalars
 from voxelgraph.operators import edges as E
-from voxelgraph.operators import stencil
+from voxelgraph.operators import arrays, stencil
 
 NODE_FEATURES = ("volume", "boundary_length", "compactness", "elongation", "dominant_axis", "mean_intensity", "intensity_std")
 CONTEXT_FEATURES = ("organ_fraction", "dist_to_organ_center", "relative_intensity", "organ_boundary_contact")
@@ -44,15 +44,10 @@ def node_features(labelled: DataFrame, value: str, cases: DataFrame, min_voxels:
     if boundary == "foreground":
         held = stencil.with_surface(labelled, F.col("label") > 0)
     elif boundary == "supernode":
-        inside = F.lit(True)
-        held = labelled
-        for axis in stencil.AXES:
-            for step in (1, -1):
-                inside = inside & F.coalesce(stencil.neighbour(F.col("label"), axis, step) == F.col("label"), F.lit(False))
-        held = held.withColumn("surface", ~inside)
+        held = arrays.on_arrays(labelled, [F.col("label").cast("bigint")], arrays.own_surface, "surface boolean")
     else:
         raise ValueError(f"unknown boundary: {boundary}")
-    spaced = held.where("label > 0").join(F.broadcast(cases.select("case_id", "sx", "sy", "sz")), "case_id")
+    spaced = held.where("label > 0").join(cases.select("case_id", "sx", "sy", "sz"), "case_id")
     scale = {a: F.col(f"s{a}") for a in stencil.AXES}
     box = [f(a).alias(f"{n}_{a}") for a in stencil.AXES for n, f in (("min", F.min), ("max", F.max))]
     grouped = spaced.groupBy("case_id", "label").agg(
@@ -80,7 +75,7 @@ def edge_features(edges: DataFrame, nodes: DataFrame, faces: DataFrame, cases: D
     a, b = nodes.select("case_id", F.col("label").alias("lo"), F.struct(*nodes.columns).alias("a")), nodes.select("case_id", F.col("label").alias("hi"), F.struct(*nodes.columns).alias("b"))
     longest = cases.select("case_id", F.greatest("nx", "ny", "nz").alias("longest"))
     counted = faces.select("case_id", "lo", "hi", F.col("shared_faces").alias("faces"))
-    j = edges.select("case_id", "lo", "hi").join(a, ["case_id", "lo"]).join(b, ["case_id", "hi"]).join(counted, ["case_id", "lo", "hi"], "left").join(F.broadcast(longest), "case_id")
+    j = edges.select("case_id", "lo", "hi").join(a, ["case_id", "lo"]).join(b, ["case_id", "hi"]).join(counted, ["case_id", "lo", "hi"], "left").join(longest, "case_id")
     gap = [F.col("a.centroid")[k] - F.col("b.centroid")[k] for k in range(3)]
     distance = F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2])
     difference = F.abs(F.col("a.mean_intensity") - F.col("b.mean_intensity"))

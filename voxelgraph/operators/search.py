@@ -6,22 +6,24 @@ alone, so it runs once for each different one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelgraph.functions import scalars
-from voxelgraph.operators import contract, evaluate, features, stencil
+from voxelgraph.operators import arrays, contract, evaluate, features
 from voxelgraph.operators import edges as E
-from voxelgraph.session import staged
+from voxelgraph.session import ship, staged
 
-#: Six named configurations of the diagnosis.
+#: The diagnosis' six configurations as (psi, alpha, beta_min, beta_max, m_min, m_max).
 NAMED = {
-    "default": (0.10, 0.10, 10, 500_000, -1e9, 1e9),
-    "fine": (0.05, 0.10, 5, 500_000, -1e9, 1e9),
-    "finer": (0.03, 0.20, 5, 500_000, 0.05, 0.95),
-    "light": (0.01, 0.20, 2, 500_000, -1e9, 1e9),
-    "coarse": (0.15, 0.15, 50, 500_000, -1e9, 1e9),
-    "bounded": (0.05, 0.20, 10, 50_000, 0.05, 0.95),
+    "current": (0.12, 0.12, 10, 500_000, 0.0, 1.0),
+    "lower beta": (0.12, 0.12, 2, 500_000, 0.0, 1.0),
+    "no deletion": (0.12, 0.12, 1, 500_000, 0.0, 1.0),
+    "tighter psi": (0.05, 0.05, 10, 500_000, 0.0, 1.0),
+    "tighter psi, lower beta": (0.05, 0.05, 2, 500_000, 0.0, 1.0),
+    "tighter psi, no deletion": (0.05, 0.05, 1, 500_000, 0.0, 1.0),
 }
 CONFIG = "config_id int, psi double, alpha double, beta_min int, beta_max int, m_min double, m_max double"
 
@@ -67,8 +69,7 @@ def grid_search(voxels: DataFrame, value: str, configs: DataFrame, method: str =
     out = None
     n_voxels = voxels.groupBy("case_id").agg(F.count("*").alias("voxels"))
     for psi in psis:
-        labelled = contract.quantized_components(voxels, value, scalars.psi_bins(psi)) if method == "quantized" else contract.adaptive_contract(voxels, value, psi, stride)
-        labelled = staged(labelled)
+        labelled = staged(contract.contracted(voxels, value, method, psi, psi, 500_000, scalars.psi_bins(psi), stride))
         stats = features.label_counts(labelled).join(E.region_means(labelled, value), ["case_id", "label"])
         mine = configs.where(F.col("psi") == psi)
         kept = stats.crossJoin(F.broadcast(mine)).where(F.col("n").between(F.col("beta_min"), F.col("beta_max")) & F.col("mean").between(F.col("m_min"), F.col("m_max")))  # configurations are a parameter list
@@ -88,18 +89,32 @@ def grid_search(voxels: DataFrame, value: str, configs: DataFrame, method: str =
 
 
 def _boundary(labelled: DataFrame, chosen: DataFrame, configs: DataFrame) -> DataFrame:
-    """Surface Dice of several masks at once: voxels carry the configurations their region is chosen by as an array."""
-    by = chosen.groupBy("case_id", "label").agg(F.collect_set("config_id").alias("on"))
-    held = labelled.join(by, ["case_id", "label"], "left").withColumn("on", F.coalesce("on", F.array().cast("array<int>")))
-    inner = F.col("on")
-    for axis in stencil.AXES:
-        for step in (1, -1):
-            inner = F.array_intersect(inner, F.coalesce(stencil.neighbour(F.col("on"), axis, step), F.array().cast("array<int>")))
-    held = stencil.with_surface(held.withColumn("edge_of", F.array_except("on", inner)), F.col("seg") == 2, "truth")
-    gt = held.groupBy("case_id").agg(F.sum(F.col("truth").cast("bigint")).alias("gt"))
-    sums = held.select("case_id", "truth", F.explode("edge_of").alias("config_id")).groupBy("config_id", "case_id").agg(F.sum(F.col("truth").cast("bigint")).alias("both"), F.count("*").alias("pred"))
-    base = gt.crossJoin(F.broadcast(configs.select("config_id")))  # configurations are a parameter list
-    return base.join(sums, ["config_id", "case_id"], "left").fillna(0, ["both", "pred"]).select("config_id", "case_id", evaluate.dice_of(F.col("both"), F.col("gt"), F.col("pred"), "one").alias("dice"))
+    """Surface Dice of every configuration's mask: a case meets the regions that each configuration chooses once."""
+    ship(labelled.sparkSession)
+
+    def run(voxels: pa.Table, regions: pa.Table) -> pa.Table:
+        if not voxels.num_rows:
+            return pa.table({"config_id": [], "case_id": [], "both": [], "pred": [], "gt": []}, pa.schema([("config_id", pa.int32())] + [(c, pa.int64()) for c in ("case_id", "both", "pred", "gt")]))
+        shape, _, (label, truth) = arrays.dense(voxels, 2)
+        edge = arrays.surface(shape, truth)[0]
+        config, mine = (regions.column(c).to_numpy() for c in ("config_id", "label"))
+        # configurations that choose the same regions share a mask
+        sets: dict[bytes, list[int]] = {}
+        for c in np.unique(config):
+            sets.setdefault(np.sort(mine[config == c]).tobytes(), []).append(int(c))
+        rows = [(-1, 0, 0)]
+        for key, ids in sets.items():
+            own = arrays.surface(shape, np.isin(label, np.frombuffer(key, mine.dtype)))[0]
+            rows += [(c, int((own & edge).sum()), int(own.sum())) for c in ids]
+        c, both, pred = zip(*rows, strict=True)
+        case = voxels.column("case_id")[0].as_py()
+        return pa.table({"config_id": pa.array(c, pa.int32()), "case_id": [case] * len(c), "both": both, "pred": pred, "gt": [int(edge.sum())] * len(c)})
+
+    voxels = labelled.select(F.col("case_id").cast("bigint").alias("case_id"), "x", "y", "z", F.col("label").cast("bigint").alias("__0"), (F.col("seg") == 2).alias("__1"))
+    regions = chosen.select(F.col("case_id").cast("bigint").alias("case_id"), F.col("label").cast("bigint").alias("label"), "config_id")
+    sums = staged(voxels.groupBy("case_id").cogroup(regions.groupBy("case_id")).applyInArrow(run, "config_id int, case_id bigint, both bigint, pred bigint, gt bigint"))
+    base = sums.where("config_id < 0").select("case_id", "gt").crossJoin(F.broadcast(configs.select("config_id")))  # configurations are a parameter list
+    return base.join(sums.select("config_id", "case_id", "both", "pred"), ["config_id", "case_id"], "left").fillna(0, ["both", "pred"]).select("config_id", "case_id", evaluate.dice_of(F.col("both"), F.col("gt"), F.col("pred"), "one").alias("dice"))
 
 
 def search_log(scores: DataFrame, configs: DataFrame, penalty: bool = False, per_case: bool = False) -> DataFrame:
@@ -122,15 +137,21 @@ def top_configs(log: DataFrame, k: int = 5) -> DataFrame:
     return log.orderBy(F.desc("score"), "config_id").limit(k)
 
 
-def config_sweep(voxels: DataFrame, value: str, named: dict[str, tuple] | None = None, method: str = "quantized") -> DataFrame:
-    """Per named configuration: mean oracle Dice, deletion loss and regions, over cases with a tumour; best first flagged."""
-    spark, out = voxels.sparkSession, None
+def config_sweep(voxels: DataFrame, value: str, named: dict[str, tuple] | None = None, method: str = "adaptive", stride: int = 20) -> DataFrame:
+    """Per named configuration: mean oracle Dice, deletion loss and regions, over cases with a tumour; best first flagged.
+
+    Configurations that differ in sizes and means alone share one contraction, and are filters of its regions.
+    """
+    spark, out, done = voxels.sparkSession, None, {}
     with_tumour = voxels.where("seg = 2").select("case_id").distinct()
     kept = staged(voxels.join(with_tumour, "case_id", "left_semi"))
     for k, (name, (psi, alpha, lo, hi, m0, m1)) in enumerate((named or NAMED).items()):
-        m = contract.build_minor(kept, value, method, psi, alpha, lo, hi, m0, m1, bins=scalars.psi_bins(psi))
-        counts = staged(features.label_counts(m["labels"]))
-        row = evaluate.oracle(counts).join(evaluate.deletion_loss(counts).select("case_id", "lost_pct"), "case_id").join(m["stats"].select("case_id", "supernodes"), "case_id")
+        if (psi, alpha) not in done:
+            done[psi, alpha] = _regions(contract.contracted(kept, value, method, psi, alpha, hi, scalars.psi_bins(psi), stride), value)
+        ok = F.col("n").between(lo, hi) & F.col("mean").between(m0, m1)
+        counts = staged(done[psi, alpha].withColumn("label", F.when(ok, F.col("label")).otherwise(0)).groupBy("case_id", "label").agg(*(F.sum(c).alias(c) for c in ("n", "n_organ", "n_tumour"))))
+        regions = counts.groupBy("case_id").agg(F.sum((F.col("label") > 0).cast("bigint")).alias("supernodes"))
+        row = evaluate.oracle(_apart(done[psi, alpha], ok)).join(evaluate.deletion_loss(counts).select("case_id", "lost_pct"), "case_id").drop("supernodes").join(regions, "case_id")
         row = row.agg(F.avg("dice").alias("oracle_dice"), F.avg("lost_pct").alias("lost_pct"), F.avg("supernodes").alias("supernodes")).select(F.lit(k).alias("k"), F.lit(name).alias("config"), "oracle_dice", "lost_pct", "supernodes")
         out = row if out is None else out.unionByName(row)
     out = staged(out) if out is not None else spark.createDataFrame([], "k int, config string, oracle_dice double, lost_pct double, supernodes double")
@@ -138,6 +159,17 @@ def config_sweep(voxels: DataFrame, value: str, named: dict[str, tuple] | None =
     return out.crossJoin(F.broadcast(top)).select("config", "oracle_dice", "lost_pct", "supernodes", (F.col("k") == F.col("b")).alias("best"))  # one row
 
 
+def _regions(labelled: DataFrame, value: str) -> DataFrame:
+    """Counts and mean of each region: all that filters and scores of a configuration need."""
+    labelled = staged(labelled)
+    return staged(features.label_counts(labelled).join(E.region_means(labelled, value), ["case_id", "label"], "left"))
+
+
+def _apart(regions: DataFrame, ok: Column) -> DataFrame:
+    """Counts with deleted regions as one row of label 0 for each of them."""
+    return regions.select("case_id", F.when(ok, F.col("label")).otherwise(0).alias("label"), "n", "n_organ", "n_tumour")
+
+
 def beta_sweep(counts: DataFrame, betas: list[int], threshold: float = 0.1, faces: DataFrame | None = None) -> DataFrame:
     """Per least size: regions, tumour regions, oracle Dice and capture over all cases, deleted voxels in percent, edges.
 
@@ -161,7 +193,7 @@ def beta_sweep(counts: DataFrame, betas: list[int], threshold: float = 0.1, face
 
 
 def window_sweep(voxels: DataFrame, windows: dict[str, tuple[float, float]], bins: int = 8, threshold: float = 0.1) -> DataFrame:
-    """Mean oracle Dice per intensity window of quantised components; one job, the window is part of the key."""
+    """Mean oracle Dice per intensity window of quantised components; one contraction for each window."""
     out = None
     for name, (lo, hi) in windows.items():
         held = voxels.withColumn("v", scalars.hu_window(F.col("hu"), lo, hi))
@@ -171,12 +203,12 @@ def window_sweep(voxels: DataFrame, windows: dict[str, tuple[float, float]], bin
     return out.select("window", "mean_dice", "cases").orderBy(F.desc("mean_dice"), "window")
 
 
-def strategy_comparison(voxels: DataFrame, value: str, methods: dict[str, dict], cases: DataFrame | None = None) -> DataFrame:
+def strategy_comparison(voxels: DataFrame, value: str, methods: dict[str, dict]) -> DataFrame:
     """``(method, case_id, supernodes, capture_pct, dice, error)``; a method that fails leaves a row with its error."""
     spark, out = voxels.sparkSession, None
     for name, options in methods.items():
         try:
-            m = contract.build_minor(voxels, value, cases=cases, **options)
+            m = contract.build_minor(voxels, value, **options)
             counts = staged(features.label_counts(m["labels"]))
             row = m["stats"].select("case_id", "supernodes").join(evaluate.tumour_capture(counts), "case_id").join(evaluate.volume_dice(counts), "case_id")
             row = row.select(F.lit(name).alias("method"), "case_id", F.col("supernodes").cast("bigint").alias("supernodes"), "capture_pct", "dice", F.lit(None).cast("string").alias("error"))

@@ -46,7 +46,7 @@ def windowed(voxels: DataFrame, s: Settings) -> DataFrame:
 
 def minors(voxels: DataFrame, cases: DataFrame, s: Settings) -> dict[str, DataFrame]:
     """The minor of every case with its counts, node and edge features and targets, each staged once."""
-    m = contract.build_minor(windowed(voxels, s), "v", s.method, s.psi, s.alpha, s.beta_min, s.beta_max, s.m_min, s.m_max, cases, s.bins, s.stride)
+    m = contract.build_minor(windowed(voxels, s), "v", s.method, s.psi, s.alpha, s.beta_min, s.beta_max, s.m_min, s.m_max, s.bins, s.stride)
     m["counts"] = staged(features.label_counts(m["labels"]))
     m["nodes"] = staged(features.node_features(m["labels"], "v", cases))
     m["edge_features"] = staged(features.edge_features(m["all_edges"], m["nodes"], m["all_edges"], cases))
@@ -129,7 +129,7 @@ def resumable_pipeline(voxels: DataFrame, cases: DataFrame, store: str, s: Setti
 
     todo = staged(volumes.resume(cases, stored()))
     if not todo.isEmpty():
-        m = contract.build_minor(windowed(voxels.join(todo.select("case_id"), "case_id", "left_semi"), s), "v", s.method, s.psi, s.alpha, s.beta_min, s.beta_max, s.m_min, s.m_max, cases, s.bins, s.stride)
+        m = contract.build_minor(windowed(voxels.join(todo.select("case_id"), "case_id", "left_semi"), s), "v", s.method, s.psi, s.alpha, s.beta_min, s.beta_max, s.m_min, s.m_max, s.bins, s.stride)
         m["labels"].write.mode("append").parquet(path)
     labels = stored()
     every = staged(E.full_adjacency(labels, "v"))
@@ -184,7 +184,7 @@ def quantized_pipeline(voxels: DataFrame, cases: DataFrame, s: Settings = QUANTI
 
 def export_masks(voxels: DataFrame, cases: DataFrame, path: str, s: Settings = LIVER) -> DataFrame:
     """Write each case's three-class mask; returns the Dice of both classes."""
-    m = contract.build_minor(windowed(voxels, s), "v", s.method, s.psi, s.alpha, s.beta_min, s.beta_max, s.m_min, s.m_max, cases, s.bins, s.stride)
+    m = contract.build_minor(windowed(voxels, s), "v", s.method, s.psi, s.alpha, s.beta_min, s.beta_max, s.m_min, s.m_max, s.bins, s.stride)
     masked = staged(evaluate.three_class_mask(m["labels"], features.label_counts(m["labels"])))
     volumes.write_mask(masked, path)
     return evaluate.class_dice(masked)
