@@ -6,35 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelgraph.functions import scalars
-from voxelgraph.operators import contract, evaluate, features, stencil
+from voxelgraph.operators import arrays, contract, evaluate, features, stencil
 from voxelgraph.session import staged
 
 KG_NODE = "id string, type string, name string, modality string, value double, term string, dataset string, case_id bigint, supernode_id bigint, props map<string,double>"
 
 
+def _with_distance(voxels: DataFrame, query: Column, mask: Column, cases: DataFrame) -> DataFrame:
+    """``voxels`` with ``distance``, null where ``query`` doesn't hold or the case has no mask."""
+    spaced = voxels.join(cases.select("case_id", *(F.col(f"s{a}").alias(f"__s{a}") for a in stencil.AXES)), "case_id")
+    inputs = [F.coalesce(query, F.lit(False)), F.coalesce(mask, F.lit(False)), *(F.col(f"__s{a}") for a in stencil.AXES)]
+    return arrays.on_arrays(spaced, inputs, arrays.distance, "distance double").drop(*(f"__s{a}" for a in stencil.AXES))
+
+
 def distance_to_mask(voxels: DataFrame, query: Column, mask: Column, cases: DataFrame) -> DataFrame:
     """``(case_id, lin, distance)``: exact Euclidean distance in mm from each query voxel to the nearest mask voxel.
 
-    Separable: along z the nearest mask voxel before and after comes from two windows; along y and then x
-    the squared distances of a line meet the query's coordinate in an equi-join on the line, and only the
-    lines that hold a query voxel take part. No row for a case without a mask.
+    No row for a case without a mask.
     """
-    spaced = voxels.select("case_id", *stencil.AXES, "lin", query.alias("q"), mask.alias("m")).join(F.broadcast(cases.select("case_id", "sx", "sy", "sz")), "case_id")
-    hit = F.when(F.col("m"), F.col("z"))
-    before = F.last(hit, True).over(stencil.line("z").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.last(hit, True).over(Window.partitionBy("case_id", "x", "y").orderBy(F.desc("z")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    gap = F.least(F.col("z") - before, after - F.col("z"))
-    first = staged(spaced.withColumn("d", gap * gap * F.col("sz") * F.col("sz")))
-    asked = first.where("q")
-    # pass 2: each (x, z) column with a query anywhere in its case plane collects its y line
-    need_y = asked.select("case_id", "y", "z").distinct().withColumnRenamed("y", "qy")
-    lines = first.where("d is not null").select("case_id", "x", "y", "z", "d", "sx", "sy")
-    step = F.col("y") - F.col("qy")
-    second = lines.join(need_y, ["case_id", "z"]).groupBy("case_id", "x", "qy", "z").agg(F.min(F.col("d") + step * step * F.col("sy") * F.col("sy")).alias("d"), F.first("sx").alias("sx"))
-    wanted = asked.select("case_id", F.col("x").alias("qx"), F.col("y").alias("qy"), "z", "lin")
-    jump = F.col("x") - F.col("qx")
-    third = wanted.join(second, ["case_id", "qy", "z"]).groupBy("case_id", "lin").agg(F.min(F.col("d") + jump * jump * F.col("sx") * F.col("sx")).alias("d"))
-    return third.select("case_id", "lin", F.sqrt("d").alias("distance"))
+    return _with_distance(voxels, query, mask, cases).where("distance is not null").select("case_id", "lin", "distance")
 
 
 def min_distance_per_label(labelled: DataFrame, cases: DataFrame, labels: DataFrame | None = None, organ: Column | None = None) -> DataFrame:
@@ -42,12 +32,9 @@ def min_distance_per_label(labelled: DataFrame, cases: DataFrame, labels: DataFr
 
     The organ is class 1 unless said otherwise; without an organ voxel in a case the distance is 0.
     """
-    organ = F.col("seg") == 1 if organ is None else organ
-    held = labelled.withColumn("__o", organ)
+    held = labelled.withColumn("__o", F.col("seg") == 1 if organ is None else organ)
     held = held.withColumn("__q", F.col("label") > 0) if labels is None else held.join(labels.select("case_id", "label", F.lit(True).alias("__q")), ["case_id", "label"], "left").withColumn("__q", F.coalesce("__q", F.lit(False)))
-    held = staged(held)
-    found = distance_to_mask(held, F.col("__q"), F.col("__o"), cases)
-    asked = held.where("__q").select("case_id", "label", "lin").join(found, ["case_id", "lin"], "left")
+    asked = _with_distance(held, F.col("__q"), F.col("__o"), cases).where("__q")
     return asked.groupBy("case_id", "label").agg(F.coalesce(F.min("distance"), F.lit(0.0)).alias("distance"), F.coalesce(F.avg("distance"), F.lit(0.0)).alias("mean_distance"))
 
 
@@ -168,7 +155,7 @@ def patient_graph(counts: DataFrame, nodes: DataFrame, cases: DataFrame, organ_s
     organ = (F.col("n_organ") - F.col("n_tumour")) / F.col("n") > organ_share
     kind = F.when(evaluate.share(tumour_share), "tumour").when(organ, "organ")
     marked = counts.where("label > 0").withColumn("kind", kind).where("kind is not null").join(nodes.select("case_id", "label", "volume", "centroid"), ["case_id", "label"])
-    spaced = marked.join(F.broadcast(cases.select("case_id", "sx", "sy", "sz")), "case_id")
+    spaced = marked.join(cases.select("case_id", "sx", "sy", "sz"), "case_id")
     mid = lambda k, s: (F.sum(F.col("centroid")[k] * F.col(s) * F.col("volume")) / F.sum("volume")).alias(f"c{'xyz'[k]}")
     points = spaced.groupBy("case_id", "kind").agg(F.sum("volume").alias("volume"), F.count("*").alias("regions"), mid(0, "sx"), mid(1, "sy"), mid(2, "sz"))
     points = staged(points)

@@ -28,10 +28,32 @@ NAMED = {
 CONFIG = "config_id int, psi double, alpha double, beta_min int, beta_max int, m_min double, m_max double"
 
 
-def intensity_range(voxels: DataFrame, value: str) -> DataFrame:
-    """One row: 1st and 99th percentile over all voxels, exact (linear between ranks)."""
-    p = voxels.agg(F.percentile(value, F.array(F.lit(0.01), F.lit(0.99))).alias("p"))
-    return p.select(F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+def intensity_range(voxels: DataFrame, value: str, bins: int = 65_536) -> DataFrame:
+    """One row: 1st and 99th percentile over all voxels, exact (linear between ranks).
+
+    Values are counted in ``bins`` equal parts of their range first; only parts that hold one of the four ranks
+    needed are then counted value by value, so no task holds all different values.
+    """
+    low, high, n = voxels.agg(F.min(value), F.max(value), F.count(value)).first()
+    if not n:
+        return voxels.select(F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high")).limit(1)
+    width = (high - low) / bins or 1.0
+    held = voxels.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1)).cast("int").alias("bin"))
+    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    places = [p * (n - 1) for p in (0.01, 0.99)]
+    ranks = sorted({int(p) for p in places} | {min(int(p) + 1, n - 1) for p in places})
+    counts = held.groupBy("bin").count().withColumn("end", F.sum("count").over(upto)).withColumn("begin", F.col("end") - F.col("count"))  # at most ``bins`` rows
+    wanted = F.lit(False)
+    for r in ranks:
+        wanted = wanted | ((F.col("begin") <= r) & (F.col("end") > r))
+    few = counts.where(wanted).select("bin", "begin")
+    values = held.join(F.broadcast(few), "bin").groupBy("bin", "begin", "v").count()
+    inside = Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = values.withColumn("end", F.col("begin") + F.sum("count").over(inside)).withColumn("first", F.col("end") - F.col("count"))
+    at = {r: F.max(F.when((F.col("first") <= r) & (F.col("end") > r), F.col("v"))) for r in ranks}
+    lower, upper = ((at[int(p)], at[min(int(p) + 1, n - 1)], p - int(p)) for p in places)
+    between = lambda a, b, part: a + (b - a) * part
+    return placed.agg(between(*lower).alias("low"), between(*upper).alias("high"))
 
 
 def param_grid(spark: SparkSession, low: float, high: float, n_psi: int = 16, n_alpha: int = 8, n_beta: int = 8, beta_max: int = 500_000, skip: bool = False, second: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ whole tables without an SQL twin where SQL is too slow, and the tests hold them
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from voxelgraph.functions import scalars
 from voxelgraph.operators import contract, evaluate, features, learn, phenotype, report, search, stencil
 from voxelgraph.operators import edges as E
 from voxelgraph.plans import fixture, pipelines
-from voxelgraph.session import staged
+from voxelgraph.session import shared_dir, staged
 from voxelgraph.sources import volumes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,12 +25,12 @@ BINS = 8
 
 
 def binned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Voxels with ``v`` in [0, 1] and one region for each of eight intensity bins."""
+    """Voxels with ``v`` in [0, 1] and one region for each of eight intensity bins on either side of the middle plane."""
     v = fixture.voxels(spark, sf_dir).withColumn("v", scalars.hu_window(F.col("hu"), 0, 200))
-    return v.withColumn("label", (scalars.quantize(F.col("v"), BINS) + 1).cast("bigint"))
+    return v.withColumn("label", (scalars.quantize(F.col("v"), BINS) + 1 + BINS * F.expr("x div 8")).cast("bigint"))
 
 
-_BINNED = ",\nbinned AS (SELECT *, CAST(least(greatest(floor(v * 8), 0), 7) + 1 AS BIGINT) AS label FROM (SELECT *, (greatest(least(hu, 200.0), 0.0) - 0.0) / 200.0 AS v FROM voxels) q)"
+_BINNED = ",\nbinned AS (SELECT *, CAST(least(greatest(floor(v * 8), 0), 7) + 1 + 8 * (x // 8) AS BIGINT) AS label FROM (SELECT *, (greatest(least(hu, 200.0), 0.0) - 0.0) / 200.0 AS v FROM voxels) q)"
 _COUNTS = ",\ncounts AS (SELECT case_id, label, count(*) AS n, CAST(sum(CASE WHEN seg >= 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_organ, CAST(sum(CASE WHEN seg = 2 THEN 1 ELSE 0 END) AS BIGINT) AS n_tumour FROM binned GROUP BY case_id, label)"
 _NEXT = {a: f"lead({{c}}) OVER (PARTITION BY case_id, {', '.join(b for b in 'xyz' if b != a)} ORDER BY {a})" for a in "xyz"}
 _LAST = {a: _NEXT[a].replace("lead(", "lag(") for a in "xyz"}
@@ -42,12 +43,48 @@ def _inner(mask: str) -> str:
     return " AND ".join(f"coalesce({w[a].format(c=mask)}, false)" for a in "xyz" for w in (_NEXT, _LAST))
 
 
+def _cross(u, v) -> list[str]:
+    return [f"({u[1]}) * ({v[2]}) - ({u[2]}) * ({v[1]})", f"({u[2]}) * ({v[0]}) - ({u[0]}) * ({v[2]})", f"({u[0]}) * ({v[1]}) - ({u[1]}) * ({v[0]})"]
+
+
+def _shape(source: str, count: str, least: int, out: str) -> str:
+    """Elongation and dominant axis from the moments xx, yy, zz, xy, xz, yz of ``source``, step by step."""
+    rows = (("xx - l1", "xy", "xz"), ("xy", "yy - l1", "yz"), ("xz", "yz", "zz - l1"))
+    vectors = ", ".join(f"{e} AS v{k}{c}" for k, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))) for c, e in zip("xyz", _cross(rows[a], rows[b])))
+    longest = "CASE WHEN n0 >= n1 AND n0 >= n2 THEN {0} WHEN n1 >= n2 THEN {1} ELSE {2} END"
+    steps = [
+        "SELECT *, (xx + yy + zz) / 3.0 AS mm FROM {}",
+        "SELECT *, (xx - mm) * (xx - mm) + (yy - mm) * (yy - mm) + (zz - mm) * (zz - mm) + 2.0 * (xy * xy + xz * xz + yz * yz) AS p2 FROM {}",
+        "SELECT *, CASE WHEN p2 > 1e-24 THEN sqrt(p2 / 6.0) END AS pp FROM {}",
+        "SELECT *, (xx - mm) / pp AS qa, (yy - mm) / pp AS qb, (zz - mm) / pp AS qc, xy / pp AS qd, xz / pp AS qe, yz / pp AS qf FROM {}",
+        "SELECT *, acos(greatest(least((qa * (qb * qc - qf * qf) - qd * (qd * qc - qf * qe) + qe * (qd * qf - qb * qe)) / 2.0, 1.0), -1.0)) / 3.0 AS phi FROM {}",
+        "SELECT *, coalesce(mm + 2.0 * pp * cos(phi), mm) AS l1, coalesce(mm + 2.0 * pp * cos(phi + 2.0 * pi() / 3.0), mm) AS l3 FROM {}",
+        f"SELECT *, {vectors} FROM {{}}",
+        "SELECT *, " + ", ".join(f"v{k}x * v{k}x + v{k}y * v{k}y + v{k}z * v{k}z AS n{k}" for k in range(3)) + " FROM {}",
+        "SELECT *, sqrt(greatest(n0, n1, n2)) AS len, greatest(xx, yy, zz) AS top, " + ", ".join(f"{longest.format(*(f'v{k}{c}' for k in range(3)))} AS best{c}" for c in "xyz") + " FROM {}",
+        f"SELECT *, CASE WHEN {count} >= {least} THEN least(l1 / (greatest(l3, 0.0) + 1e-8), 100.0) ELSE 1.0 END AS elongation, CASE WHEN {count} >= {least} THEN l1 ELSE 0.0 END AS dominant_axis, "
+        + ", ".join(f"CASE WHEN {count} < {least} THEN {float(c == 'x')} WHEN len > 1e-9 THEN best{c} / len WHEN {first} THEN {float(c == 'x')} WHEN {second} THEN {float(c == 'y')} ELSE {float(c == 'z')} END AS a{c}" for c in "xyz" for first, second in [("xx = top", "yy = top")])
+        + " FROM {}",
+    ]
+    out_steps, last = [], source
+    for k, step in enumerate(steps):
+        name = out if k == len(steps) - 1 else f"{out}_{k}"
+        out_steps.append(f"{name} AS MATERIALIZED ({step.format(last)})")
+        last = name
+    return ",\n" + ",\n".join(out_steps)
+
+
+_MOMENTS = "var_samp(x*sx) AS xx, var_samp(y*sy) AS yy, var_samp(z*sz) AS zz, covar_samp(x*sx, y*sy) AS xy, covar_samp(x*sx, z*sz) AS xz, covar_samp(y*sy, z*sz) AS yz"
 # in the binned fixture every voxel is foreground, so its surface is the border of the cube
 _NODES = (
     ",\nheld AS (SELECT *, NOT (" + _inner("fg") + ") AS surface FROM (SELECT *, label > 0 AS fg FROM binned) q),\n"
-    "nodes AS (SELECT case_id, label, count(*) AS volume, CAST(sum(CASE WHEN surface THEN 1 ELSE 0 END) AS BIGINT) AS boundary_length, avg(v) AS mean_intensity, stddev_pop(v) AS intensity_std, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, "
-    "min(x) AS min_x, max(x) AS max_x FROM held GROUP BY case_id, label)"
+    "measured AS (SELECT case_id, label, count(*) AS volume, CAST(sum(CASE WHEN surface THEN 1 ELSE 0 END) AS BIGINT) AS boundary_length, avg(v) AS mean_intensity, stddev_pop(v) AS intensity_std, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, "
+    + ", ".join(f"{f}({a}) AS {f}_{a}" for a in "xyz" for f in ("min", "max")) + f", {_MOMENTS} FROM held JOIN cases USING (case_id) GROUP BY case_id, label)"
+    + _shape("measured", "volume", 20, "shaped")
+    + ",\nnodes AS (SELECT *, 36 * pi() * volume * volume / (pow(boundary_length, 3) + 1e-8) AS compactness FROM shaped)"
 )
+_BOX = ", ".join(f"{f}_{a}" for a in "xyz" for f in ("min", "max"))
+_MORPHOLOGY = "CASE WHEN compactness > 0.6 THEN 'spherical' WHEN elongation > 5 THEN 'irregular' ELSE 'ovoid' END"
 
 
 def query(sql: str | None = None):
@@ -160,33 +197,83 @@ def organ_edge_sparsity(spark, sf_dir):
 # features
 
 
-@query(_BINNED + _NODES + "\nSELECT case_id, label, volume, boundary_length, round(36 * pi() * volume * volume / (pow(boundary_length, 3) + 1e-8), 4) AS compactness, round(mean_intensity, 6) AS mean_intensity, round(intensity_std, 6) AS intensity_std, round(cx, 6) AS cx, round(cy, 6) AS cy, round(cz, 6) AS cz, min_x, max_x FROM nodes WHERE boundary_length > 0")
+@query(_BINNED + _NODES + f"\nSELECT case_id, label, volume, boundary_length, compactness, round(mean_intensity, 6) AS mean_intensity, round(intensity_std, 6) AS intensity_std, round(cx, 6) AS cx, round(cy, 6) AS cy, round(cz, 6) AS cz, {_BOX}, round(elongation, 4) AS elongation, round(dominant_axis, 4) AS dominant_axis FROM nodes")
 def node_features(spark, sf_dir):
-    n = features.node_features(binned(spark, sf_dir), "v", fixture.cases(spark, sf_dir)).where("boundary_length > 0")
+    n = features.node_features(binned(spark, sf_dir), "v", fixture.cases(spark, sf_dir))
     c = [F.round(F.col("centroid")[k], 6).alias(f"c{'xyz'[k]}") for k in range(3)]
-    return n.select("case_id", "label", "volume", "boundary_length", F.round("compactness", 4).alias("compactness"), _r("mean_intensity"), _r("intensity_std"), *c, "min_x", "max_x")
+    return n.select("case_id", "label", "volume", "boundary_length", "compactness", _r("mean_intensity"), _r("intensity_std"), *c, *_BOX.split(", "), _r("elongation", 4), _r("dominant_axis", 4))
 
 
-@query(None)
+@query(_BINNED + _NODES + "\nSELECT case_id, label, round(elongation, 4) AS elongation, round(dominant_axis, 4) AS dominant_axis, round(abs(ax), 4) AS ax, round(abs(ay), 4) AS ay, round(abs(az), 4) AS az FROM nodes")
 def node_shapes(spark, sf_dir):
+    """Shapes; of the axis, whose sign is free, the sizes of its parts."""
     n = features.node_features(binned(spark, sf_dir), "v", fixture.cases(spark, sf_dir))
-    return n.select("case_id", "label", _r("elongation", 4), _r("dominant_axis", 4), "dominant_axis_vec")
+    return n.select("case_id", "label", _r("elongation", 4), _r("dominant_axis", 4), *(F.round(F.abs(F.col("dominant_axis_vec")[k]), 4).alias(f"a{'xyz'[k]}") for k in range(3)))
+
+
+_SUPERNODE = ",\nown AS (SELECT *, " + " OR ".join(f"coalesce({w[a].format(c='label')}, 0) <> label" for a in "xyz" for w in (_NEXT, _LAST)) + " AS surface FROM binned)"
+
 
+@query(_BINNED + _SUPERNODE + "\nSELECT case_id, label, count(*) AS volume, CAST(sum(CASE WHEN surface THEN 1 ELSE 0 END) AS BIGINT) AS boundary_length, round(36 * pi() * count(*) * count(*) / (pow(sum(CASE WHEN surface THEN 1 ELSE 0 END), 3) + 1e-8), 6) AS compactness FROM own GROUP BY case_id, label")
+def supernode_boundaries(spark, sf_dir):
+    n = features.node_features(binned(spark, sf_dir), "v", fixture.cases(spark, sf_dir), boundary="supernode")
+    return n.select("case_id", "label", "volume", "boundary_length", _r("compactness"))
 
-def _ratio(name: str) -> str:
-    return f"round(ln(a.{name} / (b.{name} + 1e-8) + 1e-8), 6)"
+
+def _ratio(name: str, digits: int = 6) -> str:
+    return f"round(ln(a.{name} / (b.{name} + 1e-8) + 1e-8), {digits})"
 
 
 _DIST = "sqrt((a.cx-b.cx)*(a.cx-b.cx) + (a.cy-b.cy)*(a.cy-b.cy) + (a.cz-b.cz)*(a.cz-b.cz))"
 
 
-@query(_BINNED + _NODES + _FACES + f"\nSELECT f.case_id, f.lo, f.hi, {_ratio('volume')} AS log_volume_ratio, round(abs(a.mean_intensity - b.mean_intensity) / greatest(abs(a.mean_intensity) + abs(b.mean_intensity), 1e-8), 6) AS intensity_diff_norm, round({_DIST} / 16, 6) AS distance_norm, {_ratio('boundary_length')} AS log_boundary_ratio, {_ratio('intensity_std')} AS log_std_ratio, CAST(f.shared_faces AS DOUBLE) AS shared_boundary, round(f.shared_faces / (a.boundary_length + 1e-8), 6) AS frac_a, round(abs(a.mean_intensity - b.mean_intensity) / ({_DIST} + 1e-8), 6) AS intensity_gradient FROM faces f JOIN nodes a ON f.case_id = a.case_id AND f.lo = a.label JOIN nodes b ON f.case_id = b.case_id AND f.hi = b.label WHERE a.boundary_length > 0 AND b.boundary_length > 0")
-def edge_features(spark, sf_dir):
+_COSINE = "abs((a.ax*b.ax + a.ay*b.ay + a.az*b.az) / ((sqrt(a.ax*a.ax + a.ay*a.ay + a.az*a.az) + 1e-8) * (sqrt(b.ax*b.ax + b.ay*b.ay + b.az*b.az) + 1e-8)))"
+_EDGES = _FACES + ",\nedged AS (SELECT f.case_id, f.lo, f.hi, " + ", ".join(
+    f"{e} AS {n}"
+    for n, e in (
+        ("log_volume_ratio", _ratio("volume")),
+        ("intensity_diff_norm", "round(abs(a.mean_intensity - b.mean_intensity) / greatest(abs(a.mean_intensity) + abs(b.mean_intensity), 1e-8), 6)"),
+        ("distance_norm", f"round({_DIST} / 16, 6)"),
+        ("orientation_cos", f"round({_COSINE}, 4)"),
+        ("log_compactness_ratio", _ratio("compactness")),
+        ("log_elongation_ratio", _ratio("elongation", 4)),
+        ("log_boundary_ratio", _ratio("boundary_length")),
+        ("log_std_ratio", _ratio("intensity_std")),
+        ("shared_boundary", "CAST(f.shared_faces AS DOUBLE)"),
+        ("frac_a", "round(f.shared_faces / (a.boundary_length + 1e-8), 4)"),
+        ("frac_b", "round(f.shared_faces / (b.boundary_length + 1e-8), 4)"),
+        ("intensity_gradient", f"round(abs(a.mean_intensity - b.mean_intensity) / ({_DIST} + 1e-8), 6)"),
+    )
+) + " FROM faces f JOIN nodes a ON f.case_id = a.case_id AND f.lo = a.label JOIN nodes b ON f.case_id = b.case_id AND f.hi = b.label)"
+
+
+def edged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twelve features of every edge."""
     labelled, cases = binned(spark, sf_dir), fixture.cases(spark, sf_dir)
-    nodes = staged(features.node_features(labelled, "v", cases).where("boundary_length > 0"))
     faces = staged(E.shared_faces(labelled))
-    out = features.edge_features(faces, nodes, faces, cases)
-    return _rounded(out.select("case_id", "lo", "hi", "log_volume_ratio", "intensity_diff_norm", "distance_norm", "log_boundary_ratio", "log_std_ratio", "shared_boundary", "frac_a", "intensity_gradient"))
+    out = features.edge_features(faces, staged(features.node_features(labelled, "v", cases)), faces, cases)
+    digits = {"orientation_cos": 4, "log_elongation_ratio": 4, "frac_a": 4, "frac_b": 4}
+    return out.select("case_id", "lo", "hi", *(_r(c, digits.get(c, 6)) for c in features.EDGE_FEATURES))
+
+
+@query(_BINNED + _NODES + _EDGES + "\nSELECT * FROM edged")
+def edge_features(spark, sf_dir):
+    return edged(spark, sf_dir)
+
+
+@query(_BINNED + _NODES + _EDGES + _COUNTS + ",\nk AS (SELECT case_id, label FROM counts WHERE n_organ / n > 0.3)\nSELECT e.case_id, lo, hi, log_volume_ratio, intensity_diff_norm, distance_norm, orientation_cos FROM edged e JOIN k p ON e.case_id = p.case_id AND e.lo = p.label JOIN k q ON e.case_id = q.case_id AND e.hi = q.label")
+def organ_subgraph(spark, sf_dir):
+    """Edges between regions mostly in the organ, with the four features that such a graph has."""
+    labelled, cases = staged(binned(spark, sf_dir)), fixture.cases(spark, sf_dir)
+    context = features.context_features(labelled, features.node_features(labelled, "v", cases), "v", cases)
+    _, edges = features.organ_subgraph(context, edged(spark, sf_dir))
+    return edges.select("case_id", "lo", "hi", *features.ORGAN_EDGE_FEATURES)
+
+
+@query(_BINNED + _FACES + "\nSELECT case_id, lo, hi, shared_faces FROM faces WHERE lo = 1 AND hi = 9")
+def faces_between(spark, sf_dir):
+    """Faces between the darkest regions on both sides of the middle plane."""
+    return E.shared_faces_between(E.shared_faces(binned(spark, sf_dir)), 9, 1)
 
 
 @query(_BINNED + ",\nm AS (SELECT *, seg >= 1 AS o FROM binned), s AS (SELECT *, o AND NOT (" + _inner("o") + ") AS os FROM m), p AS (SELECT case_id, label, avg(CASE WHEN o THEN 1.0 ELSE 0.0 END) AS fr, avg(CASE WHEN os THEN 1.0 ELSE 0.0 END) AS ct, avg(v) AS mv, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM s GROUP BY case_id, label), w AS (SELECT case_id, avg(x) AS ox, avg(y) AS oy, avg(z) AS oz, avg(v) AS ov FROM m WHERE o GROUP BY case_id)\nSELECT p.case_id, label, round(fr, 6) AS organ_fraction, round(sqrt((cx-ox)*(cx-ox) + (cy-oy)*(cy-oy) + (cz-oz)*(cz-oz)) / 16, 6) AS dist_to_organ_center, round(mv - ov, 6) AS relative_intensity, round(ct, 6) AS organ_boundary_contact FROM p JOIN w USING (case_id)")
@@ -295,110 +382,209 @@ def tumour_distances(spark, sf_dir):
 _GT = _DISTANCE + ",\ns AS (SELECT case_id, sum(CASE WHEN seg=2 THEN 1 ELSE 0 END) AS t, sum(CASE WHEN seg=1 THEN 1 ELSE 0 END) AS o FROM voxels GROUP BY case_id), gt AS (SELECT s.case_id, CAST(t AS BIGINT) AS tumour_voxels, CAST(o AS BIGINT) AS organ_voxels, t*sx*sy*sz/1000.0 AS tumour_cm3, o*sx*sy*sz/1000.0 AS organ_cm3, 100.0*t/greatest(o, 1) AS coverage_pct, 2.0*pow(3.0*t*sx*sy*sz/(4.0*pi()), 1.0/3.0) AS diameter_mm, f.d AS distance_to_organ_mm FROM s JOIN cases USING (case_id) JOIN (SELECT case_id, min(d) AS d FROM far GROUP BY case_id) f ON s.case_id = f.case_id WHERE t > 0)"
 
 
-@query(_GT + "\nSELECT case_id, tumour_voxels, organ_voxels, round(tumour_cm3, 6) AS tumour_cm3, round(organ_cm3, 6) AS organ_cm3, round(coverage_pct, 6) AS coverage_pct, round(diameter_mm, 6) AS diameter_mm, round(distance_to_organ_mm, 6) AS distance_to_organ_mm FROM gt")
+_MIDS = ",\nmids AS (SELECT case_id, " + ", ".join(f"coalesce(avg(CASE WHEN seg = {k} THEN {a} END), 0) AS {n}{a}, avg(CASE WHEN seg = {k} THEN {a} END) AS {n}{a}_" for n, k in (("t", 2), ("o", 1)) for a in "xyz") + " FROM voxels GROUP BY case_id)"
+_GT_ROWS = "tumour_voxels, organ_voxels, round(tumour_cm3, 6) AS tumour_cm3, round(organ_cm3, 6) AS organ_cm3, round(coverage_pct, 6) AS coverage_pct, round(diameter_mm, 6) AS diameter_mm, round(distance_to_organ_mm, 6) AS distance_to_organ_mm, " + ", ".join(f"round({n}{a} * s{a}, 6) AS {w}_{a}" for n, w in (("t", "tumour"), ("o", "organ")) for a in "xyz")
+
+
+def _centred(df: DataFrame) -> DataFrame:
+    """Both centroids as columns."""
+    at = [F.col(f"{w}_centroid_mm")[k].alias(f"{w}_{a}") for w in ("tumour", "organ") for k, a in enumerate("xyz")]
+    return _rounded(df.select(*(c for c in df.columns if not c.endswith("centroid_mm")), *at))
+
+
+@query(_GT + _MIDS + f"\nSELECT case_id, {_GT_ROWS} FROM gt JOIN mids USING (case_id) JOIN cases USING (case_id)")
 def gt_phenotypes(spark, sf_dir):
-    return _rounded(phenotype.gt_phenotypes(fixture.voxels(spark, sf_dir), fixture.cases(spark, sf_dir)).drop("tumour_centroid_mm", "organ_centroid_mm"))
+    return _centred(phenotype.gt_phenotypes(fixture.voxels(spark, sf_dir), fixture.cases(spark, sf_dir)))
+
+
+_HU = "avg(hu) AS hm, stddev_pop(hu) AS hs, min(hu) AS h0, max(hu) AS h1, max(x)-min(x)+1 AS bx, max(y)-min(y)+1 AS by_, max(z)-min(z)+1 AS bz"
+_HU_ROWS = "round(bx*sx, 6) AS box_x, round(by_*sy, 6) AS box_y, round(bz*sz, 6) AS box_z, round(hm, 6) AS hu_mean, round(hs, 6) AS hu_std, h0 AS hu_min, h1 AS hu_max"
+_RELATIVE = "(tz-oz_)/greatest(1.0, abs(oz_))"
 
 
-@query(_GT + ",\nb AS (SELECT case_id, max(x)-min(x)+1 AS bx, max(y)-min(y)+1 AS by_, max(z)-min(z)+1 AS bz, avg(hu) AS hm, stddev_pop(hu) AS hs, min(hu) AS h0, max(hu) AS h1, avg(z) AS tz FROM voxels WHERE seg = 2 GROUP BY case_id), oz AS (SELECT case_id, avg(z) AS oz FROM voxels WHERE seg = 1 GROUP BY case_id)\nSELECT gt.case_id, tumour_voxels, round(diameter_mm, 6) AS diameter_mm, round(bx*sx, 6) AS box_x, round(by_*sy, 6) AS box_y, round(bz*sz, 6) AS box_z, round(hm, 6) AS hu_mean, round(hs, 6) AS hu_std, h0 AS hu_min, h1 AS hu_max, CASE WHEN (tz-oz)/greatest(1.0, abs(oz)) < -0.3 THEN 'tail' WHEN (tz-oz)/greatest(1.0, abs(oz)) > 0.3 THEN 'head' ELSE 'body' END AS subregion, CASE WHEN diameter_mm <= 20 THEN 'T1' WHEN diameter_mm <= 40 THEN 'T2' WHEN tumour_cm3 <= 50 THEN 'T3' ELSE 'T4' END AS t_stage FROM gt JOIN b USING (case_id) JOIN oz USING (case_id) JOIN cases USING (case_id)")
+@query(_GT + _MIDS + f",\nb AS (SELECT case_id, {_HU} FROM voxels WHERE seg = 2 GROUP BY case_id)\nSELECT case_id, {_GT_ROWS}, {_HU_ROWS}, dataset, sx, sy, sz, CASE WHEN oz_ IS NULL THEN 'unknown' WHEN {_RELATIVE} < -0.3 THEN 'tail' WHEN {_RELATIVE} > 0.3 THEN 'head' ELSE 'body' END AS subregion, CASE WHEN diameter_mm <= 20 THEN 'T1' WHEN diameter_mm <= 40 THEN 'T2' WHEN tumour_cm3 <= 50 THEN 'T3' ELSE 'T4' END AS t_stage FROM gt JOIN mids USING (case_id) JOIN b USING (case_id) JOIN cases USING (case_id)")
 def case_metadata(spark, sf_dir):
-    m = phenotype.case_metadata(fixture.voxels(spark, sf_dir), fixture.cases(spark, sf_dir))
-    return _rounded(m.select("case_id", "tumour_voxels", "diameter_mm", "box_x", "box_y", "box_z", "hu_mean", "hu_std", "hu_min", "hu_max", "subregion", "t_stage"))
+    return _centred(phenotype.case_metadata(fixture.voxels(spark, sf_dir), fixture.cases(spark, sf_dir)))
 
 
-@query(_TUMOURS + _DISTANCE + ",\ns AS (SELECT case_id, sum(CASE WHEN seg=1 THEN 1 ELSE 0 END) AS o, avg(CASE WHEN seg=1 THEN z END) AS oz FROM voxels GROUP BY case_id)\nSELECT case_id, label, count(*) AS voxels, round(avg(hu), 6) AS hu_mean, round(min(d), 6) AS distance, round(avg(d), 6) AS mean_distance, round(count(*)*any_value(sx*sy*sz)/1000.0, 6) AS volume_cm3, round(100.0*count(*)/greatest(any_value(o), 1), 6) AS coverage_pct, CASE WHEN avg(z) < any_value(oz) THEN 'right_lobe' ELSE 'left_lobe' END AS subregion FROM comp JOIN t USING (case_id, lin) JOIN far USING (case_id, lin) JOIN s USING (case_id) JOIN cases USING (case_id) GROUP BY case_id, label")
+_STAGED = "CASE WHEN {d} <= 20 THEN 'T1' WHEN {d} <= 40 THEN 'T2' WHEN {v} <= 50 THEN 'T3' ELSE 'T4' END"
+
+
+@query(_TUMOURS + _DISTANCE + ",\ns AS (SELECT case_id, CAST(sum(CASE WHEN seg=1 THEN 1 ELSE 0 END) AS BIGINT) AS o, avg(CASE WHEN seg=1 THEN z END) AS oz FROM voxels GROUP BY case_id), k AS (SELECT case_id, count(DISTINCT label) AS k FROM comp GROUP BY case_id), "
+       f"m AS (SELECT case_id, label, count(*) AS n, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, {_HU}, coalesce(min(d), 0) AS near, coalesce(avg(d), 0) AS far_ FROM comp JOIN t USING (case_id, lin) LEFT JOIN far USING (case_id, lin) GROUP BY case_id, label), "
+       "w AS (SELECT *, n*sx*sy*sz/1000.0 AS cm3, 2.0*pow(3.0*n*sx*sy*sz/(4.0*pi()), 1.0/3.0) AS d FROM m JOIN cases USING (case_id))\n"
+       f"SELECT case_id, label, n AS voxels, round(cx, 6) AS cx, round(cy, 6) AS cy, round(cz, 6) AS cz, {_HU_ROWS}, round(near, 6) AS distance, round(far_, 6) AS mean_distance, o AS organ_voxels, k AS n_tumours, dataset, sx, sy, sz, round(cm3, 6) AS volume_cm3, round(d, 6) AS diameter_mm, round(100.0*n/greatest(o, 1), 6) AS coverage_pct, CASE WHEN oz IS NULL THEN 'unknown' WHEN cz < oz THEN 'right_lobe' ELSE 'left_lobe' END AS subregion, {_STAGED.format(d='d', v='cm3')} AS t_stage FROM w JOIN s USING (case_id) JOIN k USING (case_id)")
 def tumour_metadata(spark, sf_dir):
-    m = phenotype.tumour_metadata(fixture.voxels(spark, sf_dir), fixture.cases(spark, sf_dir))
-    return _rounded(m.select("case_id", "label", "voxels", "hu_mean", "distance", "mean_distance", "volume_cm3", "coverage_pct", "subregion"))
+    return _rounded(phenotype.tumour_metadata(fixture.voxels(spark, sf_dir), fixture.cases(spark, sf_dir)))
 
 
 def _phenotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled, cases = staged(binned(spark, sf_dir)), fixture.cases(spark, sf_dir)
     counts = staged(features.label_counts(labelled))
-    chosen = phenotype.select_tumour_nodes(counts, 0.02)
+    chosen = phenotype.select_tumour_nodes(counts)
     far = phenotype.min_distance_per_label(labelled, cases, chosen)
     return staged(phenotype.phenotypes(features.node_features(labelled, "v", cases), chosen, far, cases))
 
 
-_PHENO = _BINNED + _COUNTS + ",\nchosen AS (SELECT case_id, label, n, row_number() OVER (PARTITION BY case_id ORDER BY label) - 1 AS tumor_idx FROM counts WHERE n_tumour / n > 0.02), oth AS (SELECT c.case_id, CAST(sum(CASE WHEN k.label IS NULL THEN c.n ELSE 0 END) AS BIGINT) AS others FROM counts c LEFT JOIN chosen k USING (case_id, label) GROUP BY c.case_id), cz AS (SELECT case_id, label, avg(z) AS cz FROM binned GROUP BY case_id, label), ph AS (SELECT k.case_id, dataset, tumor_idx, k.label AS supernode_id, k.n*sx*sy*sz/1000.0 AS volume_cm3, 2.0*pow(3.0*k.n*sx*sy*sz/(4.0*pi()), 1.0/3.0) AS diameter_mm, 100.0*k.n/greatest(others + k.n, 1) AS coverage_pct, CASE WHEN dataset = 'LiTS' THEN CASE WHEN cz < 8 THEN 'right_lobe' ELSE 'left_lobe' END WHEN cz/16 < 0.33 THEN 'pancreatic_tail' WHEN cz/16 < 0.66 THEN 'pancreatic_body' ELSE 'pancreatic_head' END AS subregion FROM chosen k JOIN oth USING (case_id) JOIN cz USING (case_id, label) JOIN cases USING (case_id))"
-_STAGE = "CASE WHEN diameter_mm <= 20 THEN 'T1' WHEN diameter_mm <= 40 THEN 'T2' WHEN volume_cm3 <= 50 THEN 'T3' ELSE 'T4' END"
+_PHENO = (
+    _BINNED + _NODES + _COUNTS + ",\nchosen AS (SELECT case_id, label, n, row_number() OVER (PARTITION BY case_id ORDER BY label) - 1 AS tumor_idx FROM counts WHERE n_tumour / n > 0.1), "
+    "oth AS (SELECT c.case_id, CAST(sum(CASE WHEN k.label IS NULL THEN c.n ELSE 0 END) AS BIGINT) AS others FROM counts c LEFT JOIN chosen k USING (case_id, label) GROUP BY c.case_id), "
+    "o AS (SELECT case_id, x, y, z FROM voxels WHERE seg = 1), "
+    "far AS (SELECT v.case_id, v.label, min(sqrt((v.x-o.x)*(v.x-o.x)*sx*sx + (v.y-o.y)*(v.y-o.y)*sy*sy + (v.z-o.z)*(v.z-o.z)*sz*sz)) AS d FROM binned v JOIN chosen USING (case_id, label) JOIN cases USING (case_id) JOIN o ON v.case_id = o.case_id GROUP BY v.case_id, v.label), "
+    "ph0 AS (SELECT k.case_id, dataset, tumor_idx, k.label AS supernode_id, k.n*sx*sy*sz/1000.0 AS volume_cm3, 2.0*pow(3.0*k.n*sx*sy*sz/(4.0*pi()), 1.0/3.0) AS diameter_mm, 100.0*k.n/greatest(others + k.n, 1) AS coverage_pct, compactness, elongation, "
+    "CASE WHEN dataset = 'LiTS' THEN CASE WHEN cz < 8 THEN 'right_lobe' ELSE 'left_lobe' END WHEN cz/16 < 0.33 THEN 'pancreatic_tail' WHEN cz/16 < 0.66 THEN 'pancreatic_body' ELSE 'pancreatic_head' END AS subregion, "
+    f"{_MORPHOLOGY} AS morphology, coalesce(d, 0) AS distance_to_organ_mm, mean_intensity, intensity_std FROM chosen k JOIN oth USING (case_id) JOIN nodes USING (case_id, label) JOIN cases USING (case_id) LEFT JOIN far USING (case_id, label)), "
+    f"ph AS (SELECT *, {_STAGED.format(d='diameter_mm', v='volume_cm3')} AS t_stage, 'case_' || case_id || '_tumor_' || tumor_idx AS source FROM ph0)"
+)
+_PHENO_ROWS = "case_id, dataset, CAST(tumor_idx AS INT) AS tumor_idx, supernode_id, round(volume_cm3, 6) AS volume_cm3, round(diameter_mm, 6) AS diameter_mm, round(coverage_pct, 6) AS coverage_pct, compactness, round(elongation, 4) AS elongation, subregion, morphology, t_stage, round(distance_to_organ_mm, 6) AS distance_to_organ_mm, round(mean_intensity, 6) AS mean_intensity, round(intensity_std, 6) AS intensity_std"
 
 
-@query(_PHENO + f"\nSELECT case_id, dataset, CAST(tumor_idx AS INT) AS tumor_idx, supernode_id, round(volume_cm3, 6) AS volume_cm3, round(diameter_mm, 6) AS diameter_mm, round(coverage_pct, 6) AS coverage_pct, subregion, {_STAGE} AS t_stage FROM ph")
+@query(_PHENO + f"\nSELECT {_PHENO_ROWS} FROM ph")
 def phenotypes(spark, sf_dir):
-    return _rounded(_phenotypes(spark, sf_dir).select("case_id", "dataset", "tumor_idx", "supernode_id", "volume_cm3", "diameter_mm", "coverage_pct", "subregion", "t_stage"))
+    p = _phenotypes(spark, sf_dir)
+    return p.select(*(F.col(c) if t != "double" or c == "compactness" else _r(c, 4 if c == "elongation" else 6) for c, t in p.dtypes))
 
 
-@query(_PHENO + f",\nx AS (SELECT 'case_' || case_id || '_tumor_' || tumor_idx AS source, *, {_STAGE} AS stage FROM ph)\nSELECT case_id, source, CASE WHEN dataset = 'LiTS' THEN 'organ_liver' ELSE 'organ_pancreas' END AS target, 'part_of' AS relation FROM x UNION ALL SELECT case_id, source, CASE WHEN dataset = 'LiTS' THEN 'disease_hepatocellular_carcinoma' ELSE 'disease_pancreatic_adenocarcinoma' END, 'suggestive_of' FROM x UNION ALL SELECT case_id, source, 'anatomy_' || subregion, 'located_in' FROM x UNION ALL SELECT case_id, source, 'stage_' || lower(stage), 'has_stage' FROM x UNION ALL SELECT case_id, source, source || '_feat_' || f, 'has_feature' FROM x, (VALUES {', '.join(f"('{c}')" for c in phenotype.KG_FEATURES)}) v(f)")
+_TARGETS = (
+    ("CASE WHEN dataset = 'LiTS' THEN 'organ_liver' ELSE 'organ_pancreas' END", "part_of"),
+    ("CASE WHEN dataset = 'LiTS' THEN 'disease_hepatocellular_carcinoma' ELSE 'disease_pancreatic_adenocarcinoma' END", "suggestive_of"),
+    ("'anatomy_' || subregion", "located_in"),
+    ("'stage_' || lower(t_stage)", "has_stage"),
+    *((f"source || '_feat_{c}'", "has_feature") for c in phenotype.KG_FEATURES),
+    ("'obs_' || morphology", "has_morphology"),
+)
+_KG_EDGES = ",\nkge AS (" + " UNION ALL ".join(f"SELECT case_id, source, {t} AS target, '{r}' AS relation FROM ph" for t, r in _TARGETS) + ")"
+
+
+@query(_PHENO + _KG_EDGES + "\nSELECT * FROM kge")
 def kg_edges(spark, sf_dir):
-    return phenotype.kg_edges(_phenotypes(spark, sf_dir)).where("relation <> 'has_morphology'")
+    return phenotype.kg_edges(_phenotypes(spark, sf_dir))
 
 
-@query(None)
+_EMPTY = {"value": "CAST(NULL AS DOUBLE)", "term": "CAST(NULL AS VARCHAR)", "dataset": "CAST(NULL AS VARCHAR)", "case_id": "CAST(NULL AS BIGINT)", "supernode_id": "CAST(NULL AS BIGINT)"} | {c: "CAST(NULL AS DOUBLE)" for c in ("compactness", "elongation", "mean_intensity", "intensity_std")}
+
+
+def _kg_part(source: str, id_: str, kind: str, name: str, seq: str, **more: str) -> str:
+    rest = ", ".join(f"{more.get(c, e)} AS {c}" for c, e in _EMPTY.items())
+    return f"SELECT {id_} AS id, '{kind}' AS type, {name} AS name, case_id AS of_case, {seq} AS seq, {rest} FROM {source}"
+
+
+_KG_NODES = ",\nkgn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY of_case, seq) AS k FROM (" + " UNION ALL ".join(
+    [
+        _kg_part("cases", "CASE WHEN dataset = 'LiTS' THEN 'organ_liver' ELSE 'organ_pancreas' END", "Organ", "CASE WHEN dataset = 'LiTS' THEN 'liver' ELSE 'pancreas' END", "0"),
+        _kg_part("cases", "CASE WHEN dataset = 'LiTS' THEN 'disease_hepatocellular_carcinoma' ELSE 'disease_pancreatic_adenocarcinoma' END", "Disease", "CASE WHEN dataset = 'LiTS' THEN 'hepatocellular_carcinoma' ELSE 'pancreatic_adenocarcinoma' END", "1"),
+        _kg_part("ph", "source", "Tumor", "'tumor_' || tumor_idx", "20 * tumor_idx + 2", **{c: c for c in ("dataset", "case_id", "supernode_id", "compactness", "elongation", "mean_intensity", "intensity_std")}),
+        _kg_part("ph", "'anatomy_' || subregion", "Anatomy", "subregion", "20 * tumor_idx + 3"),
+        _kg_part("ph", "'stage_' || lower(t_stage)", "Stage", "t_stage", "20 * tumor_idx + 4"),
+        *(_kg_part("ph", f"source || '_feat_{c}'", "Feature", f"'{c}'", f"20 * tumor_idx + {5 + k}", value=c) for k, c in enumerate(phenotype.KG_FEATURES)),
+        _kg_part("ph", "'obs_' || morphology", "Observation", "morphology", "20 * tumor_idx + 13", term="morphology"),
+    ]
+) + ") q) r WHERE k = 1)"
+_KG_DIGITS = {"elongation": 4, "mean_intensity": 6, "intensity_std": 6}
+_KG_ROUND = ", ".join(f"round({c}, {n}) AS {c}" for c, n in _KG_DIGITS.items())
+
+
+def _kg_nodes(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    return phenotype.dedupe_nodes(phenotype.kg_nodes(found, fixture.cases(spark, sf_dir)))
+
+
+@query(_PHENO + _KG_NODES + f"\nSELECT id, of_case, type, name, 'CT' AS modality, CASE WHEN name = 'elongation' THEN round(value, 4) WHEN name = 'compactness' THEN round(ln(value), 6) ELSE round(value, 6) END AS value, term, dataset, case_id, supernode_id, compactness, {_KG_ROUND} FROM kgn")
 def kg_nodes(spark, sf_dir):
-    return phenotype.dedupe_nodes(phenotype.kg_nodes(_phenotypes(spark, sf_dir), fixture.cases(spark, sf_dir)))
+    """All nodes; compactness values, which are huge without a border, as logarithms."""
+    n = _kg_nodes(spark, sf_dir, _phenotypes(spark, sf_dir))
+    value = F.when(F.col("name") == "elongation", F.round("value", 4)).when(F.col("name") == "compactness", F.round(F.log("value"), 6)).otherwise(F.round("value", 6)).alias("value")
+    props = [F.col("props")["compactness"].alias("compactness"), *(F.round(F.col("props")[c], n).alias(c) for c, n in _KG_DIGITS.items())]
+    return n.select("id", "of_case", "type", "name", "modality", value, "term", "dataset", "case_id", "supernode_id", *props)
 
 
-@query(_PHENO + f",\nx AS (SELECT *, {_STAGE} AS stage FROM ph), a AS (SELECT 'Organ' AS name, count(DISTINCT dataset) AS n FROM cases UNION ALL SELECT 'Disease', count(DISTINCT dataset) FROM cases UNION ALL SELECT 'Tumor', count(*) FROM x UNION ALL SELECT 'Anatomy', count(DISTINCT subregion) FROM x UNION ALL SELECT 'Stage', count(DISTINCT stage) FROM x UNION ALL SELECT 'Feature', 8 * count(*) FROM x)\nSELECT 'node' AS what, name, n FROM a WHERE n > 0 UNION ALL SELECT 'edge', r, count(*) * any_value(k) FROM x, (VALUES ('part_of', 1), ('suggestive_of', 1), ('located_in', 1), ('has_stage', 1), ('has_feature', 8), ('has_morphology', 1)) v(r, k) GROUP BY r")
+@query(_PHENO + _KG_NODES + _KG_EDGES + "\nSELECT 'node' AS what, type AS name, count(*) AS n FROM kgn GROUP BY type UNION ALL SELECT 'edge', relation, count(*) FROM kge GROUP BY relation")
 def kg_stats(spark, sf_dir):
     p = _phenotypes(spark, sf_dir)
-    nodes = phenotype.dedupe_nodes(phenotype.kg_nodes(p, fixture.cases(spark, sf_dir)))
-    return phenotype.kg_stats(nodes, phenotype.kg_edges(p)).where("name <> 'Observation'")
+    return phenotype.kg_stats(_kg_nodes(spark, sf_dir, p), phenotype.kg_edges(p))
 
 
-# the SQL twins of kg_edges and kg_stats have no morphology: these two return all relations and node types
+_CATEGORIES = ("morphology", "t_stage", "subregion", "dataset", "supernode_id")
 
 
-@query(None)
-def kg_all_edges(spark, sf_dir):
-    return phenotype.kg_edges(_phenotypes(spark, sf_dir))
+@query(_PHENO + "\n" + " UNION ALL ".join(f"SELECT '{c}' AS category, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM ph GROUP BY ALL" for c in _CATEGORIES))
+def categories(spark, sf_dir):
+    return report.category_distribution(_phenotypes(spark, sf_dir), _CATEGORIES)
 
 
-@query(None)
-def kg_all_stats(spark, sf_dir):
-    p = _phenotypes(spark, sf_dir)
-    nodes = phenotype.dedupe_nodes(phenotype.kg_nodes(p, fixture.cases(spark, sf_dir)))
-    return phenotype.kg_stats(nodes, phenotype.kg_edges(p))
+# reference rows as files: a little off the true masks, so that comparisons have something to find
 
 
-@query(_PHENO + f"\nSELECT 't_stage' AS category, {_STAGE} AS value, count(*) AS n FROM ph GROUP BY ALL UNION ALL SELECT 'subregion', subregion, count(*) FROM ph GROUP BY ALL")
-def categories(spark, sf_dir):
-    return report.category_distribution(_phenotypes(spark, sf_dir), ("t_stage", "subregion"))
+_REF = ",\nref AS (SELECT case_id, CAST(tumour + case_id % 5 AS BIGINT) AS tumour_voxels, CAST(organ - case_id % 7 AS BIGINT) AS organ_voxels, (case_id % 40) / 2.0 AS coverage_pct, (case_id % 4) + 0.5 AS distance_voxels FROM (SELECT case_id, sum(CASE WHEN seg=2 THEN 1 ELSE 0 END) AS tumour, sum(CASE WHEN seg=1 THEN 1 ELSE 0 END) AS organ FROM voxels GROUP BY case_id) q WHERE tumour > 0)"
 
 
-@query(None)
+def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference rows, written as a CSV file in the shared folder and read back by the reader of such files."""
+    s, c = volumes.case_summary(fixture.voxels(spark, sf_dir)).where("tumour > 0"), F.col("case_id")
+    path = f"{shared_dir(spark)}/reference-{uuid.uuid4().hex}"
+    rows = s.select(F.format_string("scan_%d.nii.gz", c).alias("CT Scan"), (F.col("tumour") + c % 5).alias("Tumor Volume"), (F.col("organ") - c % 7).alias("Organ Volume"), (c % 40 / 2.0).alias("Tumor Coverage (%)"), (c % 4 + 0.5).alias("Distance (voxels)"), F.lit("low").alias("Risk_GT"), F.lit("none").alias("Phenotype_GT"))
+    volumes.write_metadata_csv(rows, path)
+    return volumes.read_reference_csv(spark, path)
+
+
+@query(_REF + "\nSELECT case_id, tumour_voxels, organ_voxels, coverage_pct, CAST(distance_voxels AS DOUBLE) AS distance_voxels, 'low' AS risk_gt, 'none' AS phenotype_gt FROM ref")
+def reference_rows(spark, sf_dir):
+    return reference(spark, sf_dir)
+
+
+def _off(a: str, b: str) -> str:
+    return f"CASE WHEN {b} > 0 THEN abs({a} - {b}) / {b} END"
+
+
+_COMPARED = (("volume_cm3", "v", "tumour_cm3"), ("diameter_mm", "di", "gt.diameter_mm"), ("coverage_pct", "c", "gt.coverage_pct"), ("distance_to_organ_mm", "m", "gt.distance_to_organ_mm"))
+
+
+@query(_PHENO.replace("far AS (", "pfar AS (").replace("LEFT JOIN far", "LEFT JOIN pfar").replace("o AS (SELECT case_id, x, y, z FROM voxels WHERE seg = 1), ", "").replace("JOIN o ON", "JOIN (SELECT case_id, x, y, z FROM voxels WHERE seg = 1) o ON") + _GT + ",\nds AS (SELECT case_id, sum(volume_cm3) AS v, sum(coverage_pct) AS c, min(distance_to_organ_mm) AS m, 2.0*pow(3.0*sum(volume_cm3)*1000.0/(4.0*pi()), 1.0/3.0) AS di FROM ph GROUP BY case_id)\n" + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(avg({_off(a, b)}), 6) AS mean_error, count({_off(a, b)}) AS n FROM gt JOIN ds USING (case_id)" for f, a, b in _COMPARED))
 def compare_case(spark, sf_dir):
     gt = phenotype.gt_phenotypes(fixture.voxels(spark, sf_dir), fixture.cases(spark, sf_dir))
     return _rounded(report.compare_case(gt, _phenotypes(spark, sf_dir)))
 
 
-def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference rows as a reader of the CSV files gives them, from the true masks."""
-    s = volumes.case_summary(fixture.voxels(spark, sf_dir)).where("tumour > 0")
-    return s.select("case_id", F.col("tumour").alias("tumour_voxels"), F.col("organ").alias("organ_voxels"), "coverage_pct", F.lit(1.0).alias("distance_voxels"))
+_CSV_NUMBERS = ("volume_cm3", "diameter_mm", "coverage_pct", "distance_to_organ_mm", "elongation")
 
 
-@query(None)
+@query(_PHENO + _REF + ",\nds AS (SELECT case_id, sum(volume_cm3) AS volume_cm3, max(diameter_mm) AS diameter_mm, sum(coverage_pct) AS coverage_pct, min(distance_to_organ_mm) AS distance_to_organ_mm, avg(compactness) AS compactness, avg(elongation) AS elongation, arg_min(morphology, tumor_idx) AS morphology, arg_min(t_stage, tumor_idx) AS t_stage, arg_min(subregion, tumor_idx) AS subregion FROM ph GROUP BY case_id), "
+       "rs AS (SELECT case_id, tumour_voxels*sx*sy*sz/1000.0 AS ref_volume_cm3, 2.0*pow(3.0*greatest(tumour_voxels*sx*sy*sz/1000.0, 0.001)*1000.0/(4.0*pi()), 1.0/3.0) AS ref_diameter_mm, coverage_pct AS ref_coverage_pct, distance_voxels*sx AS ref_distance_to_organ_mm FROM ref JOIN cases USING (case_id)), "
+       f"j AS (SELECT rs.*, {', '.join(f'coalesce({c}, 0.0) AS {c}' for c in _CSV_NUMBERS)}, coalesce(compactness, 0.0) AS compactness, {', '.join(f"coalesce({c}, 'N/A') AS {c}" for c in ('morphology', 't_stage', 'subregion'))} FROM rs LEFT JOIN ds USING (case_id))\n"
+       f"SELECT case_id, {', '.join(f'round(ref_{c}, 6) AS ref_{c}' for c in _CSV_NUMBERS[:4])}, {', '.join(f'round({c}, {4 if c == "elongation" else 6}) AS {c}' for c in _CSV_NUMBERS)}, compactness, morphology, t_stage, subregion, {', '.join(f"round(100.0 * {_off(c, f'ref_{c}')}, 6) AS {c}_error_pct" for c in _CSV_NUMBERS[:4])} FROM j")
 def compare_case_csv(spark, sf_dir):
-    return _rounded(report.compare_case_csv(reference(spark, sf_dir), _phenotypes(spark, sf_dir), fixture.cases(spark, sf_dir)))
+    r = report.compare_case_csv(reference(spark, sf_dir), _phenotypes(spark, sf_dir), fixture.cases(spark, sf_dir))
+    return r.select(*(F.col(c) if t != "double" or c == "compactness" else _r(c, 4 if c == "elongation" else 6) for c, t in r.dtypes))
 
 
-@query(None)
+@query(_PHENO + _REF + "\nSELECT ref_tumours, round(ref_voxels, 4) AS ref_voxels, round(ref_coverage_pct, 4) AS ref_coverage_pct, round(ref_distance, 4) AS ref_distance, tumours, round(mean_mm3, 4) AS mean_mm3, round(mean_coverage_pct, 4) AS mean_coverage_pct, round(mean_distance_mm, 4) AS mean_distance_mm, round(ln(mean_compactness), 4) AS mean_compactness, round(mean_elongation, 4) AS mean_elongation, round(tumours / greatest(ref_tumours, 1), 4) AS tumour_ratio FROM (SELECT count(*) AS ref_tumours, avg(tumour_voxels) AS ref_voxels, avg(coverage_pct) AS ref_coverage_pct, avg(distance_voxels) AS ref_distance FROM ref) a, (SELECT count(*) AS tumours, avg(volume_cm3) * 1000 AS mean_mm3, avg(coverage_pct) AS mean_coverage_pct, avg(distance_to_organ_mm) AS mean_distance_mm, avg(compactness) AS mean_compactness, avg(elongation) AS mean_elongation FROM ph) b")
 def compare_means(spark, sf_dir):
-    return _rounded(report.compare_means(reference(spark, sf_dir), _phenotypes(spark, sf_dir)), 4)
+    """Means of both sides; the compactness as its logarithm."""
+    m = report.compare_means(reference(spark, sf_dir), _phenotypes(spark, sf_dir))
+    return _rounded(m.withColumn("mean_compactness", F.log("mean_compactness")), 4)
 
 
-@query("\nSELECT case_id, CAST(sum(CASE WHEN seg=2 THEN 1 ELSE 0 END) AS BIGINT) AS tumour, CAST(sum(CASE WHEN seg=1 THEN 1 ELSE 0 END) AS BIGINT) AS organ, round(100.0*sum(CASE WHEN seg=2 THEN 1 ELSE 0 END)/greatest(sum(CASE WHEN seg=1 THEN 1 ELSE 0 END), 1), 6) AS coverage FROM voxels GROUP BY case_id HAVING sum(CASE WHEN seg=2 THEN 1 ELSE 0 END) > 0")
+@query(_REF + "\nSELECT case_id, CAST(sum(CASE WHEN seg=2 THEN 1 ELSE 0 END) AS BIGINT) AS tumour, CAST(sum(CASE WHEN seg=1 THEN 1 ELSE 0 END) AS BIGINT) AS organ, round(100.0*sum(CASE WHEN seg=2 THEN 1 ELSE 0 END)/greatest(sum(CASE WHEN seg=1 THEN 1 ELSE 0 END), 1), 6) AS coverage, any_value(tumour_voxels) AS tumour_voxels, any_value(organ_voxels) AS organ_voxels, any_value(coverage_pct) AS coverage_pct, CAST(any_value(distance_voxels) AS DOUBLE) AS distance_voxels FROM voxels JOIN ref USING (case_id) GROUP BY case_id")
 def derived_vs_csv_volumes(spark, sf_dir):
-    r = reference(spark, sf_dir).select("case_id")
+    r = reference(spark, sf_dir).drop("risk_gt", "phenotype_gt")
     return _rounded(report.derived_vs_csv_volumes(fixture.voxels(spark, sf_dir), r))
 
 
-@query(None)
-def patient_graph(spark, sf_dir):
+_PATIENT = _BINNED + _NODES + _COUNTS + ",\nkinds AS (SELECT c.case_id, CASE WHEN n_tumour / n > 0.1 THEN 'tumour' WHEN (n_organ - n_tumour) / n > 0.3 THEN 'organ' END AS kind, volume, cx, cy, cz FROM counts c JOIN nodes USING (case_id, label)), pts AS (SELECT case_id, kind, CAST(sum(volume) AS BIGINT) AS volume, count(*) AS regions, sum(cx*sx*volume)/sum(volume) AS px, sum(cy*sy*volume)/sum(volume) AS py, sum(cz*sz*volume)/sum(volume) AS pz FROM kinds JOIN cases USING (case_id) WHERE kind IS NOT NULL GROUP BY case_id, kind)"
+
+
+def _patients(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     labelled, cases = staged(binned(spark, sf_dir)), fixture.cases(spark, sf_dir)
-    _, edges = phenotype.patient_graph(features.label_counts(labelled), features.node_features(labelled, "v", cases), cases, tumour_share=0.02)
-    return _rounded(edges)
+    return phenotype.patient_graph(features.label_counts(labelled), features.node_features(labelled, "v", cases), cases)
+
+
+@query(_PATIENT + "\nSELECT case_id, kind, volume, regions, round(px, 6) AS cx, round(py, 6) AS cy, round(pz, 6) AS cz FROM pts")
+def patient_nodes(spark, sf_dir):
+    return _rounded(_patients(spark, sf_dir)[0])
+
+
+@query(_PATIENT + "\nSELECT a.case_id, a.kind AS source, b.kind AS target, round(sqrt((a.px-b.px)*(a.px-b.px) + (a.py-b.py)*(a.py-b.py) + (a.pz-b.pz)*(a.pz-b.pz)), 6) AS distance_mm, round(100.0*b.volume/greatest(a.volume + b.volume, 1), 6) AS coverage_pct FROM pts a JOIN pts b ON a.case_id = b.case_id AND a.kind = 'organ' AND b.kind = 'tumour'")
+def patient_graph(spark, sf_dir):
+    return _rounded(_patients(spark, sf_dir)[1])
 
 
 # classification and search
