@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelgraph.operators import contract, features, stencil
+from voxelgraph.operators import contract, features, phenotype, stencil
 from voxelgraph.operators import edges as E
 from voxelgraph.operators.components import connected_components
 from voxelgraph.session import staged
@@ -147,3 +147,80 @@ def test_face_counts_and_surface(spark):
     assert [(r.lo, r.hi, r.shared_faces) for r in E.shared_faces(named).collect()] == [(1, 2, 4)]
     big, _ = table(spark, np.ones((4, 4, 4)))
     assert stencil.with_surface(big, F.col("v") == 1).where("surface").count() == 64 - 8
+
+
+def seeds_by_hand(a, tolerance, most):
+    """Regions grown with a queue, seed after seed, in the order of the strides."""
+    step = lambda n: next((s for s in [*range(max(1, int(n / 2.236)), n), *range(max(1, int(n / 2.236)) - 1, 0, -1)] if np.gcd(n, s) == 1), 1)
+    axes = [[(n // d + i * step(n)) % n for i in range(n)] for n, d in zip(a.shape, (3, 5, 7))]
+    out = np.zeros(a.shape, "i8")
+    for seed in ((x, y, z) for x in axes[0] for y in axes[1] for z in axes[2]):
+        if out[seed]:
+            continue
+        name, size, queue = np.ravel_multi_index(seed, a.shape) + 1, 0, deque([seed])
+        while queue:
+            p = queue.popleft()
+            if out[p] or most is not None and size >= most:
+                continue
+            out[p], size = name, size + 1
+            for k in range(3):
+                for d in (-1, 1):
+                    q = tuple(c + d * (j == k) for j, c in enumerate(p))
+                    if all(0 <= c < n for c, n in zip(q, a.shape)) and not out[q] and abs(a[q] - a[seed]) <= tolerance:
+                        queue.append(q)
+    return out
+
+
+@pytest.mark.parametrize("most", [None, 7, 40])
+def test_anchored_growth_against_a_queue(spark, most):
+    rng = np.random.default_rng(9)
+    a = [np.round(rng.random(s), 1) for s in ((7, 6, 5), (4, 9, 8))]
+    df, _ = table(spark, *a)
+    got = arrays(contract.anchored_contract(df, "v", 0.05, 0.2, most), [x.shape for x in a])
+    assert all((g == seeds_by_hand(x, 0.2, most)).all() for g, x in zip(got, a))
+
+
+def test_the_four_volumes_of_the_native_path(spark):
+    uniform, z = np.full((10, 10, 10), 0.5), np.arange(10)[None, None, :]
+    halves = np.where(z < 5, 0.2, 0.8) * np.ones((10, 10, 1))
+    ramp = np.arange(8)[None, None, :] / 7.0 * np.ones((4, 4, 1))
+    df, _ = table(spark, uniform, halves, np.full((20, 20, 20), 0.5), ramp)
+    build = lambda case, psi, most: contract.build_minor(df.where(F.col("case_id") == case), "v", "anchored_capped", psi, 0.2, 1, most, 0.0, 1.0)["labels"].select("label").distinct().collect()
+    found = [build(0, 0.03, 500_000), build(1, 0.05, 500_000), build(2, 0.03, 1000), build(3, 0.03, 500_000)]
+    assert [len(found[0]), len(found[1])] == [1, 2] and 4 <= len(found[2]) <= 50 and 2 <= len(found[3]) <= 8
+    assert all(r.label > 0 for rows in found for r in rows)
+
+
+def test_splits_and_refinement_by_hand(spark):
+    rng = np.random.default_rng(4)
+    a = np.round(rng.random((6, 6, 6)), 2)
+    df, _ = table(spark, a)
+    refined = df.withColumn("grown", F.lit(1)).withColumn("mixed", F.col("x") < 3)
+    key = np.where(np.arange(6)[:, None, None] < 3, np.minimum(np.floor(a * 4), 3), -1.0)
+    assert (arrays(contract.split_by_intensity(refined, "v", 0.25), [a.shape])[0] == flood(key)).all()
+    labelled = df.withColumn("label", F.when(F.col("x") < 3, 1).otherwise(2).cast("long"))
+    out = contract.refine_regions(labelled, "v", labelled.where("label = 1").select("case_id", "label").distinct(), 9).collect()
+    assert {r.grown for r in out if r.x >= 3} == {2} and not any(r.mixed for r in out if r.x >= 3)
+    fine = {r.grown for r in out if r.mixed} - {2}
+    assert fine == {(0 * 6 + y) * 6 + z + contract.FINE for y in (0, 3) for z in (0, 3)}
+    alone = contract.refine_regions(labelled.where("x > 0"), "v", labelled.where("label = 1").select("case_id", "label").distinct(), 9)
+    assert alone.where("mixed").count() == 0  # no lattice voxel inside: labels stay
+
+
+def test_distances_and_gradient_against_numpy(spark):
+    rng = np.random.default_rng(6)
+    a = rng.random((7, 6, 9))
+    df, _ = table(spark, a)
+    cases = spark.createDataFrame([(0, 1.0, 1.5, 2.5)], "case_id long, sx double, sy double, sz double")
+    got = {r.lin: r.distance for r in phenotype.distance_to_mask(df, F.col("v") > 0.5, F.col("v") < 0.05, cases).collect()}
+    mask, asked = np.argwhere(a < 0.05) * [1.0, 1.5, 2.5], np.argwhere(a > 0.5)
+    want = {int(np.ravel_multi_index(p, a.shape)): np.sqrt(((mask - p * [1.0, 1.5, 2.5]) ** 2).sum(1)).min() for p in asked}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
+    assert phenotype.distance_to_mask(df, F.col("v") > 0.5, F.lit(False), cases).count() == 0
+    wide = np.pad(a, 1, mode="edge")
+    smooth = lambda x, k: (np.roll(x, 1, k) + 2 * x + np.roll(x, -1, k)) / 4
+    slope = lambda x, k: (np.roll(x, -1, k) - np.roll(x, 1, k)) / 2
+    parts = [slope(smooth(smooth(wide, (k + 1) % 3), (k + 2) % 3), k) for k in range(3)]
+    want = np.sqrt(sum(p * p for p in parts) / 3)[1:-1, 1:-1, 1:-1]
+    got = {r.lin: r.gradient for r in stencil.gradient_magnitude(df, "v").collect()}
+    assert np.allclose([got[i] for i in range(a.size)], want.ravel())

@@ -111,29 +111,14 @@ def anchored_contract(voxels: DataFrame, value: str, psi: float, alpha: float, b
 def merge_similar_regions(labelled: DataFrame, value: str, alpha: float, beta_max: int, max_rounds: int = 101) -> DataFrame:
     """Merge adjacent regions while their means differ by at most alpha and they fit in beta_max together.
 
-    In each round regions whose best neighbours are each other merge; the new mean is weighted. Stops when
-    no admissible pair is left. A merged region has the least of its labels.
+    The new mean is that of all voxels. Stops when no admissible pair is left or after ``max_rounds``. A merged
+    region has the least of its labels.
     """
-    faces = staged(E.shared_faces(labelled).select("case_id", "lo", "hi"))
-    stats = staged(labelled.where("label > 0").groupBy("case_id", "label").agg(F.count("*").alias("n"), F.sum(value).alias("t")))
-    names = staged(stats.select("case_id", "label", F.col("label").alias("to")))
-    for _ in range(max_rounds):  # the bound is the operator's own: what is left after it stays apart
-        a, b = stats.toDF("case_id", "lo", "na", "ta"), stats.toDF("case_id", "hi", "nb", "tb")
-        near = faces.join(a, ["case_id", "lo"]).join(b, ["case_id", "hi"]).withColumn("d", F.abs(F.col("ta") / F.col("na") - F.col("tb") / F.col("nb")))
-        near = near.where((F.col("d") <= alpha) & (F.col("na") + F.col("nb") <= beta_max)).select("case_id", "lo", "hi", "d")
-        both = near.select("case_id", F.col("lo").alias("r"), F.struct("d", "lo", "hi").alias("e")).unionByName(near.select("case_id", F.col("hi").alias("r"), F.struct("d", "lo", "hi").alias("e")))
-        best = both.groupBy("case_id", "r").agg(F.min("e").alias("e"))
-        # an edge that is the best of both its ends is counted twice
-        mutual = staged(best.groupBy("case_id", "e").count().where("count = 2").select("case_id", F.col("e.lo").alias("lo"), F.col("e.hi").alias("hi")))
-        if mutual.isEmpty():
-            break
-        into = mutual.select("case_id", F.col("hi").alias("label"), F.col("lo").alias("new"))
-        stats = staged(stats.join(into, ["case_id", "label"], "left").groupBy("case_id", F.coalesce("new", "label").alias("label")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
-        names = staged(names.join(into.toDF("case_id", "to", "new"), ["case_id", "to"], "left").select("case_id", "label", F.coalesce("new", "to").alias("to")))
-        lo, hi = into.toDF("case_id", "lo", "nl"), into.toDF("case_id", "hi", "nh")
-        moved = faces.join(lo, ["case_id", "lo"], "left").join(hi, ["case_id", "hi"], "left").select("case_id", F.coalesce("nl", "lo").alias("p"), F.coalesce("nh", "hi").alias("q"))
-        faces = staged(moved.where("p <> q").select("case_id", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).distinct())
-    return labelled.join(names, ["case_id", "label"], "left").withColumn("label", F.coalesce("to", "label")).select(*labelled.columns)
+
+    def work(shape, label, values):
+        return arrays.merged(shape, label, values, alpha, beta_max, max_rounds)
+
+    return arrays.on_arrays(labelled, [F.col("label").cast("bigint"), F.col(value).cast("double")], work, "label bigint")
 
 
 def delete_nodes(labelled: DataFrame, value: str, beta_min: int = 10, beta_max: int = 500_000, m_min: float = -1e9, m_max: float = 1e9) -> DataFrame:

@@ -624,51 +624,201 @@ def beta_sweep(spark, sf_dir):
     return _rounded(search.beta_sweep(features.label_counts(binned(spark, sf_dir)), [1, 50, 200, 1000]).drop("tumour_supernodes"))
 
 
-@query(None)
-def grid_search(spark, sf_dir):
-    labelled = staged(binned(spark, sf_dir).drop("label"))
-    r = search.intensity_range(labelled, "v").first()
-    configs = staged(search.param_grid(spark, r.low, r.high, 2, 2, 3))
-    return _rounded(search.search_log(search.grid_search(labelled, "v", configs), configs).drop("per_case"))
+_HASH = "md5(CAST(case_id AS VARCHAR) || ':42')"
 
 
-@query(None)
-def feature_distribution(spark, sf_dir):
-    labelled = binned(spark, sf_dir)
-    nodes = features.node_features(labelled, "v", fixture.cases(spark, sf_dir))
-    marked = nodes.join(features.node_target(features.label_counts(labelled), 0.02), ["case_id", "label"])
-    return _rounded(features.feature_distribution(marked, ("volume", "mean_intensity", "intensity_std", "boundary_length"), 30))
-
-
-@query(None)
+@query(f",\nn AS (SELECT count(*) AS n FROM cases), r AS (SELECT case_id, row_number() OVER (ORDER BY {_HASH}, case_id) AS r FROM cases), few AS (SELECT case_id FROM (SELECT case_id, sum(CASE WHEN seg = 2 THEN 1 ELSE 0 END) AS t FROM voxels GROUP BY case_id) q WHERE t > 20 ORDER BY {_HASH}, case_id LIMIT 5)\nSELECT case_id, CASE WHEN r <= greatest(3, floor(n * 0.70)) THEN 'train' WHEN r <= greatest(3, floor(n * 0.70)) + greatest(1, floor(n * 0.15)) THEN 'val' ELSE 'test' END AS split, case_id IN (SELECT case_id FROM few) AS few_shot FROM r, n")
 def split_cases(spark, sf_dir):
     """A split of all cases, and which of them a few-shot search would take."""
     few = volumes.pick_few_shot(fixture.voxels(spark, sf_dir), 5, 20).withColumn("few_shot", F.lit(True))
     return volumes.split_cases(fixture.cases(spark, sf_dir)).join(few, "case_id", "left").withColumn("few_shot", F.coalesce("few_shot", F.lit(False)))
 
 
-@query(None)
+@query(f"\nSELECT case_id FROM cases ORDER BY {_HASH}, case_id LIMIT 20")
+def sampled_cases(spark, sf_dir):
+    return volumes.sample_cases(fixture.cases(spark, sf_dir), 20)
+
+
+@query(_GT + "\nSELECT CAST(case_id AS VARCHAR) AS case_id, CAST(tumour_voxels AS VARCHAR) AS tumour_voxels, CAST(CAST(round(diameter_mm, 4) AS DOUBLE) AS VARCHAR) AS diameter_mm FROM gt")
+def metadata_csv(spark, sf_dir):
+    """Measures written as a CSV file with a header and read back as text."""
+    path = f"{shared_dir(spark)}/metadata-{uuid.uuid4().hex}"
+    volumes.write_metadata_csv(phenotype.gt_phenotypes(fixture.voxels(spark, sf_dir), fixture.cases(spark, sf_dir)).select("case_id", "tumour_voxels", "diameter_mm"), path)
+    return spark.read.option("header", "true").csv(path)
+
+
+@query(_BINNED + _COUNTS + "\nSELECT case_id, label, n, n_organ, n_tumour FROM counts")
+def results_json(spark, sf_dir):
+    """Region counts written as JSON by case and read back."""
+    path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    volumes.write_results_json(features.label_counts(binned(spark, sf_dir)), path, by_case=True)
+    return spark.read.schema("label bigint, n bigint, n_organ bigint, n_tumour bigint, case_id bigint").json(path).select("case_id", "label", "n", "n_organ", "n_tumour")
+
+
+@query(_BINNED + "\nSELECT case_id, label FROM binned GROUP BY case_id, label HAVING stddev_pop(v) > 0.4 * 0.05 AND count(*) > 30")
+def heterogeneous_regions(spark, sf_dir):
+    return contract.heterogeneous_regions(binned(spark, sf_dir), "v", 0.05)
+
+
+@query(_BINNED + _COUNTS + "\nSELECT 1.0 :: DOUBLE AS w0, round(least(sqrt((count(*) - sum(y)) / sum(y)), 30.0), 6) AS w1, round((count(*) - sum(y)) / sum(y), 6) AS raw FROM (SELECT CASE WHEN n_tumour / n > 0.1 THEN 1 ELSE 0 END AS y FROM counts) q")
+def class_weights(spark, sf_dir):
+    y = staged(features.node_target(features.label_counts(binned(spark, sf_dir))))
+    w0, w1 = learn.class_weights(y)
+    return spark.createDataFrame([(w0, round(w1, 6), round(learn.class_weights(y, "raw")[1], 6))], "w0 double, w1 double, raw double")
+
+
+_HISTOGRAM = ("volume", "mean_intensity", "intensity_std", "boundary_length")
+
+
+@query(_BINNED + _NODES + _COUNTS + ",\nlong AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, CASE WHEN n_tumour / n > 0.1 THEN 1 ELSE 0 END AS y, CAST({c} AS DOUBLE) AS v FROM nodes JOIN counts USING (case_id, label)" for c in _HISTOGRAM) + "), sp AS (SELECT feature, min(v) AS lo, (max(v) - min(v)) / 30 AS w FROM long GROUP BY feature), "
+       "b AS (SELECT feature, y, w, CASE WHEN w > 0 THEN least(floor((v - lo) / w), 29) ELSE 0 END AS bin, count(*) AS n FROM long JOIN sp USING (feature) GROUP BY ALL)\nSELECT feature, y, CAST(bin AS INT) AS bin, n, round(CASE WHEN w > 0 THEN n / (sum(n) OVER (PARTITION BY feature, y) * w) ELSE 0.0 END, 6) AS density FROM b")
+def feature_distribution(spark, sf_dir):
+    labelled = staged(binned(spark, sf_dir))
+    nodes = features.node_features(labelled, "v", fixture.cases(spark, sf_dir))
+    marked = nodes.join(features.node_target(features.label_counts(labelled)), ["case_id", "label"])
+    return _rounded(features.feature_distribution(marked, _HISTOGRAM, 30))
+
+
+_DIMS = range(len(features.NODE_FEATURES))
+
+
+def _hop(source: str, out: str) -> str:
+    sums = ", ".join(f"coalesce(sum(greatest(s.f{k}, 0.0)), 0.0) AS f{k}" for k in _DIMS)
+    return f",\n{out} AS (SELECT d.case_id, d.idx, {sums} FROM idx d LEFT JOIN both_ b ON d.case_id = b.case_id AND d.label = b.dst LEFT JOIN {source} s ON s.case_id = b.case_id AND s.label_ = b.src GROUP BY d.case_id, d.idx), {out}l AS (SELECT {out}.*, label AS label_ FROM {out} JOIN idx USING (case_id, idx))"
+
+
+@query(_BINNED + _NODES + _FACES + _COUNTS + ",\nlim AS (SELECT case_id, " + ", ".join(f"min({c}) AS lo{k}, max({c}) AS hi{k}" for k, c in enumerate(features.NODE_FEATURES)) + " FROM nodes GROUP BY case_id), "
+       "idx AS (SELECT case_id, label, row_number() OVER (PARTITION BY case_id ORDER BY label) - 1 AS idx FROM nodes), "
+       "h0l AS (SELECT case_id, idx, label AS label_, " + ", ".join(f"CASE WHEN hi{k} - lo{k} > 1e-8 THEN ({c} - lo{k}) / (hi{k} - lo{k}) ELSE {c} END AS f{k}" for k, c in enumerate(features.NODE_FEATURES)) + " FROM nodes JOIN lim USING (case_id) JOIN idx USING (case_id, label)), "
+       "both_ AS (SELECT case_id, lo AS src, hi AS dst FROM faces UNION ALL SELECT case_id, hi, lo FROM faces)" + _hop("h0l", "h1") + _hop("h1l", "h2")
+       + "\nSELECT h0l.case_id, h0l.idx, c.label, CASE WHEN n_tumour / n > 0.1 THEN 1 ELSE 0 END AS y, " + ", ".join(f"round({h}.f{k}, 4) AS {h}_{k}" for h in ("h0l", "h1", "h2") for k in _DIMS) + " FROM counts c JOIN h0l ON c.case_id = h0l.case_id AND c.label = h0l.label_ JOIN h1 ON h1.case_id = h0l.case_id AND h1.idx = h0l.idx JOIN h2 ON h2.case_id = h0l.case_id AND h2.idx = h0l.idx")
 def khop_features(spark, sf_dir):
+    """Scaled features of each region, and the sums over its neighbours in one and two steps."""
     labelled, cases = staged(binned(spark, sf_dir)), fixture.cases(spark, sf_dir)
     nodes, faces = staged(features.node_features(labelled, "v", cases)), staged(E.shared_faces(labelled))
     graph, links = features.assemble_graph(nodes, features.edge_features(faces, nodes, faces, cases), features.node_target(features.label_counts(labelled)))
     hops = learn.khop_features(staged(graph), staged(links), 2)
-    return hops.select("case_id", "idx", "label", "y", F.transform("features", lambda x: F.round(x, 4)).alias("features"))
+    return hops.select("case_id", "idx", "label", "y", *(F.round(F.col("features")[7 * h + k], 4).alias(f"{n}_{k}") for h, n in enumerate(("h0l", "h1", "h2")) for k in _DIMS))
+
+
+@query(_BINNED + ",\nlim AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM binned), g AS (SELECT a.range AS i, b.range AS j, c.range AS k, lo, hi, hi - lo AS r FROM range(16) a, range(8) b, range(8) c, lim)\nSELECT CAST(64 * i + 8 * j + k AS INT) AS config_id, round(0.02 * r + i * ((0.35 * r - 0.02 * r) / 15), 6) AS psi, round(0.05 * r + j * ((0.5 * r - 0.05 * r) / 7), 6) AS alpha, CAST(trunc(pow(10.0, 1.0 + k * (2.5 / 7))) AS INT) AS beta_min, 500000 AS beta_max, round(lo, 6) AS m_min, round(hi, 6) AS m_max FROM g")
+def param_grid(spark, sf_dir):
+    """The 1024 configurations of the default grid over the intensities' range."""
+    r = search.intensity_range(binned(spark, sf_dir), "v").first()
+    return _rounded(search.param_grid(spark, r.low, r.high))
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    voxels = staged(binned(spark, sf_dir).drop("label"))
+    r = search.intensity_range(voxels, "v").first()
+    configs = staged(search.param_grid(spark, r.low, r.high))
+    return search.grid_search(voxels, "v", configs), configs
+
+
+@query(None)
+def grid_search(spark, sf_dir):
+    """All 1024 configurations of the default grid, by the mean surface Dice over all cases."""
+    return _rounded(search.search_log(*_searched(spark, sf_dir)).drop("per_case"))
+
+
+@query(None)
+def best_config(spark, sf_dir):
+    """The first configuration with the highest mean volume Dice among 256."""
+    voxels = staged(binned(spark, sf_dir).drop("label"))
+    r = search.intensity_range(voxels, "v").first()
+    configs = staged(search.param_grid(spark, r.low, r.high, 4, 8, 8))
+    return _rounded(search.best_config(search.search_log(search.grid_search(voxels, "v", configs, measure="volume"), configs)).drop("per_case"))
+
+
+@query(None)
+def random_search(spark, sf_dir):
+    """Scores of configurations drawn at random, over all cases; the best five of ten."""
+    configs = staged(search.random_search(spark, 10))
+    scores = search.grid_search(staged(binned(spark, sf_dir).drop("label")), "v", configs, measure="volume")
+    return _rounded(search.top_configs(search.search_log(scores, configs, penalty=True).drop("per_case"), 5))
 
 
 @query(None)
 def window_sweep(spark, sf_dir):
-    """Mean oracle Dice of quantised components in two intensity windows."""
-    return _rounded(search.window_sweep(fixture.voxels(spark, sf_dir), {k: scalars.WINDOWS[k] for k in ("liver", "resumable")}))
+    """Mean oracle Dice of quantised components in all intensity windows."""
+    return _rounded(search.window_sweep(fixture.voxels(spark, sf_dir), scalars.WINDOWS))
+
+
+@query(None)
+def config_sweep(spark, sf_dir):
+    """The diagnosis' six configurations over all cases with a tumour."""
+    return _rounded(search.config_sweep(binned(spark, sf_dir).drop("label"), "v"))
+
+
+STRATEGIES = {
+    "quantized": {"method": "quantized", "beta_min": 5},
+    "adaptive": {"method": "adaptive", "psi": 0.12, "alpha": 0.12},
+    "anchored": {"method": "anchored", "psi": 0.05, "alpha": 0.10},
+    "capped and merged": {"method": "anchored_capped", "psi": 0.05, "alpha": 0.10, "beta_max": 2000},
+    "no such method": {"method": "kmeans"},
+}
+
+
+@query(None)
+def strategy_comparison(spark, sf_dir):
+    """Every contraction on every case; a method that fails leaves a row that says so."""
+    return _rounded(search.strategy_comparison(binned(spark, sf_dir).drop("label"), "v", STRATEGIES))
 
 
 # contraction and composed jobs, over all voxels
 
 
+def _sizes(labelled: DataFrame) -> DataFrame:
+    return labelled.groupBy("case_id", "label").agg(F.count("*").alias("n"), F.sum("lin").alias("places"))
+
+
 @query(None)
 def quantized_components(spark, sf_dir):
-    cc = contract.quantized_components(binned(spark, sf_dir).drop("label"), "v", BINS)
-    return cc.groupBy("case_id", "label").agg(F.count("*").alias("n"), F.sum("lin").alias("places"))
+    return _sizes(contract.quantized_components(binned(spark, sf_dir).drop("label"), "v", BINS))
+
+
+@query(None)
+def marker_watershed(spark, sf_dir):
+    """Sizes of the basins that grow from a lattice of markers."""
+    flat = staged(stencil.gradient_magnitude(binned(spark, sf_dir).drop("label"), "v"))
+    return _sizes(contract.marker_watershed(flat, "gradient", stencil.lattice_markers(flat, 5)))
+
+
+@query(None)
+def refined_regions(spark, sf_dir):
+    """A finer watershed inside the regions whose intensities are mixed."""
+    flat = staged(stencil.gradient_magnitude(binned(spark, sf_dir).drop("label"), "v"))
+    coarse = staged(contract.marker_watershed(flat, "gradient", stencil.lattice_markers(flat, 8)))
+    refined = contract.refine_regions(coarse, "gradient", contract.heterogeneous_regions(coarse, "v", 0.05), 12)
+    return refined.groupBy("case_id", "mixed", "grown").agg(F.count("*").alias("n"), F.sum("lin").alias("places"))
+
+
+@query(None)
+def split_regions(spark, sf_dir):
+    """Regions split by intensity where they are mixed."""
+    refined = binned(spark, sf_dir).withColumn("grown", F.expr("1 + x div 8")).withColumn("mixed", F.col("x") < 8).drop("label")
+    return _sizes(contract.split_by_intensity(refined, "v", 0.12))
+
+
+@query(None)
+def adaptive_regions(spark, sf_dir):
+    return _sizes(contract.adaptive_contract(binned(spark, sf_dir).drop("label"), "v", 0.12))
+
+
+@query(None)
+def anchored_regions(spark, sf_dir):
+    return _sizes(contract.anchored_contract(binned(spark, sf_dir).drop("label"), "v", 0.05, 0.1))
+
+
+@query(None)
+def capped_regions(spark, sf_dir):
+    return _sizes(contract.anchored_contract(binned(spark, sf_dir).drop("label"), "v", 0.05, 0.1, 300))
+
+
+@query(None)
+def merged_regions(spark, sf_dir):
+    capped = staged(contract.anchored_contract(binned(spark, sf_dir).drop("label"), "v", 0.05, 0.1, 300))
+    return _sizes(contract.merge_similar_regions(capped, "v", 0.1, 2000))
 
 
 @query(None)
@@ -676,7 +826,7 @@ def flagship(spark, sf_dir):
     """Which regions are tumour, how many there are, and how good a mask could be."""
     m = contract.build_minor(binned(spark, sf_dir).drop("label"), "v", "quantized", beta_min=10, bins=BINS)
     counts = staged(features.label_counts(m["labels"]))
-    return _rounded(evaluate.oracle(counts).join(evaluate.deletion_loss(counts).select("case_id", "lost", "lost_pct"), "case_id").join(m["stats"], "case_id"))
+    return _rounded(evaluate.oracle(counts).join(evaluate.deletion_loss(counts).select("case_id", "lost", "lost_pct"), "case_id").join(m["stats"].drop("supernodes"), "case_id"))
 
 
 @query(None)
@@ -686,28 +836,23 @@ def group_tumours(spark, sf_dir):
     return _rounded(phenotype.group_tumours(m["labels"], m["nodes"], m["counts"], cases), 4)
 
 
-@query(None)
-def quantized_pipeline(spark, sf_dir):
-    """Region classifier over all cases: scores per split and over all."""
-    return _rounded(pipelines.quantized_pipeline(fixture.voxels(spark, sf_dir), fixture.cases(spark, sf_dir))["summary"])
-
-
-@query(None)
-def marker_watershed(spark, sf_dir):
-    """Sizes of the basins that grow from a lattice of markers."""
-    flat = staged(stencil.gradient_magnitude(binned(spark, sf_dir).drop("label"), "v"))
-    grown = contract.marker_watershed(flat, "gradient", stencil.lattice_markers(flat, 5))
-    return grown.groupBy("case_id", "label").agg(F.count("*").alias("n"), F.sum("lin").alias("places"))
+def _job(name: str, doc: str, run: Callable) -> None:
+    """Register a composed job over all cases."""
 
+    def job(spark, sf_dir):
+        return _rounded(run(fixture.voxels(spark, sf_dir), fixture.cases(spark, sf_dir), spark, sf_dir), 4)
 
-@query(None)
-def heterogeneous_regions(spark, sf_dir):
-    return contract.heterogeneous_regions(binned(spark, sf_dir), "v", 0.05)
+    job.__name__, job.__doc__ = name, doc
+    query(None)(job)
 
 
-@query(None)
-def random_search(spark, sf_dir):
-    """Scores of configurations drawn at random, over all cases; the best three."""
-    configs = staged(search.random_search(spark, 4))
-    scores = search.grid_search(staged(binned(spark, sf_dir).drop("label")), "v", configs, measure="volume")
-    return _rounded(search.top_configs(search.search_log(scores, configs, penalty=True).drop("per_case"), 3))
+_job("quantized_pipeline", "Region classifier over all cases: scores per split and over all.", lambda v, c, *_: pipelines.quantized_pipeline(v, c)["summary"])
+_job("pancreas_pipeline", "Minors, classifier, phenotypes and knowledge graph: its nodes and edges by kind.", lambda v, c, *_: pipelines.pancreas_pipeline(v, c)["kg_stats"])
+_job("liver_pipeline", "Minors, classifier, grouped tumours: means beside the reference rows.", lambda v, c, spark, sf: pipelines.liver_pipeline(v, c, reference(spark, sf))["means"])
+_job("resumable_pipeline", "The resumable job from a store without results: scores per split.", lambda v, c, spark, sf: pipelines.resumable_pipeline(v, c, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")["summary"])
+_job("two_stage_pipeline", "Organ regions first, tumours among them: scores per split.", lambda v, c, *_: pipelines.two_stage_pipeline(v, c)["summary"])
+_job("context_pipeline", "Eleven features with the organ's context: scores per split.", lambda v, c, *_: pipelines.context_pipeline(v, c)["summary"])
+_job("light_deletion_pipeline", "Small tolerance, light deletion: scores per split.", lambda v, c, *_: pipelines.light_deletion_pipeline(v, c)["summary"])
+_job("diagnose", "Sweep of the named configurations on sampled cases.", lambda v, c, *_: pipelines.diagnose(v, c)["configs"])
+_job("export_masks", "Three-class masks written by case; Dice of both classes.", lambda v, c, spark, sf: pipelines.export_masks(v, c, f"{shared_dir(spark)}/masks-{uuid.uuid4().hex}"))
+_job("grouping_report", "Grouped tumours of all cases by category.", lambda v, c, spark, sf: pipelines.grouping_report(v, c, reference(spark, sf))["categories"])

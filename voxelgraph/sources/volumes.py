@@ -132,7 +132,7 @@ def write_mask(masked: DataFrame, path: str, column: str = "pred") -> None:
 
 
 def _hashed(key: Column, seed: int) -> Column:
-    return F.xxhash64(key, F.lit(seed))
+    return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary"))
 
 
 def split_cases(cases: DataFrame, seed: int = 42, train: float = 0.70, validation: float = 0.15) -> DataFrame:
