@@ -503,6 +503,18 @@ def kg_stats(spark, sf_dir):
     return phenotype.kg_stats(_kg_nodes(spark, sf_dir, p), phenotype.kg_edges(p))
 
 
+@query(_PHENO + _KG_EDGES + "\nSELECT * FROM kge")
+def kg_all_edges(spark, sf_dir):
+    """``kg_edges`` under its former name."""
+    return kg_edges(spark, sf_dir)
+
+
+@query(ORACLES["kg_stats"].removeprefix("WITH RECURSIVE " + fixture.SQL))
+def kg_all_stats(spark, sf_dir):
+    """``kg_stats`` under its former name."""
+    return kg_stats(spark, sf_dir)
+
+
 _CATEGORIES = ("morphology", "t_stage", "subregion", "dataset", "supernode_id")
 
 
