@@ -63,3 +63,9 @@ def test_nulls_empty_and_very_long_texts(spark):
     whole(packing.pack(df).collect(), docs)
     assert sum(len(r.ids) == r.length for r in packing.pack(df, keep_ids=True).collect()) > 10
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_packed_each(spark):
+    df = spark.createDataFrame([(1, "one two three", 0), (1, "one two three", 0), (2, "one two three", 0)], "doc_id long, text string, offset int").coalesce(1)
+    rows = packing.pack(df).collect()
+    assert sorted(r.doc_id for r in rows) == [1, 1, 2] and len({(r.sequence_id, r.offset) for r in rows}) == 3 and len({r.ids_crc32 for r in rows}) == 1

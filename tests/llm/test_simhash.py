@@ -54,3 +54,11 @@ def test_nulls_empty_texts_and_no_rows(spark):
     rows = simhash.components(simhash.fingerprints(docs, 3), 2).select("doc_id", F.hex("fp").alias("fp"), "component_id").collect()
     assert {r.doc_id: r.component_id for r in rows} == {3: 2, 2: 2, None: 2, 5: 5, 6: 5} and {r.fp for r in rows if r.doc_id in (2, 3, None)} == {"0"}
     assert simhash.components(simhash.fingerprints(docs.limit(0), 3), 2).count() == 0
+
+
+def test_repeated_rows_very_long_texts_and_clashing_names(spark):
+    long = "lorem ipsum dolor sit amet " * 20_000
+    docs = spark.createDataFrame([(4, long, "a", 1), (4, long, "b", 2), (9, long.upper(), "c", 3), (1, "quite another one", "d", 4)], "doc_id long, text string, fp string, component_id int")
+    rows = simhash.components(simhash.fingerprints(docs, 3), 2).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(1, 1), (4, 4), (4, 4), (9, 4)]
+    assert {r.fp for r in rows if r.doc_id > 1} == {int.from_bytes(by_hand(long, 3).to_bytes(8, "big"), "big", signed=True)}

@@ -43,3 +43,10 @@ def test_query(spark):
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     total = token_counts.op5_token_counts(spark, SF).agg(F.sum(F.col("n_docs") * F.col("n_tokens"))).first()[0]
     assert total == sum(len(e.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts)
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    docs = spark.createDataFrame([("a " * 60_000, 5, 6, "x"), ("b", 7, 8, "y")], "text string, n_tokens int, n_docs int, token string")
+    lengths = sorted(r.n_tokens for r in token_counts.token_lengths(docs).collect())
+    assert lengths == [1, len(tokens.encoder(tokens.vocabulary_path()).ids("a " * 60_000))]
+    assert token_counts.length_histogram(token_counts.token_lengths(docs)).count() == 2

@@ -31,3 +31,11 @@ def test_unusable_vectors_take_no_part(spark):
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(v, v.where("vec_id = 0"), 20).collect()]
     assert sorted(got) == [(0, 1, 5, 1024), (0, 2, 6, 0)]
     assert topk.top_k(v.limit(0), v.limit(0), 20).count() == 0
+
+
+def test_repeated_candidates_and_no_queries(spark):
+    rows = [(1, [2, 0]), (2, [1, 1]), (2, [1, 1]), (3, [0, 0])]
+    v = spark.createDataFrame(rows, "vec_id long, weights array<long>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(v, v.where("vec_id = 1"), 20).collect()]
+    assert sorted(got) == [(1, 1, 2, 2), (1, 2, 2, 2), (1, 3, 3, 0)]
+    assert topk.top_k(v, v.limit(0), 20).count() == 0
