@@ -59,7 +59,7 @@ def test_pii_changes_personal_data_only(stages):
     _, before, after = stages[2]
     a, b = {r.doc_id: r.text for r in before.collect()}, {r.doc_id: r.text for r in after.collect()}
     changed = {i for i in a if a[i] != b[i]}
-    found = {r.doc_id for r in pii.pseudonymised(before).where(F.size("pii_kinds") > 0).collect()}
+    found = {r.doc_id for r in pii.pseudonymised(before, pii.QUERY_KEY).where(F.size("pii_kinds") > 0).collect()}
     assert set(a) == set(b) and changed == found and 0 < len(changed) < 0.2 * len(a)
 
 
