@@ -36,7 +36,7 @@ SIZE = len(NAMES) + WORDS + RUNS
 SMOOTH = 200.0
 MARKS = b"#$%&*=~^_{}<>\\@"
 #: Documents that the fit may take, at most about: trusted ones, and training ones as unlabelled.
-POSITIVES, UNLABELLED = 10_000, 20_000
+POSITIVES, UNLABELLED = 4_000, 8_000
 #: Steps of the fit, their size, and the ridge.
 STEPS, RATE, RIDGE = 400, 0.03, 0.003
 
@@ -95,8 +95,8 @@ def measured(texts: DataFrame) -> np.ndarray:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py()).tobytes() for t in batch.column(0)], pa.binary())], names=["x"])
 
-    rows = texts.select(text_of().alias("text")).mapInArrow(run, "x binary").collect()
-    return np.frombuffer(b"".join(sorted(bytes(r.x) for r in rows)), "f4").reshape(-1, SIZE).astype("f8")
+    rows = texts.select(text_of().alias("text")).mapInArrow(run, "x binary").toArrow().column("x").to_pylist()
+    return np.frombuffer(b"".join(sorted(rows)), "f4").reshape(-1, SIZE).astype("f8")
 
 
 def _some(rows: DataFrame, most: int) -> DataFrame:
