@@ -24,6 +24,10 @@ def local_session(app: str = "voxelgraph", cpus: str = "8", partitions: int = 8,
     )
 
 
+#: Tasks for each core that writes a staged table.
+WAVES = 4
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables; the path goes to Spark's reader unchanged, so any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,7 +52,8 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # no more tasks and files than four for each core, each of which goes through several partitions in turn
+    df.coalesce(max(WAVES * spark.sparkContext.defaultParallelism, WAVES)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
