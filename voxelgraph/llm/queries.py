@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from voxelgraph.llm import fingerprints, licenses, mixing, packing, pii, quality, sharding, simhash, token_counts, topk
+from voxelgraph.llm import clustering, fim, fingerprints, language, licenses, mixing, packing, pii, quality, sharding, simhash, token_counts, topk
 from voxelgraph.session import ship
 
 
@@ -29,10 +29,15 @@ QUERIES = {
     "op8_simhash": _shipped(simhash.op8_simhash),
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": _shipped(quality.op10_quality),
+    "op11_language": language.op11_language,
+    "op12_fim": fim.op12_fim,
+    "op13_clusters": clustering.op13_clusters,
 }
 
 ORACLES = {
     "op2_licenses": licenses.OP2_SQL,
     "op3_topk": topk.OP3_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op12_fim": fim.OP12_SQL,
+    "op13_clusters": clustering.OP13_SQL,
 }
