@@ -5,12 +5,11 @@ Labels are positive numbers, unique within a case; 0 is a deleted voxel. ``lin``
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelgraph.functions import scalars
-from voxelgraph.operators import arrays, stencil
+from voxelgraph.operators import growth, regions, stencil
 from voxelgraph.operators import edges as E
 from voxelgraph.session import staged
 
@@ -20,12 +19,7 @@ FINE = 1 << 32
 
 def connected(voxels: DataFrame, key: Column, name: str = "label") -> DataFrame:
     """Add the 6-connected component of equal, non-null keys: least ``lin`` in it plus 1; 0 where the key is null."""
-
-    def work(shape, lin, keys, held):
-        first = arrays.components(shape, keys, held)
-        return np.where(first < 0, 0, lin[first] + 1)
-
-    return arrays.on_arrays(voxels, [F.col("lin").cast("bigint"), F.xxhash64(key), key.isNotNull()], work, f"{name} bigint")
+    return regions.components(voxels, F.when(key.isNotNull(), F.xxhash64(key)), name)
 
 
 def quantized_components(voxels: DataFrame, value: str, bins: int) -> DataFrame:
@@ -33,11 +27,6 @@ def quantized_components(voxels: DataFrame, value: str, bins: int) -> DataFrame:
     return connected(voxels, scalars.quantize(F.col(value), bins))
 
 
-def _grown(voxels: DataFrame, gradient: str, name: str) -> DataFrame:
-    """Add the watershed of ``__marker``."""
-    return arrays.on_arrays(voxels, [F.col(gradient), F.coalesce("__marker", F.lit(0)).cast("bigint")], arrays.watershed, f"{name} bigint").drop("__marker")
-
-
 def marker_watershed(voxels: DataFrame, gradient: str, markers: DataFrame, name: str = "label") -> DataFrame:
     """``voxels`` with ``label``: the volume grown from ``markers`` (``case_id, lin, marker``) by ascending gradient.
 
@@ -45,7 +34,7 @@ def marker_watershed(voxels: DataFrame, gradient: str, markers: DataFrame, name:
     ties go by the edge's ends, so the result is unique. Voxels with no path to a marker keep label 0.
     """
     marked = voxels.join(markers.select("case_id", "lin", F.col("marker").alias("__marker")), ["case_id", "lin"], "left")
-    return _grown(marked, gradient, name)
+    return regions.spanning_forest(marked, gradient, F.col("__marker"), name).drop("__marker")
 
 
 def heterogeneous_regions(labelled: DataFrame, value: str, psi: float, least: int = 30) -> DataFrame:
@@ -68,7 +57,7 @@ def refine_regions(labelled: DataFrame, gradient: str, flagged: DataFrame, strid
     held = mixed.join(finer, "case_id", "left").withColumn("mixed", F.col("__mixed") & F.coalesce("__finer", F.lit(False)))
     # a fine marker is named by its place, which keeps the order of the lattice
     marker = F.when(~F.col("mixed"), F.col("label")).when(fine, F.col("lin") + FINE)
-    return _grown(held.withColumn("__marker", marker).drop("__mixed", "__finer"), gradient, "grown")
+    return regions.spanning_forest(held.withColumn("__marker", marker).drop("__mixed", "__finer"), gradient, F.col("__marker"), "grown").drop("__marker")
 
 
 def split_by_intensity(refined: DataFrame, value: str, psi: float) -> DataFrame:
@@ -84,7 +73,7 @@ def adaptive_contract(voxels: DataFrame, value: str, psi: float, stride: int = 2
     """
     flat = stencil.gradient_magnitude(voxels, value, "__gradient")
     on = [F.col(a) % stride == 0 for a in stencil.AXES]
-    coarse = staged(_grown(flat.withColumn("__marker", F.when(on[0] & on[1] & on[2], F.col("lin") + 1)), "__gradient", "label"))
+    coarse = staged(regions.spanning_forest(flat, "__gradient", F.when(on[0] & on[1] & on[2], F.col("lin") + 1)))
     refined = staged(refine_regions(coarse, "__gradient", heterogeneous_regions(coarse, value, psi), stride))
     finer = refined.where("mixed").select("case_id").distinct().withColumn("__finer", F.lit(True))
     pieces = split_by_intensity(refined.withColumnRenamed("label", "__coarse"), value, psi)
@@ -99,26 +88,20 @@ def anchored_contract(voxels: DataFrame, value: str, psi: float, alpha: float, b
     left, breadth first, ``beta_max`` voxels at most; the rest stays for later seeds. ``label`` is the seed's
     ``lin`` + 1.
     """
-    tolerance = max(psi, alpha)
-
-    def work(shape, lin, values):
-        seed = arrays.anchored(shape, values, tolerance, beta_max)
-        return np.where(seed < 0, 0, lin[seed] + 1)
-
-    return arrays.on_arrays(voxels, [F.col("lin").cast("bigint"), F.col(value).cast("double")], work, "label bigint")
+    found, _ = growth.grown(voxels, value, max(psi, alpha), beta_max)
+    return found.withColumn("label", F.coalesce(F.col("seed") + 1, F.lit(0)).cast("bigint")).select(*[c for c in voxels.columns if c != "label"], "label")
 
 
 def merge_similar_regions(labelled: DataFrame, value: str, alpha: float, beta_max: int, max_rounds: int = 101) -> DataFrame:
     """Merge adjacent regions while their means differ by at most alpha and they fit in beta_max together.
 
-    The new mean is that of all voxels. Stops when no admissible pair is left or after ``max_rounds``. A merged
-    region has the least of its labels.
+    In rounds over the tables of regions and of their adjacency; voxels are read once to make these and once to be
+    renamed. The new mean is that of all voxels. Stops when no admissible pair is left or after ``max_rounds``. A
+    merged region has the least of its labels.
     """
-
-    def work(shape, label, values):
-        return arrays.merged(shape, label, values, alpha, beta_max, max_rounds)
-
-    return arrays.on_arrays(labelled, [F.col("label").cast("bigint"), F.col(value).cast("double")], work, "label bigint")
+    sums = labelled.where("label > 0").groupBy("case_id", "label").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col(value), F.lit(0.0))).alias("total"))
+    found = regions.merged(sums, E.shared_faces(labelled), alpha, beta_max, max_rounds).where("label <> merged")
+    return labelled.join(found, ["case_id", "label"], "left").withColumn("label", F.coalesce("merged", "label")).select(*labelled.columns)
 
 
 def delete_nodes(labelled: DataFrame, value: str, beta_min: int = 10, beta_max: int = 500_000, m_min: float = -1e9, m_max: float = 1e9) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelgraph.operators import arrays
+from voxelgraph.operators import bricks
 
 
 def shared_faces(labelled: DataFrame) -> DataFrame:
-    """``(case_id, lo, hi, shared_faces)``: faces between two different labels above 0, counted where the case is."""
-    return arrays.face_counts(labelled)
+    """``(case_id, lo, hi, shared_faces)``: faces between two different labels above 0, counted brick by brick."""
+    return bricks.face_counts(labelled)
 
 
 def shared_faces_between(faces: DataFrame, a: int, b: int) -> DataFrame:

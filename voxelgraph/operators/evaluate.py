@@ -5,10 +5,11 @@ Nearly all scores come from the table of counts per label, not from voxels.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelgraph.operators import stencil
+from voxelgraph.operators import bricks
 
 EPS = 1e-8
 
@@ -64,12 +65,49 @@ def volume_dice(counts: DataFrame, threshold: float = 0.1) -> DataFrame:
     return count_scores(counts, share(threshold), "one").select("case_id", "dice")
 
 
+def surface_signatures(labelled: DataFrame, side: int = 0) -> DataFrame:
+    """``(case_id, label, beside, edge, n)``: how many voxels of a label have the same other labels for face neighbours.
+
+    ``beside``: those labels, ascending, -1 being the outside; ``edge``: on the surface of the truth. A voxel is on the
+    surface of a choice of regions if its label is chosen and one beside it isn't, so the surface of any choice is
+    a sum over this table: no voxel is read again.
+    """
+
+    def work(brick: bricks.Brick):
+        label, truth, own = brick.array(0, -1), brick.array(1, False), brick.voxels()
+        edge = bricks.surface(truth)[0]
+        near = np.full((6, *label.shape), -1, "i8")
+        for k, (lo, hi) in enumerate(bricks.faces()):
+            near[2 * k][lo], near[2 * k + 1][hi] = label[hi], label[lo]
+        near = np.sort(np.where(near == label, np.iinfo("i8").max, near)[:, own], axis=0)  # its own label doesn't count
+        near[1:][near[1:] == near[:-1]] = np.iinfo("i8").max
+        rows = np.concatenate([label[own][None], edge[own][None].astype("i8"), np.sort(near, axis=0)])
+        able = (near < np.iinfo("i8").max).any(0) | edge[own]
+        found, n = np.unique(rows[:, able], axis=1, return_counts=True)
+        beside = [[int(x) for x in c if x < np.iinfo("i8").max] for c in found[2:].T]
+        return found[0], beside, found[1].astype(bool), n
+
+    parts = bricks.from_bricks(labelled, [F.col("label").cast("bigint"), F.coalesce(F.col("seg") == 2, F.lit(False))], work, "label bigint, beside array<bigint>, edge boolean, n bigint", side)
+    return parts.groupBy("case_id", "label", "beside", "edge").agg(F.sum("n").alias("n"))
+
+
+def surface_scores(signatures: DataFrame, choices: DataFrame) -> DataFrame:
+    """``(case_id, choice, dice)``: Dice of each choice's surface and the truth's; 1 without truth.
+
+    ``choices``: ``case_id, choice, labels`` (an array of regions above 0, which may be empty). A case's choices meet its
+    signatures, both tables of regions.
+    """
+    held = choices.join(signatures, "case_id", "left")
+    on = F.array_contains("labels", F.col("label")) & (F.size(F.array_except("beside", "labels")) > 0)
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    sums = held.groupBy("case_id", "choice").agg(count(on & F.col("edge")).alias("both"), count(F.col("edge")).alias("gt"), count(on).alias("pred"))
+    return sums.select("case_id", "choice", dice_of(F.col("both"), F.col("gt"), F.col("pred"), "one").alias("dice"))
+
+
 def boundary_dice(labelled: DataFrame, counts: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Dice between the surface of the tumour regions and the surface of the truth; 1 without truth."""
-    chosen = counts.where(share(threshold) & (F.col("label") > 0)).select("case_id", "label", F.lit(1).alias("pred"))
-    held = lift(labelled, chosen)
-    held = stencil.with_surfaces(held, {"__a": F.col("pred") == 1, "__b": F.col("seg") == 2})
-    return mask_scores(held, F.col("__a"), F.col("__b"), "one").select("case_id", "dice")
+    chosen = counts.groupBy("case_id").agg(F.collect_list(F.when(share(threshold) & (F.col("label") > 0), F.col("label").cast("bigint"))).alias("labels"))
+    return surface_scores(surface_signatures(labelled), chosen.withColumn("choice", F.lit(0))).select("case_id", "dice")
 
 
 def tumour_capture(counts: DataFrame, beta_min: int = 1, threshold: float = 0.1) -> DataFrame:

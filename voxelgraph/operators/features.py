@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelgraph.functions import scalars
 from voxelgraph.operators import edges as E
-from voxelgraph.operators import arrays, stencil
+from voxelgraph.operators import bricks, stencil
 
 NODE_FEATURES = ("volume", "boundary_length", "compactness", "elongation", "dominant_axis", "mean_intensity", "intensity_std")
 CONTEXT_FEATURES = ("organ_fraction", "dist_to_organ_center", "relative_intensity", "organ_boundary_contact")
@@ -44,7 +44,7 @@ def node_features(labelled: DataFrame, value: str, cases: DataFrame, min_voxels:
     if boundary == "foreground":
         held = stencil.with_surface(labelled, F.col("label") > 0)
     elif boundary == "supernode":
-        held = arrays.on_arrays(labelled, [F.col("label").cast("bigint")], arrays.own_surface, "surface boolean")
+        held = bricks.on_bricks(labelled, [F.col("label").cast("bigint")], lambda brick: bricks.label_surface(brick.array(0, -1)), "surface boolean")
     else:
         raise ValueError(f"unknown boundary: {boundary}")
     spaced = held.where("label > 0").join(cases.select("case_id", "sx", "sy", "sz"), "case_id")

@@ -6,25 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelgraph.functions import scalars
-from voxelgraph.operators import arrays, contract, evaluate, features, stencil
+from voxelgraph.operators import contract, distance, evaluate, features, stencil
 from voxelgraph.session import staged
 
 KG_NODE = "id string, type string, name string, modality string, value double, term string, dataset string, case_id bigint, supernode_id bigint, props map<string,double>"
 
 
-def _with_distance(voxels: DataFrame, query: Column, mask: Column, cases: DataFrame) -> DataFrame:
-    """``voxels`` with ``distance``, null where ``query`` doesn't hold or the case has no mask."""
-    spaced = voxels.join(cases.select("case_id", *(F.col(f"s{a}").alias(f"__s{a}") for a in stencil.AXES)), "case_id")
-    inputs = [F.coalesce(query, F.lit(False)), F.coalesce(mask, F.lit(False)), *(F.col(f"__s{a}") for a in stencil.AXES)]
-    return arrays.on_arrays(spaced, inputs, arrays.distance, "distance double").drop(*(f"__s{a}" for a in stencil.AXES))
-
-
 def distance_to_mask(voxels: DataFrame, query: Column, mask: Column, cases: DataFrame) -> DataFrame:
     """``(case_id, lin, distance)``: exact Euclidean distance in mm from each query voxel to the nearest mask voxel.
 
     No row for a case without a mask.
     """
-    return _with_distance(voxels, query, mask, cases).where("distance is not null").select("case_id", "lin", "distance")
+    return distance.with_distance(voxels, query, mask, cases).where("distance is not null").select("case_id", "lin", "distance")
 
 
 def min_distance_per_label(labelled: DataFrame, cases: DataFrame, labels: DataFrame | None = None, organ: Column | None = None) -> DataFrame:
@@ -34,7 +27,7 @@ def min_distance_per_label(labelled: DataFrame, cases: DataFrame, labels: DataFr
     """
     held = labelled.withColumn("__o", F.col("seg") == 1 if organ is None else organ)
     held = held.withColumn("__q", F.col("label") > 0) if labels is None else held.join(labels.select("case_id", "label", F.lit(True).alias("__q")), ["case_id", "label"], "left").withColumn("__q", F.coalesce("__q", F.lit(False)))
-    asked = _with_distance(held, F.col("__q"), F.col("__o"), cases).where("__q")
+    asked = distance.with_distance(held, F.col("__q"), F.col("__o"), cases).where("__q")
     return asked.groupBy("case_id", "label").agg(F.coalesce(F.min("distance"), F.lit(0.0)).alias("distance"), F.coalesce(F.avg("distance"), F.lit(0.0)).alias("mean_distance"))
 
 

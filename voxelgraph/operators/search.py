@@ -6,15 +6,13 @@ alone, so it runs once for each different one.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelgraph.functions import scalars
-from voxelgraph.operators import arrays, contract, evaluate, features
+from voxelgraph.operators import contract, evaluate, features
 from voxelgraph.operators import edges as E
-from voxelgraph.session import ship, staged
+from voxelgraph.session import staged
 
 #: The diagnosis' six configurations as (psi, alpha, beta_min, beta_max, m_min, m_max).
 NAMED = {
@@ -103,40 +101,20 @@ def grid_search(voxels: DataFrame, value: str, configs: DataFrame, method: str =
             sums = chosen.groupBy("config_id", "case_id").agg(F.sum("n_tumour").alias("both"), F.sum("n").alias("pred"))
             scored = base.join(truth, "case_id").join(sums, ["config_id", "case_id"], "left").fillna(0, ["both", "pred"]).select("config_id", "case_id", evaluate.dice_of(F.col("both"), F.col("gt"), F.col("pred"), "one").alias("dice"))
         else:
-            scored = _boundary(labelled, chosen, mine)
+            scored = _boundary(labelled, kept, base)
         part = base.join(scored, ["config_id", "case_id"]).join(regions, ["config_id", "case_id"], "left").fillna(0, ["supernodes"]).join(n_voxels, "case_id")
         part = part.select("config_id", "case_id", "dice", "supernodes", (F.col("voxels") / F.greatest("supernodes", F.lit(1))).alias("compression"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _boundary(labelled: DataFrame, chosen: DataFrame, configs: DataFrame) -> DataFrame:
-    """Surface Dice of every configuration's mask: a case meets the regions that each configuration chooses once."""
-    ship(labelled.sparkSession)
-
-    def run(voxels: pa.Table, regions: pa.Table) -> pa.Table:
-        if not voxels.num_rows:
-            return pa.table({"config_id": [], "case_id": [], "both": [], "pred": [], "gt": []}, pa.schema([("config_id", pa.int32())] + [(c, pa.int64()) for c in ("case_id", "both", "pred", "gt")]))
-        shape, _, (label, truth) = arrays.dense(voxels, 2)
-        edge = arrays.surface(shape, truth)[0]
-        config, mine = (regions.column(c).to_numpy() for c in ("config_id", "label"))
-        # configurations that choose the same regions share a mask
-        sets: dict[bytes, list[int]] = {}
-        for c in np.unique(config):
-            sets.setdefault(np.sort(mine[config == c]).tobytes(), []).append(int(c))
-        rows = [(-1, 0, 0)]
-        for key, ids in sets.items():
-            own = arrays.surface(shape, np.isin(label, np.frombuffer(key, mine.dtype)))[0]
-            rows += [(c, int((own & edge).sum()), int(own.sum())) for c in ids]
-        c, both, pred = zip(*rows, strict=True)
-        case = voxels.column("case_id")[0].as_py()
-        return pa.table({"config_id": pa.array(c, pa.int32()), "case_id": [case] * len(c), "both": both, "pred": pred, "gt": [int(edge.sum())] * len(c)})
-
-    voxels = labelled.select(F.col("case_id").cast("bigint").alias("case_id"), "x", "y", "z", F.col("label").cast("bigint").alias("__0"), (F.col("seg") == 2).alias("__1"))
-    regions = chosen.select(F.col("case_id").cast("bigint").alias("case_id"), F.col("label").cast("bigint").alias("label"), "config_id")
-    sums = staged(voxels.groupBy("case_id").cogroup(regions.groupBy("case_id")).applyInArrow(run, "config_id int, case_id bigint, both bigint, pred bigint, gt bigint"))
-    base = sums.where("config_id < 0").select("case_id", "gt").crossJoin(F.broadcast(configs.select("config_id")))  # configurations are a parameter list
-    return base.join(sums.select("config_id", "case_id", "both", "pred"), ["config_id", "case_id"], "left").fillna(0, ["both", "pred"]).select("config_id", "case_id", evaluate.dice_of(F.col("both"), F.col("gt"), F.col("pred"), "one").alias("dice"))
+def _boundary(labelled: DataFrame, kept: DataFrame, base: DataFrame) -> DataFrame:
+    """Surface Dice of every configuration's mask; ``base``: ``config_id, case_id`` of all. Equal choices are scored once."""
+    chosen = kept.where(evaluate.share(0.1) & (F.col("label") > 0)).groupBy("config_id", "case_id").agg(F.sort_array(F.collect_list(F.col("label").cast("bigint"))).alias("labels"))
+    of = staged(base.join(chosen, ["config_id", "case_id"], "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<bigint>"))).withColumn("choice", F.xxhash64("labels")))
+    different = of.groupBy("case_id", "choice", "labels").agg(F.count("*").alias("n")).drop("n")
+    scored = evaluate.surface_scores(staged(evaluate.surface_signatures(labelled)), different)
+    return of.select("config_id", "case_id", "choice").join(scored, ["case_id", "choice"]).select("config_id", "case_id", "dice")
 
 
 def search_log(scores: DataFrame, configs: DataFrame, penalty: bool = False, per_case: bool = False) -> DataFrame:

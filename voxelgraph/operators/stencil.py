@@ -1,15 +1,16 @@
 """Neighbourhood expressions over voxel tables: surfaces, gradients, markers, slices.
 
 Windows run along one grid line (case and two coordinates), so no partition exceeds a line's length; what looks
-at all six neighbours takes a case's arrays, which costs one shuffle in place of three.
+at all neighbours takes bricks with a halo, which costs one shuffle in place of three.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from voxelgraph.operators import arrays
+from voxelgraph.operators import bricks
 
 AXES = ("x", "y", "z")
 
@@ -27,7 +28,8 @@ def neighbour(value: Column, axis: str, step: int) -> Column:
 
 def with_surfaces(voxels: DataFrame, masks: dict[str, Column]) -> DataFrame:
     """Add a boolean for each mask: in it, with a face neighbour outside it or outside the volume. One shuffle for all."""
-    return arrays.on_arrays(voxels, [F.coalesce(m, F.lit(False)) for m in masks.values()], arrays.surface, ", ".join(f"`{n}` boolean" for n in masks))
+    held, n = [F.coalesce(m, F.lit(False)) for m in masks.values()], len(masks)
+    return bricks.on_bricks(voxels, held, lambda brick: bricks.surface(*(brick.array(k, False) for k in range(n))), ", ".join(f"`{n}` boolean" for n in masks))
 
 
 def with_surface(voxels: DataFrame, mask: Column, name: str = "surface") -> DataFrame:
@@ -38,7 +40,7 @@ def with_surface(voxels: DataFrame, mask: Column, name: str = "surface") -> Data
 def gradient_magnitude(voxels: DataFrame, value: str, name: str = "gradient") -> DataFrame:
     """Add the 3-D Sobel magnitude: [1, 2, 1] / 4 smoothing on two axes, [1, 0, -1] / 2 difference on the third,
     reflected borders, root mean square of the three."""
-    return arrays.on_arrays(voxels, [F.col(value).cast("double")], arrays.sobel, f"`{name}` double")
+    return bricks.on_bricks(voxels, [F.col(value).cast("double")], lambda brick: bricks.sobel(brick.array(0, np.nan)), f"`{name}` double")
 
 
 def lattice_markers(voxels: DataFrame, stride: int, where: Column | None = None, first: int = 1) -> DataFrame:
