@@ -185,28 +185,43 @@ def _least(edges: DataFrame) -> DataFrame:
 def merged(regions: DataFrame, edges: DataFrame, alpha: float, most: int, max_rounds: int = 101) -> DataFrame:
     """``(case_id, label, merged)``: regions (``case_id, label, n, total``) after merging over ``edges`` (``case_id, lo, hi``).
 
-    In a round every region looks for the neighbour with the closest mean among those within ``alpha`` with whom it
-    has at most ``most`` voxels; two that choose each other merge, with the mean of all their voxels and the lesser
-    label. The closest pair of all always chooses each other, so every round merges until no admissible pair is
-    left (or ``max_rounds`` are over).
+    In a round every region chooses the neighbour with the closest mean among those within ``alpha`` with whom it
+    has at most ``most`` voxels. Of two that choose each other the larger one takes in, closest first, those that
+    chose it, as long as each is within ``alpha`` of the mean it has by then and fits: running sums, so every
+    merger is admissible when it happens. The closest pair of all always chooses each other, so every round merges
+    until no admissible pair is left (or ``max_rounds`` are over). Equal gaps go by a hash of both labels. A merged
+    region has the least of its labels.
     """
-    now = staged(regions.select("case_id", F.col("label").alias("merged"), "n", "total"))
+    now = staged(regions.select("case_id", F.col("label").alias("merged"), "n", F.col("total").cast("double").alias("total")))
     names = regions.select("case_id", "label", F.col("label").alias("merged"))
     links = staged(edges.select("case_id", "lo", "hi"))
     for _ in range(max_rounds):
-        a, b = (now.select("case_id", F.col("merged").alias(end), F.col("n").alias(f"n_{end}"), (F.col("total") / F.col("n")).alias(f"m_{end}")) for end in ("lo", "hi"))
-        able = links.join(a, ["case_id", "lo"]).join(b, ["case_id", "hi"]).withColumn("gap", F.abs(F.col("m_lo") - F.col("m_hi"))).where((F.col("gap") <= alpha) & (F.col("n_lo") + F.col("n_hi") <= most))
-        rank = F.struct("gap", "lo", "hi")
-        ways = able.select("case_id", rank.alias("e"), F.explode(F.array("lo", "hi")).alias("end"))
-        best = ways.groupBy("case_id", "end").agg(F.min("e").alias("e"))
-        # an edge that both its ends chose
-        pairs = best.groupBy("case_id", "e").agg(F.count("*").alias("k")).where("k = 2").select("case_id", F.col("e.hi").alias("merged"), F.col("e.lo").alias("__to"))
-        pairs = staged(pairs)
-        if pairs.isEmpty():
+        a, b = (now.select("case_id", F.col("merged").alias(end), F.col("n").alias(f"n_{end}"), F.col("total").alias(f"t_{end}")) for end in ("lo", "hi"))
+        gap = F.abs(F.col("t_lo") / F.col("n_lo") - F.col("t_hi") / F.col("n_hi"))
+        able = links.join(a, ["case_id", "lo"]).join(b, ["case_id", "hi"]).withColumn("gap", gap).where((F.col("gap") <= alpha) & (F.col("n_lo") + F.col("n_hi") <= most))
+        row = lambda end: F.struct(*(F.col(f"{c}_{end}").alias(c) for c in "nt"))
+        way = lambda own, to: F.struct(F.col(own).alias("own"), F.col(to).alias("to"), row(own).alias("mine"), row(to).alias("its"))
+        ways = able.select("case_id", F.struct("gap", F.xxhash64("lo", "hi").alias("tie"), "lo", "hi").alias("e"), F.explode(F.array(way("lo", "hi"), way("hi", "lo"))).alias("w"))
+        best = staged(ways.groupBy("case_id", F.col("w.own").alias("own")).agg(F.min_by(F.struct("e", "w.to", "w.mine", "w.its"), "e").alias("b")).select("case_id", "own", "b.*"))
+        # an edge that both its ends chose makes the larger one take in
+        takes = F.when((F.col("mine.n") > F.col("its.n")) | ((F.col("mine.n") == F.col("its.n")) & (F.col("own") < F.col("to"))), F.col("own")).otherwise(F.col("to"))
+        hubs = best.groupBy("case_id", "e").agg(F.count("*").alias("k"), F.min(takes).alias("to")).where("k = 2").select("case_id", "to")
+        taken = best.join(hubs, ["case_id", "to"], "left_semi")
+        before = Window.partitionBy("case_id", "to").orderBy("e").rowsBetween(Window.unboundedPreceding, -1)
+        upto = before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        size, total = (F.col(f"its.{c}") + F.coalesce(F.sum(f"mine.{c}").over(before), F.lit(0)) for c in "nt")
+        fits = (size + F.col("mine.n") <= most) & ((F.abs(total / size - F.col("mine.t") / F.col("mine.n")) <= alpha) | F.col("first"))
+        chain = taken.withColumn("first", F.row_number().over(Window.partitionBy("case_id", "to").orderBy("e")) == 1).withColumn("fits", fits)
+        joins = staged(chain.withColumn("all", F.min("fits").over(upto)).where("all").select("case_id", F.col("own").alias("merged"), F.col("to").alias("__to")))
+        if joins.isEmpty():
             break
+        # the least label of a hub and of all it takes
+        least = joins.groupBy("case_id", "__to").agg(F.least(F.min("merged"), F.col("__to")).alias("name"))
+        whole = joins.join(least, ["case_id", "__to"])
+        moves = staged(whole.select("case_id", "merged", F.col("name").alias("__to")).unionByName(least.select("case_id", F.col("__to").alias("merged"), F.col("name").alias("__to"))).where("merged <> __to"))
 
-        def moved(df: DataFrame, column: str, pairs: DataFrame = pairs) -> DataFrame:
-            return df.join(pairs.withColumnRenamed("merged", column), ["case_id", column], "left").withColumn(column, F.coalesce("__to", column)).drop("__to")
+        def moved(df: DataFrame, column: str, moves: DataFrame = moves) -> DataFrame:
+            return df.join(moves.withColumnRenamed("merged", column), ["case_id", column], "left").withColumn(column, F.coalesce("__to", column)).drop("__to")
 
         names = staged(moved(names, "merged"))
         now = staged(moved(now, "merged").groupBy("case_id", "merged").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))

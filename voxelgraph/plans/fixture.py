@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelgraph.session import table
+from voxelgraph.session import staged, table
 
 SIDE = 16
 
@@ -43,10 +43,13 @@ SQL = (
 
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``case_id, x, y, z, lin, hu, seg``; a generator makes the voxels where the case is, without a join."""
+    """``case_id, x, y, z, lin, hu, seg``; a generator makes the voxels where the case is, without a join.
+
+    They are written as an ingested volume would be, so that filters and columns of a query reach a Parquet scan.
+    """
     axis = "explode(sequence(0, 15))"
     grid = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_nationkey", f"{axis} AS x").selectExpr("*", f"{axis} AS y").selectExpr("*", f"{axis} AS z")
-    return spark.sql(_BODY.format(grid="{grid}"), grid=grid)
+    return staged(spark.sql(_BODY.format(grid="{grid}"), grid=grid))
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
