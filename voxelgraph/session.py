@@ -24,8 +24,8 @@ def local_session(app: str = "voxelgraph", cpus: str = "8", partitions: int = 8,
     )
 
 
-#: Tasks for each core that writes a staged table.
-WAVES = 4
+#: Tables that are read from fewer bytes than this for each partition are written by fewer tasks.
+PART_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,12 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _bytes_read(df: DataFrame) -> int:
+    """Bytes of the tables that a plan reads, as the optimiser knows them; huge where it doesn't."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return min(sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())), (2**31 - 1) * PART_BYTES)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -52,8 +58,8 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    # no more tasks and files than four for each core, each of which goes through several partitions in turn
-    df.coalesce(max(WAVES * spark.sparkContext.defaultParallelism, WAVES)).write.parquet(path)
+    # small tables get few files; the number of tasks grows with what is read, so large ones keep their partitions
+    df.coalesce(max(spark.sparkContext.defaultParallelism, _bytes_read(df) // PART_BYTES)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
