@@ -38,9 +38,9 @@ from voxelgraph.session import ship, staged
 
 #: Parts of a text's SimHash, their bits, and the distance at which parts meet.
 PARTS, PART_BITS, RADIUS = 3, 32, 2
-#: One text in so many tells which shingles are common (every text of up to ``ALL``), how many of these must have
-#: one, and how many shingles are kept: 16 bytes each, the most common ones.
-EVERY, ALL, COMMON, MOST_COMMON = 8, 5_000, 3, 1_000_000
+#: One text in so many tells which shingles are common: those that ``COMMON`` of these and one in ``SHARE`` have.
+#: So there are at most ``SHARE`` times as many as a text has on average, 16 bytes each, however many texts there are.
+EVERY, COMMON, SHARE = 8, 3, 2_000
 #: Bits of a parity bitmap (a power of two).
 PARITY = 2048
 #: Rounds of pairing classes before all pairs that are left are enumerated.
@@ -87,9 +87,8 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles, ascending, and the power of two of how many of the sampled texts have each.
 
     Any order of the shingles keeps the prefix filter exact; this one puts those that would meet many texts last.
-    The sample is a fixed share of the texts, so what counts as common doesn't change with their number.
+    Sample and share are the same for any number of texts.
     """
-    every = EVERY if docs.count() > ALL else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,9 +96,10 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
                 words = words_of(t.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(words, word_hashes(words), size).view("<i8"))], names=["token"])
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select(text_of().alias("text"))
-    counts = some.mapInArrow(run, "token bigint").groupBy("token").count().where(F.col("count") >= COMMON)
-    found = staged(counts.orderBy(F.desc("count"), "token").limit(MOST_COMMON)).toArrow()  # a bounded table
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(EVERY)) == 0).select(text_of().alias("text"))
+    least = max(COMMON, some.count() // SHARE)
+    counts = some.mapInArrow(run, "token bigint").groupBy("token").count().where(F.col("count") >= least)
+    found = staged(counts).toArrow()  # bounded by the share
     token, n = (found.column(c).to_numpy() for c in ("token", "count"))
     order = np.argsort(token)
     return token[order], np.frexp(n[order])[1].astype("i8")
@@ -191,7 +191,7 @@ def shared_prefixes(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """``(token, k, n, at)`` of the prefix shingles that texts of several classes have.
 
     Shingles that aren't common are shuffled once. Common ones, which a large part of all texts may have, are
-    counted by class before any shuffle, and what is found (at most ``MOST_COMMON``) is broadcast.
+    counted by class before any shuffle, and what is found (bounded as ``SHARE`` says) is broadcast.
     """
     listed = _with_class(texts.select("k", "n", "prefix", "rare"), classes).select("k", "c", "n", "rare", F.posexplode("prefix").alias("at", "token"))
     slim = listed.select("token", "k", "c", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("at")).alias("n_at"), (F.col("at") < F.col("rare")).alias("is_rare"))
