@@ -25,7 +25,7 @@ def _rows(columns, rows):
     return sorted(repr([v for _, v in sorted(zip(columns, r), key=lambda x: x[0])]) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["organ_surface", "full_adjacency", "edge_features", "boundary_dice", "tumour_components", "tumour_distances", "phenotypes", "threshold_sweep"])
+@pytest.mark.parametrize("name", ["organ_surface", "full_adjacency", "edge_features", "boundary_dice", "tumour_components", "tumour_distances", "phenotypes", "threshold_sweep", "label_counts", "beta_sweep", "edge_offsets", "kg_case_nodes", "gradient_by_region", "supernode_boundaries", "tumour_sizes"])
 def test_same_rows_as_sql(spark, sql, name):
     df = entry.queries()[name](spark, SF)
     rel = sql.execute(entry.oracle_sql()[name])

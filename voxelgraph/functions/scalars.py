@@ -20,8 +20,8 @@ def hu_window(hu: Column, low: float, high: float) -> Column:
     return (F.greatest(F.least(hu, F.lit(float(high))), F.lit(float(low))) - low) / (high - low)
 
 
-def quantize(value: Column, bins: int) -> Column:
-    """Bin 0 to ``bins`` - 1 of a value in [0, 1]."""
+def quantize(value: Column, bins: int | Column) -> Column:
+    """Bin 0 to ``bins`` - 1 (one number, or one for each row) of a value in [0, 1]."""
     return F.least(F.greatest(F.floor(value * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
 
 

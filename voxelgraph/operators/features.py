@@ -136,9 +136,14 @@ def label_counts(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("case_id", "label").agg(F.count("*").alias("n"), F.sum((F.col("seg") >= 1).cast("bigint")).alias("n_organ"), F.sum((F.col("seg") == 2).cast("bigint")).alias("n_tumour"))
 
 
+def is_tumour(threshold: float = 0.1) -> Column:
+    """1 where a region's tumour share exceeds the threshold, else 0."""
+    return (F.col("n_tumour") / F.col("n") > threshold).cast("int")
+
+
 def node_target(counts: DataFrame, threshold: float = 0.1) -> DataFrame:
     """``(case_id, label, y)``: 1 where the tumour share exceeds the threshold."""
-    return counts.where("label > 0").select("case_id", "label", (F.col("n_tumour") / F.col("n") > threshold).cast("int").alias("y"))
+    return counts.where("label > 0").select("case_id", "label", is_tumour(threshold).alias("y"))
 
 
 def assemble_graph(nodes: DataFrame, edges: DataFrame, targets: DataFrame, columns: tuple[str, ...] = NODE_FEATURES, attributes: tuple[str, ...] = EDGE_FEATURES) -> tuple[DataFrame, DataFrame]:

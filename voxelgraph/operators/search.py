@@ -1,11 +1,15 @@
 """Parameter search: grids, scoring of configurations, sweeps.
 
-A configuration table travels with the voxels as an extra key; contraction depends on the merge tolerance
-alone, so it runs once for each different one.
+What a contraction depends on (a merge tolerance, a window) is part of the case's key, so that all of a grid runs
+in one job; what merely filters regions is joined to the table of regions.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,33 +83,52 @@ def random_search(spark: SparkSession, n: int, seed: int = 42, wide: bool = Fals
     return spark.range(0, n, 1, 1).select(F.col("id").cast("int").alias("config_id"), log(0, b[0], b[1]).alias("psi"), log(1, b[2], b[3]).alias("alpha"), log(2, b[4], b[5]).cast("int").alias("beta_min"), top.alias("beta_max"), (u(4) * b[6]).alias("m_min"), (b[7] + u(5) * (1 - b[7])).alias("m_max"))
 
 
+def variants(voxels: DataFrame, options: DataFrame) -> DataFrame:
+    """Every case once for each of ``options`` (``variant`` 0 to K - 1 and columns to add), as a case of its own.
+
+    Its id is ``case_id * K + variant``, so what works case by case works on all variants in one job.
+    """
+    k = options.count()
+    many = voxels.crossJoin(F.broadcast(options))  # options are a parameter list
+    return many.withColumn("case_id", (F.col("case_id") * k + F.col("variant")).cast("bigint"))
+
+
+def _apart_again(df: DataFrame, k: int) -> DataFrame:
+    """Ids of ``variants`` as the ``case_id`` and ``variant`` that they come from."""
+    return df.withColumn("variant", F.pmod("case_id", F.lit(k)).cast("int")).withColumn("case_id", F.expr(f"(case_id - variant) div {k}"))
+
+
 def grid_search(voxels: DataFrame, value: str, configs: DataFrame, method: str = "quantized", measure: str = "boundary", stride: int = 20) -> DataFrame:
     """``(config_id, case_id, dice, supernodes, compression)`` for every configuration and case.
 
-    One contraction for each psi (its bins for ``quantized``); sizes and means are filtered per configuration
-    on the region table. ``measure``: ``boundary`` (surface Dice, over voxels) or ``volume`` (from counts).
+    One contraction for each different psi, which is part of the case's key: ``quantized`` contracts all of them in one
+    job, the other methods one after the other. Sizes and means are filtered per configuration on the region
+    table. ``measure``: ``boundary`` (surface Dice, from neighbour signatures) or ``volume`` (from counts).
     """
+    spark = voxels.sparkSession
     psis = [r.psi for r in configs.select("psi").distinct().orderBy("psi").collect()]  # a parameter list
-    out = None
-    n_voxels = voxels.groupBy("case_id").agg(F.count("*").alias("voxels"))
-    for psi in psis:
-        labelled = staged(contract.contracted(voxels, value, method, psi, psi, 500_000, scalars.psi_bins(psi), stride))
-        stats = features.label_counts(labelled).join(E.region_means(labelled, value), ["case_id", "label"])
-        mine = configs.where(F.col("psi") == psi)
-        kept = stats.crossJoin(F.broadcast(mine)).where(F.col("n").between(F.col("beta_min"), F.col("beta_max")) & F.col("mean").between(F.col("m_min"), F.col("m_max")))  # configurations are a parameter list
-        base = voxels.select("case_id").distinct().crossJoin(F.broadcast(mine.select("config_id")))
-        regions = kept.groupBy("config_id", "case_id").agg(F.count("*").alias("supernodes"))
-        chosen = kept.where(evaluate.share(0.1))
-        if measure == "volume":
-            truth = features.label_counts(labelled).groupBy("case_id").agg(F.sum("n_tumour").alias("gt"))
-            sums = chosen.groupBy("config_id", "case_id").agg(F.sum("n_tumour").alias("both"), F.sum("n").alias("pred"))
-            scored = base.join(truth, "case_id").join(sums, ["config_id", "case_id"], "left").fillna(0, ["both", "pred"]).select("config_id", "case_id", evaluate.dice_of(F.col("both"), F.col("gt"), F.col("pred"), "one").alias("dice"))
-        else:
-            scored = _boundary(labelled, kept, base)
-        part = base.join(scored, ["config_id", "case_id"]).join(regions, ["config_id", "case_id"], "left").fillna(0, ["supernodes"]).join(n_voxels, "case_id")
-        part = part.select("config_id", "case_id", "dice", "supernodes", (F.col("voxels") / F.greatest("supernodes", F.lit(1))).alias("compression"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    k = max(1, len(psis))
+    options = spark.createDataFrame([(n, psi, scalars.psi_bins(psi)) for n, psi in enumerate(psis)], "variant int, psi double, __bins int")
+    if method == "quantized":
+        labelled = contract.connected(variants(voxels, options.drop("psi")), scalars.quantize(F.col(value), F.col("__bins"))).drop("variant", "__bins")
+    else:
+        each = [contract.contracted(voxels, value, method, psi, psi, 500_000, scalars.psi_bins(psi), stride).withColumn("case_id", (F.col("case_id") * k + n).cast("bigint")) for n, psi in enumerate(psis)]
+        labelled = reduce(DataFrame.unionByName, each, each.pop(0))
+    labelled = staged(labelled)
+    asked = staged(configs.join(F.broadcast(options.select("psi", "variant")), "psi"))
+    of = F.pmod("case_id", F.lit(k)).cast("int")
+    stats = staged(features.label_counts(labelled).join(E.region_means(labelled, value), ["case_id", "label"]))
+    kept = stats.withColumn("variant", of).join(F.broadcast(asked), "variant").where(F.col("n").between(F.col("beta_min"), F.col("beta_max")) & F.col("mean").between(F.col("m_min"), F.col("m_max")))  # configurations are a parameter list
+    totals = staged(stats.groupBy("case_id").agg(F.sum("n_tumour").alias("gt"), F.sum("n").alias("voxels")))
+    base = totals.withColumn("variant", of).join(F.broadcast(asked.select("config_id", "variant")), "variant").drop("variant")
+    regions = kept.groupBy("config_id", "case_id").agg(F.count("*").alias("supernodes"))
+    if measure == "volume":
+        sums = kept.where(evaluate.share(0.1)).groupBy("config_id", "case_id").agg(F.sum("n_tumour").alias("both"), F.sum("n").alias("pred"))
+        scored = base.join(sums, ["config_id", "case_id"], "left").fillna(0, ["both", "pred"]).select("config_id", "case_id", evaluate.dice_of(F.col("both"), F.col("gt"), F.col("pred"), "one").alias("dice"))
+    else:
+        scored = _boundary(labelled, kept, base.select("config_id", "case_id"))
+    out = base.join(scored, ["config_id", "case_id"]).join(regions, ["config_id", "case_id"], "left").fillna(0, ["supernodes"])
+    return _apart_again(out, k).select("config_id", "case_id", "dice", "supernodes", (F.col("voxels") / F.greatest("supernodes", F.lit(1))).alias("compression"))
 
 
 def _boundary(labelled: DataFrame, kept: DataFrame, base: DataFrame) -> DataFrame:
@@ -193,14 +216,13 @@ def beta_sweep(counts: DataFrame, betas: list[int], threshold: float = 0.1, face
 
 
 def window_sweep(voxels: DataFrame, windows: dict[str, tuple[float, float]], bins: int = 8, threshold: float = 0.1) -> DataFrame:
-    """Mean oracle Dice per intensity window of quantised components; one contraction for each window."""
-    out = None
-    for name, (lo, hi) in windows.items():
-        held = voxels.withColumn("v", scalars.hu_window(F.col("hu"), lo, hi))
-        counts = features.label_counts(contract.quantized_components(held, "v", bins))
-        row = evaluate.oracle(counts, threshold).agg(F.avg("dice").alias("mean_dice"), F.count("*").alias("cases")).withColumn("window", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out.select("window", "mean_dice", "cases").orderBy(F.desc("mean_dice"), "window")
+    """Mean oracle Dice per intensity window of quantised components; the window is part of the case's key, so one job does."""
+    options = voxels.sparkSession.createDataFrame([(n, name, float(lo), float(hi)) for n, (name, (lo, hi)) in enumerate(windows.items())], "variant int, window string, __lo double, __hi double")
+    held = variants(voxels, options.drop("window"))
+    value = (F.greatest(F.least("hu", "__hi"), "__lo") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
+    counts = features.label_counts(contract.quantized_components(held.withColumn("v", value).drop("variant", "__lo", "__hi"), "v", bins))
+    scores = _apart_again(evaluate.oracle(counts, threshold), len(windows)).join(F.broadcast(options.select("variant", "window")), "variant")
+    return scores.groupBy("window").agg(F.avg("dice").alias("mean_dice"), F.count("*").alias("cases")).orderBy(F.desc("mean_dice"), "window")
 
 
 def strategy_comparison(voxels: DataFrame, value: str, methods: dict[str, dict]) -> DataFrame:
@@ -212,7 +234,7 @@ def strategy_comparison(voxels: DataFrame, value: str, methods: dict[str, dict])
             counts = staged(features.label_counts(m["labels"]))
             row = m["stats"].select("case_id", "supernodes").join(evaluate.tumour_capture(counts), "case_id").join(evaluate.volume_dice(counts), "case_id")
             row = row.select(F.lit(name).alias("method"), "case_id", F.col("supernodes").cast("bigint").alias("supernodes"), "capture_pct", "dice", F.lit(None).cast("string").alias("error"))
-        except (ValueError, RuntimeError) as e:
-            row = spark.createDataFrame([(name, None, None, None, None, str(e))], "method string, case_id bigint, supernodes bigint, capture_pct double, dice double, error string")
+        except (ValueError, RuntimeError, PySparkException, Py4JError) as e:  # whatever fails on the executors too
+            row = spark.createDataFrame([(name, None, None, None, None, str(e).splitlines()[0][:500])], "method string, case_id bigint, supernodes bigint, capture_pct double, dice double, error string")
         out = row if out is None else out.unionByName(row)
     return out

@@ -115,29 +115,27 @@ def liver_pipeline(voxels: DataFrame, cases: DataFrame, reference: DataFrame, s:
 
 
 def resumable_pipeline(voxels: DataFrame, cases: DataFrame, store: str, s: Settings = RESUMABLE, splits: DataFrame | None = None) -> dict[str, DataFrame]:
-    """As the liver job without phenotypes; finished cases of the minor stage are read from ``store``, not rebuilt."""
-    spark = voxels.sparkSession
-    path = f"{store}/labels"
-
-    def stored() -> DataFrame | None:
-        from pyspark.errors import AnalysisException
-
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            return None
-
-    todo = staged(volumes.resume(cases, stored()))
-    if not todo.isEmpty():
-        m = contract.build_minor(windowed(voxels.join(todo.select("case_id"), "case_id", "left_semi"), s), "v", s.method, s.psi, s.alpha, s.beta_min, s.beta_max, s.m_min, s.m_max, s.bins, s.stride)
-        m["labels"].write.mode("append").parquet(path)
-    labels = stored()
-    every = staged(E.full_adjacency(labels, "v"))
-    m = {"labels": labels, "all_edges": every, "edges": every.where(F.col("mean_diff") <= s.alpha), "counts": staged(features.label_counts(labels)), "nodes": staged(features.node_features(labels, "v", cases))}
-    m["edge_features"] = staged(features.edge_features(every, m["nodes"], every, cases))
-    m["targets"] = features.node_target(m["counts"])
+    """As the liver job without phenotypes; each stage's finished cases are read from ``store``, not rebuilt.
+
+    Finished is what the store's manifest says for these settings; ``m["built"]`` tells how many cases each stage built.
+    """
+    kept = volumes.Store(voxels.sparkSession, store, repr(s))
+    own = lambda todo, df: df.join(todo.select("case_id"), "case_id", "left_semi")
+
+    def contracted(todo: DataFrame) -> DataFrame:
+        return contract.build_minor(windowed(own(todo, voxels), s), "v", s.method, s.psi, s.alpha, s.beta_min, s.beta_max, s.m_min, s.m_max, s.bins, s.stride)["labels"]
+
+    labels = kept.stage("labels", cases, contracted)
+    m = {"labels": labels}
+    m["counts"] = kept.stage("counts", cases, lambda todo: features.label_counts(own(todo, labels)))
+    m["all_edges"] = kept.stage("edges", cases, lambda todo: E.full_adjacency(staged(own(todo, labels)), "v"))
+    m["nodes"] = kept.stage("nodes", cases, lambda todo: features.node_features(own(todo, labels), "v", cases))
+    m["edge_features"] = kept.stage("edge_features", cases, lambda todo: features.edge_features(own(todo, m["all_edges"]), own(todo, m["nodes"]), own(todo, m["all_edges"]), cases))
+    m["edges"], m["targets"] = m["all_edges"].where(F.col("mean_diff") <= s.alpha), features.node_target(m["counts"])
     m["oracle"] = evaluate.oracle(m["counts"])
-    return _classify(m, volumes.split_cases(cases) if splits is None else splits, sweep=False)
+    m = _classify(m, volumes.split_cases(cases) if splits is None else splits, sweep=False)
+    m["built"] = kept.built
+    return m
 
 
 def two_stage_pipeline(voxels: DataFrame, cases: DataFrame, s: Settings = LIVER, splits: DataFrame | None = None) -> dict[str, DataFrame]:

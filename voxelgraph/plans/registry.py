@@ -256,6 +256,15 @@ def edged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("case_id", "lo", "hi", *(_r(c, digits.get(c, 6)) for c in features.EDGE_FEATURES))
 
 
+@query(_BINNED + _NODES + _FACES + f"\nSELECT f.case_id, f.lo, f.hi, round(abs(a.cx - b.cx) / ({_DIST} + 1e-8), 6) AS orientation_cos FROM faces f JOIN nodes a ON f.case_id = a.case_id AND f.lo = a.label JOIN nodes b ON f.case_id = b.case_id AND f.hi = b.label")
+def edge_offsets(spark, sf_dir):
+    """The other reading of an edge's orientation: how far its centroids' offset goes along the first axis."""
+    labelled, cases = binned(spark, sf_dir), fixture.cases(spark, sf_dir)
+    faces = staged(E.shared_faces(labelled))
+    out = features.edge_features(faces, staged(features.node_features(labelled, "v", cases)), faces, cases, "offset")
+    return out.select("case_id", "lo", "hi", _r("orientation_cos"))
+
+
 @query(_BINNED + _NODES + _EDGES + "\nSELECT * FROM edged")
 def edge_features(spark, sf_dir):
     return edged(spark, sf_dir)
@@ -291,8 +300,7 @@ def scaled_features(spark, sf_dir):
 
 @query(_BINNED + _COUNTS + "\nSELECT case_id, label, n, n_organ, n_tumour, CASE WHEN n_tumour / n > 0.1 THEN 1 ELSE 0 END AS y FROM counts")
 def label_counts(spark, sf_dir):
-    c = features.label_counts(binned(spark, sf_dir))
-    return c.join(features.node_target(c), ["case_id", "label"]).select("case_id", "label", "n", "n_organ", "n_tumour", "y")
+    return features.label_counts(binned(spark, sf_dir)).where("label > 0").withColumn("y", features.is_tumour())
 
 
 @query(_BINNED + _COUNTS + "\nSELECT case_id, count(*) AS regions, min(n) AS least, quantile_cont(n, 0.5) AS median, round(avg(n), 6) AS mean, max(n) AS greatest FROM counts WHERE n_tumour / n > 0.1 GROUP BY case_id")
@@ -503,6 +511,13 @@ def kg_stats(spark, sf_dir):
     return phenotype.kg_stats(_kg_nodes(spark, sf_dir, p), phenotype.kg_edges(p))
 
 
+@query(_PHENO + _KG_NODES.replace("PARTITION BY id", "PARTITION BY of_case, id") + "\nSELECT of_case, id, type, name FROM kgn")
+def kg_case_nodes(spark, sf_dir):
+    """Nodes of each case's own graph: an id that several cases share is in each of them."""
+    nodes = phenotype.kg_nodes(_phenotypes(spark, sf_dir), fixture.cases(spark, sf_dir))
+    return phenotype.dedupe_nodes(nodes, per_case=True).select("of_case", "id", "type", "name")
+
+
 @query(_PHENO + _KG_EDGES + "\nSELECT * FROM kge")
 def kg_all_edges(spark, sf_dir):
     """``kg_edges`` under its former name."""
@@ -631,9 +646,10 @@ def intensity_range(spark, sf_dir):
     return _rounded(search.intensity_range(binned(spark, sf_dir), "v"))
 
 
-@query(_BINNED + _COUNTS + ",\nb(beta_min) AS (VALUES (1), (50), (200), (1000)), p AS (SELECT beta_min, case_id, sum(CASE WHEN n >= beta_min THEN 1 ELSE 0 END) AS k, sum(CASE WHEN n >= beta_min AND n_tumour / n > 0.1 THEN n_tumour ELSE 0 END) AS both_, sum(CASE WHEN n >= beta_min AND n_tumour / n > 0.1 THEN n ELSE 0 END) AS pr, sum(n_tumour) AS g, sum(CASE WHEN n < beta_min THEN n ELSE 0 END) AS gone, sum(n) AS nv FROM counts, b GROUP BY beta_min, case_id)\nSELECT CAST(beta_min AS INT) AS beta_min, CAST(sum(k) AS BIGINT) AS supernodes, round(avg(CASE WHEN g = 0 THEN CASE WHEN pr = 0 THEN 1.0 ELSE 0.0 END ELSE 2.0*both_/(g+pr+1e-8) END), 6) AS oracle_dice, round(100.0*sum(both_)/greatest(sum(g), 1), 6) AS capture_pct, round(100.0*sum(gone)/sum(nv), 6) AS deleted_pct FROM p GROUP BY beta_min")
+@query(_BINNED + _COUNTS + _FACES + ",\nb(beta_min) AS (VALUES (1), (50), (200), (1000)), p AS (SELECT beta_min, case_id, sum(CASE WHEN n >= beta_min THEN 1 ELSE 0 END) AS k, sum(CASE WHEN n >= beta_min AND n_tumour / n > 0.1 THEN 1 ELSE 0 END) AS t, sum(CASE WHEN n >= beta_min AND n_tumour / n > 0.1 THEN n_tumour ELSE 0 END) AS both_, sum(CASE WHEN n >= beta_min AND n_tumour / n > 0.1 THEN n ELSE 0 END) AS pr, sum(n_tumour) AS g, sum(CASE WHEN n < beta_min THEN n ELSE 0 END) AS gone, sum(n) AS nv FROM counts, b GROUP BY beta_min, case_id), ed AS (SELECT beta_min, count(*) AS edges FROM faces f JOIN counts x ON f.case_id = x.case_id AND f.lo = x.label JOIN counts y ON f.case_id = y.case_id AND f.hi = y.label JOIN b ON least(x.n, y.n) >= beta_min GROUP BY beta_min), r AS (SELECT CAST(beta_min AS INT) AS beta_min, CAST(sum(k) AS BIGINT) AS supernodes, CAST(sum(t) AS BIGINT) AS tumour_supernodes, round(avg(CASE WHEN g = 0 THEN CASE WHEN pr = 0 THEN 1.0 ELSE 0.0 END ELSE 2.0*both_/(g+pr+1e-8) END), 6) AS oracle_dice, round(100.0*sum(both_)/greatest(sum(g), 1), 6) AS capture_pct, round(100.0*sum(gone)/sum(nv), 6) AS deleted_pct FROM p GROUP BY beta_min)\nSELECT r.*, coalesce(edges, 0) AS edges FROM r LEFT JOIN ed ON r.beta_min = ed.beta_min")
 def beta_sweep(spark, sf_dir):
-    return _rounded(search.beta_sweep(features.label_counts(binned(spark, sf_dir)), [1, 50, 200, 1000]).drop("tumour_supernodes"))
+    labelled = binned(spark, sf_dir)
+    return _rounded(search.beta_sweep(staged(features.label_counts(labelled)), [1, 50, 200, 1000], faces=staged(E.shared_faces(labelled))))
 
 
 _HASH = "md5(CAST(case_id AS VARCHAR) || ':42')"
@@ -735,17 +751,14 @@ def grid_search(spark, sf_dir):
 
 @query(None)
 def best_config(spark, sf_dir):
-    """The first configuration with the highest mean volume Dice among 256."""
-    voxels = staged(binned(spark, sf_dir).drop("label"))
-    r = search.intensity_range(voxels, "v").first()
-    configs = staged(search.param_grid(spark, r.low, r.high, 4, 8, 8))
-    return _rounded(search.best_config(search.search_log(search.grid_search(voxels, "v", configs, measure="volume"), configs)).drop("per_case"))
+    """The first of the 1024 configurations of the default grid with the highest mean surface Dice."""
+    return _rounded(search.best_config(search.search_log(*_searched(spark, sf_dir))).drop("per_case"))
 
 
 @query(None)
 def random_search(spark, sf_dir):
-    """Scores of configurations drawn at random, over all cases; the best five of ten."""
-    configs = staged(search.random_search(spark, 10))
+    """Scores of configurations drawn at random, over all cases; the best five of fifty."""
+    configs = staged(search.random_search(spark, 50))
     scores = search.grid_search(staged(binned(spark, sf_dir).drop("label")), "v", configs, measure="volume")
     return _rounded(search.top_configs(search.search_log(scores, configs, penalty=True).drop("per_case"), 5))
 
@@ -768,6 +781,7 @@ STRATEGIES = {
     "anchored": {"method": "anchored", "psi": 0.05, "alpha": 0.10},
     "capped and merged": {"method": "anchored_capped", "psi": 0.05, "alpha": 0.10, "beta_max": 2000},
     "no such method": {"method": "kmeans"},
+    "no lattice": {"method": "adaptive", "stride": 0},
 }
 
 

@@ -7,16 +7,19 @@ voxels at once; it is a one-off ingestion step, whose result is a Parquet table
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
+import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from voxelgraph.session import ship
+from voxelgraph.session import ship, staged
 
 VOXELS = "case_id bigint, x int, y int, z int, lin bigint, v double"
 HEADER = "case_id bigint, nx int, ny int, nz int, sx double, sy double, sz double"
@@ -121,14 +124,20 @@ def ingest_nifti(spark: SparkSession, images: str, labels: str, dataset: str = "
     return ingest(spark, images, labels, pattern, pattern, "nifti", dataset)
 
 
+def _by_case(rows: DataFrame, path: str) -> None:
+    """Parquet by case, in raster order; cases that are written again are replaced, others stay."""
+    ordered = rows.repartition("case_id").sortWithinPartitions("case_id", "lin")
+    ordered.write.partitionBy("case_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
 def write_voxels(voxels: DataFrame, path: str) -> None:
-    """Parquet by case, voxels in raster order."""
-    voxels.repartition("case_id").sortWithinPartitions("case_id", "lin").write.partitionBy("case_id").mode("append").parquet(path)
+    """The voxels of each case as Parquet by case."""
+    _by_case(voxels, path)
 
 
 def write_mask(masked: DataFrame, path: str, column: str = "pred") -> None:
     """The mask of each case as Parquet by case."""
-    masked.select("case_id", "lin", F.col(column).cast("tinyint").alias("mask")).repartition("case_id").sortWithinPartitions("case_id", "lin").write.partitionBy("case_id").mode("append").parquet(path)
+    _by_case(masked.select("case_id", "lin", F.col(column).cast("tinyint").alias("mask")), path)
 
 
 def _hashed(key: Column, seed: int) -> Column:
@@ -200,3 +209,41 @@ def write_results_json(df: DataFrame, path: str, by_case: bool = False) -> None:
 def resume(cases: DataFrame, done: DataFrame | None) -> DataFrame:
     """Cases that a stage's output table doesn't have yet."""
     return cases if done is None else cases.join(done.select("case_id").distinct(), "case_id", "left_anti")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written at ``path``, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
+class Store:
+    """Tables of a job's stages by case, with a manifest of which cases each stage has finished under which settings.
+
+    A stage builds only cases that the manifest lacks. Its rows are written by case first (what a failed attempt has
+    left is replaced), the manifest is written last, and rows count only where the manifest names their case; so a
+    job can stop anywhere and go on. Other settings, or another version of the stage before it, are another key.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, settings: str):
+        self.spark, self.path, self.key = spark, path, hashlib.sha256(settings.encode()).hexdigest()[:16]
+        self.built: dict[str, int] = {}
+
+    def _done(self, stage: str) -> DataFrame | None:
+        path = f"{self.path}/{stage}-{self.key}-manifest"
+        return self.spark.read.schema("case_id bigint").parquet(path) if exists(self.spark, path) else None
+
+    def stage(self, name: str, cases: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The stage's rows of ``cases``; ``build`` (of the cases that lack them) makes what isn't there."""
+        path, todo = f"{self.path}/{name}-{self.key}", staged(resume(cases, self._done(name)))
+        self.built[name] = todo.count()
+        if self.built[name]:
+            rows = build(todo)
+            rows.repartition("case_id").write.partitionBy("case_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+            self.spark.createDataFrame([(rows.schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").text(f"{path}-schema")
+            todo.select(F.col("case_id").cast("bigint")).coalesce(1).write.mode("append").parquet(f"{path}-manifest")  # ids of cases
+        done = self._done(name)
+        if done is None or not exists(self.spark, path):
+            return build(cases.limit(0))
+        schema = StructType.fromJson(json.loads(self.spark.read.text(f"{path}-schema").first()[0]))  # a stage may have no rows at all
+        return self.spark.read.schema(schema).parquet(path).select(*schema.names).join(done.distinct(), "case_id", "left_semi").join(cases.select("case_id"), "case_id", "left_semi")
