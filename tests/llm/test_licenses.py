@@ -16,16 +16,25 @@ def by_hand(text):
     w = words(text)
     pairs = [f"{a} {b}" for a, b in zip(w, w[1:])]
     hits = sorted((i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
-    best, labels = 0.0, {label for _, label in hits}
-    base = ",".join(sorted(labels))
-    for label, text, needed, absent in license_texts.TEMPLATES:
+    labels, base = {label for _, label in hits}, ",".join(sorted({label for _, label in hits}))
+    own, met = [], []
+    for k, (label, text, needed, absent) in enumerate(license_texts.TEMPLATES):
         t = words(text)
-        own = {f"{a} {b}" for a, b in zip(t, t[1:])} - set(absent)
+        own.append({f"{a} {b}" for a, b in zip(t, t[1:])} - set(absent))
+        span, last = len(t) + len(t) // 4 + 1, None
         for i in range(len(pairs)):
-            block = set(pairs[i : i + len(t) + len(t) // 4])
-            if len(own & block) / len(own) >= 0.8 and set(needed) <= block and not set(absent) & block:
-                labels.add(label)
-                best = max(best, len(own & block) / len(own))
+            block = set(pairs[i : i + span - 1])
+            if pairs[i] in own[k] and len(own[k] & block) / len(own[k]) >= 0.8:  # containment alone
+                key = (2 * len(own[k] & block) - len(own[k]), set(needed) <= block and not set(absent) & block)
+                if last is None or i - last > span:
+                    met.append([k, label, i, i + span, key, 0.0])
+                last, now = i, met[-1]
+                now[3], now[4], now[5] = i + span, max(now[4], key), max(now[5], len(own[k] & block) / len(own[k]))
+    for k, label, s, e, key, _ in met:
+        sister = lambda j: license_texts.TEMPLATES[j][0] != label and 2 * len(own[k] & own[j]) >= len(own[k])
+        if not any(sister(m[0]) and s < m[3] and m[2] < e and m[4] > key for m in met):
+            labels.add(label)
+    best = max((m[5] for m in met), default=0.0)
     return (len(w), len(hits), hits[0][0] if hits else None, hits[-1][0] if hits else None, base, ",".join(sorted(labels)), 1.0 if hits else best)
 
 
@@ -93,3 +102,14 @@ def test_labels_that_a_reader_gives(spark):
     assert [own(got[n + m + i]) for i in range(m)] == [{t[0]} for t in whole]
     assert [own(got[n + 2 * m + i]) for i in range(m)] == [set()] * m
     assert got[n + 3 * m][5] == "mit" and got[n + 3 * m][0] == 100_005
+
+
+def test_containment_decides_and_telling_pairs_only_choose(spark):
+    whole = {label: t for label, t, *_ in license_texts.TEMPLATES if len(t) > 200}
+    changed = whole["mit"].replace("substantial portions of the", "parts of the")
+    stray = whole["bsd-2-clause"] + " We do not endorse or fund this."
+    both = whole["bsd-3-clause"] + " lorem ipsum dolor" * 600 + " " + whole["bsd-2-clause"]
+    got = scanned(spark, [changed, stray, both])
+    assert changed != whole["mit"] and got[0][5] == "mit" and 0.9 < got[0][6] < 1
+    assert got[1][5] == "bsd-2-clause" and got[1][6] == 1.0
+    assert got[2][5] == "bsd-2-clause,bsd-3-clause"
