@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning with the non-negative unbiased risk.
 
-Trusted positives are the documents labelled as good; all training documents are the unlabelled mixture, and no
-label of a bad document is ever read. With the class prior pi, the share of good documents in the mixture, the
+Trusted positives are the documents labelled as good; all training documents are the unlabelled mixture. Nothing
+is learnt from a label that says bad; only an id that is labelled both ways loses its trust. With the class prior pi, the share of good documents in the mixture, the
 risk of a linear score f is pi * E_P[l(f)] + max(0, E_U[l(-f)] - pi * E_P[l(-f)]), l the logistic loss. Where
 the second part, an estimate of a risk that can't be negative, falls below 0, a step goes back up its
 gradient instead of down the whole (the non-negative correction); the weights of the least risk seen whose
