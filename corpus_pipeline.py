@@ -38,12 +38,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms; ``n_chars`` follows the text.
+    """Personal data become pseudonyms; ``n_chars``, where there is one, follows the text.
 
     Null texts stay null and keep their ``n_chars``; equal rows stay equal; an empty table stays empty; all
     other columns are kept, whatever their names.
     """
     changed = pii.pseudonymised(docs, pii.QUERY_KEY).select(*(F.col(f"`{c}`") for c in docs.columns))
+    if "n_chars" not in docs.columns:
+        return changed
     return changed.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
 
 
