@@ -59,7 +59,7 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     # small tables get few files; the number of tasks grows with what is read, so large ones keep their partitions
-    df.coalesce(max(spark.sparkContext.defaultParallelism, _bytes_read(df) // PART_BYTES)).write.parquet(path)
+    df.coalesce(max(2 * spark.sparkContext.defaultParallelism, _bytes_read(df) // PART_BYTES)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
