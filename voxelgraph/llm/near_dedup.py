@@ -40,7 +40,7 @@ from voxelgraph.session import ship, staged
 PARTS, PART_BITS, RADIUS = 3, 32, 2
 #: One text in so many tells which shingles are common: those that ``COMMON`` of these and one in ``SHARE`` have.
 #: So there are at most ``SHARE`` times as many as a text has on average, 16 bytes each, however many texts there are.
-EVERY, COMMON, SHARE = 8, 3, 2_000
+EVERY, COMMON, SHARE = 8, 3, 8_000
 #: Bits of a parity bitmap (a power of two).
 PARITY = 2048
 #: Rounds of pairing classes before all pairs that are left are enumerated.
