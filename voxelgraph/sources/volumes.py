@@ -11,6 +11,7 @@ import hashlib
 import io
 import json
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,24 +35,43 @@ def parse_npy(raw: bytes) -> tuple[np.ndarray, tuple[float, ...]]:
     return np.lib.format.read_array(io.BytesIO(raw), allow_pickle=False), (1.0, 1.0, 1.0)
 
 
+def npy_header(raw: bytes) -> tuple[tuple[int, ...], tuple[float, ...]]:
+    """Shape and spacing of an array file, without its values."""
+    f = io.BytesIO(raw)
+    read = np.lib.format.read_array_header_1_0 if np.lib.format.read_magic(f) == (1, 0) else np.lib.format.read_array_header_2_0
+    return read(f)[0], (1.0, 1.0, 1.0)
+
+
+def _nifti_fields(head: bytes) -> tuple[str, tuple[int, ...], tuple[float, ...]]:
+    """(byte order, shape, spacing) from the first 352 bytes."""
+    order = "<" if struct.unpack("<i", head[:4])[0] == 348 else ">"
+    dim = struct.unpack(order + "8h", head[40:56])
+    return order, dim[1 : 1 + dim[0]], tuple(float(z) for z in struct.unpack(order + "8f", head[76:108])[1:4])
+
+
+def nifti_header(raw: bytes) -> tuple[tuple[int, ...], tuple[float, ...]]:
+    """Shape and spacing of a NIfTI-1 file; of a gzipped one no more than the header is unpacked."""
+    head = zlib.decompressobj(31).decompress(raw, 352) if raw[:2] == b"\x1f\x8b" else raw[:352]
+    _, shape, zooms = _nifti_fields(head)
+    return shape[:3], zooms
+
+
 def parse_nifti(raw: bytes) -> tuple[np.ndarray, tuple[float, ...]]:
     """A NIfTI-1 file, gzipped or not: the scaled array and the first three header zooms."""
     if raw[:2] == b"\x1f\x8b":
         raw = gzip.decompress(raw)
-    order = "<" if struct.unpack("<i", raw[:4])[0] == 348 else ">"
-    dim = struct.unpack(order + "8h", raw[40:56])
+    order, shape, zooms = _nifti_fields(raw)
     code = struct.unpack(order + "h", raw[70:72])[0]
-    zooms = struct.unpack(order + "8f", raw[76:108])
     offset, slope, inter = struct.unpack(order + "3f", raw[108:120])
-    shape = dim[1 : 1 + dim[0]]
     data = np.frombuffer(raw, order + NIFTI_TYPES[code], int(np.prod(shape)), int(offset)).reshape(shape, order="F")
     data = data.reshape(shape[:3])
     if slope not in (0.0,) and (slope, inter) != (1.0, 0.0) and not np.isnan(slope):
         data = data * slope + inter
-    return data, tuple(float(z) for z in zooms[1:4])
+    return data, zooms
 
 
 PARSERS = {"npy": parse_npy, "nifti": parse_nifti}
+HEADERS = {"npy": npy_header, "nifti": nifti_header}
 
 
 def case_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -71,12 +91,12 @@ def limit_cases(cases: DataFrame, n: int) -> DataFrame:
     return cases.orderBy("case_id").limit(n)
 
 
-def _decoded(spark: SparkSession, path: str, pattern: str, kind: str, schema: str, emit) -> DataFrame:
+def _decoded(spark: SparkSession, path: str, pattern: str, parse: Callable, schema: str, emit: Callable) -> DataFrame:
+    """Rows that ``emit`` makes of what ``parse`` reads from each file; a task holds one decoded file at a time."""
     ship(spark)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parse = PARSERS[kind]
         for batch in batches:
             for case_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for columns in emit(case_id, *parse(raw.as_py())):
@@ -84,7 +104,6 @@ def _decoded(spark: SparkSession, path: str, pattern: str, kind: str, schema: st
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.substring_index("path", "/", -1)
-    # one file a task: a volume decodes to hundreds of MB
     held = files.where(~name.startswith("._")).select(F.regexp_extract(name, pattern, 1).alias("id"), "path", "content").where("id <> ''")
     return held.select(F.col("id").cast("bigint").alias("case_id"), "content").mapInArrow(run, schema)
 
@@ -99,8 +118,8 @@ def _voxel_rows(case_id: int, a: np.ndarray, zooms: tuple[float, ...]):
         yield [pa.array(np.full(len(lin), case_id, "i8")), *(pa.array(c.astype("i4")) for c in (x, y, z)), pa.array(lin), pa.array(flat[lin].astype("f8"))]
 
 
-def _header_rows(case_id: int, a: np.ndarray, zooms: tuple[float, ...]):
-    yield [pa.array([case_id], pa.int64()), *(pa.array([n], pa.int32()) for n in a.shape), *(pa.array([z], pa.float64()) for z in zooms)]
+def _header_rows(case_id: int, shape: tuple[int, ...], zooms: tuple[float, ...]):
+    yield [pa.array([case_id], pa.int64()), *(pa.array([n], pa.int32()) for n in shape), *(pa.array([z], pa.float64()) for z in zooms)]
 
 
 def ingest(spark: SparkSession, images: str, labels: str, image_pattern: str, label_pattern: str, kind: str, dataset: str) -> tuple[DataFrame, DataFrame]:
@@ -108,10 +127,10 @@ def ingest(spark: SparkSession, images: str, labels: str, image_pattern: str, la
 
     ``kind``: ``npy`` (1 mm) or ``nifti`` (spacing from the header). Write the tables once with ``write_voxels``.
     """
-    hu = _decoded(spark, images, image_pattern, kind, VOXELS, _voxel_rows)
-    seg = _decoded(spark, labels, label_pattern, kind, VOXELS, _voxel_rows).select("case_id", "lin", F.col("v").cast("int").alias("seg"))
+    hu = _decoded(spark, images, image_pattern, PARSERS[kind], VOXELS, _voxel_rows)
+    seg = _decoded(spark, labels, label_pattern, PARSERS[kind], VOXELS, _voxel_rows).select("case_id", "lin", F.col("v").cast("int").alias("seg"))
     voxels = hu.withColumnRenamed("v", "hu").join(seg, ["case_id", "lin"]).select("case_id", "x", "y", "z", "lin", "hu", "seg")
-    cases = _decoded(spark, images, image_pattern, kind, HEADER, _header_rows).join(seg.select("case_id").distinct(), "case_id", "left_semi")
+    cases = _decoded(spark, images, image_pattern, HEADERS[kind], HEADER, _header_rows).join(seg.select("case_id").distinct(), "case_id", "left_semi")
     return voxels, cases.select("case_id", F.lit(dataset).alias("dataset"), "nx", "ny", "nz", "sx", "sy", "sz")
 
 
