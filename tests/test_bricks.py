@@ -66,30 +66,25 @@ def test_components_across_bricks_against_flood_fill(spark):
     assert all(((g == flood(x)) | (x != 1)).all() for g, x in zip(arrays(held, [x.shape for x in a]), a))
 
 
-@pytest.mark.parametrize("kind", ["different", "ties", "few markers"])
-def test_forest_across_bricks_against_kruskal(spark, kind):
+def test_forest_across_bricks_against_kruskal(spark):
+    """Different weights, ties, one marker, none, and a part that no marker reaches, as five cases of one table."""
     rng = np.random.default_rng(4)
-    shape = (8, 7, 7)
-    g = rng.permutation(8 * 7 * 7).reshape(shape) / 10.0 if kind == "different" else rng.integers(0, 4, shape) / 4.0
-    markers = {0: 7} if kind == "few markers" else {3: 1, 60: 2, 119: 3, 300: 4, 301: 5}
-    df, _ = table(spark, g, g)
-    m = spark.createDataFrame([(0, k, v) for k, v in markers.items()], "case_id long, lin long, marker long")
-    got = arrays(contract.marker_watershed(df, "v", m), [shape, shape])
-    assert (got[0] == kruskal(g, markers)).all() and (got[1] == 0).all()  # the second case has no marker
-
-
-def test_forest_leaves_what_no_marker_reaches(spark):
-    g = np.random.default_rng(5).random((7, 4, 4))
-    df, _ = table(spark, g)
-    df = df.where("x <> 3")  # two halves apart
-    got = arrays(contract.marker_watershed(df, "v", spark.createDataFrame([(0, 2, 9)], "case_id long, lin long, marker long")), [g.shape])[0]
-    assert (got[:3] == 9).all() and (got[3:] == 0).all()
-
-
-@pytest.mark.parametrize(("most", "small"), [(None, 1 << 20), (7, 1 << 20), (40, 1 << 20), (None, 20), (7, 30)])
+    shape = (7, 7, 5)
+    some = {3: 1, 60: 2, 119: 3, 200: 4, 201: 5}
+    tied = rng.integers(0, 4, shape) / 4.0
+    cases = [(rng.permutation(7 * 7 * 5).reshape(shape) / 10.0, some), (tied, some), (tied, {0: 7}), (tied, {}), (rng.random(shape), {2: 9})]
+    df, _ = table(spark, *(g for g, _ in cases))
+    df = df.where("case_id < 4 or x <> 3")  # the last one is in two halves
+    m = spark.createDataFrame([(c, k, v) for c, (_, markers) in enumerate(cases) for k, v in markers.items()], "case_id long, lin long, marker long")
+    got = arrays(contract.marker_watershed(df, "v", m), [shape] * 5)
+    assert all((got[c] == kruskal(g, markers)).all() for c, (g, markers) in enumerate(cases[:4])) and (got[3] == 0).all()
+    assert (got[4][:3] == 9).all() and (got[4][3:] == 0).all()
+
+
+@pytest.mark.parametrize(("most", "small"), [(None, 1 << 20), (7, 1 << 20), (40, 1 << 20), (None, 12), (7, 12)])
 def test_growth_against_a_queue(spark, most, small):
     rng = np.random.default_rng(9)
-    shapes = ((7, 6, 5), (4, 9, 8)) if small > 100 else ((4, 3, 5),)
+    shapes = ((7, 6, 5), (4, 9, 8)) if small > 100 else ((4, 3, 3),)
     a = [np.round(rng.random(s), 1) for s in shapes]
     if small < 100:  # a large flat region across bricks, and some noise in it
         a[0][a[0] < 0.7] = 0.5
