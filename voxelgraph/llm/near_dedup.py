@@ -11,7 +11,7 @@ Balls miss texts that differ in a whole block, and pairs of a crowd are far more
 finish's work. Of the shingles in one order for all texts, two texts as alike as the threshold share one of
 the first few (a prefix filter). A shingle there that one class alone has links nothing more; where several
 classes meet, rounds pair one text of each class with one of the class that most texts are in, and what is
-alike merges. When a round adds nothing, the pairs still left between different classes that can reach the
+alike merges; after the first round only classes that the last one made meet others. When a round adds nothing, the pairs still left between different classes that can reach the
 threshold (their sizes, and what is left behind the shingle, suffice) are all compared. Members of one class
 never meet again, so what is enumerated is close to what is unlike and can't be told by sizes.
 
@@ -187,6 +187,19 @@ def _classes(links: DataFrame) -> DataFrame:
     return staged(connected_components(links).select(F.col("node").alias("k"), F.col("component").alias("c")))
 
 
+def _joined(classes: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``classes`` after the links ``new`` between texts, and ``(c)``, those of them that these links made.
+
+    Only the classes that ``new`` joins are components again; texts look theirs up.
+    """
+    ends = new.select(F.col("src").alias("k"), "dst")
+    between = _with_class(_with_class(ends, classes).select(F.col("dst").alias("k"), F.col("c").alias("src")), classes).select("src", F.col("c").alias("dst"))
+    heads = staged(connected_components(staged(between.distinct())))
+    known = classes.select("k").unionByName(new.select(F.explode(F.array("src", "dst")).alias("k"))).distinct()
+    after = _with_class(known, classes).join(heads, F.col("c") == F.col("node"), "left").select("k", F.coalesce("component", "c").alias("c"))
+    return staged(after), staged(heads.select(F.col("component").alias("c")).distinct())
+
+
 def shared_prefixes(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """``(token, k, n, at)`` of the prefix shingles that texts of several classes have.
 
@@ -203,15 +216,21 @@ def shared_prefixes(texts: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("token", "k", F.shiftright("n_at", 32).cast("int").alias("n"), F.col("n_at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
 
 
-def class_pairs(held: DataFrame, threshold: float, turn: int) -> DataFrame:
+def class_pairs(held: DataFrame, threshold: float, turn: int, made: DataFrame | None = None) -> DataFrame:
     """Pairs of one text of each class at a shingle with one of the class that most texts there are in.
 
     held: ``(token, k, n, at, c)``. Only texts of about the same size meet. The texts differ from shingle to
-    shingle and from turn to turn.
+    shingle and from turn to turn. made: the classes ``(c)`` that the last turn's links made; a pair has one of them, since
+    classes that stayed as they were have met.
     """
     some = staged(held.withColumn("size", F.floor(F.log("n") / F.lit(-math.log(threshold)))).groupBy("token", "size", "c").agg(F.count("*").alias("m"), F.min_by("k", F.xxhash64("k", "token", F.lit(turn))).alias("k")))
-    main = some.groupBy("token", "size").agg(F.max(F.struct("m", "c", "k")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-    return some.join(main, ["token", "size"]).where("c <> top.c").select("k", F.col("top.k").alias("other")).select(*_ordered("k", "other")).distinct()
+    if made is None:
+        some = some.withColumn("is_new", F.lit(True))
+    else:
+        some = staged(some.join(made.withColumn("is_new", F.lit(True)), "c", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False))))
+    main = some.groupBy("token", "size").agg(F.max(F.struct("m", "c", "k", "is_new")).alias("top"), F.count("*").alias("classes"), F.max("is_new").alias("any_new")).where("classes > 1 and any_new")
+    met = some.join(main, ["token", "size"]).where("c <> top.c and (is_new or top.is_new)")
+    return met.select("k", F.col("top.k").alias("other")).select(*_ordered("k", "other")).distinct()
 
 
 def prefix_pairs(held: DataFrame, threshold: float) -> DataFrame:
@@ -241,16 +260,16 @@ def links(texts: DataFrame, threshold: float) -> DataFrame:
     found = staged(alike(staged(ball_pairs(texts)), texts, threshold))
     classes = _classes(found)
     tokens = staged(shared_prefixes(texts, classes))
-    tried = None
+    tried = made = None
     for turn in range(ROUNDS):
-        pairs = class_pairs(_with_class(tokens, classes), threshold, turn)
+        pairs = class_pairs(_with_class(tokens, classes), threshold, turn, made)
         pairs = staged(pairs if tried is None else pairs.join(tried, ["src", "dst"], "left_anti"))
         new = staged(alike(pairs, texts, threshold))
         if new.isEmpty():
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = found.unionByName(new)
-        classes = _classes(found)
+        classes, made = _joined(classes, new)
     pairs = staged(prefix_pairs(_with_class(tokens, classes), threshold))
     return found.unionByName(staged(alike(pairs, texts, threshold)))
 
