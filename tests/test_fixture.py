@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from voxelgraph.operators import bricks, stencil
+from voxelgraph.operators import bricks, distance, search, stencil
 from voxelgraph.plans import fixture
 from voxelgraph.session import staged
 
@@ -42,3 +42,25 @@ def test_voxels_on_borders_go_to_each_brick_that_they_touch(spark):
             place = [p // side + s for p, s in zip(at, d, strict=True)]
             want.add((*at, (place[0] << 40) + (place[1] << 20) + place[2], d == (0, 0, 0)))
     assert got == want
+
+
+def test_distances_of_asked_voxels_take_no_others_through_the_groups(spark, monkeypatch):
+    rows = [(0, x, y, z, (x * 5 + y) * 5 + z, 2 if x == 0 else 1 if (x, y, z) == (4, 1, 3) else 0) for x in range(5) for y in range(5) for z in range(5)]
+    df = spark.createDataFrame(rows, "case_id bigint, x int, y int, z int, lin bigint, seg int")
+    cases = spark.createDataFrame([(0, 5, 5, 5, 1.0, 2.0, 3.0)], "case_id bigint, nx int, ny int, nz int, sx double, sy double, sz double")
+    dealt, real = [], distance._pass
+    monkeypatch.setattr(distance, "_pass", lambda rows, *more: dealt.append(rows.count()) or real(rows, *more))
+    got = {(r.y, r.z): r.distance for r in distance.with_distance(df, F.col("seg") == 2, F.col("seg") == 1, cases, asked=True).collect()}
+    assert dealt == [26]
+    assert got == {(y, z): (16 + 4 * (y - 1) ** 2 + 9 * (z - 3) ** 2) ** 0.5 for y in range(5) for z in range(5)}
+
+
+def test_each_psi_of_a_grid_scores_as_its_own_contraction(spark, monkeypatch):
+    rows = [(c, x, y, z, (x * 4 + y) * 4 + z, ((x * 7 + y * 3 + z * 5 + c) % 10) / 10, int(x > 1) + int(x > 2)) for c in range(2) for x in range(4) for y in range(4) for z in range(4)]
+    df = spark.createDataFrame(rows, "case_id bigint, x int, y int, z int, lin bigint, v double, seg int")
+    configs = [(k, psi, 0.1, 1, 99, 0.0, 1.0) for k, psi in enumerate((0.3, 0.26, 0.45, 0.2))]  # 4, 4, 3 and 5 bins
+    made, real = [], search.variants
+    monkeypatch.setattr(search, "variants", lambda voxels, options: made.append(options.count()) or real(voxels, options))
+    score = lambda some: {(r.config_id, r.case_id): (r.dice, r.supernodes) for r in search.grid_search(df, "v", spark.createDataFrame(some, search.CONFIG), measure="volume").collect()}
+    together = score(configs)
+    assert made == [3] and together == {k: v for c in configs for k, v in score([c]).items()}
