@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from voxelgraph.operators import bricks, distance, search, stencil
 from voxelgraph.plans import fixture
 from voxelgraph.session import staged
+from voxelgraph.sources import volumes
 
 
 def suppliers(spark, path, n):
@@ -64,3 +65,12 @@ def test_each_psi_of_a_grid_scores_as_its_own_contraction(spark, monkeypatch):
     score = lambda some: {(r.config_id, r.case_id): (r.dice, r.supernodes) for r in search.grid_search(df, "v", spark.createDataFrame(some, search.CONFIG), measure="volume").collect()}
     together = score(configs)
     assert made == [3] and together == {k: v for c in configs for k, v in score([c]).items()}
+
+
+def test_results_by_case_are_few_files_with_whole_cases(spark, tmp_path):
+    rows = [(c, label, c * label) for c in range(60) for label in range(3)]
+    volumes.write_results_json(spark.createDataFrame(rows, "case_id bigint, label bigint, n bigint").repartition(5), str(tmp_path / "j"), by_case=True)
+    back = spark.read.schema("case_id bigint, label bigint, n bigint").json(str(tmp_path / "j")).withColumn("f", F.input_file_name())
+    assert sorted(map(tuple, back.drop("f").collect())) == rows
+    assert back.groupBy("case_id").agg(F.countDistinct("f").alias("k")).where("k > 1").isEmpty()
+    assert len(list((tmp_path / "j").rglob("*.json"))) <= 8
