@@ -74,3 +74,9 @@ def test_results_by_case_are_few_files_with_whole_cases(spark, tmp_path):
     assert sorted(map(tuple, back.drop("f").collect())) == rows
     assert back.groupBy("case_id").agg(F.countDistinct("f").alias("k")).where("k > 1").isEmpty()
     assert len(list((tmp_path / "j").rglob("*.json"))) <= 8
+
+
+def test_a_window_sweep_makes_no_copies_of_the_voxels(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "variants", None)
+    found = search.window_sweep(fixture.voxels(spark, suppliers(spark, tmp_path, 6)), {"a": (0.0, 200.0), "b": (-50.0, 250.0)})
+    assert {(r.window, r.cases) for r in found.collect()} == {("a", 6), ("b", 6)}
