@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from test_contract import arrays, flood, kruskal, seeds_by_hand, table
 
 from voxelgraph.operators import bricks, contract, distance, evaluate, features, growth, regions, stencil
+from voxelgraph import session
 from voxelgraph.operators import edges as E
 
 
@@ -186,3 +187,33 @@ def test_surface_scores_of_any_choice(spark):
         p, t = edge(np.isin(label[c], list(s))), edge(seg[c] == 2)
         want = 1.0 if not t.any() else 2 * (p & t).sum() / (p.sum() + t.sum() + 1e-8)
         assert np.isclose(got[c, k], want)
+
+
+def test_region_sums_over_bricks_match_numpy(spark):
+    """Sizes, means, deviations, boxes and moments of regions that reach over bricks; equal values deviate by exactly 0."""
+    rng = np.random.default_rng(5)
+    shape = (7, 6, 9)
+    at = np.indices(shape).reshape(3, -1)
+    label = (at[0] > 3).astype("i8") + 2 * (at[2] > 4)  # label 0 is no region
+    value = np.where(label == 3, 0.1, rng.random(label.size))
+    rows = [(1, *map(int, at[:, k]), int(label[k]), None if k % 11 == 0 else float(value[k])) for k in range(label.size)]
+    voxels = spark.createDataFrame(rows, "case_id bigint, x int, y int, z int, label bigint, v double")
+    found = {r["label"]: r for r in features.region_sums(voxels, F.col("v"), side=3).collect()}
+    assert set(found) == {1, 2, 3}
+    for k, r in found.items():
+        own, seen = label == k, (label == k) & (np.arange(label.size) % 11 != 0)
+        assert r["volume"] == own.sum() and np.isclose(r["mean_intensity"], value[seen].mean())
+        assert np.isclose(r["intensity_std"], value[seen].std()) and (k != 3 or r["intensity_std"] < 1e-12)
+        assert np.allclose(r["centroid"], at[:, own].mean(1))
+        assert [r[f"{n}_{a}"] for a in "xyz" for n in ("min", "max")] == [int(f(c[own])) for c in at for f in (np.min, np.max)]
+        assert np.allclose([[r["vx"], r["cxy"], r["cxz"]], [r["cxy"], r["vy"], r["cyz"]], [r["cxz"], r["cyz"], r["vz"]]], np.cov(at[:, own]))
+
+
+def test_numbers_cross_without_a_bound_in_bytes_and_texts_with_the_sessions_own(spark):
+    own = spark.conf.get(session.BATCH_BYTES)
+    session.ship(spark)
+    before = spark.conf.get(session.BATCH_BYTES)
+    bricks.face_counts(spark.createDataFrame([(1, 0, 0, 0, 1)], "case_id bigint, x int, y int, z int, label bigint"))
+    assert int(spark.conf.get(session.BATCH_BYTES).rstrip("b")) == 2**31 - 1
+    session.ship(spark)
+    assert spark.conf.get(session.BATCH_BYTES) == before and (own == before or own.startswith(str(2**31 - 1)))
