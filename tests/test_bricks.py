@@ -217,3 +217,11 @@ def test_numbers_cross_without_a_bound_in_bytes_and_texts_with_the_sessions_own(
     assert int(spark.conf.get(session.BATCH_BYTES).rstrip("b")) == 2**31 - 1
     session.ship(spark)
     assert spark.conf.get(session.BATCH_BYTES) == before and (own == before or own.startswith(str(2**31 - 1)))
+
+
+def test_counts_after_deletion_are_those_of_the_voxels(spark):
+    rows = [(c, x, x % 5, (x * 7) % 3, float(x % 4) / 4) for c in (1, 2) for x in range(40)]
+    voxels = spark.createDataFrame(rows, "case_id bigint, lin int, label bigint, seg int, v double")
+    bounds = ("v", 3, 100, 0.0, 0.37)
+    want = features.label_counts(contract.delete_nodes(voxels, *bounds))
+    assert sorted(map(tuple, features.counts_after_deletion(voxels, *bounds).collect())) == sorted(map(tuple, want.collect()))
