@@ -225,3 +225,16 @@ def test_counts_after_deletion_are_those_of_the_voxels(spark):
     bounds = ("v", 3, 100, 0.0, 0.37)
     want = features.label_counts(contract.delete_nodes(voxels, *bounds))
     assert sorted(map(tuple, features.counts_after_deletion(voxels, *bounds).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_distances_by_pairs_are_those_of_the_envelopes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(c, x, y, z, (x * 6 + y) * 6 + z, int(rng.integers(0, 3)) if c else 2) for c in range(3) for x in range(6) for y in range(6) for z in range(6)]
+    voxels = spark.createDataFrame(rows, "case_id bigint, x int, y int, z int, lin bigint, seg int")
+    cases = spark.createDataFrame([(c, 6, 6, 6, 1.0, 1.25, 2.5) for c in range(3)], "case_id bigint, nx int, ny int, nz int, sx double, sy double, sz double")
+    got = []
+    for most in (0, 1 << 19):
+        monkeypatch.setattr(distance, "PAIRS", most)
+        d = distance.with_distance(voxels, F.col("seg") == 2, F.col("seg") == 1, cases, asked=True)
+        got.append(sorted((r["case_id"], r["lin"], -1.0 if r["distance"] is None else r["distance"]) for r in d.collect()))
+    assert got[0] == got[1] and {c for c, _, d in got[0] if d < 0} == {0}  # case 0 has no mask
