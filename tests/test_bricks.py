@@ -238,3 +238,32 @@ def test_distances_by_pairs_are_those_of_the_envelopes(spark, monkeypatch):
         d = distance.with_distance(voxels, F.col("seg") == 2, F.col("seg") == 1, cases, asked=True)
         got.append(sorted((r["case_id"], r["lin"], -1.0 if r["distance"] is None else r["distance"]) for r in d.collect()))
     assert got[0] == got[1] and {c for c, _, d in got[0] if d < 0} == {0}  # case 0 has no mask
+
+
+@pytest.mark.parametrize("method", ["adaptive", "quantized", "anchored"])
+def test_cases_in_one_brick_get_the_labels_of_those_over_many(spark, monkeypatch, method):
+    """Missing voxels and values too; with the deletion that both do, and as one table of both kinds of cases."""
+    rng = np.random.default_rng(21)
+    shapes = ((9, 8, 7), (3, 2, 3), (6, 5, 10))
+    a = [np.round(np.where(np.indices(s)[0] < s[0] // 2, 0.2, 0.7) + rng.normal(0, 0.08, s), 3).clip(0, 1) for s in shapes]
+    df, _ = table(spark, *a)
+    df = df.where("lin % 13 <> 5").withColumn("v", F.when(F.col("lin") % 17 != 4, F.col("v")))
+
+    def found():
+        both = contract.labelled(df, "v", method, 0.12, 0.1, 3, 200, 0.1, 0.75, 6, 5)
+        return [{(r.case_id, r.lin): r.label for r in t.collect()} for t in both]
+
+    monkeypatch.setattr(bricks, "SIDE", 1 << 10)
+    one = found()
+    monkeypatch.setattr(bricks, "SIDE", 3)
+    assert found() == one and len(set(one[0].values())) > 5 and 0 in one[1].values()
+
+
+def test_dice_of_counts_is_that_of_the_mask(spark):
+    rng = np.random.default_rng(22)
+    rows = [(c, i, int(rng.integers(0, 6)), int(rng.integers(0, 3)) * (c > 0)) for c in range(4) for i in range(60)]
+    labelled = spark.createDataFrame(rows, "case_id bigint, lin int, label bigint, seg int")
+    counts = features.label_counts(labelled)
+    for threshold in (0.1, 0.35, 0.5):
+        want = evaluate.class_dice(evaluate.three_class_mask(labelled, counts, threshold)).collect()
+        assert sorted(map(tuple, evaluate.class_dice_of_counts(counts, threshold).collect())) == sorted(map(tuple, want))
