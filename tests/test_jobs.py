@@ -145,3 +145,23 @@ def test_resumable_job_builds_once(spark, tmp_path):
     # an oracle that chooses regions can't do worse than the classifier's choice on volumes of one region each
     truth = {r.case_id: r.dice for r in evaluate.oracle(first["counts"]).collect()}
     assert truth.keys() == scores.keys()
+
+
+def test_a_stage_has_a_folder_for_each_attempt_not_for_each_case(spark, tmp_path):
+    cases = spark.range(40).toDF("case_id")
+    build = lambda todo: todo.withColumn("v", F.col("case_id") * 2)
+    for asked in (cases.where("case_id < 30"), cases, cases):
+        rows = volumes.Store(spark, str(tmp_path), "a").stage("s", asked, build)
+    (stage,) = [p for p in tmp_path.iterdir() if p.name.count("-") == 1]
+    assert len([p for p in stage.iterdir() if p.is_dir()]) == 2
+    rows.withColumn("v", F.lit(-1).cast("long")).write.parquet(f"{stage}/attempt=lost")  # one that stopped before its manifest
+    again = volumes.Store(spark, str(tmp_path), "a").stage("s", cases, lambda todo: 1 / 0)
+    assert sorted(map(tuple, again.collect())) == [(k, 2 * k) for k in range(40)]
+
+
+def test_strategies_write_tables_of_regions_only(spark, monkeypatch):
+    df, _ = volumes_of(spark, [np.zeros((2, 2, 2))], [np.zeros((2, 2, 2), int)])
+    written = []
+    monkeypatch.setattr(search, "staged", lambda t: written.append(t.columns) or t)
+    search.strategy_comparison(df, "v", {"ok": {"method": "quantized", "beta_min": 1}})
+    assert written == [["case_id", "label", "n", "n_organ", "n_tumour"]]
