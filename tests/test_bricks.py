@@ -267,3 +267,10 @@ def test_dice_of_counts_is_that_of_the_mask(spark):
     for threshold in (0.1, 0.35, 0.5):
         want = evaluate.class_dice(evaluate.three_class_mask(labelled, counts, threshold)).collect()
         assert sorted(map(tuple, evaluate.class_dice_of_counts(counts, threshold).collect())) == sorted(map(tuple, want))
+
+
+def test_texts_cross_in_batches_of_few_rows_and_numbers_in_the_sessions_own(spark):
+    session.ship(spark)
+    assert int(spark.conf.get(session.BATCH_ROWS)) == session.TEXTS
+    session.ship(spark, numbers=True)
+    assert int(spark.conf.get(session.BATCH_ROWS)) >= 10_000
