@@ -104,6 +104,23 @@ def test_crowd_of_texts_that_are_alike_in_few_pairs(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == classes(texts)
 
 
+def test_rounds_end_with_one_that_links_few_of_its_pairs(spark, monkeypatch):
+    # a crowd whose pairs mostly stay below the threshold: every round costs the driver queries and spares the enumeration little
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(200)]
+    texts = {}
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.choice([3, 5, 6])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(400)}"
+        texts[i] = " ".join(w)
+    turns, real = [], near_dedup.class_pairs
+    monkeypatch.setattr(near_dedup, "class_pairs", lambda *a: turns.append(a[2]) or real(*a))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == classes(texts)
+    assert 0 < len(turns) < 3
+
+
 def prefixes(sets, threshold=0.8):
     """The first shingles of each set in ascending order, as many as the filter needs."""
     return [(x, i, len(s), at, i % 7) for i, s in sets.items() for at, x in enumerate(sorted(s)[: len(s) - math.ceil(threshold * len(s) - 1e-6) + 1])]

@@ -11,7 +11,7 @@ Balls miss texts that differ in a whole block, and pairs of a crowd are far more
 finish's work. Of the shingles in one order for all texts, two texts as alike as the threshold share one of
 the first few (a prefix filter). A shingle there that one class alone has links nothing more; where several
 classes meet, rounds pair one text of each class with one of the class that most texts are in, and what is
-alike merges; after the first round only classes that the last one made meet others. When a round adds nothing, the pairs still left between different classes that can reach the
+alike merges; after the first round only classes that the last one made meet others. When a round adds little, the pairs still left between different classes that can reach the
 threshold (their sizes, and what is left behind the shingle, suffice) are all compared. Members of one class
 never meet again, so what is enumerated is close to what is unlike and can't be told by sizes.
 
@@ -43,8 +43,9 @@ PARTS, PART_BITS, RADIUS = 3, 32, 2
 EVERY, COMMON, SHARE = 8, 3, 8_000
 #: Bits of a parity bitmap (a power of two).
 PARITY = 2048
-#: Rounds of pairing classes before all pairs that are left are enumerated.
-ROUNDS = 6
+#: Rounds of pairing classes, at most, before all pairs that are left are enumerated. A round is the last if it links fewer
+#: than one in ``PAYS`` of its pairs: what is left is as unlike, and each round costs the driver some 20 queries.
+ROUNDS, PAYS = 6, 10
 
 _STEP, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 
@@ -162,15 +163,20 @@ def ball_pairs(texts: DataFrame) -> DataFrame:
     return equal.unionByName(near).distinct()
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The texts ``(k)`` of ``pairs``, each once."""
+    return pairs.select(F.col("src").alias("k")).unionByName(pairs.select(F.col("dst").alias("k"))).distinct()
+
+
 def alike(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Those of ``pairs`` (``src, dst``) whose shingle sets have a Jaccard likeness of ``threshold`` or more."""
     # at least as many shingles differ as parity bits do: only what can still reach the threshold is compared whole
-    some = staged(pairs.select(F.explode(F.array("src", "dst")).alias("k")).distinct())
+    some = staged(_ends(pairs))
     small = texts.select("k", "n", "parity").join(some, "k", "left_semi")
     a, b = small.toDF("src", "na", "a"), small.toDF("dst", "nb", "b")
     apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     close = staged(pairs.join(a, "src").join(b, "dst").where(apart * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col("na") + F.col("nb")) + 1e-6).select("src", "dst"))
-    ends = staged(close.select(F.explode(F.array("src", "dst")).alias("k")).distinct())
+    ends = staged(_ends(close))
     whole = texts.select("k", "shingles").join(ends, "k", "left_semi")
     a, b = whole.toDF("src", "a"), whole.toDF("dst", "b")
     shared = F.size(F.array_intersect("a", "b"))
@@ -195,7 +201,7 @@ def _joined(classes: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = new.select(F.col("src").alias("k"), "dst")
     between = _with_class(_with_class(ends, classes).select(F.col("dst").alias("k"), F.col("c").alias("src")), classes).select("src", F.col("c").alias("dst"))
     heads = staged(connected_components(staged(between.distinct())))
-    known = classes.select("k").unionByName(new.select(F.explode(F.array("src", "dst")).alias("k"))).distinct()
+    known = classes.select("k").unionByName(_ends(new)).distinct()
     after = _with_class(known, classes).join(heads, F.col("c") == F.col("node"), "left").select("k", F.coalesce("component", "c").alias("c"))
     return staged(after), staged(heads.select(F.col("component").alias("c")).distinct())
 
@@ -265,11 +271,14 @@ def links(texts: DataFrame, threshold: float) -> DataFrame:
         pairs = class_pairs(_with_class(tokens, classes), threshold, turn, made)
         pairs = staged(pairs if tried is None else pairs.join(tried, ["src", "dst"], "left_anti"))
         new = staged(alike(pairs, texts, threshold))
-        if new.isEmpty():
+        linked = new.count()
+        if not linked:
             break
-        tried = pairs if tried is None else tried.unionByName(pairs)
         found = found.unionByName(new)
         classes, made = _joined(classes, new)
+        if linked * PAYS < pairs.count():
+            break
+        tried = pairs if tried is None else tried.unionByName(pairs)
     pairs = staged(prefix_pairs(_with_class(tokens, classes), threshold))
     return found.unionByName(staged(alike(pairs, texts, threshold)))
 

@@ -122,8 +122,12 @@ def trusted(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unla
 
 
 def _design(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    z = np.clip((x - mean) / scale, -6, 6)
-    return np.hstack([np.ones((len(z), 1)), z])
+    out = np.ones((len(x), x.shape[1] + 1))
+    z = out[:, 1:]  # in place: the driver holds no copies of all features
+    np.subtract(x, mean, out=z)
+    z /= scale
+    np.clip(z, -6, 6, out=z)
+    return out
 
 
 def _loss(f: np.ndarray) -> np.ndarray:
