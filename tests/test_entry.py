@@ -55,3 +55,11 @@ def test_knowledge_graph_queries_with_all_relations_and_types(spark):
     stats = {(r.what, r.name): r.n for r in registry.QUERIES["kg_all_stats"](spark, SF).collect()}
     assert {n: k for (what, n), k in stats.items() if what == "edge"} == Counter(relation for *_, relation in want.elements())
     assert stats["node", "Observation"] == len({r.morphology for r in found}) and stats["node", "Tumor"] == len(found)
+
+
+def test_distributions_of_all_node_features(spark, sql):
+    got = entry.queries()["feature_distribution"](spark, SF)
+    rel = sql.execute(entry.oracle_sql()["feature_distribution"])
+    rows = [tuple(r) for r in got.collect()]
+    assert {r[0] for r in rows} == {"volume", "boundary_length", "compactness", "elongation", "dominant_axis", "mean_intensity", "intensity_std"}
+    assert _rows(got.columns, rows) == _rows([d[0] for d in rel.description], rel.fetchall())
