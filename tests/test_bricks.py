@@ -274,3 +274,21 @@ def test_texts_cross_in_batches_of_few_rows_and_numbers_in_the_sessions_own(spar
     assert int(spark.conf.get(session.BATCH_ROWS)) == session.TEXTS
     session.ship(spark, numbers=True)
     assert int(spark.conf.get(session.BATCH_ROWS)) >= 10_000
+
+
+@pytest.mark.parametrize("most", [None, 1, 7, 40])
+def test_growth_of_one_volume_by_a_queue(most):
+    rng = np.random.default_rng(23)
+    for shape in ((7, 6, 5), (4, 9, 8), (1, 1, 1), (2, 5, 3)):
+        a = np.round(rng.random(shape), 1)
+        framed, held = np.pad(a, 1, constant_values=np.nan), np.pad(np.ones(shape, bool), 1)
+        seeds = np.flatnonzero(held)[growth.seed_order([c - 1 for c in np.nonzero(held)])]
+        owner = growth.by_queue(framed, held, seeds, 0.2, most)[1:-1, 1:-1, 1:-1]
+        lin = np.pad(np.arange(a.size).reshape(shape), 1).ravel()
+        assert (lin[owner] + 1 == seeds_by_hand(a, 0.2, most)).all()
+
+
+def test_cases_in_one_brick_grow_without_a_table_of_extents_and_cross_once(spark):
+    df, _ = table(spark, np.zeros((3, 3, 3)))
+    plan = contract.anchored_contract(df.select("case_id", "x", "y", "z", "lin", "v"), "v", 0.05, 0.1)._jdf.queryExecution().analyzed().toString()
+    assert "Join" not in plan and "__0" not in plan and "__1" not in plan
