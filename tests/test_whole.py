@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 from test_contract import table
 
-from voxelgraph.operators import bricks, contract, features, regions, search
+from voxelgraph.operators import bricks, contract, features, phenotype, regions, search, whole
 from voxelgraph.operators import edges as E
+from voxelgraph.plans import pipelines
+from voxelgraph.session import staged
 
 
 def some(spark, rounded=None):
@@ -82,3 +84,46 @@ def test_hash_of_numbers_is_sparks(spark):
     a, b = np.array([1, -5, 1 << 40, 0]), np.array([7, 2, -9, 1 << 33])
     rows = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a long, b long").coalesce(1)
     assert [r.h for r in rows.select(F.xxhash64("a", "b").alias("h")).collect()] == regions.xxhash64(a, b).tolist()
+
+
+def _same(got, want):
+    key = [c for c in ("case_id", "label", "lo", "hi") if c in want.columns]
+    a, b = ({tuple(r[c] for c in key): r.asDict() for r in t.select(want.columns).collect()} for t in (got, want))
+    assert a.keys() == b.keys() and len(a) > 3
+    flat = lambda r: [x for v in r.values() for x in (v if isinstance(v, list) else [v])]
+    for k, row in a.items():
+        for p, q in zip(flat(row), flat(b[k]), strict=True):
+            assert p == q or p is not None and abs(p - q) <= 1e-9 * max(1, abs(q))
+
+
+@pytest.mark.parametrize("side", [4, 1 << 10])
+def test_one_crossing_gives_counts_features_faces_and_adjacency(spark, monkeypatch, side):
+    df, cases = some(spark)
+    labels = contract.labelled(df, "v", "adaptive", 0.12, 0.1, 3, 200, 0.1, 0.75, 6, 5)[1]
+    if side > 4:
+        rows = whole.region_rows(df, "v", "adaptive", 0.12, 0.1, 6, 5, (3, 200, 0.1, 0.75), True)
+        near = {(r.case_id, r.lin): (r.x, r.y, r.z, r.seg, r.label) for r in rows.where("n is null").collect()}
+        rows = rows.where("n is not null")
+        chosen = {(r.case_id, r.label) for r in phenotype.select_tumour_nodes(features.label_counts(labels)).collect()}
+        want = {(r.case_id, r.lin): (r.x, r.y, r.z, r.seg, r.label) for r in labels.collect() if r.seg == 1 or (r.case_id, r.label) in chosen}
+        assert near == want and chosen and len(near) < df.count()
+    else:
+        monkeypatch.setattr(bricks, "SIDE", side)
+        rows = features.region_rows(labels, "v")
+    rows = staged(rows)
+    _same(features.counts_of_rows(rows), features.label_counts(labels))
+    _same(features.nodes_of_rows(rows, cases).drop("dominant_axis_vec"), features.node_features(labels, "v", cases).drop("dominant_axis_vec"))
+    _same(features.faces_of_rows(rows), E.shared_faces(labels))
+    _same(features.adjacency_of_rows(rows), E.full_adjacency(labels, "v"))
+
+
+def test_jobs_that_need_no_voxels_write_none(spark, monkeypatch):
+    df, cases = some(spark)
+    df, written, real = df.withColumn("hu", F.col("v") * 100), [], pipelines.staged
+    monkeypatch.setattr(pipelines, "staged", lambda t: written.append(t.columns) or real(t))
+    s = pipelines.Settings((0, 100), beta_min=3, stride=5)
+    m = pipelines.minors(df, cases, s, "none")
+    assert written and not any("lin" in c for c in written)
+    every = pipelines.minors(df, cases, s)
+    _same(m["edge_features"], every["edge_features"])
+    assert sorted(map(tuple, m["targets"].collect())) == sorted(map(tuple, every["targets"].collect()))
